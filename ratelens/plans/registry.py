@@ -186,6 +186,88 @@ def q12_community_taste(spark, d):
                                  S.table(spark, d, "lineitem"), S.table(spark, d, "part"), k=3)
 
 
+# -- model tasks (rows-only checks) ---------------------------------------------
+_FITTED: dict[tuple, object] = {}
+
+
+def _memo(spark, d, name, build):
+    """One fit per (application, tables, task): predictions and metrics of a
+    task share the model, as a train-then-score run would."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _FITTED:
+        _FITTED[key] = build()
+    return _FITTED[key]
+
+
+def _stars_task(spark, d):
+    from ratelens.plans import ml_tasks
+    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), "text", "lang")
+    from pyspark.ml.feature import StringIndexer
+    labelled = (StringIndexer(inputCol="lang", outputCol="stars", stringOrderType="alphabetAsc")
+                .fit(docs).transform(docs))
+    # whole table: no 10 % sample and no row cap in the registered form
+    return _memo(spark, d, "stars", lambda: ml_tasks.star_prediction(labelled, sample_fraction=None, max_rows=None))
+
+
+def q71_star_predictions(spark, d):
+    return _stars_task(spark, d).tables["predictions"]
+
+
+def q71_accuracy(spark, d):
+    return _stars_task(spark, d).tables["accuracy"]
+
+
+def _sentiment_task(spark, d):
+    from ratelens.plans import ml_tasks
+    return _memo(spark, d, "sentiment", lambda: ml_tasks.sentiment(S.reviews(spark, d)))
+
+
+def q7_sentiment_predictions(spark, d):
+    t = _sentiment_task(spark, d).tables["predictions"]
+    return t.select("review_id", "true_stars", "true_sentiment", "predicted_sentiment", "correct",
+                    F.round("sentiment_score", 4).alias("sentiment_score"), "held_out")
+
+
+def q7_sentiment_metrics(spark, d):
+    return _sentiment_task(spark, d).tables["metrics"]
+
+
+def q7_sentiment_totals(spark, d):
+    preds = _sentiment_task(spark, d).tables["predictions"]
+    return agg.conditional_totals(preds, "predicted_sentiment", "correct")
+
+
+def q7_confusion_matrix(spark, d):
+    preds = _sentiment_task(spark, d).tables["predictions"]
+    return agg.confusion_matrix(preds, "true_sentiment", "predicted_sentiment")
+
+
+def q11c_semantic_anomalies(spark, d):
+    from ratelens.plans import ml_tasks
+    res = _memo(spark, d, "semantic", lambda: ml_tasks.semantic_anomaly_task(S.reviews(spark, d)))
+    return res.tables["anomalies"].select("review_id", "stars", "business_id",
+                                          F.round("sentiment_score", 4).alias("sentiment_score"), "anomaly_type")
+
+
+def _fans_task(spark, d):
+    from ratelens.plans import ml_tasks
+    feats = tasks.fans_features(S.users(spark, d), keep=("user_id",))
+    # whole table: no 50 % sample in the registered form
+    return _memo(spark, d, "fans", lambda: ml_tasks.fans_regression(feats, sample_fraction=None))
+
+
+def q10_fans_predictions(spark, d):
+    return _fans_task(spark, d).tables["predictions"]
+
+
+def q10_fans_metrics(spark, d):
+    return _fans_task(spark, d).tables["metrics"]
+
+
+def q10_feature_importance(spark, d):
+    return _fans_task(spark, d).tables["importance"]
+
+
 QUERIES: dict[str, Query] = {
     "q1_top_categories": q1_top_categories,
     "q2_geo_distribution": q2_geo_distribution,
@@ -220,6 +302,16 @@ QUERIES: dict[str, Query] = {
     "txt_stopword_counts": txt_stopword_counts,
     "txt_vocabulary": txt_vocabulary,
     "txt_encode_pad": txt_encode_pad,
+    "q71_star_predictions": q71_star_predictions,
+    "q71_accuracy": q71_accuracy,
+    "q7_sentiment_predictions": q7_sentiment_predictions,
+    "q7_sentiment_metrics": q7_sentiment_metrics,
+    "q7_sentiment_totals": q7_sentiment_totals,
+    "q7_confusion_matrix": q7_confusion_matrix,
+    "q10_fans_predictions": q10_fans_predictions,
+    "q10_fans_metrics": q10_fans_metrics,
+    "q10_feature_importance": q10_feature_importance,
+    "q11c_semantic_anomalies": q11c_semantic_anomalies,
 }
 
 ORACLE: dict[str, str] = {

@@ -133,10 +133,12 @@ def length_correlation(review: DataFrame, text: str = "text", stars: str = "star
 # -- Q10 (features) -----------------------------------------------------------
 def fans_features(user: DataFrame, review_count: str = "review_count", average_stars: str = "average_stars",
                   fans: str = "fans", friends: str = "friends", max_reviews: float = 500,
-                  max_fans: float = 200, legacy_friend_count: bool = False) -> DataFrame:
+                  max_fans: float = 200, legacy_friend_count: bool = False,
+                  keep: tuple[str, ...] = ()) -> DataFrame:
     """Feature table of the fans regression: doubles, friend count, outliers
-    clamped, incomplete rows dropped."""
+    clamped, incomplete rows dropped (``keep`` carries e.g. the user key)."""
     df = user.select(
+        *keep,
         F.col(review_count).cast("double").alias("review_count"),
         F.col(average_stars).cast("double").alias("average_stars"),
         F.col(fans).cast("double").alias("label"),
