@@ -1,9 +1,9 @@
 """Friend graph: edges, communities and their category taste.
 
 Iterative algorithms run as a short driver loop of DataFrame rounds (joins +
-partial aggregates).  Each round's labels are written with a reliable
-``checkpoint()`` into ``spark.checkpoint.dir``: lineage stays one round deep
-and a lost executor costs one round, not a replay from the first scan.
+partial aggregates).  Each round's table is written as parquet under the
+folder named by ``spark.checkpoint.dir`` and re-read: lineage stays one round
+deep and a lost executor costs one round, not a replay from the first scan.
 
 Skew: a hub user (or a component holding a third of all users) is a hot join
 key.  Every per-node aggregate is algebraic (min / count), so hub groups are
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ratelens.functions.columns import NONE_SENTINEL
 from ratelens.operators.topk import top_k_per_group
-from ratelens.session import ensure_checkpoint_dir
+from ratelens.session import RoundStore
 
 
 def friend_edges(users: DataFrame, user_id: str = "user_id", friends: str = "friends",
@@ -35,38 +35,65 @@ def friend_edges(users: DataFrame, user_id: str = "user_id", friends: str = "fri
 
 
 def _directed(edges: DataFrame) -> DataFrame:
-    return (edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-            .unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))))
+    return (edges.select(F.col("src").alias("u"), F.col("dst").alias("v"))
+            .unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))))
 
 
-def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "user_id",
-                         max_rounds: int = 64) -> DataFrame:
-    """``node, component``: component = smallest node id reachable.
+def _undirected(pairs: DataFrame) -> DataFrame:
+    """Both orientations of each pair, self loops dropped, de-duplicated."""
+    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
+        pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    return both.filter(F.col("u") != F.col("v")).distinct()
+
+
+def _large_star(e: DataFrame) -> DataFrame:
+    """Every larger neighbour of u links to m(u) = min(u, neighbours of u)."""
+    m = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    return _undirected(e.join(m, "u").filter(F.col("v") > F.col("u"))
+                       .select(F.col("v").alias("a"), F.col("m").alias("b")))
+
 
-    Round = min over neighbours' labels (join + partial min) followed by one
-    pointer jump ``label <- label(label)``, which roughly doubles the distance
-    a label travels per round, so chains converge in O(log n) rounds.
-    Stops when a round changes no label.
+def _small_star(e: DataFrame) -> DataFrame:
+    """u and its smaller neighbours link to m = min(u, smaller neighbours).
+
+    An edge from a local minimum u to a larger w is re-emitted by w's own
+    small star (u is one of w's smaller neighbours), so connectivity holds."""
+    small = e.filter(F.col("v") < F.col("u"))
+    m = small.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    linked = small.join(m, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    centre = m.select(F.col("u").alias("a"), F.col("m").alias("b"))
+    return _undirected(linked.unionByName(centre))
+
+
+def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "user_id",
+                         max_rounds: int = 100) -> DataFrame:
+    """``node, component``: component = smallest node id in its component.
+
+    Alternating large-star / small-star rounds (Kiveris et al., "Connected
+    Components in MapReduce and Beyond", SoCC 2014): O(log^2 n) rounds, each a
+    grouped min plus joins on the node key; the edge set converges to one star
+    per component centred on its minimum.  Each round's edges are written to
+    the shared checkpoint folder and re-read (lineage cut, restart-safe).
     """
     spark = vertices.sparkSession
-    ensure_checkpoint_dir(spark)
-    d = _directed(edges).checkpoint()
-    labels = vertices.select(F.col(node).alias("node"), F.col(node).alias("label")).checkpoint()
+    store = RoundStore(spark, "components")
+    e = store.put(_undirected(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "edges")
     for _ in range(max_rounds):
-        nb = (d.join(labels.withColumnRenamed("node", "b"), "b")
-              .groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m")))
-        step = (labels.join(nb, "node", "left")
-                .select("node", F.col("label").alias("old"),
-                        F.least("label", F.coalesce("m", "label")).alias("label")))
-        parent = step.select(F.col("node").alias("label"), F.col("label").alias("pl"))
-        jumped = (step.join(parent, "label", "left")
-                  .select("node", "old", F.least("label", F.coalesce("pl", "label")).alias("label"))
-                  .checkpoint())
-        changed = jumped.filter(F.col("label") != F.col("old")).limit(1).count()
-        labels = jumped.select("node", "label")
+        nxt = store.put(_small_star(_large_star(e)), "edges")
+        changed = (nxt.withColumn("_new", F.lit(True))
+                   .join(e.withColumn("_old", F.lit(True)), ["u", "v"], "full_outer")
+                   .filter(F.col("_new").isNull() | F.col("_old").isNull())
+                   .limit(1).count())
+        e = nxt
         if changed == 0:
             break
-    return labels.select(F.col("node").alias(node), F.col("label").alias("component"))
+    centre = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("component"))
+    labels = (vertices.select(F.col(node).alias("u"))
+              .join(centre, "u", "left")
+              .select(F.col("u").alias(node), F.coalesce("component", "u").alias("component")))
+    out = store.put(labels, "labels")
+    store.drop("edges")
+    return out
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, node: str = "user_id",
@@ -75,21 +102,22 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, node: str = "user_i
 
     Each node takes the label most frequent among its neighbours, ties to the
     smallest label; isolated nodes keep their own.  ``min(struct(-count,
-    label))`` picks the winner as one algebraic aggregate per node.
+    label))`` picks the winner as one algebraic aggregate per node.  Labels of
+    each round are written to the shared checkpoint folder and re-read.
     """
     spark = vertices.sparkSession
-    ensure_checkpoint_dir(spark)
-    d = _directed(edges).checkpoint()
-    labels = vertices.select(F.col(node).alias("node"), F.col(node).alias("label")).checkpoint()
+    store = RoundStore(spark, "label-propagation")
+    d = store.put(_directed(edges), "edges")
+    labels = store.put(vertices.select(F.col(node).alias("node"), F.col(node).alias("label")), "labels")
     for _ in range(rounds):
-        votes = (d.join(labels.withColumnRenamed("node", "b"), "b")
-                 .groupBy("a", "label").agg(F.count(F.lit(1)).alias("cnt")))
-        best = (votes.groupBy(F.col("a").alias("node"))
+        votes = (d.join(labels.withColumnRenamed("node", "v"), "v")
+                 .groupBy("u", "label").agg(F.count(F.lit(1)).alias("cnt")))
+        best = (votes.groupBy(F.col("u").alias("node"))
                 .agg(F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("label").alias("label"))).alias("w"))
                 .select("node", F.col("w.label").alias("new")))
-        labels = (labels.join(best, "node", "left")
-                  .select("node", F.coalesce("new", "label").alias("label"))
-                  .checkpoint())
+        labels = store.put(labels.join(best, "node", "left")
+                           .select("node", F.coalesce("new", "label").alias("label")), "labels")
+    store.drop("edges")
     return labels.select(F.col("node").alias(node), F.col("label").alias("community"))
 
 

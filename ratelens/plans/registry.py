@@ -249,6 +249,29 @@ def q11c_semantic_anomalies(spark, d):
                                           F.round("sentiment_score", 4).alias("sentiment_score"), "anomaly_type")
 
 
+def q7_stream_scores(spark, d):
+    """Bulk scoring as a restartable stream: the documents file is the stream
+    source, joined with the static labels, scored and appended to a parquet
+    sink under the shared folder; the sink is read back as the result."""
+    import uuid
+
+    from ratelens.session import shared_dir
+    from ratelens.streaming.scoring import run_scoring, scoring_stream
+    model = _sentiment_task(spark, d).model
+    docs_schema = S.table(spark, d, "documents").schema
+    stream = scoring_stream(spark, d, docs_schema, glob="documents.parquet")
+    labels = S.table(spark, d, "labels").select("doc_id", "quality")
+    reviews = (stream.join(labels, "doc_id")
+               .select(F.col("doc_id").alias("review_id"), "text",
+                       F.when(F.col("quality") == 1, F.lit(5)).otherwise(F.lit(1)).alias("true_stars"),
+                       F.col("quality").alias("true_sentiment")))
+    run_dir = shared_dir(spark, f"stream/{uuid.uuid4().hex}")
+    run_scoring(model, reviews, f"{run_dir}/out", f"{run_dir}/checkpoint")
+    out = spark.read.parquet(f"{run_dir}/out")
+    return out.select("review_id", "true_stars", "true_sentiment", "predicted_sentiment", "correct",
+                      F.round("sentiment_score", 4).alias("sentiment_score"))
+
+
 def _fans_task(spark, d):
     from ratelens.plans import ml_tasks
     feats = tasks.fans_features(S.users(spark, d), keep=("user_id",))
@@ -312,6 +335,7 @@ QUERIES: dict[str, Query] = {
     "q10_fans_metrics": q10_fans_metrics,
     "q10_feature_importance": q10_feature_importance,
     "q11c_semantic_anomalies": q11c_semantic_anomalies,
+    "q7_stream_scores": q7_stream_scores,
 }
 
 ORACLE: dict[str, str] = {

@@ -83,6 +83,47 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base}/ratelens/{name}"
 
 
+class RoundStore:
+    """Per-run folder of intermediate tables under the shared checkpoint folder.
+
+    ``put`` writes a round's table as parquet and returns a fresh scan of it:
+    lineage is cut (no replay of earlier rounds after an executor loss) and the
+    next round plans against file statistics.  Older rounds are deleted as soon
+    as a newer one is written.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        import uuid
+        self.spark = spark
+        self.root = shared_dir(spark, f"rounds/{name}-{uuid.uuid4().hex}")
+        self._written: dict[str, list[str]] = {}
+        self._seq = 0
+
+    def put(self, df, tag: str, keep: int = 2):
+        self._seq += 1
+        path = f"{self.root}/{tag}/{self._seq}"
+        self._written.setdefault(tag, [])
+        df.write.mode("overwrite").parquet(path)
+        self._written[tag].append(path)
+        while len(self._written[tag]) > keep:
+            delete_path(self.spark, self._written[tag].pop(0))
+        return self.spark.read.parquet(path)
+
+    def drop(self, tag: str) -> None:
+        for path in self._written.pop(tag, []):
+            delete_path(self.spark, path)
+
+    def close(self) -> None:
+        delete_path(self.spark, self.root)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(hpath, True)
+
+
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme for local filesystem checks."""
     return path[5:] if path.startswith("file:") else path
