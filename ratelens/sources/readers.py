@@ -55,12 +55,17 @@ def read_collection(spark: SparkSession, name: str, fmt: str, **options) -> Data
     return reader.options(**options).load()
 
 
-def read_result_csv(spark: SparkSession, path: str, schema: T.StructType | str,
+def read_result_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
                     columns: list[str] | None = None) -> DataFrame:
     """Read a header CSV written by a sink; ``columns`` prunes like ``usecols``.
 
-    Large files are split across tasks by ``spark.sql.files.maxPartitionBytes``
-    instead of being chunked on one machine.
+    ``schema`` describes the whole file; without one, columns are taken by
+    header name as strings (no inference pass).  Large files are split across
+    tasks by ``spark.sql.files.maxPartitionBytes`` instead of being chunked on
+    one machine, and unused columns are not parsed (CSV column pruning).
     """
-    df = spark.read.schema(schema).option("header", "true").option("mode", "FAILFAST").csv(path)
+    reader = spark.read.option("header", "true").option("mode", "FAILFAST")
+    if schema is not None:
+        reader = reader.schema(schema)
+    df = reader.csv(path)
     return df.select(*columns) if columns else df
