@@ -128,6 +128,30 @@ def regression_scores(predictions: DataFrame, label: str = "label") -> dict[str,
     return out
 
 
+def select_sentiment_model(train: DataFrame, text: str = "text", label: str = "label",
+                           reg_params=(0.001, 0.01, 0.1), max_iters=(50, 100),
+                           train_ratio: float = 0.8, seed: int = 42):
+    """Validation-driven choice of regularisation and iteration budget
+    (``TrainValidationSplit`` over a grid; each candidate fit is a Spark job).
+    Returns the best model and a ``reg_param, max_iter, auc`` table."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+    lr = LogisticRegression(labelCol=label, featuresCol="features")
+    est = Pipeline(stages=[*text_stages(text), lr])
+    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).addGrid(lr.maxIter, list(max_iters)).build()
+    tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=grid, trainRatio=train_ratio, seed=seed,
+                               evaluator=BinaryClassificationEvaluator(labelCol=label))
+    data = _persisted(train.filter(F.col(text).isNotNull()))
+    try:
+        fitted = tvs.fit(data)
+    finally:
+        data.unpersist()
+    rows = [(float(pm[lr.regParam]), int(pm[lr.maxIter]), float(m))
+            for pm, m in zip(grid, fitted.validationMetrics)]
+    table = train.sparkSession.createDataFrame(rows, "reg_param double, max_iter int, auc double")
+    return fitted.bestModel, table
+
+
 def load_or_fit(spark: SparkSession, path: str, fit: Callable[[], PipelineModel],
                 refit: bool = False) -> PipelineModel:
     """Reuse the model saved at ``path`` (a shared folder) or fit and save it."""

@@ -2,8 +2,9 @@
 
 Vocabulary fitting is an exploded token count (partial aggregate) plus a
 bounded top-k.  Tokenising and padding are built-in array expressions; only the
-token -> id lookup runs in an Arrow-batched pandas UDF against the broadcast
-vocabulary (bounded by ``num_words``): no join and no shuffle of documents.
+token -> id lookup runs in Arrow (``mapInArrow``, vectorised ``index_in``)
+against the broadcast vocabulary (bounded by ``num_words``): no join and no
+shuffle of documents.
 """
 
 from __future__ import annotations
@@ -12,8 +13,6 @@ import zipfile
 from functools import lru_cache
 from pathlib import Path
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,21 +80,20 @@ def without_stop_words(arr: str | Column, words: tuple[str, ...] | None = None)
     return F.filter(_c(arr), lambda t: ~F.array_contains(stop, t))
 
 
-def fit_vocabulary(df: DataFrame, text: str, order_keys: list[str],
-                   num_words: int = DEFAULT_NUM_WORDS) -> DataFrame:
-    """Rank words by frequency; ties go to the word seen first (document order
-    by ``order_keys``, then position).  Returns ``word, n, id`` with ids from 2
-    (0 = padding, 1 = out of vocabulary) and only ids < ``num_words``.
+def fit_vocabulary(df: DataFrame, text: str, num_words: int = DEFAULT_NUM_WORDS) -> DataFrame:
+    """Rank words by frequency, ties by the word itself.  Returns ``word, n,
+    id`` with ids from 2 (0 = padding, 1 = out of vocabulary), only ids below
+    ``num_words``.
+
+    The count is a hash aggregate with map-side combining; the ranking runs on
+    the ``num_words`` survivors of a ``TakeOrderedAndProject`` (bounded).
     """
-    first = F.struct(*[F.col(k) for k in order_keys], F.col("pos"))
-    counted = (df.select(*order_keys, F.posexplode(word_sequence(text)).alias("pos", "word"))
-               .groupBy("word")
-               .agg(F.count(F.lit(1)).alias("n"), F.min(first).alias("first")))
-    keep = max(num_words - 2, 0)
-    top = counted.orderBy(F.col("n").desc(), F.col("first").asc()).limit(keep)
-    # ``keep`` rows at most: the ranking window runs on a bounded set
     from pyspark.sql import Window
-    w = Window.orderBy(F.col("n").desc(), F.col("first").asc())
+    counted = (df.select(F.explode(word_sequence(text)).alias("word"))
+               .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    keep = max(num_words - 2, 0)
+    top = counted.orderBy(F.col("n").desc(), F.col("word").asc()).limit(keep)
+    w = Window.orderBy(F.col("n").desc(), F.col("word").asc())
     return top.select("word", "n", (F.row_number().over(w) + F.lit(1)).cast("int").alias("id"))
 
 
@@ -112,34 +110,46 @@ def encode(tokens: str | Column, vocab_map: Column) -> Column:
     return F.transform(_c(tokens), lambda t: F.coalesce(F.try_element_at(vocab_map, t), F.lit(OOV_ID)))
 
 
-def encoder(vocab: DataFrame, num_words: int = DEFAULT_NUM_WORDS):
-    """Arrow-batched token -> id encoder.
-
-    The fitted vocabulary (at most ``num_words`` rows, checked) is shipped once
-    per executor as a broadcast variable; each Arrow batch is encoded with one
-    vectorised hash lookup (``Index.get_indexer``) over all its tokens, so the
-    documents are neither joined nor shuffled.
-    """
+def _vocabulary_arrays(vocab: DataFrame, num_words: int):
+    """The fitted vocabulary on the driver: bounded by ``num_words`` (checked)."""
     rows = vocab.select("word", "id").limit(num_words + 1).collect()
     if len(rows) > num_words:
         raise ValueError(f"vocabulary has more than {num_words} words")
-    bc = vocab.sparkSession.sparkContext.broadcast(
-        ([r["word"] for r in rows], np.array([r["id"] for r in rows], dtype=np.int32)))
+    return [r["word"] for r in rows], [int(r["id"]) for r in rows]
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def _encode(tokens: pd.Series) -> pd.Series:
-        words, ids = bc.value
-        index = pd.Index(words)
-        lengths = np.fromiter((0 if t is None else len(t) for t in tokens), dtype=np.int64, count=len(tokens))
-        if lengths.sum() == 0:
-            return pd.Series([[] if t is not None else None for t in tokens])
-        flat = np.concatenate([np.asarray(t, dtype=object) for t in tokens if t is not None and len(t)])
-        pos = index.get_indexer(flat)
-        out = np.where(pos >= 0, ids[np.maximum(pos, 0)], OOV_ID).astype(np.int32)
-        parts = np.split(out, np.cumsum(lengths)[:-1])
-        return pd.Series([None if t is None else p for t, p in zip(tokens, parts)])
 
-    return _encode
+def encode_tokens(df: DataFrame, tokens: str, vocab: DataFrame, out: str = "ids",
+                  num_words: int = DEFAULT_NUM_WORDS) -> DataFrame:
+    """Replace the token-array column ``tokens`` by an id-array column ``out``.
+
+    ``mapInArrow``: each Arrow batch's token lists are flattened and looked up
+    in one vectorised ``index_in`` against the broadcast vocabulary, then
+    re-wrapped with the original offsets.  No Python objects per token, no
+    join, no shuffle; partitioning is preserved.
+    """
+    import pyarrow as pa
+    bc = vocab.sparkSession.sparkContext.broadcast(_vocabulary_arrays(vocab, num_words))
+    fields = [f for f in df.schema.fields if f.name != tokens]
+    schema = T.StructType([*fields, T.StructField(out, T.ArrayType(T.IntegerType()), True)])
+    names = [f.name for f in fields]
+
+    def run(batches):
+        import pyarrow.compute as pc
+        words, ids = bc.value
+        value_set = pa.array(words, pa.string())
+        id_arr = pa.array(ids, pa.int32())
+        for b in batches:
+            col = b.column(tokens)
+            if isinstance(col, pa.ChunkedArray):
+                col = col.combine_chunks()
+            flat = col.flatten()
+            idx = pc.index_in(flat, value_set=value_set)
+            mapped = pc.fill_null(pc.take(id_arr, idx), pa.scalar(OOV_ID, pa.int32()))
+            offsets = pc.subtract(col.offsets, col.offsets[0])
+            enc = pa.ListArray.from_arrays(offsets, mapped, mask=col.is_null())
+            yield pa.RecordBatch.from_arrays([b.column(n) for n in names] + [enc], names=names + [out])
+
+    return df.mapInArrow(run, schema)
 
 
 def pad_truncate(ids: str | Column, length: int = DEFAULT_MAX_LENGTH, value: int = PAD_ID) -> Column:
@@ -150,7 +160,7 @@ def pad_truncate(ids: str | Column, length: int = DEFAULT_MAX_LENGTH, value: int
 def encode_documents(docs: DataFrame, text: str, vocab: DataFrame, keep: list[str],
                      length: int = DEFAULT_MAX_LENGTH) -> DataFrame:
     """Whole-text encoding, then pad/truncate: ``keep..., n_tokens, n_oov, ids``."""
-    enc = docs.select(*keep, encoder(vocab)(word_sequence(text)).alias("_ids"))
+    enc = encode_tokens(docs.select(*keep, word_sequence(text).alias("_tokens")), "_tokens", vocab, "_ids")
     return enc.select(
         *keep,
         F.size("_ids").alias("n_tokens"),

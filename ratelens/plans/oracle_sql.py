@@ -226,9 +226,9 @@ SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos
 FROM (SELECT doc_id, {_WORDS} AS w FROM documents)"""
 
 VOCABULARY = f"""
-SELECT word, n, CAST(row_number() OVER (ORDER BY n DESC, first ASC) + 1 AS INTEGER) AS id
-FROM (SELECT word, count(*) AS n, min(doc_id * 1000000000 + pos) AS first FROM ({TOKENS}) GROUP BY word)
-ORDER BY n DESC, first ASC LIMIT 19998"""
+SELECT word, n, CAST(row_number() OVER (ORDER BY n DESC, word ASC) + 1 AS INTEGER) AS id
+FROM (SELECT word, count(*) AS n FROM ({TOKENS}) GROUP BY word)
+ORDER BY n DESC, word ASC LIMIT 19998"""
 
 ENCODE_PAD = f"""
 WITH v AS ({VOCABULARY}), t AS ({TOKENS}),
@@ -293,3 +293,21 @@ SELECT community, category, n, {r("share", 4)} AS share, {r("share / global_shar
        CAST(rank AS INTEGER) AS rank
 FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, category ASC) AS rank FROM scored)
 WHERE rank <= {k}"""
+
+
+IDF = f"""
+WITH toks AS (SELECT doc_id, string_split_regex(regexp_replace(lower(text), '\\s+$', ''), '\\s') AS w
+              FROM documents WHERE text IS NOT NULL),
+kept AS (SELECT doc_id, list_distinct(list_filter(w, lambda t: NOT list_contains({_STOP}, t))) AS f FROM toks),
+n AS (SELECT count(*) AS n_docs FROM documents WHERE text IS NOT NULL)
+SELECT term, df, {r("ln(CAST(n_docs + 1 AS DOUBLE) / CAST(df + 1 AS DOUBLE))", 6)} AS idf
+FROM (SELECT term, count(*) AS df FROM (SELECT unnest(f) AS term FROM kept) GROUP BY term), n"""
+
+CORRELATION_BY_LANG = f"""
+SELECT lang, {r("corr(stars, length(text))", 4)} AS correlation, count(*) AS n
+FROM ({REVIEWS}) WHERE text IS NOT NULL GROUP BY lang"""
+
+CONFUSION_LONG = f"""
+SELECT true_sentiment AS true_label, predicted_sentiment AS pred_label, count(*) AS count
+FROM ({PREDICTIONS}) WHERE true_sentiment IS NOT NULL AND predicted_sentiment IS NOT NULL
+GROUP BY true_sentiment, predicted_sentiment"""

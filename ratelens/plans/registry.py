@@ -150,7 +150,7 @@ def txt_stopword_counts(spark, d):
 
 
 def _vocab(spark, d):
-    return text.fit_vocabulary(S.table(spark, d, "documents"), "text", ["doc_id"])
+    return text.fit_vocabulary(S.table(spark, d, "documents"), "text")
 
 
 def txt_vocabulary(spark, d):
@@ -162,14 +162,81 @@ def txt_encode_pad(spark, d):
     return enc.select("doc_id", "n_tokens", "n_oov", F.array_join("ids", " ").alias("ids_text"))
 
 
+def txt_idf(spark, d):
+    """Inverse document frequency per term, ``ln((N + 1) / (df + 1))``, over the
+    tokenizer + stop-word stages of the text models (the per-term form of the
+    hashed IDF stage)."""
+    from pyspark.ml.feature import StopWordsRemover, Tokenizer
+    docs = S.table(spark, d, "documents").filter(F.col("text").isNotNull())
+    words = Tokenizer(inputCol="text", outputCol="words").transform(docs)
+    kept = StopWordsRemover(inputCol="words", outputCol="filtered",
+                            stopWords=list(text.stop_words())).transform(words)
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    dfreq = (kept.select(F.explode(F.array_distinct("filtered")).alias("term"))
+             .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    return dfreq.select("term", "df", F.round(F.log((n_docs + F.lit(1)).cast("double")
+                                                    / (F.col("df") + F.lit(1)).cast("double")), 6).alias("idf"))
+
+
+def q9_length_correlation_by_lang(spark, d):
+    rev = tasks.with_length(S.reviews(spark, d))
+    return (rev.groupBy("lang").agg(F.round(F.corr("stars", "review_length"), 4).alias("correlation"),
+                                    F.count(F.lit(1)).alias("n")))
+
+
+def q13_confusion_long(spark, d):
+    return agg.confusion_long(S.predictions_standin(spark, d), "true_sentiment", "predicted_sentiment")
+
+
+def snk_preview_roundtrip(spark, d):
+    """Q1 written as a 20-row preview CSV (one file, limit inside the plan) in
+    the shared folder and read back by header name."""
+    import uuid
+
+    from ratelens.session import shared_dir
+    from ratelens.sources import read_result_csv, save_preview
+    path = shared_dir(spark, f"previews/{uuid.uuid4().hex}")
+    save_preview(q1_top_categories(spark, d), path, n=20)
+    return read_result_csv(spark, path, "category string, count bigint")
+
+
+# -- sampling operators (hash based: rows-only checks) ------------------------------
+def smp_sample_fraction(spark, d):
+    from ratelens.operators.sampling import hash_sample
+    return hash_sample(S.table(spark, d, "lineitem"), 0.1, ["l_orderkey", "l_linenumber"])
+
+
+def smp_sample_rows(spark, d):
+    from ratelens.operators.sampling import hash_sample_n
+    return hash_sample_n(S.reviews(spark, d).select("review_id", "stars", "text"), 100, ["review_id"])
+
+
+def smp_stratified_split(spark, d):
+    from ratelens.operators.sampling import stratified_split
+    lab = S.table(spark, d, "labels")
+    train, test = stratified_split(lab, "quality", ["doc_id"], 0.8)
+    both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return both.groupBy("quality", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- Q12 friend graph -----------------------------------------------------------
 def q12_friend_edges(spark, d):
     return graph.friend_edges(S.users(spark, d))
 
 
+def _graph_input(spark, d, run):
+    """Users feed both the vertex set and the edges: persisted once for the
+    (eager) iterative job, released when it returns."""
+    from pyspark import StorageLevel
+    u = S.users(spark, d).select("user_id", "friends").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return run(u.select("user_id"), graph.friend_edges(u))
+    finally:
+        u.unpersist()
+
+
 def _components(spark, d):
-    u = S.users(spark, d)
-    return graph.connected_components(u.select("user_id"), graph.friend_edges(u))
+    return _graph_input(spark, d, graph.connected_components)
 
 
 def q12_components(spark, d):
@@ -177,8 +244,7 @@ def q12_components(spark, d):
 
 
 def q12_label_propagation(spark, d):
-    u = S.users(spark, d)
-    return graph.label_propagation(u.select("user_id"), graph.friend_edges(u), rounds=5)
+    return _graph_input(spark, d, lambda v, e: graph.label_propagation(v, e, rounds=5))
 
 
 def q12_community_taste(spark, d):
@@ -272,6 +338,39 @@ def q7_stream_scores(spark, d):
                       F.round("sentiment_score", 4).alias("sentiment_score"))
 
 
+def q71_training_curve(spark, d):
+    from ratelens.ml.models import objective_history
+    return objective_history(spark, _stars_task(spark, d).model)
+
+
+def q7_prediction_preview(spark, d):
+    """Display rows of the bulk scoring pass: 60-character text preview,
+    Positive/Negative labels and a correctness mark, first 10 by key."""
+    from ratelens.functions.columns import correct_mark, sentiment_name
+    from ratelens.operators.topk import top_k
+    t = _sentiment_task(spark, d).tables["predictions"]
+    shown = t.select("review_id", correct_mark("correct").alias("mark"),
+                     sentiment_name("true_sentiment").alias("true_label"),
+                     sentiment_name("predicted_sentiment").alias("predicted_label"), "true_stars",
+                     tasks_preview("text").alias("text_preview"))
+    return top_k(shown, 10, ["review_id"])
+
+
+def tasks_preview(col):
+    from ratelens.functions.columns import preview_text
+    return preview_text(col, 60)
+
+
+def q7_model_selection(spark, d):
+    from ratelens.ml.models import select_sentiment_model
+    from ratelens.operators.sampling import stratified_split
+    from ratelens.functions.columns import binary_label
+    base = (S.reviews(spark, d).filter(F.col("stars") != 3)
+            .select("review_id", "text", binary_label("stars").alias("label")))
+    train, _ = stratified_split(base, "label", ["review_id"], 0.8)
+    return _memo(spark, d, "selection", lambda: select_sentiment_model(train, "text", "label"))[1]
+
+
 def _fans_task(spark, d):
     from ratelens.plans import ml_tasks
     feats = tasks.fans_features(S.users(spark, d), keep=("user_id",))
@@ -336,6 +435,16 @@ QUERIES: dict[str, Query] = {
     "q10_feature_importance": q10_feature_importance,
     "q11c_semantic_anomalies": q11c_semantic_anomalies,
     "q7_stream_scores": q7_stream_scores,
+    "txt_idf": txt_idf,
+    "q9_length_correlation_by_lang": q9_length_correlation_by_lang,
+    "q13_confusion_long": q13_confusion_long,
+    "snk_preview_roundtrip": snk_preview_roundtrip,
+    "smp_sample_fraction": smp_sample_fraction,
+    "smp_sample_rows": smp_sample_rows,
+    "smp_stratified_split": smp_stratified_split,
+    "q71_training_curve": q71_training_curve,
+    "q7_prediction_preview": q7_prediction_preview,
+    "q7_model_selection": q7_model_selection,
 }
 
 ORACLE: dict[str, str] = {
@@ -375,4 +484,8 @@ WHERE price_range IS NOT NULL AND price_range <> 'None' GROUP BY price_range ORD
     "txt_stopword_counts": O.STOPWORD_COUNTS,
     "txt_vocabulary": O.VOCABULARY,
     "txt_encode_pad": O.ENCODE_PAD,
+    "txt_idf": O.IDF,
+    "q9_length_correlation_by_lang": O.CORRELATION_BY_LANG,
+    "q13_confusion_long": O.CONFUSION_LONG,
+    "snk_preview_roundtrip": O.TOP_CATEGORIES.format(k=20),
 }

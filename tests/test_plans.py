@@ -58,4 +58,4 @@ def test_share_total_is_scalar_subquery_not_global_window(spark):
 
 def test_encode_uses_arrow_not_row_udf(spark):
     p = plan(QUERIES["txt_encode_pad"](spark, SF_SMALL))
-    assert "ArrowEvalPython" in p and "BatchEvalPython" not in p
+    assert "PythonMapInArrow" in p and "BatchEvalPython" not in p

@@ -19,16 +19,16 @@ def test_word_sequence_filters(spark):
     assert got == ["hello", "world", "it's", "a", "test"]
 
 
-def test_vocabulary_rank_ties_first_seen(spark):
+def test_vocabulary_rank_ties_by_word(spark):
     df = docs(spark, [(1, "b a c"), (2, "a b d"), (3, "c")])
-    vocab = {r.word: (r.n, r.id) for r in text.fit_vocabulary(df, "text", ["doc_id"]).collect()}
-    # counts: a2 b2 c2 d1; first seen: b(1,0) a(1,1) c(1,2)
-    assert vocab == {"b": (2, 2), "a": (2, 3), "c": (2, 4), "d": (1, 5)}
+    vocab = {r.word: (r.n, r.id) for r in text.fit_vocabulary(df, "text").collect()}
+    # counts: a2 b2 c2 d1; equal counts ranked by the word
+    assert vocab == {"a": (2, 2), "b": (2, 3), "c": (2, 4), "d": (1, 5)}
 
 
 def test_num_words_cut_and_oov(spark):
     df = docs(spark, [(1, "x x x y y z"), (2, "w")])
-    vocab = text.fit_vocabulary(df, "text", ["doc_id"], num_words=4)   # keeps ids 2, 3
+    vocab = text.fit_vocabulary(df, "text", num_words=4)   # keeps ids 2, 3
     assert sorted(r.word for r in vocab.collect()) == ["x", "y"]
     enc = text.encode_documents(df, "text", vocab, keep=["doc_id"], length=8).orderBy("doc_id").collect()
     assert enc[0].ids == [2, 2, 2, 3, 3, 1, 0, 0] and enc[0].n_oov == 1 and enc[0].n_tokens == 6
@@ -50,7 +50,7 @@ def test_pad_truncate_always_length(spark, sizes):
 def test_whole_text_encoded(spark):
     long = " ".join(["w%d" % (i % 50) for i in range(30000)])
     df = docs(spark, [(1, long)])
-    vocab = text.fit_vocabulary(df, "text", ["doc_id"])
+    vocab = text.fit_vocabulary(df, "text")
     r = text.encode_documents(df, "text", vocab, keep=["doc_id"]).collect()[0]
     assert r.n_tokens == 30000 and r.n_oov == 0 and len(r.ids) == 200
 
