@@ -43,6 +43,14 @@ def text_stages(text: str = "text") -> list:
 
 
 def _persisted(df: DataFrame) -> DataFrame:
+    """Training input, persisted for the iterative fit.
+
+    An input with fewer partitions than the cluster has task slots (a few
+    large files) is spread round-robin first, so every optimiser pass uses all
+    cores; inputs that already have enough partitions are left as they are."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        df = df.repartition(slots)
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -130,7 +138,7 @@ def regression_scores(predictions: DataFrame, label: str = "label") -> dict[str,
 
 def select_sentiment_model(train: DataFrame, text: str = "text", label: str = "label",
                            reg_params=(0.001, 0.01, 0.1), max_iters=(50, 100),
-                           train_ratio: float = 0.8, seed: int = 42):
+                           train_ratio: float = 0.8, seed: int = 42, parallelism: int = 3):
     """Validation-driven choice of regularisation and iteration budget
     (``TrainValidationSplit`` over a grid; each candidate fit is a Spark job).
     Returns the best model and a ``reg_param, max_iter, auc`` table."""
@@ -140,7 +148,7 @@ def select_sentiment_model(train: DataFrame, text: str = "text", label: str = "l
     est = Pipeline(stages=[*text_stages(text), lr])
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).addGrid(lr.maxIter, list(max_iters)).build()
     tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=grid, trainRatio=train_ratio, seed=seed,
-                               evaluator=BinaryClassificationEvaluator(labelCol=label))
+                               evaluator=BinaryClassificationEvaluator(labelCol=label), parallelism=parallelism)
     data = _persisted(train.filter(F.col(text).isNotNull()))
     try:
         fitted = tvs.fit(data)

@@ -80,11 +80,15 @@ def out_of_fold_scores(reviews: DataFrame, key: str = "review_id", text: str = "
     base = (reviews.filter(F.col(text).isNotNull() & F.col(stars).isin(*keep_stars))
             .select(key, text, stars, F.col("business_id") if "business_id" in reviews.columns else F.lit(None).alias("business_id"),
                     binary_label(stars).alias("label"), fold_of([key], folds, SEED).alias("fold")))
-    parts, fitted = [], []
-    for f in range(folds):
-        model = models.fit_sentiment_classifier(base.filter(F.col("fold") != f), text, "label")
-        fitted.append(model)
-        parts.append(models.sentiment_scores(model, base.filter(F.col("fold") == f)))
+    from concurrent.futures import ThreadPoolExecutor
+
+    # the k fits are independent Spark jobs: submitted concurrently, they share
+    # the cluster instead of queueing one after another
+    with ThreadPoolExecutor(max_workers=min(folds, 4)) as pool:
+        fitted = list(pool.map(
+            lambda f: models.fit_sentiment_classifier(base.filter(F.col("fold") != f), text, "label"),
+            range(folds)))
+    parts = [models.sentiment_scores(m, base.filter(F.col("fold") == f)) for f, m in enumerate(fitted)]
     scored = parts[0]
     for p in parts[1:]:
         scored = scored.unionByName(p)
