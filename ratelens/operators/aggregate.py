@@ -51,14 +51,23 @@ def frequency(df: DataFrame, key: str | Column, name: str = "count") -> DataFram
     return df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
 
 
-def correlation(df: DataFrame, a: str, b: str, digits: int = 4,
-                low: float = 0.1) -> DataFrame:
-    """Pearson r over pairwise-complete rows, its rounded value and a verdict.
+def pearson(a: str | Column, b: str | Column) -> Column:
+    """Pearson r over pairwise-complete rows; null (not an error) when either
+    side is constant.
 
-    ``F.corr`` ignores rows where either side is null (``DataFrame.stat.corr``
-    would count them as zeros).
+    ``covar_pop / (stddev_pop * stddev_pop)`` with every term restricted to rows
+    where both values are present (``DataFrame.stat.corr`` would count nulls as
+    zeros; ``F.corr`` raises a division by zero under ANSI on constant input).
     """
-    r = F.corr(_c(a), _c(b))
+    x = F.when(_c(b).isNotNull(), _c(a))
+    y = F.when(_c(a).isNotNull(), _c(b))
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
+def correlation(df: DataFrame, a: str, b: str, digits: int = 4,
+                low: float = 0.1) -> DataFrame:
+    """Pearson r, its rounded value and a low-correlation verdict."""
+    r = pearson(a, b)
     return (df.agg(r.alias("r"), F.count(F.when(_c(a).isNotNull() & _c(b).isNotNull(), 1)).alias("n"))
             .select(F.round("r", digits).alias("correlation"),
                     F.when(F.col("r").isNull(), F.lit("undefined"))

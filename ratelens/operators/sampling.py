@@ -71,14 +71,20 @@ def hash_sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) ->
             .drop("_u"))
 
 
+def in_first_part(label: str, keys: Sequence[str], fraction: float = 0.8, seed: int = 42) -> Column:
+    """Row-level membership of ``stratified_split``'s first part (no join needed
+    to tell training rows from held-out rows later)."""
+    return hash_unit([label, *keys], seed) < F.lit(fraction)
+
+
 def stratified_split(df: DataFrame, label: str, keys: Sequence[str], fraction: float = 0.8,
                      seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Per-stratum split: within each label value a row goes to the first part
     when its unit < fraction.  Every stratum is split with the same probability,
     independently of its size and of the layout (the ``sampleBy`` semantics
     without its layout dependence); no group is ever gathered in one task."""
-    u = hash_unit([label, *keys], seed)
-    return df.filter(u < F.lit(fraction)), df.filter(u >= F.lit(fraction))
+    first = in_first_part(label, keys, fraction, seed)
+    return df.filter(first), df.filter(~first)
 
 
 def fold_of(keys: Sequence[str], k: int, seed: int = 42) -> Column:

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ratelens.functions.columns import binary_label, preview_text
 from ratelens.ml import models
 from ratelens.operators.anomaly import semantic_anomalies
-from ratelens.operators.sampling import fold_of, hash_sample, hash_sample_n, hash_split, stratified_split
+from ratelens.operators.sampling import (fold_of, hash_sample, hash_sample_n, hash_split, in_first_part,
+                                         stratified_split)
 
 # Split fractions and seed of the review tasks.
 TRAIN_FRACTION = 0.8
@@ -55,14 +56,14 @@ def sentiment(reviews: DataFrame, key: str = "review_id", text: str = "text", st
     base = (reviews.filter(F.col(text).isNotNull() & F.col(stars).isNotNull() & (F.col(stars) != F.lit(neutral)))
             .select(key, text, F.col(stars).alias("true_stars"),
                     binary_label(stars, neutral).alias("true_sentiment")))
-    train, test = stratified_split(base, "true_sentiment", [key], TRAIN_FRACTION, SEED)
+    train, _ = stratified_split(base, "true_sentiment", [key], TRAIN_FRACTION, SEED)
     model = models.fit_sentiment_classifier(train.withColumnRenamed("true_sentiment", "label"), text, "label")
-    test_keys = test.select(key).withColumn("held_out", F.lit(True))
     scored = models.sentiment_scores(model, base, threshold)
-    pred = (scored.join(test_keys, key, "left")
-            .select(key, text, "true_stars", "true_sentiment", "predicted_sentiment",
-                    (F.col("predicted_sentiment") == F.col("true_sentiment")).alias("correct"),
-                    "sentiment_score", F.coalesce("held_out", F.lit(False)).alias("held_out")))
+    # held-out rows are recognised by the same key hash that split them: no join
+    pred = scored.select(key, text, "true_stars", "true_sentiment", "predicted_sentiment",
+                         (F.col("predicted_sentiment") == F.col("true_sentiment")).alias("correct"),
+                         "sentiment_score",
+                         (~in_first_part("true_sentiment", [key], TRAIN_FRACTION, SEED)).alias("held_out"))
     held = pred.filter("held_out")
     p_true = F.when(F.col("true_sentiment") == 1, F.col("sentiment_score")).otherwise(1 - F.col("sentiment_score"))
     metrics = held.agg(

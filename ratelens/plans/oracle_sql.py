@@ -125,7 +125,7 @@ CORRELATION = f"""
 SELECT {r("rr", 4)} AS correlation,
        CASE WHEN rr IS NULL THEN 'undefined' WHEN abs(rr) < 0.1 THEN 'low' ELSE 'correlated' END AS verdict,
        n
-FROM (SELECT corr(stars, length(text)) AS rr,
+FROM (SELECT covar_pop(stars, length(text)) / nullif(stddev_pop(stars) * stddev_pop(length(text)), 0) AS rr,
              count(*) FILTER (WHERE stars IS NOT NULL AND length(text) IS NOT NULL) AS n
       FROM ({REVIEWS}) WHERE text IS NOT NULL)"""
 
@@ -304,7 +304,8 @@ SELECT term, df, {r("ln(CAST(n_docs + 1 AS DOUBLE) / CAST(df + 1 AS DOUBLE))", 6
 FROM (SELECT term, count(*) AS df FROM (SELECT unnest(f) AS term FROM kept) GROUP BY term), n"""
 
 CORRELATION_BY_LANG = f"""
-SELECT lang, {r("corr(stars, length(text))", 4)} AS correlation, count(*) AS n
+SELECT lang, {r("covar_pop(stars, length(text)) / nullif(stddev_pop(stars) * stddev_pop(length(text)), 0)", 4)} AS correlation,
+       count(*) AS n
 FROM ({REVIEWS}) WHERE text IS NOT NULL GROUP BY lang"""
 
 CONFUSION_LONG = f"""

@@ -180,7 +180,7 @@ def txt_idf(spark, d):
 
 def q9_length_correlation_by_lang(spark, d):
     rev = tasks.with_length(S.reviews(spark, d))
-    return (rev.groupBy("lang").agg(F.round(F.corr("stars", "review_length"), 4).alias("correlation"),
+    return (rev.groupBy("lang").agg(F.round(agg.pearson("stars", "review_length"), 4).alias("correlation"),
                                     F.count(F.lit(1)).alias("n")))
 
 
