@@ -137,7 +137,7 @@ def regression_scores(predictions: DataFrame, label: str = "label") -> dict[str,
 
 
 def select_sentiment_model(train: DataFrame, text: str = "text", label: str = "label",
-                           reg_params=(0.001, 0.01, 0.1), max_iters=(50, 100),
+                           reg_params=(0.001, 0.01, 0.1), max_iters=(100,),
                            train_ratio: float = 0.8, seed: int = 42, parallelism: int = 3):
     """Validation-driven choice of regularisation and iteration budget
     (``TrainValidationSplit`` over a grid; each candidate fit is a Spark job).

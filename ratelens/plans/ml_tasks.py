@@ -124,4 +124,4 @@ def fans_regression(features: DataFrame, key: str = "user_id", sample_fraction:
                        .alias("r2"), F.count(F.lit(1)).alias("n"))
     imp = models.feature_importances(features.sparkSession, model, feature_cols)
     return ModelResult(model, {"predictions": pred.select("label", "prediction"), "metrics": metrics,
-                               "importance": imp})
+                               "importance": imp, "keyed_predictions": pred})

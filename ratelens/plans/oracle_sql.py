@@ -312,3 +312,7 @@ CONFUSION_LONG = f"""
 SELECT true_sentiment AS true_label, predicted_sentiment AS pred_label, count(*) AS count
 FROM ({PREDICTIONS}) WHERE true_sentiment IS NOT NULL AND predicted_sentiment IS NOT NULL
 GROUP BY true_sentiment, predicted_sentiment"""
+
+TOP_BAD = f"""
+SELECT * FROM ({ANOMALIES}) WHERE anomaly_class = 'suspicious_bad'
+ORDER BY review_count DESC, business_id ASC LIMIT 10"""

@@ -130,6 +130,13 @@ def q13_anomaly_types(spark, d):
     return report.anomaly_type_counts(q11_statistical_anomalies(spark, d))
 
 
+def q13_top_bad_businesses(spark, d):
+    """Top 10 'many reviews, low rating' entities by review count."""
+    from ratelens.operators.topk import asc, desc, top_k
+    bad = q11_statistical_anomalies(spark, d).filter(F.col("anomaly_class") == "suspicious_bad")
+    return top_k(bad, 10, [desc("review_count"), asc("business_id")])
+
+
 def q13_regression_metrics(spark, d):
     return agg.regression_metrics(S.unit_price_predictions(spark, d), "label", "prediction")
 
@@ -387,7 +394,23 @@ def q10_fans_metrics(spark, d):
 
 
 def q10_feature_importance(spark, d):
-    return _fans_task(spark, d).tables["importance"]
+    from ratelens.operators.topk import asc, desc, ordered
+    return ordered(_fans_task(spark, d).tables["importance"], [desc("importance"), asc("feature")])
+
+
+def q10_prediction_sample(spark, d):
+    """Up to 2000 held-out (label, prediction) points for the scatter chart."""
+    from ratelens.operators.sampling import hash_sample_n
+    preds = _fans_task(spark, d).tables["keyed_predictions"]
+    return hash_sample_n(preds, 2000, ["user_id"]).select("label", "prediction")
+
+
+def q10_axis_bound(spark, d):
+    return agg.max_bound(_fans_task(spark, d).tables["predictions"], "label", "prediction")
+
+
+def q11c_anomaly_type_counts(spark, d):
+    return report.anomaly_type_counts(q11c_semantic_anomalies(spark, d), "anomaly_type")
 
 
 QUERIES: dict[str, Query] = {
@@ -445,6 +468,10 @@ QUERIES: dict[str, Query] = {
     "q71_training_curve": q71_training_curve,
     "q7_prediction_preview": q7_prediction_preview,
     "q7_model_selection": q7_model_selection,
+    "q10_prediction_sample": q10_prediction_sample,
+    "q10_axis_bound": q10_axis_bound,
+    "q11c_anomaly_type_counts": q11c_anomaly_type_counts,
+    "q13_top_bad_businesses": q13_top_bad_businesses,
 }
 
 ORACLE: dict[str, str] = {
@@ -488,4 +515,5 @@ WHERE price_range IS NOT NULL AND price_range <> 'None' GROUP BY price_range ORD
     "q9_length_correlation_by_lang": O.CORRELATION_BY_LANG,
     "q13_confusion_long": O.CONFUSION_LONG,
     "snk_preview_roundtrip": O.TOP_CATEGORIES.format(k=20),
+    "q13_top_bad_businesses": O.TOP_BAD,
 }
