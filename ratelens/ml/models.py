@@ -64,20 +64,30 @@ def fit_star_classifier(train: DataFrame, text: str = "text", label: str = "star
         data.unpersist()
 
 
-def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """``label, weight`` = n / (k * n_label): balanced weights (k classes)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_label"))
-    total = df.agg(F.count(F.lit(1))).scalar()
-    k = counts.agg(F.count(F.lit(1))).scalar()
-    return counts.select(label, (total.cast("double") / (k * F.col("n_label"))).alias("weight"))
+MAX_CLASSES = 1000
+
+
+def class_weight(df: DataFrame, label: str, max_classes: int = MAX_CLASSES):
+    """Balanced weight n / (k * n_label) as a column expression.
+
+    The per-class counts (one aggregate job) come to the driver only after the
+    class count is checked against ``max_classes``; the weights then travel as
+    literals in the plan: no join, no broadcast table."""
+    counts = (df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(max_classes + 1).collect())
+    if len(counts) > max_classes:
+        raise ValueError(f"more than {max_classes} classes in {label!r}")
+    total = sum(r["n"] for r in counts)
+    expr = F.lit(1.0)
+    for r in counts:
+        expr = F.when(F.col(label) == F.lit(r[label]), F.lit(total / (len(counts) * r["n"]))).otherwise(expr)
+    return expr
 
 
 def fit_sentiment_classifier(train: DataFrame, text: str = "text", label: str = "label",
                              max_iter: int = 100, reg: float = 0.01, balance: bool = True) -> PipelineModel:
     data = train.filter(F.col(text).isNotNull())
     if balance:
-        # one row per class: a broadcast join of a table bounded by the class count
-        data = data.join(F.broadcast(class_weights(data, label)), label)
+        data = data.withColumn("weight", class_weight(data, label))
     lr = LogisticRegression(maxIter=max_iter, regParam=reg, labelCol=label, featuresCol="features",
                             weightCol="weight" if balance else None)
     data = _persisted(data)

@@ -167,3 +167,19 @@ def encode_documents(docs: DataFrame, text: str, vocab: DataFrame, keep: list[st
         F.size(F.filter("_ids", lambda i: i == F.lit(OOV_ID))).alias("n_oov"),
         pad_truncate("_ids", length).alias("ids"),
     )
+
+
+def save_encoder(vocab: DataFrame, path: str, max_length: int = DEFAULT_MAX_LENGTH,
+                 num_words: int = DEFAULT_NUM_WORDS) -> None:
+    """Vocabulary (parquet) and its settings (one-row JSON) beside a model."""
+    vocab.select("word", "n", "id").write.mode("overwrite").parquet(f"{path}/vocabulary")
+    spark = vocab.sparkSession
+    spark.createDataFrame([(int(max_length), int(num_words), OOV_TOKEN)],
+                          "max_length int, num_words int, oov_token string") \
+        .coalesce(1).write.mode("overwrite").json(f"{path}/config")
+
+
+def load_encoder(spark, path: str) -> tuple[DataFrame, dict]:
+    vocab = spark.read.parquet(f"{path}/vocabulary")
+    cfg = spark.read.schema("max_length int, num_words int, oov_token string").json(f"{path}/config").first()
+    return vocab, cfg.asDict()

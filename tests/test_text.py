@@ -61,3 +61,14 @@ def test_stop_words_list_matches_spark(spark):
     df = spark.createDataFrame([(["the", "cat", "is", "here"],)], "w array<string>")
     assert df.select(text.without_stop_words("w").alias("f")).collect()[0].f == ["cat"]
     _ = F  # keep import for readers
+
+
+def test_encoder_save_load(spark, tmp_dir):
+    df = docs(spark, [(1, "x x y"), (2, "y z")])
+    vocab = text.fit_vocabulary(df, "text")
+    text.save_encoder(vocab, f"{tmp_dir}/enc", max_length=7)
+    v2, cfg = text.load_encoder(spark, f"{tmp_dir}/enc")
+    assert cfg == {"max_length": 7, "num_words": 20000, "oov_token": "<OOV>"}
+    a = text.encode_documents(df, "text", vocab, keep=["doc_id"], length=cfg["max_length"]).orderBy("doc_id")
+    b = text.encode_documents(df, "text", v2, keep=["doc_id"], length=cfg["max_length"]).orderBy("doc_id")
+    assert a.collect() == b.collect()
