@@ -23,6 +23,28 @@ SQL_DEFAULTS = {
 }
 
 
+def scale_settings(input_bytes: int, partition_bytes: int = 256 << 20,
+                   min_partitions: int = 200, max_partitions: int = 200_000) -> dict[str, str]:
+    """SQL settings sized to the input volume (e.g. 100 TB -> ~400 000 map
+    splits of 256 MB, shuffle partitions capped at 200 000 and coalesced by AQE
+    to ~128 MB).  Skewed partitions (5x the median and > 256 MB) are split."""
+    shuffle = max(min_partitions, min(max_partitions, input_bytes // partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
+def apply_scale_settings(spark: SparkSession, input_bytes: int) -> SparkSession:
+    for key, value in scale_settings(input_bytes).items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def apply_sql_defaults(spark: SparkSession) -> SparkSession:
     for key, value in SQL_DEFAULTS.items():
         spark.conf.set(key, value)

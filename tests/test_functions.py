@@ -132,3 +132,24 @@ def test_top_users_drop_business_rows(spark):
     assert got == [("u1", 5), ("u3", 5)]
     no_col = df.drop("business_id")
     assert tasks.top_users(no_col, 1).collect()[0].user_id == "u2"
+
+
+def test_hot_key_aggregate_is_exact(spark):
+    """A category carried by a third of the rows: partial aggregation keeps
+    the count exact and the plan has a partial aggregate before the shuffle."""
+    rows = [("Restaurants",)] * 3000 + [(f"c{i % 700}, Restaurants" if i % 3 == 0 else f"c{i % 700}",)
+                                        for i in range(6000)]
+    df = spark.createDataFrame(rows, "categories string").repartition(8)
+    counts = agg.token_counts(df, "categories")
+    got = {r.category: r["count"] for r in counts.collect()}
+    assert got["Restaurants"] == 3000 + 2000
+    assert sum(got.values()) == 3000 + 6000 + 2000
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan
+
+
+def test_scale_settings():
+    from ratelens.session import scale_settings
+    s = scale_settings(100 << 40)
+    assert int(s["spark.sql.shuffle.partitions"]) == 200_000
+    assert int(scale_settings(1 << 30)["spark.sql.shuffle.partitions"]) == 200

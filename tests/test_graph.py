@@ -46,3 +46,19 @@ def test_label_propagation_two_cliques(spark):
     got = {r.user_id: r.community for r in graph.label_propagation(v, e, rounds=5).collect()}
     assert got["z"] == "z"
     assert len({got[x] for x in left}) == 1 and len({got[x] for x in right}) == 1
+
+
+def test_hub_holding_a_third_of_edges(spark):
+    """One user is the friend of a third of all linked users; the rest form
+    chains.  Components and edge extraction stay exact."""
+    hub = "h"
+    leaves = [f"l{i:04d}" for i in range(400)]
+    chain = [f"c{i:04d}" for i in range(800)]
+    rows = [(hub, ", ".join(leaves))] + [(x, hub) for x in leaves]
+    rows += [(chain[i], chain[i + 1] if i + 1 < len(chain) else "None") for i in range(len(chain))]
+    u = users(spark, rows)
+    e = graph.friend_edges(u)
+    assert e.count() == 400 + 799
+    c = comps(graph.connected_components(u.select("user_id"), e))
+    assert {c[x] for x in leaves} == {"h"} and c[hub] == "h"
+    assert {c[x] for x in chain} == {"c0000"}
