@@ -243,7 +243,8 @@ def _graph_input(spark, d, run):
 
 
 def _components(spark, d):
-    return _graph_input(spark, d, graph.connected_components)
+    # the written components table is shared by the queries of one session
+    return _memo(spark, d, "components", lambda: _graph_input(spark, d, graph.connected_components))
 
 
 def q12_components(spark, d):
@@ -315,9 +316,13 @@ def q7_confusion_matrix(spark, d):
     return agg.confusion_matrix(preds, "true_sentiment", "predicted_sentiment")
 
 
-def q11c_semantic_anomalies(spark, d):
+def _semantic_task(spark, d):
     from ratelens.plans import ml_tasks
-    res = _memo(spark, d, "semantic", lambda: ml_tasks.semantic_anomaly_task(S.reviews(spark, d)))
+    return _memo(spark, d, "semantic", lambda: ml_tasks.semantic_anomaly_task(S.reviews(spark, d)))
+
+
+def q11c_semantic_anomalies(spark, d):
+    res = _semantic_task(spark, d)
     return res.tables["anomalies"].select("review_id", "stars", "business_id",
                                           F.round("sentiment_score", 4).alias("sentiment_score"), "anomaly_type")
 
@@ -409,6 +414,15 @@ def q10_axis_bound(spark, d):
     return agg.max_bound(_fans_task(spark, d).tables["predictions"], "label", "prediction")
 
 
+def q11c_examples(spark, d):
+    """Three example texts per anomaly class (80-character previews), chosen
+    by key: a top-3 per class over the (small) anomaly table."""
+    from ratelens.functions.columns import preview_text
+    from ratelens.operators.topk import top_k_per_group
+    an = _semantic_task(spark, d).tables["anomalies"].select("anomaly_type", "review_id", preview_text("text", 80).alias("text_preview"))
+    return top_k_per_group(an, ["anomaly_type"], [F.col("review_id").asc()], 3)
+
+
 def q11c_anomaly_type_counts(spark, d):
     return report.anomaly_type_counts(q11c_semantic_anomalies(spark, d), "anomaly_type")
 
@@ -471,6 +485,7 @@ QUERIES: dict[str, Query] = {
     "q10_prediction_sample": q10_prediction_sample,
     "q10_axis_bound": q10_axis_bound,
     "q11c_anomaly_type_counts": q11c_anomaly_type_counts,
+    "q11c_examples": q11c_examples,
     "q13_top_bad_businesses": q13_top_bad_businesses,
 }
 
