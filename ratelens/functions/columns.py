@@ -71,8 +71,7 @@ def month_of(col: str | Column, fmt: str = "yyyy-MM", parse: bool = True) -> Col
 
 def month_start(col: str | Column) -> Column:
     """``yyyy-MM`` text -> first day of the month as a date (for ordered series)."""
-    return F.try_to_date(F.concat(_c(col), F.lit("-01")), "yyyy-MM-dd") if hasattr(F, "try_to_date") \
-        else F.to_date(F.concat(_c(col), F.lit("-01")))
+    return F.try_to_date(F.concat(_c(col), F.lit("-01")), "yyyy-MM-dd")
 
 
 def preview_text(col: str | Column, n: int = 60, ellipsis: str = "...") -> Column:

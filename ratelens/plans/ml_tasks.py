@@ -53,9 +53,9 @@ def sentiment(reviews: DataFrame, key: str = "review_id", text: str = "text", st
               neutral: int = 3, threshold: float = 0.5) -> ModelResult:
     """Q7: binary sentiment (stars > 3) from text; the model scores every row
     (bulk pass) and is evaluated on held-out rows."""
-    base = (reviews.filter(F.col(text).isNotNull() & F.col(stars).isNotNull() & (F.col(stars) != F.lit(neutral)))
-            .select(key, text, F.col(stars).alias("true_stars"),
-                    binary_label(stars, neutral).alias("true_sentiment")))
+    from ratelens.plans.tasks import sentiment_input
+    base = sentiment_input(reviews, text, stars, neutral).select(key, text, F.col(stars).alias("true_stars"),
+                                                                   "true_sentiment")
     train, _ = stratified_split(base, "true_sentiment", [key], TRAIN_FRACTION, SEED)
     model = models.fit_sentiment_classifier(train.withColumnRenamed("true_sentiment", "label"), text, "label")
     scored = models.sentiment_scores(model, base, threshold)

@@ -316,3 +316,8 @@ GROUP BY true_sentiment, predicted_sentiment"""
 TOP_BAD = f"""
 SELECT * FROM ({ANOMALIES}) WHERE anomaly_class = 'suspicious_bad'
 ORDER BY review_count DESC, business_id ASC LIMIT 10"""
+
+LABEL_BALANCE = f"""
+SELECT stars AS true_stars, CAST(stars > 3 AS INTEGER) AS true_sentiment, count(*) AS count
+FROM ({REVIEWS}) WHERE text IS NOT NULL AND stars IS NOT NULL AND stars <> 3
+GROUP BY stars, CAST(stars > 3 AS INTEGER)"""

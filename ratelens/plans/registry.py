@@ -81,6 +81,10 @@ def q9_length_correlation(spark, d):
     return tasks.length_correlation(S.reviews(spark, d))
 
 
+def q7_label_balance(spark, d):
+    return tasks.label_balance(S.reviews(spark, d))
+
+
 def q10_fans_features(spark, d):
     return tasks.fans_features(S.users(spark, d))
 
@@ -358,25 +362,20 @@ def q71_training_curve(spark, d):
 def q7_prediction_preview(spark, d):
     """Display rows of the bulk scoring pass: 60-character text preview,
     Positive/Negative labels and a correctness mark, first 10 by key."""
-    from ratelens.functions.columns import correct_mark, sentiment_name
+    from ratelens.functions.columns import correct_mark, preview_text, sentiment_name
     from ratelens.operators.topk import top_k
     t = _sentiment_task(spark, d).tables["predictions"]
     shown = t.select("review_id", correct_mark("correct").alias("mark"),
                      sentiment_name("true_sentiment").alias("true_label"),
                      sentiment_name("predicted_sentiment").alias("predicted_label"), "true_stars",
-                     tasks_preview("text").alias("text_preview"))
+                     preview_text("text", 60).alias("text_preview"))
     return top_k(shown, 10, ["review_id"])
 
 
-def tasks_preview(col):
-    from ratelens.functions.columns import preview_text
-    return preview_text(col, 60)
-
-
 def q7_model_selection(spark, d):
+    from ratelens.functions.columns import binary_label
     from ratelens.ml.models import select_sentiment_model
     from ratelens.operators.sampling import stratified_split
-    from ratelens.functions.columns import binary_label
     base = (S.reviews(spark, d).filter(F.col("stars") != 3)
             .select("review_id", "text", binary_label("stars").alias("label")))
     train, _ = stratified_split(base, "label", ["review_id"], 0.8)
@@ -440,6 +439,7 @@ QUERIES: dict[str, Query] = {
     "q9_length_vs_stars": q9_length_vs_stars,
     "q9_length_by_lang": q9_length_by_lang,
     "q9_length_correlation": q9_length_correlation,
+    "q7_label_balance": q7_label_balance,
     "q10_fans_features": q10_fans_features,
     "q11_statistical_anomalies": q11_statistical_anomalies,
     "q11_anomaly_counts": q11_anomaly_counts,
@@ -505,6 +505,7 @@ WHERE price_range IS NOT NULL AND price_range <> 'None' GROUP BY price_range ORD
     "q9_length_vs_stars": O.LENGTH_VS_STARS,
     "q9_length_by_lang": O.LENGTH_BY_LANG,
     "q9_length_correlation": O.CORRELATION,
+    "q7_label_balance": O.LABEL_BALANCE,
     "q10_fans_features": O.FANS_FEATURES,
     "q11_statistical_anomalies": O.ANOMALIES,
     "q11_anomaly_counts": O.ANOMALY_COUNTS,

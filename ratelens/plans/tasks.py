@@ -155,3 +155,18 @@ def business_anomalies(business: DataFrame, **thresholds) -> DataFrame:
 
 def business_anomaly_counts(business: DataFrame, **thresholds) -> DataFrame:
     return anomaly_counts(business, **thresholds)
+
+
+# -- Q7 (input rule) ------------------------------------------------------------
+def sentiment_input(review: DataFrame, text: str = "text", stars: str = "stars", neutral: int = 3) -> DataFrame:
+    """Rows a sentiment model trains on / scores: text present, stars present
+    and not neutral; label = stars above neutral."""
+    from ratelens.functions.columns import binary_label
+    return (review.filter(F.col(text).isNotNull() & F.col(stars).isNotNull() & (F.col(stars) != F.lit(neutral)))
+            .withColumn("true_sentiment", binary_label(stars, neutral)))
+
+
+def label_balance(review: DataFrame, stars: str = "stars", **kw) -> DataFrame:
+    """Rows per (stars, sentiment label) after the input rule."""
+    return (sentiment_input(review, stars=stars, **kw)
+            .groupBy(F.col(stars).alias("true_stars"), "true_sentiment").agg(F.count(F.lit(1)).alias("count")))
