@@ -90,3 +90,50 @@ def stratified_split(df: DataFrame, label: str, keys: Sequence[str], fraction: f
 def fold_of(keys: Sequence[str], k: int, seed: int = 42) -> Column:
     """Fold number 0..k-1 for k-fold / out-of-fold scoring."""
     return F.least(F.floor(hash_unit(keys, seed) * F.lit(k)).cast("int"), F.lit(k - 1))
+
+
+def exact_stratified_split(df: DataFrame, label: str, keys: Sequence[str], fraction: float = 0.8,
+                           seed: int = 42, max_classes: int = 1000) -> DataFrame:
+    """Exact per-stratum split: in every stratum of n rows exactly
+    ``floor(fraction * n)`` rows (those with the smallest key hashes) get
+    ``first_part = true``.
+
+    A window ordered within each stratum would gather a whole stratum in one
+    task.  Instead the rows are range-partitioned by (stratum, hash, key) and
+    written once (stable partition ids); each row's rank inside its stratum is
+    the number of same-stratum rows in earlier partitions (prefix sums over a
+    partitions x strata count table, checked against ``max_classes`` strata)
+    plus its position inside its own partition.  Every step is a partitioned
+    scan, a small aggregate or a join with that small table.
+    """
+    from pyspark.sql import Window
+
+    from ratelens.session import RoundStore
+
+    spark = df.sparkSession
+    store = RoundStore(spark, "exact-split")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col(label), F.col("_u"), *[F.col(k) for k in keys]]
+    ranged = (df.withColumn("_u", hash_unit([label, *keys], seed))
+              .repartitionByRange(n_parts, *order)
+              .sortWithinPartitions(*order))
+    # position inside the partition: monotonically_increasing_id is (pid << 33) + row index
+    ranged = ranged.withColumn("_pid", F.spark_partition_id()) \
+        .withColumn("_pos", F.monotonically_increasing_id() - (F.spark_partition_id().cast("long") * (1 << 33)))
+    ranged = store.put(ranged, "ranged")
+    counts = ranged.groupBy("_pid", label).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_start"))
+    n_rows = counts.limit(n_parts * max_classes + 1).count()
+    if n_rows > n_parts * max_classes:
+        raise ValueError(f"more than {max_classes} strata in {label!r}")
+    by_label = Window.partitionBy(label)
+    before = by_label.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", label, "_start",
+                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
+                            F.sum("_n").over(by_label).alias("_total"))
+    # the offsets table has partitions x strata rows: bounded, broadcast
+    ranked = ranged.join(F.broadcast(offsets), ["_pid", label])
+    rank = F.col("_offset") + F.col("_pos") - F.col("_start")
+    # floor(fraction * n) in exact decimal arithmetic (a double product can land just below an integer)
+    quota = F.floor(F.col("_total").cast("decimal(20,0)") * F.lit(str(fraction)).cast("decimal(20,10)"))
+    first = rank < quota
+    return ranked.withColumn("first_part", first).drop("_u", "_pid", "_pos", "_start", "_offset", "_total")

@@ -321,3 +321,9 @@ LABEL_BALANCE = f"""
 SELECT stars AS true_stars, CAST(stars > 3 AS INTEGER) AS true_sentiment, count(*) AS count
 FROM ({REVIEWS}) WHERE text IS NOT NULL AND stars IS NOT NULL AND stars <> 3
 GROUP BY stars, CAST(stars > 3 AS INTEGER)"""
+
+EXACT_SPLIT_COUNTS = """
+WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality)
+SELECT quality, 'train' AS part, CAST(floor(n * 0.8) AS BIGINT) AS n FROM c WHERE floor(n * 0.8) > 0
+UNION ALL
+SELECT quality, 'test' AS part, n - CAST(floor(n * 0.8) AS BIGINT) AS n FROM c WHERE n - floor(n * 0.8) > 0"""

@@ -230,6 +230,15 @@ def smp_stratified_split(spark, d):
     return both.groupBy("quality", "part").agg(F.count(F.lit(1)).alias("n"))
 
 
+def smp_exact_stratified_split(spark, d):
+    """Exact 80/20 split of ``labels`` within each quality class; the counts per
+    (class, part) are exact (floor(0.8 n) / rest) and checked by SQL."""
+    from ratelens.operators.sampling import exact_stratified_split
+    split = exact_stratified_split(S.table(spark, d, "labels"), "quality", ["doc_id"], 0.8)
+    part = F.when(F.col("first_part"), F.lit("train")).otherwise(F.lit("test"))
+    return split.groupBy("quality", part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- Q12 friend graph -----------------------------------------------------------
 def q12_friend_edges(spark, d):
     return graph.friend_edges(S.users(spark, d))
@@ -479,6 +488,7 @@ QUERIES: dict[str, Query] = {
     "smp_sample_fraction": smp_sample_fraction,
     "smp_sample_rows": smp_sample_rows,
     "smp_stratified_split": smp_stratified_split,
+    "smp_exact_stratified_split": smp_exact_stratified_split,
     "q71_training_curve": q71_training_curve,
     "q7_prediction_preview": q7_prediction_preview,
     "q7_model_selection": q7_model_selection,
@@ -532,4 +542,5 @@ WHERE price_range IS NOT NULL AND price_range <> 'None' GROUP BY price_range ORD
     "q13_confusion_long": O.CONFUSION_LONG,
     "snk_preview_roundtrip": O.TOP_CATEGORIES.format(k=20),
     "q13_top_bad_businesses": O.TOP_BAD,
+    "smp_exact_stratified_split": O.EXACT_SPLIT_COUNTS,
 }

@@ -6,7 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from ratelens.operators.sampling import fold_of, hash_sample, hash_sample_n, hash_split, stratified_split
+from ratelens.operators.sampling import (exact_stratified_split, fold_of, hash_sample, hash_sample_n,
+                                         hash_split, stratified_split)
 
 
 def ids(df):
@@ -55,3 +56,16 @@ def test_folds_cover_all(spark):
     df = spark.range(0, 900).withColumn("fold", fold_of(["id"], 3))
     counts = {r.fold: r["count"] for r in df.groupBy("fold").count().collect()}
     assert set(counts) == {0, 1, 2} and sum(counts.values()) == 900
+
+
+def test_exact_stratified_split_counts_and_stability(spark):
+    df = spark.range(0, 5003).withColumn("label", (F.col("id") % 7 == 0).cast("int"))
+    out = exact_stratified_split(df, "label", ["id"], 0.8)
+    got = {(r.label, r.first_part): r["count"] for r in out.groupBy("label", "first_part").count().collect()}
+    n1 = 5003 // 7 + 1
+    n0 = 5003 - n1
+    assert got == {(0, True): n0 * 8 // 10, (0, False): n0 - n0 * 8 // 10,
+                   (1, True): n1 * 8 // 10, (1, False): n1 - n1 * 8 // 10}
+    first = sorted(r.id for r in out.filter("first_part").select("id").collect())
+    again = exact_stratified_split(df.repartition(5), "label", ["id"], 0.8)
+    assert sorted(r.id for r in again.filter("first_part").select("id").collect()) == first
