@@ -287,13 +287,17 @@ def _memo(spark, d, name, build):
 
 
 def _stars_task(spark, d):
-    from ratelens.plans import ml_tasks
-    docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), "text", "lang")
     from pyspark.ml.feature import StringIndexer
-    labelled = (StringIndexer(inputCol="lang", outputCol="stars", stringOrderType="alphabetAsc")
-                .fit(docs).transform(docs))
-    # whole table: no 10 % sample and no row cap in the registered form
-    return _memo(spark, d, "stars", lambda: ml_tasks.star_prediction(labelled, sample_fraction=None, max_rows=None))
+
+    from ratelens.plans import ml_tasks
+
+    def build():
+        docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), "text", "lang")
+        labelled = (StringIndexer(inputCol="lang", outputCol="stars", stringOrderType="alphabetAsc")
+                    .fit(docs).transform(docs))
+        # whole table: no 10 % sample and no row cap in the registered form
+        return ml_tasks.star_prediction(labelled, sample_fraction=None, max_rows=None)
+    return _memo(spark, d, "stars", build)
 
 
 def q71_star_predictions(spark, d):
