@@ -211,6 +211,21 @@ def snk_preview_roundtrip(spark, d):
     return read_result_csv(spark, path, "category string, count bigint")
 
 
+def snk_csv_prediction_totals(spark, d):
+    """Predictions written in full as header CSV (parallel, one file per task),
+    read back with only the two columns the summary needs, then positive /
+    negative / correct totals in one pass."""
+    import uuid
+
+    from ratelens.session import shared_dir
+    from ratelens.sources import read_result_csv, save_full
+    path = shared_dir(spark, f"predictions/{uuid.uuid4().hex}")
+    save_full(S.predictions_standin(spark, d), path, fmt="csv")
+    back = read_result_csv(spark, path, "true_sentiment int, predicted_sentiment int, correct boolean",
+                           columns=["predicted_sentiment", "correct"])
+    return agg.conditional_totals(back, "predicted_sentiment", "correct")
+
+
 # -- sampling operators (hash based: rows-only checks) ------------------------------
 def smp_sample_fraction(spark, d):
     from ratelens.operators.sampling import hash_sample
@@ -493,6 +508,7 @@ QUERIES: dict[str, Query] = {
     "smp_sample_rows": smp_sample_rows,
     "smp_stratified_split": smp_stratified_split,
     "smp_exact_stratified_split": smp_exact_stratified_split,
+    "snk_csv_prediction_totals": snk_csv_prediction_totals,
     "q71_training_curve": q71_training_curve,
     "q7_prediction_preview": q7_prediction_preview,
     "q7_model_selection": q7_model_selection,
@@ -547,4 +563,5 @@ WHERE price_range IS NOT NULL AND price_range <> 'None' GROUP BY price_range ORD
     "snk_preview_roundtrip": O.TOP_CATEGORIES.format(k=20),
     "q13_top_bad_businesses": O.TOP_BAD,
     "smp_exact_stratified_split": O.EXACT_SPLIT_COUNTS,
+    "snk_csv_prediction_totals": O.SENTIMENT_TOTALS,
 }
