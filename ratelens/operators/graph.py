@@ -78,8 +78,36 @@ def _same_edges(a: DataFrame, b: DataFrame) -> bool:
     return diff.limit(1).count() == 0
 
 
+class _Rounds:
+    """Round outputs: every ``write_every``-th one is written to the shared
+    checkpoint folder (lineage cut, survives executor loss); the ones in
+    between are persisted (memory and disk) and at most ``write_every - 1``
+    rounds are replayed from the last written table after a loss."""
+
+    def __init__(self, store: RoundStore, tag: str, write_every: int):
+        self.store, self.tag, self.every = store, tag, max(1, write_every)
+        self.n = 0
+        self.cached: list[DataFrame] = []
+
+    def next(self, df: DataFrame) -> DataFrame:
+        from pyspark import StorageLevel
+        self.n += 1
+        if self.n % self.every == 0:
+            out = self.store.put(df, self.tag)
+            self.release()
+            return out
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self.cached.append(out)
+        return out
+
+    def release(self) -> None:
+        for c in self.cached:
+            c.unpersist()
+        self.cached = []
+
+
 def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "user_id",
-                         max_rounds: int = 100) -> DataFrame:
+                         max_rounds: int = 100, write_every: int = 2) -> DataFrame:
     """``node, component``: component = smallest node id in its component.
 
     Alternating large-star / small-star rounds (Kiveris et al., "Connected
@@ -92,8 +120,9 @@ def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "use
     store = RoundStore(spark, "components")
     e = store.put(_undirected(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "edges")
     sig = _signature(e)
+    rounds = _Rounds(store, "edges", write_every)
     for _ in range(max_rounds):
-        nxt = store.put(_small_star(_large_star(e)), "edges")
+        nxt = rounds.next(_small_star(_large_star(e)))
         nsig = _signature(nxt)
         # fingerprints are scan-only aggregates; the exact set comparison (a
         # shuffle) runs only when they say nothing changed
@@ -106,12 +135,13 @@ def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "use
               .join(centre, "u", "left")
               .select(F.col("u").alias(node), F.coalesce("component", "u").alias("component")))
     out = store.put(labels, "labels")
+    rounds.release()
     store.drop("edges")
     return out
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, node: str = "user_id",
-                      rounds: int = 5) -> DataFrame:
+                      rounds: int = 5, write_every: int = 2) -> DataFrame:
     """Synchronous label propagation for a fixed number of rounds.
 
     Each node takes the label most frequent among its neighbours, ties to the
@@ -123,14 +153,17 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, node: str = "user_i
     store = RoundStore(spark, "label-propagation")
     d = store.put(_directed(edges), "edges")
     labels = store.put(vertices.select(F.col(node).alias("node"), F.col(node).alias("label")), "labels")
-    for _ in range(rounds):
+    steps = _Rounds(store, "labels", write_every)
+    for i in range(rounds):
         votes = (d.join(labels.withColumnRenamed("node", "v"), "v")
                  .groupBy("u", "label").agg(F.count(F.lit(1)).alias("cnt")))
         best = (votes.groupBy(F.col("u").alias("node"))
                 .agg(F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("label").alias("label"))).alias("w"))
                 .select("node", F.col("w.label").alias("new")))
-        labels = store.put(labels.join(best, "node", "left")
-                           .select("node", F.coalesce("new", "label").alias("label")), "labels")
+        step = labels.join(best, "node", "left").select("node", F.coalesce("new", "label").alias("label"))
+        # the last round is always written: the result outlives the loop
+        labels = store.put(step, "labels") if i == rounds - 1 else steps.next(step)
+    steps.release()
     store.drop("edges")
     return labels.select(F.col("node").alias(node), F.col("label").alias("community"))
 
