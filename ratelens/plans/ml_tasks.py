@@ -64,15 +64,19 @@ def sentiment(reviews: DataFrame, key: str = "review_id", text: str = "text", st
                          (F.col("predicted_sentiment") == F.col("true_sentiment")).alias("correct"),
                          "sentiment_score",
                          (~in_first_part("true_sentiment", [key], TRAIN_FRACTION, SEED)).alias("held_out"))
+    preview = pred.select(preview_text(text).alias("text_preview"), "true_stars", "true_sentiment",
+                          "predicted_sentiment", "correct")
+    return ModelResult(model, {"predictions": pred, "metrics": sentiment_metrics(pred), "preview": preview})
+
+
+def sentiment_metrics(pred: DataFrame) -> DataFrame:
+    """Held-out accuracy and log-loss of a scored predictions table."""
     held = pred.filter("held_out")
     p_true = F.when(F.col("true_sentiment") == 1, F.col("sentiment_score")).otherwise(1 - F.col("sentiment_score"))
-    metrics = held.agg(
+    return held.agg(
         F.round(F.avg(F.col("correct").cast("double")), 4).alias("accuracy"),
         F.round(F.avg(-F.log(F.greatest(p_true, F.lit(1e-15)))), 4).alias("log_loss"),
         F.count(F.lit(1)).alias("n"))
-    preview = pred.select(preview_text(text).alias("text_preview"), "true_stars", "true_sentiment",
-                          "predicted_sentiment", "correct")
-    return ModelResult(model, {"predictions": pred, "metrics": metrics, "preview": preview})
 
 
 def out_of_fold_scores(reviews: DataFrame, key: str = "review_id", text: str = "text", stars: str = "stars",
