@@ -161,7 +161,9 @@ def txt_stopword_counts(spark, d):
 
 
 def _vocab(spark, d):
-    return text.fit_vocabulary(S.table(spark, d, "documents"), "text")
+    # the fitted vocabulary is written once and shared, like a fitted model
+    return _memo(spark, d, "vocabulary",
+                 lambda: _written(spark, "vocabulary", text.fit_vocabulary(S.table(spark, d, "documents"), "text")))
 
 
 def txt_vocabulary(spark, d):
