@@ -102,7 +102,7 @@ def exact_stratified_split(df: DataFrame, label: str, keys: Sequence[str], fract
     task.  Instead the rows are range-partitioned by (stratum, hash, key) and
     written once (stable partition ids); each row's rank inside its stratum is
     the number of same-stratum rows in earlier partitions (prefix sums over a
-    partitions x strata count table, checked against ``max_classes`` strata)
+    (partition, stratum) count table of at most partitions + strata rows, checked)
     plus its position inside its own partition.  Every step is a partitioned
     scan, a small aggregate or a join with that small table.
     """
@@ -122,15 +122,17 @@ def exact_stratified_split(df: DataFrame, label: str, keys: Sequence[str], fract
         .withColumn("_pos", F.monotonically_increasing_id() - (F.spark_partition_id().cast("long") * (1 << 33)))
     ranged = store.put(ranged, "ranged")
     counts = ranged.groupBy("_pid", label).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_start"))
-    n_rows = counts.limit(n_parts * max_classes + 1).count()
-    if n_rows > n_parts * max_classes:
+    # rows are range-partitioned by stratum first, so (partition, stratum) pairs number at most
+    # partitions + strata - 1: that bounds the broadcast offsets table
+    bound = n_parts + max_classes
+    if counts.limit(bound + 1).count() > bound:
         raise ValueError(f"more than {max_classes} strata in {label!r}")
     by_label = Window.partitionBy(label)
     before = by_label.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", label, "_start",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
                             F.sum("_n").over(by_label).alias("_total"))
-    # the offsets table has partitions x strata rows: bounded, broadcast
+    # the offsets table has at most partitions + strata rows (checked above): broadcast
     ranked = ranged.join(F.broadcast(offsets), ["_pid", label])
     rank = F.col("_offset") + F.col("_pos") - F.col("_start")
     # floor(fraction * n) in exact decimal arithmetic (a double product can land just below an integer)
