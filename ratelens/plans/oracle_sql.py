@@ -327,3 +327,15 @@ WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY quality)
 SELECT quality, 'train' AS part, CAST(floor(n * 0.8) AS BIGINT) AS n FROM c WHERE floor(n * 0.8) > 0
 UNION ALL
 SELECT quality, 'test' AS part, n - CAST(floor(n * 0.8) AS BIGINT) AS n FROM c WHERE n - floor(n * 0.8) > 0"""
+
+TOP_WORDS = """
+SELECT category, count(*) AS count
+FROM (SELECT unnest(string_split(text, ' ')) AS category FROM documents)
+GROUP BY category ORDER BY count DESC, category ASC LIMIT 20"""
+
+PRICE_KEY_CORRELATION = f"""
+SELECT {r("rr", 4)} AS correlation,
+       CASE WHEN rr IS NULL THEN 'undefined' WHEN abs(rr) < 0.1 THEN 'low' ELSE 'correlated' END AS verdict, n
+FROM (SELECT covar_pop(o_custkey, o_totalprice) / nullif(stddev_pop(o_custkey) * stddev_pop(o_totalprice), 0) AS rr,
+             count(*) FILTER (WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL) AS n
+      FROM orders)"""

@@ -27,6 +27,11 @@ def q1_top_categories(spark, d):
     return tasks.top_categories(S.table(spark, d, "part"), 20, categories="p_name", sep=" ")
 
 
+def q1_top_words(spark, d):
+    """Q1 on whole document texts: the 20 most frequent space-separated words."""
+    return tasks.top_categories(S.table(spark, d, "documents"), 20, categories="text", sep=" ")
+
+
 def q2_geo_distribution(spark, d):
     return tasks.geo_distribution(S.table(spark, d, "part"), state="p_type", city="p_brand",
                                   stars="p_size", business_id="p_partkey")
@@ -85,6 +90,11 @@ def q7_label_balance(spark, d):
     return tasks.label_balance(S.reviews(spark, d))
 
 
+def q9_price_key_correlation(spark, d):
+    """The correlation operator on ``orders``: total price against customer key."""
+    return agg.correlation(S.table(spark, d, "orders"), "o_custkey", "o_totalprice")
+
+
 def q10_fans_features(spark, d):
     return tasks.fans_features(S.users(spark, d))
 
@@ -481,6 +491,7 @@ def q11c_anomaly_type_counts(spark, d):
 
 QUERIES: dict[str, Query] = {
     "q1_top_categories": q1_top_categories,
+    "q1_top_words": q1_top_words,
     "q2_geo_distribution": q2_geo_distribution,
     "q3_open_share": q3_open_share,
     "q4_price_mix": q4_price_mix,
@@ -493,6 +504,7 @@ QUERIES: dict[str, Query] = {
     "q9_length_by_lang": q9_length_by_lang,
     "q9_length_correlation": q9_length_correlation,
     "q7_label_balance": q7_label_balance,
+    "q9_price_key_correlation": q9_price_key_correlation,
     "q10_fans_features": q10_fans_features,
     "q11_statistical_anomalies": q11_statistical_anomalies,
     "q11_anomaly_counts": q11_anomaly_counts,
@@ -546,6 +558,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE: dict[str, str] = {
     "q1_top_categories": O.TOP_CATEGORIES.format(k=20),
+    "q1_top_words": O.TOP_WORDS,
     "q2_geo_distribution": O.GEO,
     "q3_open_share": O.OPEN_SHARE,
     "q4_price_mix": O.PRICE_MIX,
@@ -561,6 +574,7 @@ WHERE price_range IS NOT NULL AND price_range <> 'None' GROUP BY price_range ORD
     "q9_length_by_lang": O.LENGTH_BY_LANG,
     "q9_length_correlation": O.CORRELATION,
     "q7_label_balance": O.LABEL_BALANCE,
+    "q9_price_key_correlation": O.PRICE_KEY_CORRELATION,
     "q10_fans_features": O.FANS_FEATURES,
     "q11_statistical_anomalies": O.ANOMALIES,
     "q11_anomaly_counts": O.ANOMALY_COUNTS,
