@@ -16,6 +16,10 @@ def test_every_query_registered_has_callable():
     assert set(SQL) <= set(QUERIES)
 
 
+DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
+              "boolean": "BOOLEAN"}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_matches_duckdb(spark, duck, name):
     df = QUERIES[name](spark, SF_SMALL)
@@ -24,6 +28,10 @@ def test_matches_duckdb(spark, duck, name):
     dcols = [d[0] for d in res.description]
     status, detail = compare(srows, df.columns, res.fetchall(), dcols)
     assert status == "OK", detail
+    rel = duck.sql(SQL[name])
+    dtypes = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    stypes = {f.name: DUCK_TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    assert stypes == dtypes
 
 
 def test_entry_smoke(spark):
