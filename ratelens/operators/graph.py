@@ -7,9 +7,10 @@ deep and a lost executor costs one round, not a replay from the first scan.
 
 Skew: a hub user (or a component holding a third of all users) is a hot join
 key.  Every per-node aggregate is algebraic (min / count), so hub groups are
-pre-combined map-side; the hot-key joins are sort-merge joins that AQE's skew
-handling splits (``spark.sql.adaptive.skewJoin.enabled``).  No group is ever
-collected into one row.
+pre-combined map-side; every join on a node key splits its hot keys off
+(``operators.skew``: degree above a share of all edges, so a bounded list,
+fetched first) and joins them by broadcast, the rest by a shuffled join (which
+AQE's skew handling can still split); with no hot key the join is plain.  No group is ever collected into one row.
 """
 
 from __future__ import annotations
@@ -18,19 +19,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.functions.columns import NONE_SENTINEL
+from ratelens.operators.skew import HotKeys, hot_keys, split_join
 from ratelens.operators.topk import top_k_per_group
 from ratelens.session import RoundStore
 
+DEFAULT_HOT = HotKeys()
+
 
 def friend_edges(users: DataFrame, user_id: str = "user_id", friends: str = "friends",
-                 sep: str = ",") -> DataFrame:
+                 sep: str = ",", hot: HotKeys = DEFAULT_HOT) -> DataFrame:
     """Undirected, de-duplicated edges ``src < dst`` from friend-list strings;
-    links to unknown users and self links are dropped."""
+    links to unknown users and self links are dropped.  A user named in a
+    large share of all friend lists is a hot key of the existence check."""
     raw = (users.select(F.col(user_id).alias("src"), F.explode(F.split(friends, sep)).alias("dst"))
            .withColumn("dst", F.trim("dst"))
            .filter((F.col("dst") != F.lit("")) & (F.col("dst") != F.lit(NONE_SENTINEL))))
     known = users.select(F.col(user_id).alias("dst"))
-    ok = raw.join(known, "dst", "left_semi").filter(F.col("src") != F.col("dst"))
+    per_dst = raw.groupBy("dst").agg(F.count(F.lit(1)).alias("_deg"))
+    hot_dst = hot_keys(per_dst, "dst", "_deg", raw.agg(F.count(F.lit(1))).scalar(), hot)
+    ok = split_join(raw, known, "dst", hot_dst, "left_semi").filter(F.col("src") != F.col("dst"))
     return ok.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
@@ -46,21 +53,27 @@ def _undirected(pairs: DataFrame) -> DataFrame:
     return both.filter(F.col("u") != F.col("v")).distinct()
 
 
-def _large_star(e: DataFrame) -> DataFrame:
-    """Every larger neighbour of u links to m(u) = min(u, neighbours of u)."""
-    m = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return _undirected(e.join(m, "u").filter(F.col("v") > F.col("u"))
+def _large_star(e: DataFrame, n_edges: int, hot: HotKeys) -> DataFrame:
+    """Every larger neighbour of u links to m(u) = min(u, neighbours of u).
+
+    The degree comes with the same aggregate; nodes whose degree passes the
+    hot threshold (a hub, a star centre) are joined by broadcast."""
+    m = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_deg"))
+    hot_u = hot_keys(m, "u", "_deg", n_edges, hot)
+    bigger = e.filter(F.col("v") > F.col("u"))
+    return _undirected(split_join(bigger, m.select("u", "m"), "u", hot_u)
                        .select(F.col("v").alias("a"), F.col("m").alias("b")))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, n_edges: int, hot: HotKeys) -> DataFrame:
     """u and its smaller neighbours link to m = min(u, smaller neighbours).
 
     An edge from a local minimum u to a larger w is re-emitted by w's own
     small star (u is one of w's smaller neighbours), so connectivity holds."""
     small = e.filter(F.col("v") < F.col("u"))
-    m = small.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    linked = small.join(m, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    m = small.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_deg"))
+    hot_u = hot_keys(m, "u", "_deg", n_edges, hot)
+    linked = split_join(small, m.select("u", "m"), "u", hot_u).select(F.col("v").alias("a"), F.col("m").alias("b"))
     centre = m.select(F.col("u").alias("a"), F.col("m").alias("b"))
     return _undirected(linked.unionByName(centre))
 
@@ -111,7 +124,7 @@ class _Rounds:
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "user_id",
-                         max_rounds: int = 100, write_every: int = 1) -> DataFrame:
+                         max_rounds: int = 100, write_every: int = 1, hot: HotKeys = DEFAULT_HOT) -> DataFrame:
     """``node, component``: component = smallest node id in its component.
 
     Alternating large-star / small-star rounds (Kiveris et al., "Connected
@@ -126,7 +139,10 @@ def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "use
     sig = _signature(e)
     rounds = _Rounds(store, "edges", write_every)
     for _ in range(max_rounds):
-        nxt = rounds.next(_small_star(_large_star(e)))
+        large = _large_star(e, sig[0], hot)
+        # the large star emits at most one pair per input edge, so sig[0] bounds its size
+        # from above: a threshold from it is no lower, and fewer than 1/share keys stay hot
+        nxt = rounds.next(_small_star(large, sig[0], hot))
         nsig = _signature(nxt)
         # fingerprints are scan-only aggregates; the exact set comparison (a
         # shuffle) runs only when they say nothing changed
@@ -145,7 +161,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "use
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, node: str = "user_id",
-                      rounds: int = 5, write_every: int = 1) -> DataFrame:
+                      rounds: int = 5, write_every: int = 1, hot: HotKeys = DEFAULT_HOT) -> DataFrame:
     """Synchronous label propagation for a fixed number of rounds.
 
     Each node takes the label most frequent among its neighbours, ties to the
@@ -156,10 +172,13 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, node: str = "user_i
     spark = vertices.sparkSession
     store = RoundStore(spark, "label-propagation")
     d = store.put(_directed(edges), "edges")
+    # the edge set is fixed across rounds: its hot neighbour keys are found once
+    deg = d.groupBy("v").agg(F.count(F.lit(1)).alias("_deg"))
+    hot_v = hot_keys(deg, "v", "_deg", d.agg(F.count(F.lit(1))).scalar(), hot)
     labels = store.put(vertices.select(F.col(node).alias("node"), F.col(node).alias("label")), "labels")
     steps = _Rounds(store, "labels", write_every)
     for i in range(rounds):
-        votes = (d.join(labels.withColumnRenamed("node", "v"), "v")
+        votes = (split_join(d, labels.withColumnRenamed("node", "v"), "v", hot_v)
                  .groupBy("u", "label").agg(F.count(F.lit(1)).alias("cnt")))
         best = (votes.groupBy(F.col("u").alias("node"))
                 .agg(F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("label").alias("label"))).alias("w"))

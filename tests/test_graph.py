@@ -62,3 +62,27 @@ def test_hub_holding_a_third_of_edges(spark):
     c = comps(graph.connected_components(u.select("user_id"), e))
     assert {c[x] for x in leaves} == {"h"} and c[hub] == "h"
     assert {c[x] for x in chain} == {"c0000"}
+
+
+def test_hot_key_split_path_gives_same_results(spark):
+    """Force the hub through the broadcast (hot-key) path and compare with the
+    default path: same edges, components and communities."""
+    from ratelens.operators.skew import HotKeys
+    forced = HotKeys(share=0.0, min_rows=5)
+    hub = "h"
+    leaves = [f"l{i:03d}" for i in range(60)]
+    chain = [f"c{i:03d}" for i in range(40)]
+    rows = [(hub, ", ".join(leaves))] + [(x, f"{hub}, c000") for x in leaves]
+    rows += [(chain[i], chain[i + 1] if i + 1 < len(chain) else "None") for i in range(len(chain))]
+    u = users(spark, rows)
+    e_default = sorted(tuple(r) for r in graph.friend_edges(u).collect())
+    e_forced = graph.friend_edges(u, hot=forced)
+    assert sorted(tuple(r) for r in e_forced.collect()) == e_default
+    assert "BroadcastHashJoin" in e_forced._jdf.queryExecution().executedPlan().toString()
+    v = u.select("user_id")
+    c1 = comps(graph.connected_components(v, graph.friend_edges(u)))
+    c2 = comps(graph.connected_components(v, e_forced, hot=forced))
+    assert c1 == c2 and set(c1.values()) == {"c000"}
+    l1 = {r.user_id: r.community for r in graph.label_propagation(v, graph.friend_edges(u)).collect()}
+    l2 = {r.user_id: r.community for r in graph.label_propagation(v, e_forced, hot=forced).collect()}
+    assert l1 == l2
