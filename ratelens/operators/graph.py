@@ -53,26 +53,22 @@ def _undirected(pairs: DataFrame) -> DataFrame:
     return both.filter(F.col("u") != F.col("v")).distinct()
 
 
-def _large_star(e: DataFrame, n_edges: int, hot: HotKeys) -> DataFrame:
-    """Every larger neighbour of u links to m(u) = min(u, neighbours of u).
-
-    The degree comes with the same aggregate; nodes whose degree passes the
-    hot threshold (a hub, a star centre) are joined by broadcast."""
-    m = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_deg"))
-    hot_u = hot_keys(m, "u", "_deg", n_edges, hot)
+def _large_star(e: DataFrame, hot_u: list) -> DataFrame:
+    """Every larger neighbour of u links to m(u) = min(u, neighbours of u);
+    hot nodes (a hub, a star centre) are joined by broadcast."""
+    m = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
     bigger = e.filter(F.col("v") > F.col("u"))
     return _undirected(split_join(bigger, m.select("u", "m"), "u", hot_u)
                        .select(F.col("v").alias("a"), F.col("m").alias("b")))
 
 
-def _small_star(e: DataFrame, n_edges: int, hot: HotKeys) -> DataFrame:
+def _small_star(e: DataFrame, hot_u: list) -> DataFrame:
     """u and its smaller neighbours link to m = min(u, smaller neighbours).
 
     An edge from a local minimum u to a larger w is re-emitted by w's own
     small star (u is one of w's smaller neighbours), so connectivity holds."""
     small = e.filter(F.col("v") < F.col("u"))
-    m = small.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("_deg"))
-    hot_u = hot_keys(m, "u", "_deg", n_edges, hot)
+    m = small.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
     linked = split_join(small, m.select("u", "m"), "u", hot_u).select(F.col("v").alias("a"), F.col("m").alias("b"))
     centre = m.select(F.col("u").alias("a"), F.col("m").alias("b"))
     return _undirected(linked.unionByName(centre))
@@ -139,10 +135,11 @@ def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "use
     sig = _signature(e)
     rounds = _Rounds(store, "edges", write_every)
     for _ in range(max_rounds):
-        large = _large_star(e, sig[0], hot)
-        # the large star emits at most one pair per input edge, so sig[0] bounds its size
-        # from above: a threshold from it is no lower, and fewer than 1/share keys stay hot
-        nxt = rounds.next(_small_star(large, sig[0], hot))
+        # one bounded hot list per round, from the written edge table: the split is
+        # correct for any list, the list only decides which rows go by broadcast
+        deg = e.groupBy("u").agg(F.count(F.lit(1)).alias("_deg"))
+        hot_u = hot_keys(deg, "u", "_deg", sig[0], hot)
+        nxt = rounds.next(_small_star(_large_star(e, hot_u), hot_u))
         nsig = _signature(nxt)
         # fingerprints are scan-only aggregates; the exact set comparison (a
         # shuffle) runs only when they say nothing changed
