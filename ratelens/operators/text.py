@@ -9,14 +9,12 @@ shuffle of documents.
 
 from __future__ import annotations
 
-import zipfile
-from functools import lru_cache
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ratelens.operators.stopwords import ENGLISH
+
 # Characters a word-sequence tokenizer treats as separators
 # (the usual text-preprocessing default), in their natural order.
 FILTER_CHARS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~\t\n'
@@ -60,19 +58,9 @@ def whitespace_tokens(col: str | Column) -> Column:
     return F.split(F.lower(_c(col)), "\\s")
 
 
-@lru_cache(maxsize=4)
-def stop_words(language: str = "english") -> tuple[str, ...]:
-    """Spark ML's default stop-word list, read from the mllib jar (no JVM
-    needed), so Spark stages and SQL twins share one list."""
-    import pyspark
-    jars = Path(pyspark.__file__).parent / "jars"
-    for jar in sorted(jars.glob("spark-mllib_*.jar")):
-        with zipfile.ZipFile(jar) as zf:
-            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-            if name in zf.namelist():
-                text = zf.read(name).decode("utf-8")
-                return tuple(w for w in text.split("\n") if w)
-    raise FileNotFoundError(f"stop-word list {language!r} not found in {jars}")
+def stop_words() -> tuple[str, ...]:
+    """Spark ML's default English stop words (see ``stopwords.py``)."""
+    return tuple(ENGLISH.split())
 
 
 def without_stop_words(arr: str | Column, words: tuple[str, ...] | None = None) -> Column:
