@@ -15,6 +15,8 @@ AQE's skew handling can still split); with no hot key the join is plain.  No gro
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,9 +122,12 @@ class _Rounds:
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "user_id",
-                         max_rounds: int = 100, write_every: int = 1, hot: HotKeys = DEFAULT_HOT) -> DataFrame:
+                         max_rounds: int | None = None, write_every: int = 1, hot: HotKeys = DEFAULT_HOT) -> DataFrame:
     """``node, component``: component = smallest node id in its component.
 
+    Rounds go on until the edges no longer change; with ``max_rounds`` a run
+    that has not converged by then raises.
+
     Alternating large-star / small-star rounds (Kiveris et al., "Connected
     Components in MapReduce and Beyond", SoCC 2014): O(log^2 n) rounds, each a
     grouped min plus joins on the node key; the edge set converges to one star
@@ -134,7 +139,9 @@ def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "use
     e = store.put(_undirected(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "edges")
     sig = _signature(e)
     rounds = _Rounds(store, "edges", write_every)
-    for _ in range(max_rounds):
+    for step in count(1):
+        if max_rounds is not None and step > max_rounds:
+            raise RuntimeError(f"components have not converged after {max_rounds} rounds")
         # one bounded hot list per round, from the written edge table: the split is
         # correct for any list, the list only decides which rows go by broadcast
         deg = e.groupBy("u").agg(F.count(F.lit(1)).alias("_deg"))
