@@ -318,11 +318,14 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tile:
 
 
 def keep(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One document of each group (the smallest id) and all documents without
-    links, whole rows with all columns; of rows that repeat that id, one stays."""
+    """One document of each group (the smallest id) and every document without
+    links, whole rows with all columns. Rows that repeat an id and its text count
+    once; rows without an id cannot be named in a group and stay."""
     found = components(docs, size, percent)
-    chosen = found.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id"])
+    chosen = found.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
+    named = docs.filter(F.col("doc_id").isNotNull()).join(chosen, "doc_id", "left_semi")
+    named = named.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t")
+    return named.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def oracle(size: int = SIZE, percent: int = PERCENT) -> str:
