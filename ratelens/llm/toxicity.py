@@ -122,7 +122,7 @@ def _risk_gradients(bags: list[np.ndarray], w: np.ndarray, toxic: bool) -> tuple
 
 
 def fit_bags(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 150,
-             rate: float = 0.15, decay: float = 1e-5, least: int = 4, batch: int = 750, seed: int = 11) -> Model:
+             rate: float = 0.15, decay: float = 0.04, least: int = 6, batch: int = 750, seed: int = 11) -> Model:
     """Non-negative PU risk by Adam; ``positive``/``unlabelled`` hold a row of
     buckets per distinct word of a document.  A bucket counts when ``least``
     positive documents hold it."""
@@ -156,7 +156,7 @@ def fit_bags(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
             r_un, g_un = _risk_gradients(u, w, False)
             # max(0, .): below zero the negative part has no gradient
             g = prior * g_pp + (g_un - prior * g_pn if r_un - prior * r_pn > 0 else 0)
-            g[:-2] += decay * w[:-2]
+            g[:-2] += decay / len(positive) * w[:-2]
             step += 1
             m = 0.9 * m + 0.1 * g
             v = 0.999 * v + 0.001 * g * g
