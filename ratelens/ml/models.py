@@ -6,8 +6,9 @@
 - fans regression (Q10): vector assembler + random forest
 
 Training data is split by key hash (``operators.sampling``), so a saved model
-is never evaluated on its own training rows after a re-read.  Training sets
-are persisted (memory and disk) for the iterative fit and released afterwards.
+is never evaluated on its own training rows after a re-read.  Texts are
+tokenised and hashed once per task into a written table; features are persisted
+(memory and disk) for the iterative fit and released afterwards.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ from collections.abc import Callable, Sequence
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, StopWordsRemover, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ratelens.session import path_exists
+from ratelens.operators.sampling import hash_split
+from ratelens.session import RoundStore, path_exists
 
 # Model settings of the review tasks.
 NUM_HASH_FEATURES = 10000
@@ -42,28 +44,47 @@ def text_stages(text: str = "text") -> list:
     ]
 
 
-def _persisted(df: DataFrame) -> DataFrame:
-    """Training input, persisted for the iterative fit.
-
-    An input with fewer partitions than the cluster has task slots (a few
-    large files) is spread round-robin first, so every optimiser pass uses all
-    cores; inputs that already have enough partitions are left as they are."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        df = df.repartition(slots)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
-def fit_star_classifier(train: DataFrame, text: str = "text", label: str = "stars",
-                        max_iter: int = STAR_LR["maxIter"], reg: float = STAR_LR["regParam"]) -> PipelineModel:
-    lr = LogisticRegression(maxIter=max_iter, regParam=reg, labelCol=label, featuresCol="features")
-    data = _persisted(train.filter(F.col(text).isNotNull()))
+def term_counts(df: DataFrame, text: str, keep: Sequence[str]) -> tuple[list, DataFrame]:
+    """Tokenised and hashed rows, ``keep`` columns and ``rawFeatures``, written once
+    to the shared folder: every fit and evaluation on them scans that table
+    instead of reading and tokenising the texts again.  Returns the text stages
+    (transformers) and the table."""
+    spark = df.sparkSession
+    stages = text_stages(text)[:-1]
+    out = df.filter(F.col(text).isNotNull())
+    for stage in stages:
+        out = stage.transform(out)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = out.select(*keep, "rawFeatures").repartition(parts)
+    return stages, RoundStore(spark, "term-counts").put(out, "tf")
+
+
+def fit_on_counts(stages: list, counts: DataFrame, lr: LogisticRegression) -> PipelineModel:
+    """IDF and ``lr`` fitted on a ``term_counts`` table; the whole pipeline model."""
+    idf = text_stages()[-1].fit(counts)
+    data = idf.transform(counts).drop("rawFeatures").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return Pipeline(stages=[*text_stages(text), lr]).fit(data)
+        return PipelineModel([*stages, idf, lr.fit(data)])
     finally:
         data.unpersist()
 
 
+def transform_counts(model: PipelineModel, counts: DataFrame) -> DataFrame:
+    """The model's IDF and classifier on a ``term_counts`` table."""
+    for stage in model.stages[-2:]:
+        counts = stage.transform(counts)
+    return counts
+
+
+def star_lr(label: str = "stars", max_iter: int = STAR_LR["maxIter"], reg: float = STAR_LR["regParam"]) -> LogisticRegression:
+    return LogisticRegression(maxIter=max_iter, regParam=reg, labelCol=label, featuresCol="features")
+
+
+def fit_star_classifier(train: DataFrame, text: str = "text", label: str = "stars", **settings) -> PipelineModel:
+    stages, counts = term_counts(train, text, [label])
+    return fit_on_counts(stages, counts, star_lr(label, **settings))
+
+
 MAX_CLASSES = 1000
 
 
@@ -83,25 +104,30 @@ def class_weight(df: DataFrame, label: str, max_classes: int = MAX_CLASSES):
     return expr
 
 
-def fit_sentiment_classifier(train: DataFrame, text: str = "text", label: str = "label",
-                             max_iter: int = 100, reg: float = 0.01, balance: bool = True) -> PipelineModel:
-    data = train.filter(F.col(text).isNotNull())
+def sentiment_lr(label: str, balanced: bool, max_iter: int = 100, reg: float = 0.01) -> LogisticRegression:
+    return LogisticRegression(maxIter=max_iter, regParam=reg, labelCol=label, featuresCol="features",
+                              **({"weightCol": "weight"} if balanced else {}))
+
+
+def fit_sentiment_on_counts(stages: list, counts: DataFrame, label: str = "label", max_iter: int = 100,
+                            reg: float = 0.01, balance: bool = True) -> PipelineModel:
+    """Binary classifier on a ``term_counts`` table (weights: one scan of its label column)."""
     if balance:
-        data = data.withColumn("weight", class_weight(data, label))
-    lr = LogisticRegression(maxIter=max_iter, regParam=reg, labelCol=label, featuresCol="features",
-                            weightCol="weight" if balance else None)
-    data = _persisted(data)
-    try:
-        return Pipeline(stages=[*text_stages(text), lr]).fit(data)
-    finally:
-        data.unpersist()
+        counts = counts.withColumn("weight", class_weight(counts, label))
+    return fit_on_counts(stages, counts, sentiment_lr(label, balance, max_iter, reg))
 
 
-def sentiment_scores(model: PipelineModel, df: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Adds ``sentiment_score`` = P(positive) and ``predicted_sentiment``."""
-    scored = model.transform(df)
+def fit_sentiment_classifier(train: DataFrame, text: str = "text", label: str = "label", **settings) -> PipelineModel:
+    stages, counts = term_counts(train, text, [label])
+    return fit_sentiment_on_counts(stages, counts, label, **settings)
+
+
+def sentiment_scores(model: PipelineModel, df: DataFrame, threshold: float = 0.5, counted: bool = False) -> DataFrame:
+    """Adds ``sentiment_score`` = P(positive) and ``predicted_sentiment`` (``counted``:
+    ``df`` is a ``term_counts`` table)."""
+    scored = transform_counts(model, df) if counted else model.transform(df)
     score = vector_to_array("probability")[1]
-    keep = [c for c in df.columns]
+    keep = [c for c in df.columns if c != "rawFeatures"]
     return scored.select(*keep, score.alias("sentiment_score"),
                          (score > F.lit(threshold)).cast("int").alias("predicted_sentiment"))
 
@@ -112,7 +138,7 @@ def fit_fans_forest(train: DataFrame, features: Sequence[str], label: str = "lab
     assembler = VectorAssembler(inputCols=list(features), outputCol="features")
     rf = RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=num_trees,
                                maxDepth=max_depth, seed=seed)
-    data = _persisted(train)
+    data = train.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return Pipeline(stages=[assembler, rf]).fit(data)
     finally:
@@ -133,46 +159,50 @@ def objective_history(spark: SparkSession, model: PipelineModel) -> DataFrame:
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(hist)], "iteration int, loss double")
 
 
-def accuracy(predictions: DataFrame, label: str, prediction: str = "prediction") -> float:
-    ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol=prediction, metricName="accuracy")
-    return ev.evaluate(predictions)
-
-
-def regression_scores(predictions: DataFrame, label: str = "label") -> dict[str, float]:
-    out = {}
-    for metric in ("rmse", "r2"):
-        out[metric] = RegressionEvaluator(labelCol=label, predictionCol="prediction", metricName=metric) \
-            .evaluate(predictions)
-    return out
-
-
-def select_sentiment_model(train: DataFrame, text: str = "text", label: str = "label",
-                           reg_params=(0.001, 0.01, 0.1), max_iters=(100,),
-                           train_ratio: float = 0.8, seed: int = 42, parallelism: int = 3):
-    """Validation-driven choice of regularisation and iteration budget
-    (``TrainValidationSplit`` over a grid; each candidate fit is a Spark job).
-    Returns the best model and a ``reg_param, max_iter, auc`` table."""
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-    lr = LogisticRegression(labelCol=label, featuresCol="features")
-    est = Pipeline(stages=[*text_stages(text), lr])
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).addGrid(lr.maxIter, list(max_iters)).build()
-    tvs = TrainValidationSplit(estimator=est, estimatorParamMaps=grid, trainRatio=train_ratio, seed=seed,
-                               evaluator=BinaryClassificationEvaluator(labelCol=label), parallelism=parallelism)
-    data = _persisted(train.filter(F.col(text).isNotNull()))
+def select_sentiment_model(train: DataFrame, key: str, text: str = "text", label: str = "label",
+                           reg_params=(0.001, 0.01, 0.1), max_iters=(100,), train_ratio: float = 0.8,
+                           seed: int = 42, parallelism: int = 3):
+    """Validation-driven choice of regularisation and iteration budget.
+
+    Texts are tokenised and hashed once.  A key hash splits off the validation
+    part, so the split does not depend on the layout; IDF comes from the rest.
+    Candidates are fitted side by side on the same persisted features; the best
+    by area under the curve (ties: the first) is fitted on all of ``train``.
+    Returns it and the ``reg_param, max_iter, auc, accuracy`` table."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    stages, counts = term_counts(train, text, [key, label])
+    fit_part, valid = hash_split(counts, [train_ratio, 1 - train_ratio], [key], seed + 1)
+    idf = text_stages()[-1].fit(fit_part)
+    fit_part = fit_part.withColumn("weight", class_weight(fit_part, label))
+    fit_part = idf.transform(fit_part).drop("rawFeatures").persist(StorageLevel.MEMORY_AND_DISK)
+    valid = idf.transform(valid).drop("rawFeatures").persist(StorageLevel.MEMORY_AND_DISK)
+    grid = [(float(reg), int(n)) for reg in reg_params for n in max_iters]
+    area = BinaryClassificationEvaluator(labelCol=label)
+    right = F.avg((F.col("prediction") == F.col(label)).cast("double"))
+
+    def candidate(setting: tuple[float, int]) -> tuple[float, float]:
+        scored = sentiment_lr(label, True, setting[1], setting[0]).fit(fit_part).transform(valid)
+        return float(area.evaluate(scored)), float(scored.agg(right).first()[0] or 0.0)
+
     try:
-        fitted = tvs.fit(data)
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            found = list(pool.map(candidate, grid))
     finally:
-        data.unpersist()
-    rows = [(float(pm[lr.regParam]), int(pm[lr.maxIter]), float(m))
-            for pm, m in zip(grid, fitted.validationMetrics)]
-    table = train.sparkSession.createDataFrame(rows, "reg_param double, max_iter int, auc double")
-    return fitted.bestModel, table
+        fit_part.unpersist()
+        valid.unpersist()
+    best = max(range(len(grid)), key=lambda i: (found[i][0], -i))
+    model = fit_sentiment_on_counts(stages, counts, label, grid[best][1], grid[best][0])
+    rows = [(*g, *f) for g, f in zip(grid, found)]
+    return model, train.sparkSession.createDataFrame(rows, "reg_param double, max_iter int, auc double, accuracy double")
 
 
-def load_or_fit(spark: SparkSession, path: str, fit: Callable[[], PipelineModel],
+def load_or_fit(spark: SparkSession, path: str | None, fit: Callable[[], PipelineModel],
                 refit: bool = False) -> PipelineModel:
-    """Reuse the model saved at ``path`` (a shared folder) or fit and save it."""
+    """Reuse the model saved at ``path`` (a shared folder) or fit and save it;
+    without a path only fit."""
+    if path is None:
+        return fit()
     if not refit and path_exists(spark, path):
         return PipelineModel.load(path)
     model = fit()

@@ -119,15 +119,24 @@ def confusion_matrix(df: DataFrame, true_col: str, pred_col: str, classes: Seque
                      digits: int = 4) -> DataFrame:
     """Wide, zero-filled confusion matrix with row-normalised rates.
 
-    Rows with a null on either side are dropped; one row per observed true
-    class, a count column ``n_pred_<c>`` and a rate ``rate_pred_<c>`` per class.
+    Rows with a null on either side are dropped.  One row per class that occurs
+    on either side (a class only predicted has a row of zeros), a count column
+    ``n_pred_<c>`` and a rate ``rate_pred_<c>`` per class of ``classes``, and
+    ``n_pred_other`` for predictions outside ``classes``.
     """
     clean = df.dropna(subset=[true_col, pred_col])
-    counts = [F.count(F.when(F.col(pred_col) == F.lit(c), 1)).alias(f"n_pred_{c}") for c in classes]
-    wide = clean.groupBy(F.col(true_col).alias("true_label")).agg(*counts, F.count(F.lit(1)).alias("row_total"))
+    # a prediction also names its class, with weight 0
+    named = clean.select(F.explode(F.array(
+        F.struct(F.col(true_col).alias("c"), F.col(pred_col).alias("p"), F.lit(1).alias("w")),
+        F.struct(F.col(pred_col).cast(df.schema[true_col].dataType).alias("c"), F.col(pred_col).alias("p"),
+                 F.lit(0).alias("w")))).alias("x")).select("x.*")
+    w = F.col("w").cast("bigint")
+    counts = [F.sum(F.when(F.col("p") == F.lit(c), w).otherwise(F.lit(0))).alias(f"n_pred_{c}") for c in classes]
+    other = F.sum(F.when(~F.col("p").isin(*classes), w).otherwise(F.lit(0))).alias("n_pred_other")
+    wide = named.groupBy(F.col("c").alias("true_label")).agg(*counts, other, F.sum(w).alias("row_total"))
     rates = [F.round(F.try_divide(F.col(f"n_pred_{c}"), F.col("row_total")), digits).alias(f"rate_pred_{c}")
              for c in classes]
-    return wide.select("true_label", *[f"n_pred_{c}" for c in classes], "row_total", *rates)
+    return wide.select("true_label", *[f"n_pred_{c}" for c in classes], "n_pred_other", "row_total", *rates)
 
 
 def confusion_long(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
@@ -136,23 +145,16 @@ def confusion_long(df: DataFrame, true_col: str, pred_col: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("count")))
 
 
-def global_count(df: DataFrame, name: str = "count") -> DataFrame:
-    """Row count as a one-row DataFrame (stays a plan, comparable by SQL)."""
-    return df.agg(F.count(F.lit(1)).alias(name))
-
-
 def max_bound(df: DataFrame, a: str, b: str, name: str = "axis_max") -> DataFrame:
     return df.agg(F.greatest(F.max(a), F.max(b)).alias(name))
 
 
-def regression_metrics(df: DataFrame, label: str, prediction: str, digits: int = 4) -> DataFrame:
-    """RMSE and R² in one aggregate pass (the mean of the label is a scalar
-    subquery, so the pass stays a single partial aggregate)."""
-    mean = df.agg(F.avg(label)).scalar()
-    err = F.col(label) - F.col(prediction)
-    dev = F.col(label) - mean
-    sse = F.sum(err * err)
-    sst = F.sum(dev * dev)
-    return df.agg(F.round(F.sqrt(sse / F.count(F.lit(1))), digits).alias("rmse"),
-                  F.round(F.lit(1.0) - F.try_divide(sse, sst), digits).alias("r2"),
-                  F.count(F.lit(1)).alias("n"))
+def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction", digits: int = 4) -> DataFrame:
+    """RMSE and R² in one scan and one partial aggregate: the total sum of squares
+    is ``var_pop(label) * rows``, which Spark accumulates around the mean."""
+    y = F.col(label).cast("double")
+    err = y - F.col(prediction)
+    both = F.when(err.isNotNull(), y)
+    sse, n = F.sum(err * err), F.count(both)
+    return df.agg(F.round(F.sqrt(sse / n), digits).alias("rmse"),
+                  F.round(F.lit(1.0) - F.try_divide(sse, F.var_pop(both) * n), digits).alias("r2"), n.alias("n"))

@@ -165,13 +165,19 @@ def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "use
 
 
 def label_propagation(vertices: DataFrame, edges: DataFrame, node: str = "user_id",
-                      rounds: int = 5, write_every: int = 1, hot: HotKeys = DEFAULT_HOT) -> DataFrame:
-    """Synchronous label propagation for a fixed number of rounds.
+                      max_rounds: int | None = None, write_every: int = 1, hot: HotKeys = DEFAULT_HOT) -> DataFrame:
+    """Synchronous label propagation until the labels settle.
 
     Each node takes the label most frequent among its neighbours, ties to the
     smallest label; isolated nodes keep their own.  ``min(struct(-count,
     label))`` picks the winner as one algebraic aggregate per node.  Labels of
     each round are written to the shared checkpoint folder and re-read.
+
+    Synchronous updates may end in a cycle of states instead of one state.  A
+    cycle is recognised by a state seen before (its row count and hash sum); a
+    node's community is then its smallest label in the cycle and ``settled`` is
+    false where its label still changes.  With ``max_rounds`` a run that reaches
+    neither by then raises.
     """
     spark = vertices.sparkSession
     store = RoundStore(spark, "label-propagation")
@@ -179,20 +185,41 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, node: str = "user_i
     # the edge set is fixed across rounds: its hot neighbour keys are found once
     deg = d.groupBy("v").agg(F.count(F.lit(1)).alias("_deg"))
     hot_v = hot_keys(deg, "v", "_deg", d.agg(F.count(F.lit(1))).scalar(), hot)
-    labels = store.put(vertices.select(F.col(node).alias("node"), F.col(node).alias("label")), "labels")
-    steps = _Rounds(store, "labels", write_every)
-    for i in range(rounds):
+
+    def step(labels: DataFrame) -> DataFrame:
         votes = (split_join(d, labels.withColumnRenamed("node", "v"), "v", hot_v)
                  .groupBy("u", "label").agg(F.count(F.lit(1)).alias("cnt")))
         best = (votes.groupBy(F.col("u").alias("node"))
                 .agg(F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("label").alias("label"))).alias("w"))
                 .select("node", F.col("w.label").alias("new")))
-        step = labels.join(best, "node", "left").select("node", F.coalesce("new", "label").alias("label"))
-        # the last round is always written: the result outlives the loop
-        labels = store.put(step, "labels") if i == rounds - 1 else steps.next(step)
+        return labels.join(best, "node", "left").select("node", F.coalesce("new", "label").alias("label"))
+
+    def state(labels: DataFrame) -> tuple:
+        row = labels.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()
+        return tuple(row)
+
+    labels = store.put(vertices.select(F.col(node).alias("node"), F.col(node).alias("label")), "labels")
+    seen = {state(labels): 0}
+    steps = _Rounds(store, "labels", write_every)
+    for done in count(1):
+        if max_rounds is not None and done > max_rounds:
+            raise RuntimeError(f"labels have not settled after {max_rounds} rounds")
+        labels = steps.next(step(labels))
+        now = state(labels)
+        if now in seen:
+            break
+        seen[now] = done
+    # one more turn of the cycle (of one state, as a rule): least and greatest label per node
+    held = store.put(labels.select("node", F.col("label").alias("lo"), F.col("label").alias("hi")), "cycle")
+    for _ in range(done - seen[now] - 1):
+        labels = store.put(step(labels), "turn")
+        held = store.put(held.join(labels, "node").select("node", F.least("lo", "label").alias("lo"),
+                                                          F.greatest("hi", "label").alias("hi")), "cycle")
     steps.release()
     store.drop("edges")
-    return labels.select(F.col("node").alias(node), F.col("label").alias("community"))
+    store.drop("labels")
+    store.drop("turn")
+    return held.select(F.col("node").alias(node), F.col("lo").alias("community"), (F.col("lo") == F.col("hi")).alias("settled"))
 
 
 def community_taste(communities: DataFrame, orders: DataFrame, lineitem: DataFrame, part: DataFrame,
@@ -211,6 +238,15 @@ def community_taste(communities: DataFrame, orders: DataFrame, lineitem: DataFra
     cc = (ct.join(comm, F.col("o_custkey").cast("string") == F.col("uid"))
           .groupBy("community", F.col("p_type").alias("category"))
           .agg(F.sum("n").cast("bigint").alias("n")))
+    return taste_table(cc, k, digits)
+
+
+def taste_table(cc: DataFrame, k: int, digits: int = 4) -> DataFrame:
+    """Top-k categories per community from ``community, category, n`` counts.
+
+    The counts are referenced by the shares, both totals and the grand total, so
+    they are written once and scanned: the joins behind them run once."""
+    cc = RoundStore(cc.sparkSession, "community-taste").put(cc, "counts")
     tot = cc.groupBy("community").agg(F.sum("n").alias("community_total"))
     glob = cc.groupBy("category").agg(F.sum("n").alias("global_n"))
     gtotal = cc.agg(F.sum("n")).scalar()

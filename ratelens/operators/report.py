@@ -30,6 +30,12 @@ def state_share(geo: DataFrame, k: int = 8) -> DataFrame:
     return agg.share_of_total(top_k(rolled, k, [desc("business_count"), asc("state")]), "business_count")
 
 
+def top_cities(geo: DataFrame, k: int = 15) -> DataFrame:
+    """Cities with most businesses, from counts per city or per (state, city)."""
+    rolled = agg.rollup_sum(geo, "city", "business_count")
+    return top_k(rolled, k, [desc("business_count"), asc("city")])
+
+
 def open_closed(open_share: DataFrame, k: int = 12) -> DataFrame:
     top = top_k(open_share, k, [desc("total_count"), asc("city")])
     return top.select("city", "open_count", (F.col("total_count") - F.col("open_count")).alias("closed_count"),

@@ -53,22 +53,10 @@ def hash_split(df: DataFrame, weights: Sequence[float], keys: Sequence[str],
 
 
 def hash_sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows: the n smallest hash units.
-
-    A pre-filter at ``(n + 8*sqrt(n) + 64) / rows`` (a scalar subquery) drops
-    all but ~n rows inside each scan task, so the final ``TakeOrderedAndProject``
-    only merges about n rows instead of every task's n best.  Missing one of
-    the n smallest would need the binomial count to fall 8 sigma short.
-    """
-    rows = df.agg(F.count(F.lit(1))).scalar()
-    budget = float(n) + 8.0 * float(n) ** 0.5 + 64.0
-    frac = F.try_divide(F.lit(budget), rows.cast("double"))
-    u = hash_unit(keys, seed)
-    return (df.withColumn("_u", u)
-            .filter(F.col("_u") < frac)
-            .orderBy(F.col("_u"), *keys)
-            .limit(n)
-            .drop("_u"))
+    """Exactly ``min(n, rows)`` rows: those with the smallest key hashes (rows
+    that repeat a key tie and fill up together).  One ``TakeOrderedAndProject``:
+    each task keeps its best ``n`` rows, whatever the keys look like."""
+    return df.withColumn("_u", hash_unit(keys, seed)).orderBy("_u", *keys).limit(n).drop("_u")
 
 
 def in_first_part(label: str, keys: Sequence[str], fraction: float = 0.8, seed: int = 42) -> Column:
@@ -132,8 +120,11 @@ def exact_stratified_split(df: DataFrame, label: str, keys: Sequence[str], fract
     offsets = counts.select("_pid", label, "_start",
                             F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
                             F.sum("_n").over(by_label).alias("_total"))
-    # the offsets table has at most partitions + strata rows (checked above): broadcast
-    ranked = ranged.join(F.broadcast(offsets), ["_pid", label])
+    # the offsets table has at most partitions + strata rows (checked above): broadcast;
+    # null-safe, because rows without a label are a stratum of their own
+    offsets = offsets.withColumnsRenamed({"_pid": "_opid", label: "_stratum"})
+    ranked = ranged.join(F.broadcast(offsets), (F.col("_pid") == F.col("_opid"))
+                         & F.col(label).eqNullSafe(F.col("_stratum"))).drop("_opid", "_stratum")
     rank = F.col("_offset") + F.col("_pos") - F.col("_start")
     # floor(fraction * n) in exact decimal arithmetic (a double product can land just below an integer)
     quota = F.floor(F.col("_total").cast("decimal(20,0)") * F.lit(str(fraction)).cast("decimal(20,10)"))

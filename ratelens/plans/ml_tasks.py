@@ -6,6 +6,7 @@ Each task returns its result tables as DataFrames; a fit is the only eager step.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
@@ -13,9 +14,10 @@ from pyspark.sql import functions as F
 
 from ratelens.functions.columns import binary_label, preview_text
 from ratelens.ml import models
+from ratelens.operators.aggregate import regression_metrics
 from ratelens.operators.anomaly import semantic_anomalies
-from ratelens.operators.sampling import (fold_of, hash_sample, hash_sample_n, hash_split, in_first_part,
-                                         stratified_split)
+from ratelens.operators.sampling import fold_of, hash_sample_n, hash_split, in_first_part, stratified_split
+from ratelens.session import RoundStore
 
 # Split fractions and seed of the review tasks.
 TRAIN_FRACTION = 0.8
@@ -28,45 +30,66 @@ class ModelResult:
     tables: dict[str, DataFrame] = field(default_factory=dict)
 
 
-def _bounded_sample(df: DataFrame, keys: list[str], fraction: float | None, max_rows: int | None) -> DataFrame:
-    if fraction is not None and fraction < 1.0:
-        df = hash_sample(df, fraction, keys, SEED)
-    if max_rows is not None:
-        df = hash_sample_n(df, max_rows, keys, SEED)
-    return df
-
-
 def star_prediction(reviews: DataFrame, key: str = "review_id", text: str = "text", stars: str = "stars",
-                    sample_fraction: float | None = 0.1, max_rows: int | None = 500_000) -> ModelResult:
-    """Q71: predict the star class from text; held-out ``stars, prediction``."""
+                    fit_rows: int | None = None, model_path: str | None = None) -> ModelResult:
+    """Q71: predict the star class from text; held-out ``stars, prediction``.
+
+    ``fit_rows`` bounds the rows the classifier is fitted on, never the rows that
+    are scored.  With ``model_path`` a model saved there is used, or the fitted
+    one is saved there."""
     df = reviews.select(key, text, F.col(stars).cast("double").alias("stars")).filter(F.col(text).isNotNull())
-    df = _bounded_sample(df, [key], sample_fraction, max_rows)
-    train, test = hash_split(df, [TRAIN_FRACTION, 1 - TRAIN_FRACTION], [key], SEED)
-    model = models.fit_star_classifier(train, text, "stars")
-    pred = model.transform(test).select(key, "stars", "prediction")
+    stages, counts = models.term_counts(df, text, [key, "stars"])
+    train, test = hash_split(counts, [TRAIN_FRACTION, 1 - TRAIN_FRACTION], [key], SEED)
+    if fit_rows is not None:
+        train = hash_sample_n(train, fit_rows, [key], SEED)
+    model = models.load_or_fit(df.sparkSession, model_path, lambda: models.fit_on_counts(stages, train, models.star_lr()))
+    pred = models.transform_counts(model, test).select(key, "stars", "prediction")
+    pred = RoundStore(df.sparkSession, "star-predictions").put(pred, "t")
     acc = pred.agg(F.round(F.avg((F.col("stars") == F.col("prediction")).cast("double")), 4).alias("accuracy"),
                    F.count(F.lit(1)).alias("n"))
     return ModelResult(model, {"predictions": pred.select("stars", "prediction"), "accuracy": acc})
 
 
 def sentiment(reviews: DataFrame, key: str = "review_id", text: str = "text", stars: str = "stars",
-              neutral: int = 3, threshold: float = 0.5) -> ModelResult:
+              neutral: int = 3, threshold: float = 0.5, reg_params=(0.01,), model_path: str | None = None) -> ModelResult:
     """Q7: binary sentiment (stars > 3) from text; the model scores every row
-    (bulk pass) and is evaluated on held-out rows."""
+    with a text (bulk pass) and is evaluated on held-out rows.
+
+    Rows without stars, and neutral ones, train and test nothing but are scored;
+    their truth columns are null.  More than one of ``reg_params``: the choice is
+    made on a validation split.  ``model_path`` as in ``star_prediction``."""
     from ratelens.plans.tasks import sentiment_input
-    base = sentiment_input(reviews, text, stars, neutral).select(key, text, F.col(stars).alias("true_stars"),
-                                                                   "true_sentiment")
-    train, _ = stratified_split(base, "true_sentiment", [key], TRAIN_FRACTION, SEED)
-    model = models.fit_sentiment_classifier(train.withColumnRenamed("true_sentiment", "label"), text, "label")
-    scored = models.sentiment_scores(model, base, threshold)
-    # held-out rows are recognised by the same key hash that split them: no join
-    pred = scored.select(key, text, "true_stars", "true_sentiment", "predicted_sentiment",
-                         (F.col("predicted_sentiment") == F.col("true_sentiment")).alias("correct"),
-                         "sentiment_score",
-                         (~in_first_part("true_sentiment", [key], TRAIN_FRACTION, SEED)).alias("held_out"))
-    preview = pred.select(preview_text(text).alias("text_preview"), "true_stars", "true_sentiment",
-                          "predicted_sentiment", "correct")
-    return ModelResult(model, {"predictions": pred, "metrics": sentiment_metrics(pred), "preview": preview})
+    rated = sentiment_input(reviews, text, stars, neutral).select(key, text, F.col("true_sentiment").alias("label"))
+    train, _ = stratified_split(rated, "label", [key], TRAIN_FRACTION, SEED)
+    tables: dict[str, DataFrame] = {}
+
+    def fit() -> PipelineModel:
+        if len(reg_params) == 1:
+            return models.fit_sentiment_classifier(train, text, "label", reg=reg_params[0])
+        model, tables["selection"] = models.select_sentiment_model(train, key, text, "label", reg_params)
+        return model
+
+    model = models.load_or_fit(reviews.sparkSession, model_path, fit)
+    truth = F.when(F.col(stars) != F.lit(neutral), binary_label(stars))
+    base = (reviews.filter(F.col(text).isNotNull())
+            .select(key, text, F.col(stars).alias("true_stars"), truth.alias("true_sentiment")))
+    pred = score_new(model, base, threshold).withColumn(
+        # held-out rows are recognised by the same key hash that split them: no join
+        "held_out", F.col("true_sentiment").isNotNull() & ~in_first_part("true_sentiment", [key], TRAIN_FRACTION, SEED))
+    pred = RoundStore(reviews.sparkSession, "sentiment-predictions").put(pred, "t")
+    shown = pred.filter("true_sentiment is not null")
+    preview = shown.select(key, preview_text(text).alias("text_preview"), "true_stars", "true_sentiment",
+                           "predicted_sentiment", "correct")
+    return ModelResult(model, {"predictions": pred, "metrics": sentiment_metrics(pred), "preview": preview, **tables})
+
+
+def score_new(model: PipelineModel, reviews: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """A saved or fitted sentiment model on any rows with texts: all columns of
+    ``reviews``, prediction and score, and ``correct`` where the truth is known."""
+    scored = models.sentiment_scores(model, reviews, threshold)
+    truth = F.col("true_sentiment") if "true_sentiment" in reviews.columns else F.lit(None).cast("int")
+    return scored.select(*reviews.columns, "predicted_sentiment",
+                         (F.col("predicted_sentiment") == truth).alias("correct"), "sentiment_score")
 
 
 def sentiment_metrics(pred: DataFrame) -> DataFrame:
@@ -81,51 +104,54 @@ def sentiment_metrics(pred: DataFrame) -> DataFrame:
 
 def out_of_fold_scores(reviews: DataFrame, key: str = "review_id", text: str = "text", stars: str = "stars",
                        folds: int = 3, keep_stars=(1, 5)) -> ModelResult:
-    """Sentiment scores where no row is scored by a model that saw it."""
-    base = (reviews.filter(F.col(text).isNotNull() & F.col(stars).isin(*keep_stars))
-            .select(key, text, stars, F.col("business_id") if "business_id" in reviews.columns else F.lit(None).alias("business_id"),
-                    binary_label(stars).alias("label"), fold_of([key], folds, SEED).alias("fold")))
+    """Sentiment scores where no row is scored by a model that saw it.  Texts are
+    tokenised and hashed once; all folds fit on and score that table."""
     from concurrent.futures import ThreadPoolExecutor
 
+    business = F.col("business_id") if "business_id" in reviews.columns else F.lit(None).cast("string").alias("business_id")
+    base = (reviews.filter(F.col(text).isNotNull() & F.col(stars).isin(*keep_stars))
+            .select(key, text, stars, business, binary_label(stars).alias("label"), fold_of([key], folds, SEED).alias("fold")))
+    keep = [key, text, stars, "business_id", "label", "fold"]
+    stages, counts = models.term_counts(base, text, keep)
     # the k fits are independent Spark jobs: submitted concurrently, they share
     # the cluster instead of queueing one after another
     with ThreadPoolExecutor(max_workers=min(folds, 4)) as pool:
         fitted = list(pool.map(
-            lambda f: models.fit_sentiment_classifier(base.filter(F.col("fold") != f), text, "label"),
+            lambda f: models.fit_sentiment_on_counts(stages, counts.filter(F.col("fold") != f).select("label", "rawFeatures")),
             range(folds)))
-    parts = [models.sentiment_scores(m, base.filter(F.col("fold") == f)) for f, m in enumerate(fitted)]
-    scored = parts[0]
-    for p in parts[1:]:
-        scored = scored.unionByName(p)
+    parts = [models.sentiment_scores(m, counts.filter(F.col("fold") == f), counted=True) for f, m in enumerate(fitted)]
+    scored = reduce(DataFrame.unionByName, parts)
     return ModelResult(fitted, {"scores": scored.select(key, text, stars, "business_id", "sentiment_score")})
 
 
 def semantic_anomaly_task(reviews: DataFrame, key: str = "review_id", text: str = "text", stars: str = "stars",
-                          folds: int = 3) -> ModelResult:
+                          folds: int = 3, model: PipelineModel | None = None) -> ModelResult:
     """Q11c: five-star reviews with negative text and one-star reviews with
-    positive text, scored out of fold."""
-    res = out_of_fold_scores(reviews, key, text, stars, folds)
+    positive text; scored out of fold, or by a given (saved) sentiment model."""
+    if model is None:
+        res = out_of_fold_scores(reviews, key, text, stars, folds)
+    else:
+        business = F.col("business_id") if "business_id" in reviews.columns else F.lit(None).cast("string").alias("business_id")
+        extremes = reviews.filter(F.col(text).isNotNull() & F.col(stars).isin(1, 5)).select(key, text, stars, business)
+        res = ModelResult(model, {"scores": models.sentiment_scores(model, extremes)})
     anomalies = semantic_anomalies(res.tables["scores"], stars=stars)
-    res.tables["anomalies"] = anomalies.select(key, text, stars, "business_id", "sentiment_score", "anomaly_type")
+    res.tables["anomalies"] = RoundStore(reviews.sparkSession, "semantic-anomalies").put(
+        anomalies.select(key, text, stars, "business_id", "sentiment_score", "anomaly_type"), "t")
     return res
 
 
 FANS_FEATURES = ["review_count", "average_stars", "friend_count"]
 
 
-def fans_regression(features: DataFrame, key: str = "user_id", sample_fraction: float | None = 0.5,
-                    feature_cols=FANS_FEATURES, **forest) -> ModelResult:
+def fans_regression(features: DataFrame, key: str = "user_id", feature_cols=FANS_FEATURES, **forest) -> ModelResult:
     """Q10: random forest on (review_count, average_stars, friend_count) ->
-    fans; held-out predictions, RMSE / R² and feature importances."""
-    df = _bounded_sample(features, [key], sample_fraction, None)
+    fans; held-out predictions, RMSE / R² and feature importances.  Features and
+    predictions are written once; metrics, bound and sample scan them."""
+    store = RoundStore(features.sparkSession, "fans")
+    df = store.put(features, "features")
     train, test = hash_split(df, [TRAIN_FRACTION, 1 - TRAIN_FRACTION], [key], SEED)
     model = models.fit_fans_forest(train, feature_cols, "label", **forest)
-    pred = model.transform(test).select(key, "label", "prediction")
-    err = F.col("label") - F.col("prediction")
-    mean = test.agg(F.avg("label")).scalar()
-    metrics = pred.agg(F.round(F.sqrt(F.avg(err * err)), 4).alias("rmse"),
-                       F.round(F.lit(1.0) - F.try_divide(F.sum(err * err), F.sum((F.col("label") - mean) ** 2)), 4)
-                       .alias("r2"), F.count(F.lit(1)).alias("n"))
+    pred = store.put(model.transform(test).select(key, "label", "prediction"), "predictions")
     imp = models.feature_importances(features.sparkSession, model, feature_cols)
-    return ModelResult(model, {"predictions": pred.select("label", "prediction"), "metrics": metrics,
-                               "importance": imp, "keyed_predictions": pred})
+    return ModelResult(model, {"predictions": pred.select("label", "prediction"),
+                               "metrics": regression_metrics(pred), "importance": imp, "keyed_predictions": pred})

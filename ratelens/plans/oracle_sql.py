@@ -188,14 +188,18 @@ SELECT CAST(sum(predicted_sentiment) AS BIGINT) AS positive_count,
 FROM ({PREDICTIONS})"""
 
 CONFUSION = f"""
-SELECT true_label, n_pred_0, n_pred_1, row_total,
+SELECT true_label, n_pred_0, n_pred_1, n_pred_other, row_total,
        {r("CAST(n_pred_0 AS DOUBLE) / CAST(row_total AS DOUBLE)", 4)} AS rate_pred_0,
        {r("CAST(n_pred_1 AS DOUBLE) / CAST(row_total AS DOUBLE)", 4)} AS rate_pred_1
-FROM (SELECT true_sentiment AS true_label,
-             count(*) FILTER (WHERE predicted_sentiment = 0) AS n_pred_0,
-             count(*) FILTER (WHERE predicted_sentiment = 1) AS n_pred_1, count(*) AS row_total
-      FROM ({PREDICTIONS}) WHERE true_sentiment IS NOT NULL AND predicted_sentiment IS NOT NULL
-      GROUP BY true_sentiment)"""
+FROM (SELECT c.cls AS true_label,
+             count(*) FILTER (WHERE p.predicted_sentiment = 0) AS n_pred_0,
+             count(*) FILTER (WHERE p.predicted_sentiment = 1) AS n_pred_1,
+             count(*) FILTER (WHERE p.predicted_sentiment NOT IN (0, 1)) AS n_pred_other,
+             count(p.predicted_sentiment) AS row_total
+      FROM (SELECT true_sentiment AS cls FROM ({PREDICTIONS}) WHERE true_sentiment IS NOT NULL AND predicted_sentiment IS NOT NULL
+            UNION SELECT predicted_sentiment FROM ({PREDICTIONS}) WHERE true_sentiment IS NOT NULL AND predicted_sentiment IS NOT NULL) c
+      LEFT JOIN (SELECT * FROM ({PREDICTIONS}) WHERE predicted_sentiment IS NOT NULL) p ON p.true_sentiment = c.cls
+      GROUP BY c.cls)"""
 
 ANOMALY_TYPES = f"""
 SELECT anomaly_class, count(*) AS count FROM ({ANOMALIES}) GROUP BY anomaly_class ORDER BY count DESC, anomaly_class"""
@@ -264,12 +268,17 @@ def _lpa_round(prev: str) -> str:
         GROUP BY d.a, p.label) GROUP BY node) b ON n.user_id = b.node)"""
 
 
-def label_propagation_sql(rounds: int = 5) -> str:
-    ctes = [f"e AS ({EDGES})", "d AS (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e)",
-            f"l0 AS (SELECT user_id, user_id AS label FROM ({USERS}))"]
+def label_propagation_sql(rounds: int = 24) -> str:
+    """Unrolled; enough rounds for the labels of these tables to settle or to
+    alternate between two states, whose smaller label counts."""
+    ctes = [f"e AS MATERIALIZED ({EDGES})",
+            "d AS MATERIALIZED (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e)",
+            f"l0 AS MATERIALIZED (SELECT user_id, user_id AS label FROM ({USERS}))"]
     for i in range(1, rounds + 1):
-        ctes.append(f"l{i} AS {_lpa_round(f'l{i - 1}')}")
-    return "WITH " + ",\n".join(ctes) + f"\nSELECT user_id, label AS community FROM l{rounds}"
+        ctes.append(f"l{i} AS MATERIALIZED {_lpa_round(f'l{i - 1}')}")
+    return "WITH " + ",\n".join(ctes) + f"""
+SELECT x.user_id, least(x.label, y.label) AS community, x.label = y.label AS settled
+FROM l{rounds - 1} x JOIN l{rounds} y ON x.user_id = y.user_id"""
 
 
 def community_taste_sql(k: int = 3) -> str:
@@ -339,3 +348,38 @@ SELECT {r("rr", 4)} AS correlation,
 FROM (SELECT covar_pop(o_custkey, o_totalprice) / nullif(stddev_pop(o_custkey) * stddev_pop(o_totalprice), 0) AS rr,
              count(*) FILTER (WHERE o_custkey IS NOT NULL AND o_totalprice IS NOT NULL) AS n
       FROM orders)"""
+
+# -- deterministic columns of the sink, stream and preview queries -----------------
+PREVIEW_JSON = """
+SELECT '{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}' AS info, '["' || lang || '","' || source || '"]' AS tags, lang
+FROM documents WHERE doc_id IS NOT NULL ORDER BY doc_id LIMIT 20"""
+
+STREAM_ROWS = """
+SELECT d.doc_id AS review_id, CAST(CASE WHEN l.quality = 1 THEN 5 WHEN l.quality = 0 THEN 1 END AS INTEGER) AS true_stars,
+       CAST(l.quality AS INTEGER) AS true_sentiment, CAST(length(d.text) AS INTEGER) AS n_chars, true AS scored
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL"""
+
+TEXT_PREVIEWS = """
+SELECT doc_id AS review_id, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '...' ELSE text END AS text_preview,
+       CASE WHEN quality = 1 THEN 'Positive' ELSE 'Negative' END AS true_label
+FROM documents JOIN labels USING (doc_id) ORDER BY doc_id LIMIT 10"""
+
+EXTREME_REVIEWS = """
+SELECT CAST(CASE WHEN quality = 1 THEN 5 ELSE 1 END AS INTEGER) AS stars, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars
+FROM documents JOIN labels USING (doc_id) WHERE text IS NOT NULL GROUP BY 1"""
+
+SAMPLE_COUNT = """
+SELECT least(100, count(*)) AS n, least(100, count(DISTINCT doc_id)) AS n_keys FROM documents JOIN labels USING (doc_id)"""
+
+TOP_PER_LANG = """
+SELECT lang, doc_id, n_chars FROM (
+  SELECT lang, doc_id, n_chars, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS k FROM documents)
+WHERE k <= 3"""
+
+TOP_CITIES = """
+SELECT c_nationkey AS city, count(*) AS business_count FROM customer GROUP BY c_nationkey
+ORDER BY business_count DESC, city LIMIT 15"""
+
+LITERAL_FLAGS = """
+SELECT o_orderpriority = '1-URGENT' AS urgent, o_orderstatus = 'F' AS closed, false AS absent, count(*) AS n
+FROM orders GROUP BY 1, 2"""

@@ -12,12 +12,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratelens.functions import columns as C
 from ratelens.operators import aggregate as agg
 from ratelens.operators import graph, report, text
 from ratelens.operators.anomaly import anomaly_counts, statistical_anomalies
 from ratelens.plans import oracle_sql as O
 from ratelens.plans import standins as S
 from ratelens.plans import tasks
+from ratelens.session import RoundStore
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -173,7 +175,8 @@ def txt_stopword_counts(spark, d):
 def _vocab(spark, d):
     # the fitted vocabulary is written once and shared, like a fitted model
     return _memo(spark, d, "vocabulary",
-                 lambda: _written(spark, "vocabulary", text.fit_vocabulary(S.table(spark, d, "documents"), "text")))
+                 lambda: RoundStore(spark, "vocabulary").put(
+                     text.fit_vocabulary(S.table(spark, d, "documents"), "text"), "t"), ("documents",))
 
 
 def txt_vocabulary(spark, d):
@@ -284,7 +287,7 @@ def _graph_input(spark, d, run):
 
 def _components(spark, d):
     # the written components table is shared by the queries of one session
-    return _memo(spark, d, "components", lambda: _graph_input(spark, d, graph.connected_components))
+    return _memo(spark, d, "components", lambda: _graph_input(spark, d, graph.connected_components), ("customer", "orders"))
 
 
 def q12_components(spark, d):
@@ -292,7 +295,7 @@ def q12_components(spark, d):
 
 
 def q12_label_propagation(spark, d):
-    return _graph_input(spark, d, lambda v, e: graph.label_propagation(v, e, rounds=5))
+    return _graph_input(spark, d, lambda v, e: graph.label_propagation(v, e))
 
 
 def q12_community_taste(spark, d):
@@ -301,29 +304,37 @@ def q12_community_taste(spark, d):
 
 
 # -- model tasks (rows-only checks) ---------------------------------------------
-_FITTED: dict[tuple, object] = {}
+_KEPT: dict[tuple, tuple] = {}
 
 
-def _memo(spark, d, name, build):
+def _memo(spark, d, name, build, tables=("documents", "labels")):
     """One fit per (application, tables, task): predictions and metrics of a
-    task share the model, as a train-then-score run would."""
+    task share the model, as a train-then-score run would.  Kept only for the
+    same files of ``tables``: after a change the task runs anew and the older
+    result is released."""
+    from ratelens.session import table_stamp
+    from ratelens.sources.readers import table_path
+    stamp = table_stamp(spark, *[table_path(d, t) for t in tables])
     key = (spark.sparkContext.applicationId, d, name)
-    if key not in _FITTED:
-        _FITTED[key] = build()
-    return _FITTED[key]
+    if key not in _KEPT or _KEPT[key][0] != stamp:
+        _KEPT[key] = (stamp, build())
+    return _KEPT[key][1]
 
 
 def _stars_task(spark, d):
     from pyspark.ml.feature import StringIndexer
 
+    from ratelens.ml.models import MAX_CLASSES
     from ratelens.plans import ml_tasks
 
     def build():
         docs = S.table(spark, d, "documents").select(F.col("doc_id").alias("review_id"), "text", "lang")
+        classes = docs.select("lang").distinct().limit(MAX_CLASSES + 1).count()
+        if classes > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} languages")
         labelled = (StringIndexer(inputCol="lang", outputCol="stars", stringOrderType="alphabetAsc")
                     .fit(docs).transform(docs))
-        # whole table: no 10 % sample and no row cap in the registered form
-        return ml_tasks.star_prediction(labelled, sample_fraction=None, max_rows=None)
+        return ml_tasks.star_prediction(labelled)
     return _memo(spark, d, "stars", build)
 
 
@@ -335,27 +346,10 @@ def q71_accuracy(spark, d):
     return _stars_task(spark, d).tables["accuracy"]
 
 
-def _written(spark, name, df):
-    """Write a task's full result table once to the shared folder and read it
-    back: the queries built on it scan the table instead of re-scoring."""
-    import uuid
-
-    from ratelens.session import shared_dir
-    path = shared_dir(spark, f"results/{name}-{uuid.uuid4().hex}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def _sentiment_task(spark, d):
     from ratelens.plans import ml_tasks
-
-    def build():
-        res = ml_tasks.sentiment(S.reviews(spark, d))
-        # the bulk scoring pass is written in full (as the task's predictions file)
-        res.tables["predictions"] = _written(spark, "sentiment-predictions", res.tables["predictions"])
-        res.tables["metrics"] = ml_tasks.sentiment_metrics(res.tables["predictions"])
-        return res
-    return _memo(spark, d, "sentiment", build)
+    return _memo(spark, d, "sentiment",
+                 lambda: ml_tasks.sentiment(S.all_reviews(spark, d), reg_params=(0.001, 0.01, 0.1)))
 
 
 def q7_sentiment_predictions(spark, d):
@@ -369,7 +363,7 @@ def q7_sentiment_metrics(spark, d):
 
 
 def q7_sentiment_totals(spark, d):
-    preds = _sentiment_task(spark, d).tables["predictions"]
+    preds = _sentiment_task(spark, d).tables["predictions"].filter("true_sentiment is not null")
     return agg.conditional_totals(preds, "predicted_sentiment", "correct")
 
 
@@ -380,12 +374,7 @@ def q7_confusion_matrix(spark, d):
 
 def _semantic_task(spark, d):
     from ratelens.plans import ml_tasks
-
-    def build():
-        res = ml_tasks.semantic_anomaly_task(S.reviews(spark, d))
-        res.tables["anomalies"] = _written(spark, "semantic-anomalies", res.tables["anomalies"])
-        return res
-    return _memo(spark, d, "semantic", build)
+    return _memo(spark, d, "semantic", lambda: ml_tasks.semantic_anomaly_task(S.reviews(spark, d)))
 
 
 def q11c_semantic_anomalies(spark, d):
@@ -395,26 +384,30 @@ def q11c_semantic_anomalies(spark, d):
 
 
 def q7_stream_scores(spark, d):
-    """Bulk scoring as a restartable stream: the documents file is the stream
-    source, joined with the static labels, scored and appended to a parquet
-    sink under the shared folder; the sink is read back as the result."""
-    import uuid
-
-    from ratelens.session import shared_dir
+    """Bulk scoring as a restartable stream: the documents table (a file or a
+    folder of part files) is the stream source, joined with the static labels,
+    scored and appended to a parquet sink.  Checkpoint and sink are named after
+    the files of the tables: a later run of the same application's folder resumes,
+    and changed tables start a new pass."""
+    from zlib import crc32
+
+    from ratelens.session import lasting_dir, table_stamp
+    from ratelens.sources.readers import table_path
     from ratelens.streaming.scoring import run_scoring, scoring_stream
     model = _sentiment_task(spark, d).model
-    docs_schema = S.table(spark, d, "documents").schema
-    stream = scoring_stream(spark, d, docs_schema, glob="documents.parquet")
+    path = table_path(d, "documents")
+    stream = scoring_stream(spark, path, S.table(spark, d, "documents").schema)
     labels = S.table(spark, d, "labels").select("doc_id", "quality")
-    reviews = (stream.join(labels, "doc_id")
+    reviews = (stream.join(labels, "doc_id", "left").filter("text is not null")
                .select(F.col("doc_id").alias("review_id"), "text",
-                       F.when(F.col("quality") == 1, F.lit(5)).otherwise(F.lit(1)).alias("true_stars"),
-                       F.col("quality").alias("true_sentiment")))
-    run_dir = shared_dir(spark, f"stream/{uuid.uuid4().hex}")
+                       F.when(F.col("quality") == 1, F.lit(5)).when(F.col("quality") == 0, F.lit(1)).alias("true_stars"),
+                       F.col("quality").cast("int").alias("true_sentiment")))
+    stamp = repr(table_stamp(spark, path, table_path(d, "labels"))).encode()
+    run_dir = lasting_dir(spark, f"stream/{crc32(stamp):08x}")
     run_scoring(model, reviews, f"{run_dir}/out", f"{run_dir}/checkpoint")
     out = spark.read.parquet(f"{run_dir}/out")
-    return out.select("review_id", "true_stars", "true_sentiment", "predicted_sentiment", "correct",
-                      F.round("sentiment_score", 4).alias("sentiment_score"))
+    return out.select("review_id", "true_stars", "true_sentiment", F.length("text").alias("n_chars"),
+                      F.col("sentiment_score").between(0, 1).alias("scored"))
 
 
 def q71_training_curve(spark, d):
@@ -422,12 +415,102 @@ def q71_training_curve(spark, d):
     return objective_history(spark, _stars_task(spark, d).model)
 
 
+def snk_preview_json(spark, d):
+    """A preview CSV of nested columns: structs and arrays become JSON text, the
+    first 20 rows by key are written as one file and read back."""
+    import uuid
+
+    from ratelens.operators.topk import ordered
+    from ratelens.session import shared_dir
+    from ratelens.sources import read_result_csv, save_preview
+    docs = S.table(spark, d, "documents").filter("doc_id is not null")
+    nested = ordered(docs, ["doc_id"]).select(F.struct("doc_id", "n_chars").alias("info"),
+                                              F.array("lang", "source").alias("tags"), "lang")
+    path = shared_dir(spark, f"previews/{uuid.uuid4().hex}")
+    save_preview(nested, path, n=20)
+    return read_result_csv(spark, path, "info string, tags string, lang string", escape="\\")
+
+
+def snk_encoder_roundtrip(spark, d):
+    """Vocabulary and settings saved, loaded again and used to encode."""
+    import uuid
+
+    from ratelens.session import shared_dir
+    path = shared_dir(spark, f"encoder/{uuid.uuid4().hex}")
+    text.save_encoder(_vocab(spark, d), path)
+    vocab, settings = text.load_encoder(spark, path)
+    enc = text.encode_documents(S.table(spark, d, "documents"), "text", vocab, keep=["doc_id"],
+                                length=settings["max_length"])
+    return enc.select("doc_id", "n_tokens", "n_oov", F.array_join("ids", " ").alias("ids_text"))
+
+
+def snk_model_roundtrip(spark, d):
+    """The sentiment model saved and loaded: per document, that the loaded model
+    gives the score of the fitted one."""
+    import uuid
+
+    from pyspark.ml import PipelineModel
+
+    from ratelens.plans import ml_tasks
+    from ratelens.session import shared_dir
+    task = _sentiment_task(spark, d)
+    path = shared_dir(spark, f"models/{uuid.uuid4().hex}")
+    task.model.write().save(path)
+    again = ml_tasks.score_new(PipelineModel.load(path), task.tables["predictions"].select("review_id", "text"))
+    first = task.tables["predictions"].select("review_id", F.col("sentiment_score").alias("was"))
+    return again.join(first, "review_id").select(
+        "review_id", (F.abs(F.col("sentiment_score") - F.col("was")) < 1e-12).alias("same_score"))
+
+
+def str_literal_flags(spark, d):
+    """Boolean keys of dict-literal texts (attribute strings built from orders)."""
+    o = S.table(spark, d, "orders")
+    literal = F.concat(F.lit("{'urgent': "), F.when(F.col("o_orderpriority") == "1-URGENT", "True").otherwise("False"),
+                       F.lit(", 'closed': "), F.when(F.col("o_orderstatus") == "F", "True").otherwise("False"), F.lit("}"))
+    o = o.withColumn("attributes", literal)
+    flags = [C.literal_flag("attributes", k).alias(k) for k in ("urgent", "closed", "absent")]
+    return o.select(*flags).groupBy("urgent", "closed", "absent").agg(F.count(F.lit(1)).alias("n"))
+
+
+def prj_text_previews(spark, d):
+    """60-character previews and label names, first 10 labelled documents by key."""
+    from ratelens.operators.topk import top_k
+    rev = S.reviews(spark, d)
+    return top_k(rev.select("review_id", C.preview_text("text", 60).alias("text_preview"),
+                            C.sentiment_name("quality").alias("true_label")), 10, ["review_id"])
+
+
+def flt_extreme_reviews(spark, d):
+    """Reviews of one and five stars with a text: the semantic anomaly input."""
+    rev = S.reviews(spark, d).filter(F.col("text").isNotNull() & F.col("stars").isin(1, 5))
+    return rev.groupBy("stars").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def ord_top_per_language(spark, d):
+    from ratelens.operators.topk import top_k_per_group
+    docs = S.table(spark, d, "documents").select("lang", "doc_id", "n_chars")
+    return top_k_per_group(docs, ["lang"], [F.col("n_chars").desc(), F.col("doc_id").asc()], 3).select("lang", "doc_id", "n_chars")
+
+
+def smp_sample_count(spark, d):
+    """An exact-n sample has exactly n rows and, on unique keys, n keys."""
+    rows = smp_sample_rows(spark, d)
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("review_id").alias("n_keys"))
+
+
+def q13_top_cities(spark, d):
+    """The 15 places with most businesses (customers per nation)."""
+    customers = S.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("city")).agg(
+        F.count(F.lit(1)).alias("business_count"))
+    return report.top_cities(customers)
+
+
 def q7_prediction_preview(spark, d):
     """Display rows of the bulk scoring pass: 60-character text preview,
     Positive/Negative labels and a correctness mark, first 10 by key."""
     from ratelens.functions.columns import correct_mark, preview_text, sentiment_name
     from ratelens.operators.topk import top_k
-    t = _sentiment_task(spark, d).tables["predictions"]
+    t = _sentiment_task(spark, d).tables["predictions"].filter("true_sentiment is not null")
     shown = t.select("review_id", correct_mark("correct").alias("mark"),
                      sentiment_name("true_sentiment").alias("true_label"),
                      sentiment_name("predicted_sentiment").alias("predicted_label"), "true_stars",
@@ -436,20 +519,14 @@ def q7_prediction_preview(spark, d):
 
 
 def q7_model_selection(spark, d):
-    from ratelens.functions.columns import binary_label
-    from ratelens.ml.models import select_sentiment_model
-    from ratelens.operators.sampling import stratified_split
-    base = (S.reviews(spark, d).filter(F.col("stars") != 3)
-            .select("review_id", "text", binary_label("stars").alias("label")))
-    train, _ = stratified_split(base, "label", ["review_id"], 0.8)
-    return _memo(spark, d, "selection", lambda: select_sentiment_model(train, "text", "label"))[1]
+    """The validation table of the choice that the sentiment task makes."""
+    return _sentiment_task(spark, d).tables["selection"]
 
 
 def _fans_task(spark, d):
     from ratelens.plans import ml_tasks
     feats = tasks.fans_features(S.users(spark, d), keep=("user_id",))
-    # whole table: no 50 % sample in the registered form
-    return _memo(spark, d, "fans", lambda: ml_tasks.fans_regression(feats, sample_fraction=None))
+    return _memo(spark, d, "fans", lambda: ml_tasks.fans_regression(feats), ("customer", "orders"))
 
 
 def q10_fans_predictions(spark, d):
@@ -510,6 +587,15 @@ QUERIES: dict[str, Query] = {
     "q11_anomaly_counts": q11_anomaly_counts,
     "q12_friend_edges": q12_friend_edges,
     "q12_components": q12_components,
+    "snk_preview_json": snk_preview_json,
+    "snk_encoder_roundtrip": snk_encoder_roundtrip,
+    "snk_model_roundtrip": snk_model_roundtrip,
+    "str_literal_flags": str_literal_flags,
+    "prj_text_previews": prj_text_previews,
+    "flt_extreme_reviews": flt_extreme_reviews,
+    "ord_top_per_language": ord_top_per_language,
+    "smp_sample_count": smp_sample_count,
+    "q13_top_cities": q13_top_cities,
     "q12_label_propagation": q12_label_propagation,
     "q12_community_taste": q12_community_taste,
     "q13_category_share": q13_category_share,
@@ -580,7 +666,17 @@ WHERE price_range IS NOT NULL AND price_range <> 'None' GROUP BY price_range ORD
     "q11_anomaly_counts": O.ANOMALY_COUNTS,
     "q12_friend_edges": O.EDGES,
     "q12_components": O.COMPONENTS,
-    "q12_label_propagation": O.label_propagation_sql(5),
+    "snk_preview_json": O.PREVIEW_JSON,
+    "snk_encoder_roundtrip": O.ENCODE_PAD,
+    "snk_model_roundtrip": "SELECT doc_id AS review_id, true AS same_score FROM documents WHERE text IS NOT NULL",
+    "str_literal_flags": O.LITERAL_FLAGS,
+    "prj_text_previews": O.TEXT_PREVIEWS,
+    "flt_extreme_reviews": O.EXTREME_REVIEWS,
+    "ord_top_per_language": O.TOP_PER_LANG,
+    "smp_sample_count": O.SAMPLE_COUNT,
+    "q13_top_cities": O.TOP_CITIES,
+    "q7_stream_scores": O.STREAM_ROWS,
+    "q12_label_propagation": O.label_propagation_sql(),
     "q12_community_taste": O.community_taste_sql(3),
     "q13_category_share": O.CATEGORY_SHARE,
     "q13_state_share": O.STATE_SHARE,

@@ -52,6 +52,15 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "text", "lang", "doc_id", "quality"))
 
 
+def all_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a review; stars are null where there is no label."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return (docs.join(labels, "doc_id", "left")
+            .select(F.col("doc_id").alias("review_id"), F.col("source").alias("business_id"),
+                    F.when(F.col("quality") == 1, F.lit(5)).when(F.col("quality") == 0, F.lit(1)).alias("stars"), "text"))
+
+
 def friend_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undirected customer pairs (a < b by key) of the synthetic friend graph.
 

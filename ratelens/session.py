@@ -44,6 +44,16 @@ def apply_scale_settings(spark: SparkSession, input_bytes: int) -> SparkSession:
     return spark
 
 
+def cluster_session(app_name: str = "ratelens") -> SparkSession:
+    """The session of the submitted application: its master and settings are kept;
+    only the SQL defaults of this package are added."""
+    return apply_sql_defaults(SparkSession.builder.appName(app_name).getOrCreate())
+
+
+def input_bytes(spark: SparkSession, *paths: str) -> int:
+    return sum(size for _, size, _ in table_stamp(spark, *paths))
+
+
 def apply_sql_defaults(spark: SparkSession) -> SparkSession:
     for key, value in SQL_DEFAULTS.items():
         spark.conf.set(key, value)
@@ -69,6 +79,20 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int | None = None,
     return spark
 
 
+def table_stamp(spark: SparkSession, *paths: str) -> tuple:
+    """(path, length, modification time) of every file of the tables: results kept
+    for a table are only valid for the same stamp."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        files = hpath.getFileSystem(conf).listFiles(hpath, True)
+        while files.hasNext():
+            f = files.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
@@ -86,6 +110,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if configured:
+        if configured.startswith("file:") and not _is_local(spark) and not sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is a file: folder: executors of a cluster do not share it")
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir() or configured
     if not _is_local(spark):
@@ -99,9 +125,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A sub-folder of the checkpoint folder for other shared state (models,
     streaming checkpoints, spilled intermediate tables)."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    # checkpoint dirs get a per-application UUID suffix; keep artefacts beside it
-    return f"{base}/ratelens/{name}"
+    # Spark adds a folder per application: what lies in it belongs to this run
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/ratelens/{name}"
+
+
+def lasting_dir(spark: SparkSession, name: str) -> str:
+    """A folder that later applications find again (stream checkpoints, saved
+    models): beside the per-application folder, below the configured one."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/').rsplit('/', 1)[0]}/ratelens/{name}"
+
+
+def clean_run(spark: SparkSession) -> None:
+    """Deletes this application's intermediate tables (rounds, results, previews).
+    Call it when the results have been consumed or written elsewhere."""
+    delete_path(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/ratelens")
 
 
 class RoundStore:
@@ -151,3 +188,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hpath))
+
+
+def is_file(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(hpath).isFile()

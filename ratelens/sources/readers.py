@@ -45,18 +45,19 @@ def read_table(spark: SparkSession, root: str, name: str, fmt: str = "parquet",
     return reader.load(table_path(root, name, fmt))
 
 
-def read_collection(spark: SparkSession, name: str, fmt: str, **options) -> DataFrame:
+def read_collection(spark: SparkSession, name: str, fmt: str, name_option: str = "collection", **options) -> DataFrame:
     """Connector form: ``spark.read.format(fmt).options(...)`` for a named
-    collection (e.g. a document-store connector's ``collection`` option)."""
+    collection; the connector gets the name as its option ``name_option``
+    (``collection`` for document stores, ``dbtable`` for tables)."""
     schema = SCHEMAS.get(name)
     reader = spark.read.format(fmt)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.options(**options).load()
+    return reader.options(**{name_option: name, **options}).load()
 
 
 def read_result_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-                    columns: list[str] | None = None) -> DataFrame:
+                    columns: list[str] | None = None, escape: str = "\\") -> DataFrame:
     """Read a header CSV written by a sink; ``columns`` prunes like ``usecols``.
 
     ``schema`` describes the whole file; without one, columns are taken by
@@ -64,7 +65,7 @@ def read_result_csv(spark: SparkSession, path: str, schema: T.StructType | str |
     tasks by ``spark.sql.files.maxPartitionBytes`` instead of being chunked on
     one machine, and unused columns are not parsed (CSV column pruning).
     """
-    reader = spark.read.option("header", "true").option("mode", "FAILFAST")
+    reader = spark.read.option("header", "true").option("mode", "FAILFAST").option("escape", escape)
     if schema is not None:
         reader = reader.schema(schema)
     df = reader.csv(path)

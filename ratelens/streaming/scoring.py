@@ -17,14 +17,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from ratelens.ml.models import sentiment_scores
+from ratelens.session import is_file
 
 
 def scoring_stream(spark: SparkSession, source: str, schema: T.StructType, fmt: str = "parquet",
-                   max_files_per_trigger: int | None = None, glob: str | None = None) -> DataFrame:
-    """File-source stream over the folder ``source`` (``glob`` selects files)."""
+                   max_files_per_trigger: int | None = None) -> DataFrame:
+    """File-source stream over the table at ``source``: a folder of part files, or
+    one file (a file source watches folders, so its folder filtered to its name)."""
     reader = spark.readStream.schema(schema).format(fmt)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
+    if is_file(spark, source):
+        source, _, name = source.rpartition("/")
+        reader = reader.option("pathGlobFilter", name)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.load(source)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pytest
+
 import random
 
 from ratelens.operators import graph
@@ -43,7 +45,7 @@ def test_label_propagation_two_cliques(spark):
     pairs.append(("a4", "b1"))
     v = spark.createDataFrame([(i,) for i in left + right + ["z"]], "user_id string")
     e = spark.createDataFrame(pairs, "src string, dst string")
-    got = {r.user_id: r.community for r in graph.label_propagation(v, e, rounds=5).collect()}
+    got = {r.user_id: r.community for r in graph.label_propagation(v, e).collect()}
     assert got["z"] == "z"
     assert len({got[x] for x in left}) == 1 and len({got[x] for x in right}) == 1
 
@@ -86,3 +88,22 @@ def test_hot_key_split_path_gives_same_results(spark):
     l1 = {r.user_id: r.community for r in graph.label_propagation(v, graph.friend_edges(u)).collect()}
     l2 = {r.user_id: r.community for r in graph.label_propagation(v, e_forced, hot=forced).collect()}
     assert l1 == l2
+
+
+def test_round_limit_raises(spark):
+    n = 64
+    v = spark.createDataFrame([(i,) for i in range(n)], "user_id long")
+    e = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "src long, dst long")
+    with pytest.raises(RuntimeError):
+        graph.connected_components(v, e, max_rounds=1)
+    assert {r.component for r in graph.connected_components(v, e).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        graph.label_propagation(v, e, max_rounds=1)
+
+
+def test_label_cycles_are_recognised(spark):
+    v = spark.createDataFrame([("a",), ("b",), ("z",)], "user_id string")
+    e = spark.createDataFrame([("a", "b")], "src string, dst string")
+    got = {r.user_id: (r.community, r.settled) for r in graph.label_propagation(v, e).collect()}
+    # two neighbours swap labels for ever; the lone node keeps its own
+    assert got == {"a": ("a", False), "b": ("a", False), "z": ("z", True)}

@@ -69,3 +69,17 @@ def test_exact_stratified_split_counts_and_stability(spark):
     first = sorted(r.id for r in out.filter("first_part").select("id").collect())
     again = exact_stratified_split(df.repartition(5), "label", ["id"], 0.8)
     assert sorted(r.id for r in again.filter("first_part").select("id").collect()) == first
+
+
+def test_exact_n_with_repeated_keys(spark):
+    df = spark.range(5000).selectExpr("id % 20 as k", "id")
+    for seed in (42, 1, 2, 3):
+        assert hash_sample_n(df, 100, ["k"], seed).count() == 100
+    assert hash_sample_n(df.limit(7), 100, ["k"]).count() == 7
+
+
+def test_exact_split_keeps_rows_without_label(spark):
+    df = spark.range(100).selectExpr("id as key", "if(id % 4 = 0, null, id % 2) as label")
+    got = exact_stratified_split(df, "label", ["key"]).groupBy("label", "first_part").count().collect()
+    assert {(r.label, r.first_part): r["count"] for r in got} == {
+        (None, True): 20, (None, False): 5, (0, True): 20, (0, False): 5, (1, True): 40, (1, False): 10}
