@@ -23,8 +23,10 @@ def test_star_prediction_quality(spark):
 
 def test_sentiment_rows_and_metrics(spark):
     preds = Q["q7_sentiment_predictions"](spark, SF_SMALL)
+    # every document is scored; only labelled ones train and count as right or wrong
+    assert preds.count() == spark.read.parquet(SF_SMALL + "/documents.parquet").filter("text is not null").count()
     labels = spark.read.parquet(SF_SMALL + "/labels.parquet").count()
-    assert preds.count() == labels
+    assert preds.filter("true_sentiment is not null").count() == labels
     m = Q["q7_sentiment_metrics"](spark, SF_SMALL).collect()[0]
     assert 0 <= m.accuracy <= 1 and m.n == preds.filter("held_out").count()
     totals = Q["q7_sentiment_totals"](spark, SF_SMALL).collect()[0]
@@ -86,3 +88,29 @@ def test_stream_scoring_restartable(spark, tmp_dir):
     reviews.limit(5).write.mode("append").parquet(src)
     run_scoring(model, scoring_stream(spark, src, reviews.schema), out, ckpt)
     assert spark.read.parquet(out).count() == n + 5
+
+
+def test_stream_over_a_folder_table_scores_the_same_rows(spark, tmp_dir):
+    import shutil
+    shutil.copytree(SF_SMALL, f"{tmp_dir}/sf", ignore=shutil.ignore_patterns("documents.parquet"))
+    spark.read.parquet(f"{SF_SMALL}/documents.parquet").repartition(4).write.parquet(f"{tmp_dir}/sf/documents.parquet")
+    one = {r.review_id for r in Q["q7_stream_scores"](spark, SF_SMALL).collect()}
+    parts = {r.review_id for r in Q["q7_stream_scores"](spark, f"{tmp_dir}/sf").collect()}
+    assert one == parts and len(one) == spark.read.parquet(f"{SF_SMALL}/documents.parquet").count()
+
+
+def test_results_follow_changed_tables(spark, tmp_dir):
+    from ratelens.plans.registry import txt_vocabulary
+    docs = spark.createDataFrame([(1, "old words")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_dir}/documents.parquet")
+    assert {r.word for r in txt_vocabulary(spark, tmp_dir).collect()} == {"old", "words"}
+    docs.selectExpr("doc_id", "'new ones' as text").write.mode("overwrite").parquet(f"{tmp_dir}/documents.parquet")
+    assert {r.word for r in txt_vocabulary(spark, tmp_dir).collect()} == {"new", "ones"}
+
+
+def test_selection_does_not_depend_on_the_layout(spark):
+    reviews = S.reviews(spark, SF_SMALL).select("review_id", "text", (F.col("stars") > 3).cast("int").alias("label"))
+    a = models.select_sentiment_model(reviews, "review_id", reg_params=(0.01, 0.1), max_iters=(10,))[1].collect()
+    b = models.select_sentiment_model(reviews.repartition(3), "review_id", reg_params=(0.01, 0.1), max_iters=(10,))[1].collect()
+    assert [(r.reg_param, round(r.auc, 6), round(r.accuracy, 6)) for r in a] == [
+        (r.reg_param, round(r.auc, 6), round(r.accuracy, 6)) for r in b]

@@ -7,11 +7,12 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from ratelens.plans.registry import ORACLE
 
 QUERIES = entry.queries()
 # queries whose plan legitimately contains Python (vocabulary lookup, models)
-PYTHON_OK = {"txt_encode_pad"}
-RELATIONAL = [n for n in entry.oracle_sql() if n not in PYTHON_OK]
+PYTHON_OK = {"txt_encode_pad", "snk_encoder_roundtrip"}
+RELATIONAL = [n for n in ORACLE if n not in PYTHON_OK]
 
 
 def plan(df) -> str:
@@ -60,3 +61,15 @@ def test_share_total_is_scalar_subquery_not_global_window(spark):
 def test_encode_uses_arrow_not_row_udf(spark):
     p = plan(QUERIES["txt_encode_pad"](spark, SF_SMALL))
     assert "MapInArrow" in p and "BatchEvalPython" not in p
+
+
+def test_community_taste_joins_once(spark):
+    """The counts are written once: the result scans them, no lineitem scan is left."""
+    p = QUERIES["q12_community_taste"](spark, SF_SMALL)._jdf.queryExecution().toString()
+    assert "lineitem" not in p
+
+
+def test_regression_metrics_scan_once(spark):
+    df = QUERIES["q13_regression_metrics"](spark, SF_SMALL)
+    p = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "subquery" not in p.lower()
