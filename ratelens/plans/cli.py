@@ -208,7 +208,7 @@ def main(argv: list[str] | None = None) -> None:
     from ratelens.session import apply_scale_settings, clean_run, cluster_session, input_bytes
     submitted = SparkSession.getActiveSession() is None
     spark = cluster_session()
-    if args.fmt in FILE_FORMATS:
+    if submitted and args.fmt in FILE_FORMATS:
         apply_scale_settings(spark, input_bytes(spark, args.root))
     write_outputs(run_task(spark, args.task, args.root, args.fmt, dict(o.split("=", 1) for o in args.option),
                            args.models), args.out)
