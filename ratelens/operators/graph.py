@@ -143,7 +143,9 @@ def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "use
         if max_rounds is not None and step > max_rounds:
             raise RuntimeError(f"components have not converged after {max_rounds} rounds")
         # one bounded hot list per round, from the written edge table: the split is
-        # correct for any list, the list only decides which rows go by broadcast
+        # correct for any list, the list only decides which rows go by broadcast.  It
+        # serves both stars: a node has at most its degree here of smaller neighbours
+        # after the large star
         deg = e.groupBy("u").agg(F.count(F.lit(1)).alias("_deg"))
         hot_u = hot_keys(deg, "u", "_deg", sig[0], hot)
         nxt = rounds.next(_small_star(_large_star(e, hot_u), hot_u))

@@ -321,6 +321,11 @@ def _memo(spark, d, name, build, tables=("documents", "labels")):
     return _KEPT[key][1]
 
 
+def drop_kept() -> None:
+    """Forgets kept results: the next query of each task runs it anew."""
+    _KEPT.clear()
+
+
 def _stars_task(spark, d):
     from pyspark.ml.feature import StringIndexer
 
