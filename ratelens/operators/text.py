@@ -53,11 +53,6 @@ def word_sequence(col: str | Column) -> Column:
     return F.filter(F.split(spaced, " "), lambda t: t != F.lit(""))
 
 
-def whitespace_tokens(col: str | Column) -> Column:
-    """Same split as ``pyspark.ml.feature.Tokenizer``: lower-case, split on \\s."""
-    return F.split(F.lower(_c(col)), "\\s")
-
-
 def stop_words() -> tuple[str, ...]:
     """Spark ML's default English stop words (see ``stopwords.py``)."""
     return tuple(ENGLISH.split())
@@ -85,19 +80,6 @@ def fit_vocabulary(df: DataFrame, text: str, num_words: int = DEFAULT_NUM_WORDS)
     return top.select("word", "n", (F.row_number().over(w) + F.lit(1)).cast("int").alias("id"))
 
 
-def vocabulary_map(vocab: DataFrame) -> Column:
-    """The vocabulary as one ``map<string,int>`` value (scalar subquery).
-
-    Fine for small maps; Spark map lookups scan the keys, so bulk encoding
-    uses ``encoder`` instead."""
-    return vocab.agg(F.map_from_entries(F.collect_list(F.struct("word", "id")))).scalar()
-
-
-def encode(tokens: str | Column, vocab_map: Column) -> Column:
-    """token array -> id array via a map column; unknown words -> OOV id."""
-    return F.transform(_c(tokens), lambda t: F.coalesce(F.try_element_at(vocab_map, t), F.lit(OOV_ID)))
-
-
 def _vocabulary_arrays(vocab: DataFrame, num_words: int):
     """The fitted vocabulary on the driver: bounded by ``num_words`` (checked)."""
     rows = vocab.select("word", "id").limit(num_words + 1).collect()

@@ -92,7 +92,7 @@ def _task_11(i: Inputs) -> Outputs:
     model = PipelineModel.load(saved) if saved and path_exists(i.spark, saved) else None
     sem = ml_tasks.semantic_anomaly_task(i.review.select("review_id", "business_id", "stars", "text"), model=model)
     return {"research_5_statistical_anomalies": (statistical_anomalies(b), 20, ["anomaly_class", "business_id"]),
-            "research_5_anomaly_counts": (anomaly_counts(statistical_anomalies(b)), 20, ["anomaly_class"]),
+            "research_5_anomaly_counts": (anomaly_counts(b), 20, []),
             "research_5_semantic_anomalies": (sem.tables["anomalies"], 20, ["review_id"])}
 
 

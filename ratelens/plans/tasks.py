@@ -20,7 +20,6 @@ from ratelens.functions.columns import (
     month_of,
 )
 from ratelens.operators import aggregate as agg
-from ratelens.operators.anomaly import anomaly_counts, statistical_anomalies
 from ratelens.operators.topk import asc, desc, ordered, top_k
 from ratelens.schemas import USER, add_missing_columns
 
@@ -148,15 +147,6 @@ def fans_features(user: DataFrame, review_count: str = "review_count", average_s
     return df.dropna()
 
 
-# -- Q11 (statistical) --------------------------------------------------------
-def business_anomalies(business: DataFrame, **thresholds) -> DataFrame:
-    return statistical_anomalies(business, **thresholds)
-
-
-def business_anomaly_counts(business: DataFrame, **thresholds) -> DataFrame:
-    return anomaly_counts(business, **thresholds)
-
-
 # -- Q7 (input rule) ------------------------------------------------------------
 def sentiment_input(review: DataFrame, text: str = "text", stars: str = "stars", neutral: int = 3) -> DataFrame:
     """Rows a sentiment model trains on / scores: text present, stars present

@@ -9,6 +9,7 @@ import os
 from pyspark.sql import functions as F
 
 from ratelens import schemas
+from ratelens.operators.anomaly import anomaly_counts, statistical_anomalies
 from ratelens.plans import tasks
 from ratelens.sources import read_result_csv, read_table, save_full, save_preview
 
@@ -39,9 +40,9 @@ def test_json_collection_with_schema_and_tasks(spark, tmp_dir):
     assert [(r.state, r.city, r.average_stars, r.business_count) for r in geo] == [("AB", "Edmonton", 2.75, 2)]
     assert {r.price_range: r["count"] for r in tasks.price_mix(b).collect()} == {"2": 1}
     assert {r.wifi_cleaned for r in tasks.wifi_rating(b).collect()} == {"free", "no"}
-    an = tasks.business_anomalies(b).collect()
+    an = statistical_anomalies(b).collect()
     assert sorted((r.business_id, r.anomaly_class) for r in an) == [("b1", "suspicious_bad"), ("b3", "suspicious_good")]
-    counts = tasks.business_anomaly_counts(b).collect()[0]
+    counts = anomaly_counts(b).collect()[0]
     assert (counts.suspicious_bad, counts.suspicious_good) == (1, 1)
 
 
