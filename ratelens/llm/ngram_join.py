@@ -10,14 +10,15 @@ keeps common passages out of the products. For a row of n n-grams only the first
 a linking pair, and sizes must be within ``percent``.
 
 1. One scan hashes whole texts: set size, set signature, prefix columns.
-2. Product over the prefix columns, a block per column. Columns of one row are
-   dropped. In the first pass every row meets only its block's pivot (one row),
-   so a block of any size gives as many pairs as rows; what links is contracted
-   to components.
+2. Product over the prefix columns, a block per column; columns of one row are
+   dropped. First, in ``ROUNDS`` passes, every row meets one row only: the least
+   of its blocks' pivots (a pivot is one row of a block). So a pass has at most
+   as many pairs as rows, however large the blocks; what links is contracted.
 3. Only blocks that still hold several components are multiplied out, in tiles
-   of at most ``TILE`` rows: inside a task, overlap counts of row pairs of
-   different components are accumulated over the prefix columns, and pairs
-   below the size-derived bound are discarded there.
+   of at most about ``TILE`` rows a side: inside a task, overlap counts of row
+   pairs of different components are accumulated over the prefix columns (as
+   16-bit hashes, which can only count too many), and pairs below the
+   size-derived bound are discarded there.
 4. Pairs are verified on their whole sets, exactly; component ids are the
    smallest document ids.
 
@@ -41,13 +42,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import mapped, mixed, texts, window_hashes, word_hashes, written
+from ratelens.llm.common import mapped, mixed, texts, window_hashes, word_hashes
 from ratelens.operators.graph import connected_components
+from ratelens.session import RoundStore
 
 SIZE, PERCENT = 4, 85
 TILE = 1024
 #: N-grams moved to the end of the order: bounds the broadcast list (8 bytes each).
-COMMON = 100_000
+COMMON = 200_000
+#: Passes in which each row meets one pivot.
+ROUNDS = 2
+#: Set signatures broadcast at most (8 bytes each) to pick texts; beyond, a shuffled join.
+BROADCAST_ROWS = 2_000_000
 
 
 def ngrams(text: bytes, size: int = SIZE) -> np.ndarray:
@@ -69,15 +75,15 @@ def least_overlap(n: np.ndarray | int, percent: int = PERCENT):
 
 def _common(docs: DataFrame, size: int, limit: int) -> np.ndarray:
     """The n-grams that most documents hold, by lossy counting: every task counts
-    its documents in portions and passes on n-grams of at least 1/500 of a
-    portion; the sums over all tasks are ranked."""
+    its documents in portions and passes on n-grams of at least 1/3000 of a
+    portion (three documents); the sums over all tasks are ranked."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
             keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(3, len(held) / 500)
+            often = counts >= max(3, len(held) / 3000)
             return pa.record_batch([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["g", "n"])
 
         for batch in batches:
@@ -86,7 +92,7 @@ def _common(docs: DataFrame, size: int, limit: int) -> np.ndarray:
                 if len(own):
                     held.append(own)
                     n += len(own)
-                if n >= 1 << 21:
+                if n >= 1 << 22:
                     yield flush()
                     held, n = [], 0
         if held:
@@ -162,10 +168,9 @@ def _unsigned(values: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, percent: int, store: RoundStore) -> DataFrame:
     """Those of ``pairs`` (a, b: signatures) that link: first by their prefixes, then
     exactly, on the whole sets made from their texts again."""
-    spark = pairs.sparkSession
     own = rows.select("sig", "n", "prefix")
     sized = (pairs.join(own.select(F.col("sig").alias("a"), F.col("n").alias("an"), F.col("prefix").alias("ap")), "a")
              .join(own.select(F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("prefix").alias("bp")), "b"))
@@ -175,9 +180,11 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, per
             _unsigned(batch["ap"]), _unsigned(batch["bp"]), batch["an"].to_pylist(), batch["bn"].to_pylist(), strict=True)]
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    left = written(spark, mapped(sized.select("a", "b", "an", "bn", "ap", "bp"), bound, "a long, b long"), "join-bounded")
+    left = store.put(mapped(sized.select("a", "b", "an", "bn", "ap", "bp"), bound, "a long, b long"), "bounded", keep=1)
     needed = left.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    of = rows.select("sig", F.col("doc_id").alias("_id")).join(needed, "sig", "left_semi")
+    of = store.put(rows.select("sig", F.col("doc_id").alias("_id")).join(needed, "sig", "left_semi"), "needed", keep=1)
+    if of.count() <= BROADCAST_ROWS:  # the texts then stay where they are
+        of = F.broadcast(of)
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [ngrams(t, size) for t in texts(batch["text"])]
@@ -187,7 +194,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, per
                                ["sig", "s"]).filter(asked)
 
     whole = docs.select("doc_id", "text").join(of, F.col("doc_id").eqNullSafe(F.col("_id"))).select("sig", "text")
-    whole = written(spark, mapped(whole, sets, "sig long, s binary").dropDuplicates(["sig"]), "join-sets")
+    whole = store.put(mapped(whole, sets, "sig long, s binary").dropDuplicates(["sig"]), "sets", keep=1)
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -199,70 +206,115 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, per
 
     joined = (left.join(whole.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a")
               .join(whole.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y"))
-    return written(spark, mapped(joined, compare, "a long, b long"), "join-links")
-
-
-def tile_pairs(column: int, sig: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray,
-               prefixes: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs of a tile that may link: rows of different components (and, in a tile
-    of two halves, of different ``side``), whose overlap count over the prefix
-    columns reaches the size-derived bound, and whose first shared column is
-    ``column`` (so a pair comes from one block only)."""
-    lengths = np.array([len(p) for p in prefixes])
-    flat = np.concatenate(prefixes)
-    last = np.array([p[-1] for p in prefixes])
-    row = np.repeat(np.arange(len(prefixes)), lengths)
-    order = np.argsort(flat, kind="stable")
-    keys, holders = flat[order], row[order]
-    two = len(np.unique(side)) > 1
-    out = []
-    for a in range(len(prefixes) - 1):
-        lo = np.searchsorted(keys, prefixes[a], "left")
-        hi = np.searchsorted(keys, prefixes[a], "right")
-        met = np.concatenate([holders[i:j] for i, j in zip(lo, hi, strict=True)])
-        counts = np.bincount(met[met > a], minlength=len(prefixes))
-        b = np.flatnonzero(counts)
-        b = b[(root[b] != root[a]) & (100 * np.minimum(n[b], n[a]) >= percent * np.maximum(n[b], n[a]))]
-        if two:
-            b = b[side[b] != side[a]]
-        left = np.where(last[a] <= last[b], n[a] - lengths[a], n[b] - lengths[b])
-        b = b[counts[b] + left >= _least_shared(n[a], n[b], percent)]
-        for k in b.tolist():
-            if np.intersect1d(prefixes[a], prefixes[k], assume_unique=True)[0] == column:
-                out.append((int(min(sig[a], sig[k])), int(max(sig[a], sig[k]))))
+    links = store.put(mapped(joined, compare, "a long, b long"), "links", keep=99)
+    for tag in ("bounded", "needed", "sets"):
+        store.drop(tag)
+    return links
+
+
+#: Tiles up to this many rows are multiplied together, row pair by row pair.
+SMALL_TILE = 64
+
+
+def _allowed(n, m, lengths, lengths_m, last, last_m, counts, percent: int):
+    """Whether rows whose prefixes share ``counts`` columns may reach the least overlap:
+    what they share up to the earlier prefix's end is in both prefixes, the rest
+    is at most what that row has left."""
+    left = np.where(last <= last_m, n - lengths, m - lengths_m)
+    return counts + left >= _least_shared(n, m, percent)
+
+
+def pair_counts(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Overlap counts of many pairs of rows; row k has the distinct 16-bit numbers
+    ``flat[start[k]:start[k] + size[k]]``."""
+    out = np.zeros(len(a), np.int64)
+    for lo in range(0, len(a), 16384):
+        keys = []
+        for side in (a[lo:lo + 16384], b[lo:lo + 16384]):
+            n = size[side]
+            pair = np.repeat(np.arange(len(side), dtype=np.int64), n)
+            at = np.arange(n.sum()) + np.repeat(start[side] - np.cumsum(n) + n, n)
+            keys.append(pair << 16 | flat[at])
+        both = np.sort(np.concatenate(keys))
+        twice = both[1:][both[1:] == both[:-1]] >> 16
+        out[lo:lo + 16384] = np.bincount(twice, minlength=len(a[lo:lo + 16384]))
     return out
 
 
-def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """``tile_pairs`` of every tile in a stream sorted by tile; one tile is held at a time."""
-    names = ["c", "lo", "hi"]
-    held: list[pa.RecordBatch] = []
-    key = None
-
-    def done() -> Iterator[pa.RecordBatch]:
-        tile = pa.Table.from_batches(held).combine_chunks()
-        if tile.num_rows > 1:
-            prefixes = [p for chunk in tile["prefix"].chunks for p in _unsigned(chunk)]
-            got = tile_pairs(int(np.int64(key[0]).view(np.uint64)), *(tile[c].to_numpy() for c in ("sig", "n", "root", "t")),
-                             prefixes, percent)
-            if got:
-                a, b = zip(*got, strict=True)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def tile_pairs(tile: np.ndarray, cross: np.ndarray, sig: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray,
+               last: np.ndarray, sketches: list[bytes], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs of the same ``tile`` (rows sorted by it) that may link: rows of
+    different components and near sizes, whose overlap count over the prefix
+    columns reaches the size-derived bound. In a ``cross`` tile, of two halves of a
+    block, only rows of different ``side`` pair. ``sketches``: a row's distinct 16-bit
+    hashes of its prefix columns; ``last``: its last prefix column."""
+    size = np.array([len(x) // 2 for x in sketches])
+    start = np.cumsum(size) - size
+    flat = np.frombuffer(b"".join(sketches), "<u2").astype(np.int64)
+    lengths = n - least_overlap(n, percent) + 1
+    # columns of equal hash inside a row count once in its sketch: add what a sketch lost
+    lost = lengths - size
+    found = []
+
+    def may_pair(a, b):
+        return ((root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+                & (~cross[a] | (side[a] != side[b])))
+
+    def keep(a, b, counts):
+        ok = _allowed(n[a], n[b], lengths[a], lengths[b], last[a], last[b], counts + lost[a], percent)
+        found.append(np.stack([sig[a[ok]], sig[b[ok]]]))
+
+    cuts = np.append(np.flatnonzero(np.diff(tile, prepend=tile[:1] - 1)), len(tile))
+    rows = np.diff(cuts)
+    small = np.repeat(rows <= SMALL_TILE, rows)
+    for d in range(1, min(SMALL_TILE, int(rows.max(initial=1)))):
+        a = np.arange(len(tile) - d)
+        b = a + d
+        a = a[(tile[a] == tile[b]) & small[a] & may_pair(a, b)]
+        if len(a):
+            keep(a, a + d, pair_counts(flat, start, size, a, a + d))
+    for lo, hi in zip(cuts[:-1][rows > SMALL_TILE], cuts[1:][rows > SMALL_TILE], strict=True):
+        own = flat[start[lo]:start[hi - 1] + size[hi - 1]]
+        order = np.argsort(own, kind="stable")
+        keys, holders = own[order], np.repeat(np.arange(hi - lo), size[lo:hi])[order]
+        for a in range(lo, hi - 1):
+            b = np.arange(a + 1, hi)
+            b = b[may_pair(np.full(len(b), a), b)]
+            if len(b):
+                mine = flat[start[a]:start[a] + size[a]]
+                left, right = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
+                met = np.concatenate([holders[i:j] for i, j in zip(left, right, strict=True)])
+                keep(np.full(len(b), a), b, np.bincount(met, minlength=hi - lo)[b - lo])
+    if not found:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    every = np.concatenate(found, axis=1)
+    every = np.unique(np.sort(every, axis=0), axis=1)
+    return every[0], every[1]
+
 
+def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """``tile_pairs`` over a stream sorted by tile; whole tiles are taken as they
+    come, the last one waits for its other rows."""
+    def done(rows: pa.Table, tile: np.ndarray) -> pa.RecordBatch:
+        a, b = tile_pairs(tile, rows["lo"].to_numpy() != rows["hi"].to_numpy(),
+                          *(rows[c].to_numpy() for c in ("sig", "n", "root", "t")),
+                          rows["last"].to_numpy().view(np.uint64), rows["sketch"].to_pylist(), percent)
+        return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    held: pa.Table | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        parts = np.stack([batch[c].to_numpy() for c in names], axis=1)
-        cuts = [0, *(np.flatnonzero((parts[1:] != parts[:-1]).any(axis=1)) + 1).tolist(), len(parts)]
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            own = tuple(parts[i].tolist())
-            if held and own != key:
-                yield from done()
-                held = []
-            key = own
-            held.append(batch.slice(i, j - i))
-    if held:
-        yield from done()
+        rows = pa.Table.from_batches([batch])
+        held = rows if held is None else pa.concat_tables([held, rows])
+        parts = np.stack([held[c].to_numpy() for c in ("c", "lo", "hi")], axis=1)
+        tile = np.cumsum(np.append(False, (parts[1:] != parts[:-1]).any(axis=1)))
+        cut = int(np.searchsorted(tile, tile[-1]))
+        if cut:
+            yield done(held.slice(0, cut), tile[:cut])
+            held = held.slice(cut)
+    if held is not None:
+        yield done(held, np.zeros(held.num_rows, np.int64))
 
 
 def _roots(links: DataFrame) -> DataFrame:
@@ -272,43 +324,55 @@ def _roots(links: DataFrame) -> DataFrame:
     return found.select("sig", F.col("component").alias("root"))
 
 
-def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tile: int = TILE) -> DataFrame:
+def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tile: int = TILE,
+               rounds: int = ROUNDS) -> DataFrame:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id``."""
     spark = docs.sparkSession
-    matrix = written(spark, incidence(docs, size, percent), "join-incidence")
+    store = RoundStore(spark, "ngram-join")
+    matrix = store.put(incidence(docs, size, percent), "incidence")
     # one row per distinct set; a copy group of any size is combined before the shuffle
     firsts = matrix.filter(F.size("prefix") > 0).groupBy("sig").agg(F.min("doc_id").alias("_id"))
     rows = matrix.join(firsts.withColumnRenamed("sig", "_s"),
                        (F.col("sig") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    rows = written(spark, rows.dropDuplicates(["sig"]), "join-rows")
+    rows = store.put(rows.dropDuplicates(["sig"]), "rows")
 
     entries = rows.select(F.explode("prefix").alias("c"), "sig", "n")
-    pivot = F.min(F.struct(F.xxhash64("sig").alias("h"), "sig", "n")).alias("pivot")
-    blocks = entries.groupBy("c").agg(F.count(F.lit(1)).alias("m"), pivot).filter(F.col("m") > 1)
-    held = written(spark, entries.join(blocks, "c").select(
-        "c", "sig", "n", "m", F.col("pivot.sig").alias("ps"), F.col("pivot.n").alias("pn")), "join-blocks")
-
-    near = F.lit(100) * F.least("n", "pn") >= F.lit(percent) * F.greatest("n", "pn")
-    stars = (held.filter((F.col("sig") != F.col("ps")) & near)
-             .select(F.least("sig", "ps").alias("a"), F.greatest("sig", "ps").alias("b")).distinct())
-    links = _verified(stars, rows, docs, size, percent)
-
-    # blocks of several components, without their pivots (those pairs are decided)
-    known = _roots(links)
-    rooted = (held.filter(F.col("m") > 2).join(known, "sig", "left")
-              .withColumn("root", F.coalesce("root", "sig")))
-    mixed_ = rooted.groupBy("c").agg(F.min("root").alias("_a"), F.max("root").alias("_z")).filter("_a <> _z").select("c")
-    open_ = rooted.filter(F.col("sig") != F.col("ps")).join(mixed_, "c", "left_semi")
+    shared = entries.groupBy("c").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
+    open_ = store.put(entries.join(shared, "c").select("c", "sig", "n", "m", F.col("sig").alias("root")), "open", keep=1)
+    links = spark.createDataFrame([], "a long, b long")
+    for k in range(rounds):
+        pivots = open_.groupBy("c").agg(F.min(F.struct(F.xxhash64("root", F.lit(k)).alias("h"), "sig", "n", "root")).alias("p"))
+        met = open_.join(pivots, "c").filter(
+            (F.col("root") != F.col("p.root"))
+            & (F.lit(100) * F.least("n", "p.n") >= F.lit(percent) * F.greatest("n", "p.n")))
+        pairs = met.groupBy("sig").agg(F.min("p").alias("p")).select(
+            F.least("sig", "p.sig").alias("a"), F.greatest("sig", "p.sig").alias("b")).distinct()
+        found = _verified(pairs, rows, docs, size, percent, store)
+        links = links.unionByName(found)
+        roots = store.put(_contracted(open_.select("sig", "root").distinct(), found, k, store), "roots", keep=1)
+        open_ = store.put(_open(open_, roots), "open", keep=1)
+
+    # each row as a compact sketch: 16-bit hashes of its columns, and the last one
+    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        own = _unsigned(batch["prefix"])
+        return pa.record_batch([batch["sig"], pa.array([np.unique((mixed(x) >> np.uint64(48)).astype("<u2")).tobytes() for x in own],
+                                                       pa.binary()),
+                                pa.array([x[-1:].view(np.int64)[0] for x in own], pa.int64())], ["sig", "sketch", "last"])
+
+    sketches = mapped(rows.select("sig", "prefix").join(open_.select("sig").distinct(), "sig", "left_semi"), sketch,
+                      "sig long, sketch binary, last long")
     sides = F.ceil(F.col("m") / F.lit(tile)).cast("long")
     mine = F.pmod(F.xxhash64("sig", F.lit(3)), sides)
-    open_ = (open_.withColumn("t", mine).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), sides - 1)))
-             .select("c", F.least("t", "k").alias("lo"), F.greatest("t", "k").alias("hi"), "sig", "n", "root", "t"))
-    open_ = open_.join(rows.select("sig", "prefix"), "sig")
-    tiles = open_.select("c", "lo", "hi", "sig", "n", "root", "t", "prefix").repartition("c", "lo", "hi").sortWithinPartitions("c", "lo", "hi")
-    more = written(spark, tiles.mapInArrow(lambda it: _tiles(it, percent), "a long, b long"), "join-tiles")
-    links = links.unionByName(_verified(more, rows, docs, size, percent))
+    tiles = (open_.withColumn("t", mine).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), sides - 1)))
+             .select("c", F.least("t", "k").alias("lo"), F.greatest("t", "k").alias("hi"), "sig", "n", "root", "t")
+             .join(sketches, "sig").select("c", "lo", "hi", "sig", "n", "root", "t", "sketch", "last")
+             .repartition("c", "lo", "hi").sortWithinPartitions("c", "lo", "hi"))
+    more = store.put(tiles.mapInArrow(lambda it: _tiles(it, percent), "a long, b long").distinct(), "tiles")
+    links = links.unionByName(_verified(more, rows, docs, size, percent, store))
 
     found = _roots(links)
+    for tag in ("open", "tiles", "rows", "roots", "up"):
+        store.drop(tag)
     light = (matrix.select("doc_id", "n", "sig").join(found, "sig", "left")
              .withColumn("root", F.coalesce("root", "sig")))
     least = light.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -317,6 +381,33 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tile:
     return linked.unionByName(empty)
 
 
+def _contracted(roots: DataFrame, links: DataFrame, k: int, store: RoundStore) -> DataFrame:
+    """``sig, root`` after ``links``: each linked root points to the neighbour root of
+    least hash, if that is less than its own, and pointers are followed eight
+    steps. Equal roots are always connected; the converse need not hold yet (what
+    is left apart is only compared again), so no iteration to the end is needed."""
+    side = {x: roots.select(F.col("sig").alias(x), F.col("root").alias("r" + x)) for x in "ab"}
+    ends = links.join(side["a"], "a").join(side["b"], "b").filter("ra <> rb").select("ra", "rb").distinct()
+    ha, hb = F.xxhash64("ra", F.lit(k)), F.xxhash64("rb", F.lit(k))
+    arrows = ends.select(F.when(ha > hb, F.col("ra")).otherwise(F.col("rb")).alias("x"),
+                         F.when(ha > hb, F.struct(hb.alias("h"), F.col("rb").alias("y")))
+                         .otherwise(F.struct(ha.alias("h"), F.col("ra").alias("y"))).alias("to"))
+    up = store.put(arrows.groupBy("x").agg(F.min("to").alias("to")).select("x", F.col("to.y").alias("y")), "up", keep=1)
+    for _ in range(3):
+        nxt = up.select(F.col("x").alias("y"), F.col("y").alias("z"))
+        up = up.join(nxt, "y", "left").select("x", F.coalesce("z", "y").alias("y"))
+    return roots.join(up, roots["root"] == up["x"], "left").select("sig", F.coalesce("y", "root").alias("root"))
+
+
+def _open(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """The rows of blocks that hold several components, with their roots."""
+    rooted = (blocks.drop("root").join(known, "sig", "left")
+              .select("c", "sig", "n", "m", F.coalesce("root", "sig").alias("root")))
+    several = (rooted.groupBy("c").agg(F.min("root").alias("_a"), F.max("root").alias("_z"))
+               .filter("_a <> _z").select("c"))
+    return rooted.join(several, "c", "left_semi")
+
+
 def keep(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """One document of each group (the smallest id) and every document without
     links, whole rows with all columns. Rows that repeat an id and its text count
