@@ -16,9 +16,9 @@ a linking pair, and sizes must be within ``percent``.
    as many pairs as rows, however large the blocks; what links is contracted.
 3. Only blocks that still hold several components are multiplied out, in tiles
    of at most about ``TILE`` rows a side: inside a task, overlap counts of row
-   pairs of different components are accumulated over the prefix columns (as
-   16-bit hashes, which can only count too many), and pairs below the
-   size-derived bound are discarded there.
+   pairs of different components are accumulated over the prefix columns, and
+   pairs below the size-derived bound are discarded there; a pair comes from
+   the block of its least shared column only.
 4. Pairs are verified on their whole sets, exactly; component ids are the
    smallest document ids.
 
@@ -161,9 +161,9 @@ def prefix_allows(x: np.ndarray, y: np.ndarray, n: int, m: int, percent: int = P
     return len(np.intersect1d(x, y, assume_unique=True)) + left >= _least_shared(n, m, percent)
 
 
-def _unsigned(values: pa.Array) -> list[np.ndarray]:
-    """The rows of an Arrow column of long lists, as unsigned numbers."""
-    flat = values.values.to_numpy(zero_copy_only=False).view(np.uint64)
+def _lists(values: pa.Array) -> list[np.ndarray]:
+    """The rows of an Arrow column of long lists."""
+    flat = values.values.to_numpy(zero_copy_only=False)
     offsets = values.offsets.to_numpy()
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
@@ -177,7 +177,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, per
 
     def bound(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = [prefix_allows(x, y, n, m, percent) for x, y, n, m in zip(
-            _unsigned(batch["ap"]), _unsigned(batch["bp"]), batch["an"].to_pylist(), batch["bn"].to_pylist(), strict=True)]
+            *([x.view(np.uint64) for x in _lists(batch[c])] for c in ("ap", "bp")), batch["an"].to_pylist(), batch["bn"].to_pylist(), strict=True)]
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = store.put(mapped(sized.select("a", "b", "an", "bn", "ap", "bp"), bound, "a long, b long"), "bounded", keep=1)
@@ -224,44 +224,52 @@ def _allowed(n, m, lengths, lengths_m, last, last_m, counts, percent: int):
     return counts + left >= _least_shared(n, m, percent)
 
 
-def pair_counts(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Overlap counts of many pairs of rows; row k has the distinct 16-bit numbers
-    ``flat[start[k]:start[k] + size[k]]``."""
-    out = np.zeros(len(a), np.int64)
+def pair_counts(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple:
+    """Overlap counts of many pairs of rows and their least shared number (-1: none);
+    row k has the distinct numbers ``flat[start[k]:start[k] + size[k]]``, below 2**31."""
+    out, first = np.zeros(len(a), np.int64), np.full(len(a), -1, np.int64)
     for lo in range(0, len(a), 16384):
         keys = []
         for side in (a[lo:lo + 16384], b[lo:lo + 16384]):
             n = size[side]
             pair = np.repeat(np.arange(len(side), dtype=np.int64), n)
             at = np.arange(n.sum()) + np.repeat(start[side] - np.cumsum(n) + n, n)
-            keys.append(pair << 16 | flat[at])
+            keys.append(pair << 31 | flat[at])
         both = np.sort(np.concatenate(keys))
-        twice = both[1:][both[1:] == both[:-1]] >> 16
-        out[lo:lo + 16384] = np.bincount(twice, minlength=len(a[lo:lo + 16384]))
-    return out
+        twice = both[1:][both[1:] == both[:-1]]
+        pair = twice >> 31
+        out[lo:lo + 16384] = np.bincount(pair, minlength=len(a[lo:lo + 16384]))
+        new = np.append(True, pair[1:] != pair[:-1])[:len(pair)]
+        first[lo + pair[new]] = twice[new] & ((1 << 31) - 1)
+    return out, first
 
 
-def tile_pairs(tile: np.ndarray, cross: np.ndarray, sig: np.ndarray, n: np.ndarray, root: np.ndarray, side: np.ndarray,
-               last: np.ndarray, sketches: list[bytes], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+def tile_pairs(tile: np.ndarray, cross: np.ndarray, column: np.ndarray, sig: np.ndarray, n: np.ndarray,
+               root: np.ndarray, side: np.ndarray, last: np.ndarray, columns: list[np.ndarray],
+               percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of the same ``tile`` (rows sorted by it) that may link: rows of
     different components and near sizes, whose overlap count over the prefix
     columns reaches the size-derived bound. In a ``cross`` tile, of two halves of a
-    block, only rows of different ``side`` pair. ``sketches``: a row's distinct 16-bit
-    hashes of its prefix columns; ``last``: its last prefix column."""
-    size = np.array([len(x) // 2 for x in sketches])
+    block, only rows of different ``side`` pair. ``columns``: a row's prefix columns
+    in open blocks (rows of different components share no others); ``last``: its
+    last prefix column. A pair comes from the block of its least shared column only."""
+    size = np.array([len(x) for x in columns])
     start = np.cumsum(size) - size
-    flat = np.frombuffer(b"".join(sketches), "<u2").astype(np.int64)
+    names, flat = np.unique(np.concatenate(columns), return_inverse=True)
+    block = np.searchsorted(names, column)
     lengths = n - least_overlap(n, percent) + 1
-    # columns of equal hash inside a row count once in its sketch: add what a sketch lost
-    lost = lengths - size
     found = []
 
     def may_pair(a, b):
         return ((root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
                 & (~cross[a] | (side[a] != side[b])))
 
-    def keep(a, b, counts):
-        ok = _allowed(n[a], n[b], lengths[a], lengths[b], last[a], last[b], counts + lost[a], percent)
+    def keep(a, b, counts=None):
+        if counts is not None:
+            ok = _allowed(n[a], n[b], lengths[a], lengths[b], last[a], last[b], counts, percent)
+            a, b = a[ok], b[ok]
+        counts, first = pair_counts(flat, start, size, a, b)
+        ok = _allowed(n[a], n[b], lengths[a], lengths[b], last[a], last[b], counts, percent) & (first == block[a])
         found.append(np.stack([sig[a[ok]], sig[b[ok]]]))
 
     cuts = np.append(np.flatnonzero(np.diff(tile, prepend=tile[:1] - 1)), len(tile))
@@ -269,10 +277,9 @@ def tile_pairs(tile: np.ndarray, cross: np.ndarray, sig: np.ndarray, n: np.ndarr
     small = np.repeat(rows <= SMALL_TILE, rows)
     for d in range(1, min(SMALL_TILE, int(rows.max(initial=1)))):
         a = np.arange(len(tile) - d)
-        b = a + d
-        a = a[(tile[a] == tile[b]) & small[a] & may_pair(a, b)]
+        a = a[(tile[a] == tile[a + d]) & small[a] & may_pair(a, a + d)]
         if len(a):
-            keep(a, a + d, pair_counts(flat, start, size, a, a + d))
+            keep(a, a + d)
     for lo, hi in zip(cuts[:-1][rows > SMALL_TILE], cuts[1:][rows > SMALL_TILE], strict=True):
         own = flat[start[lo]:start[hi - 1] + size[hi - 1]]
         order = np.argsort(own, kind="stable")
@@ -287,8 +294,7 @@ def tile_pairs(tile: np.ndarray, cross: np.ndarray, sig: np.ndarray, n: np.ndarr
                 keep(np.full(len(b), a), b, np.bincount(met, minlength=hi - lo)[b - lo])
     if not found:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    every = np.concatenate(found, axis=1)
-    every = np.unique(np.sort(every, axis=0), axis=1)
+    every = np.sort(np.concatenate(found, axis=1), axis=0)
     return every[0], every[1]
 
 
@@ -297,8 +303,9 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     come, the last one waits for its other rows."""
     def done(rows: pa.Table, tile: np.ndarray) -> pa.RecordBatch:
         a, b = tile_pairs(tile, rows["lo"].to_numpy() != rows["hi"].to_numpy(),
-                          *(rows[c].to_numpy() for c in ("sig", "n", "root", "t")),
-                          rows["last"].to_numpy().view(np.uint64), rows["sketch"].to_pylist(), percent)
+                          *(rows[c].to_numpy() for c in ("c", "sig", "n", "root", "t")),
+                          rows["last"].to_numpy().view(np.uint64),
+                          [x for chunk in rows["cols"].chunks for x in _lists(chunk)], percent)
         return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     held: pa.Table | None = None
@@ -352,20 +359,14 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tile:
         roots = store.put(_contracted(open_.select("sig", "root").distinct(), found, k, store), "roots", keep=1)
         open_ = store.put(_open(open_, roots), "open", keep=1)
 
-    # each row as a compact sketch: 16-bit hashes of its columns, and the last one
-    def sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own = _unsigned(batch["prefix"])
-        return pa.record_batch([batch["sig"], pa.array([np.unique((mixed(x) >> np.uint64(48)).astype("<u2")).tobytes() for x in own],
-                                                       pa.binary()),
-                                pa.array([x[-1:].view(np.int64)[0] for x in own], pa.int64())], ["sig", "sketch", "last"])
-
-    sketches = mapped(rows.select("sig", "prefix").join(open_.select("sig").distinct(), "sig", "left_semi"), sketch,
-                      "sig long, sketch binary, last long")
+    # a row's columns in open blocks: rows of different components share no others
+    carried = (open_.groupBy("sig").agg(F.sort_array(F.collect_set("c")).alias("cols"))
+               .join(rows.select("sig", F.element_at("prefix", -1).alias("last")), "sig"))
     sides = F.ceil(F.col("m") / F.lit(tile)).cast("long")
     mine = F.pmod(F.xxhash64("sig", F.lit(3)), sides)
     tiles = (open_.withColumn("t", mine).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), sides - 1)))
              .select("c", F.least("t", "k").alias("lo"), F.greatest("t", "k").alias("hi"), "sig", "n", "root", "t")
-             .join(sketches, "sig").select("c", "lo", "hi", "sig", "n", "root", "t", "sketch", "last")
+             .join(carried, "sig").select("c", "lo", "hi", "sig", "n", "root", "t", "cols", "last")
              .repartition("c", "lo", "hi").sortWithinPartitions("c", "lo", "hi"))
     more = store.put(tiles.mapInArrow(lambda it: _tiles(it, percent), "a long, b long").distinct(), "tiles")
     links = links.unionByName(_verified(more, rows, docs, size, percent, store))
