@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from ratelens.llm import decontamination, encoding, length_buckets, ngram_join, quality_mil, quality_rules
 from ratelens.llm.common import small_batches, table, written
 
+#: Near duplicates of the pipeline: words of a shingle, least share of the union in percent.
+NEAR_SIZE, NEAR_PERCENT = 5, 80
+
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
@@ -31,9 +34,10 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def ngram_join_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates, on shingles of
+    ``NEAR_SIZE`` words (op8's own query has its own setting)."""
     small_batches(spark)
-    return ngram_join.keep(docs)
+    return ngram_join.keep(docs, size=NEAR_SIZE, percent=NEAR_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
