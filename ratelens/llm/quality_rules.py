@@ -7,8 +7,8 @@ One scan of whole texts, no shuffle: line features are counted with numpy over
 the bytes of an Arrow batch, Viterbi decoding runs per document.
 
 The field is fitted (numpy, exact gradients by forward-backward) from at most
-``train_docs`` labelled documents outside the held-out fold; a line inherits its
-document's quality label, and a training chain is at most ``chain`` lines.
+``train_docs`` labelled documents outside the held-out fold, on all lines of
+each; a line inherits its document's quality label.
 
 Defined results: null text = empty text; a document without words has no line,
 ``content_share`` 0 and fails the base rule; rows repeat as given; null ids stay
@@ -30,7 +30,6 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
 TRAIN_DOCS = 1500
-CHAIN = 24
 KEEP_SHARE = 0.5
 BOILERPLATE, CONTENT = 0, 1
 
@@ -130,58 +129,51 @@ def viterbi(scores: np.ndarray, transition: np.ndarray) -> np.ndarray:
     return out
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
-def fit_field(chains: list[tuple[np.ndarray, int]], rounds: int = 120, rate: float = 0.2, decay: float = 1e-3,
-              chain: int = CHAIN) -> Field:
+def fit_field(chains: list[tuple[np.ndarray, int]], rounds: int = 120, rate: float = 0.2,
+              decay: float = 1e-3) -> Field:
     """Maximum conditional likelihood of ``chains`` (line features, label of all
-    its lines) by Adam on the exact gradient; chains are padded and run side by side."""
-    chains = [(x[:chain], y) for x, y in chains if len(x)]
+    its lines) by Adam on the exact gradient. Whole chains run side by side, line
+    by line, the longest first; lines are laid out by their place, without padding."""
+    chains = sorted((c for c in chains if len(c[0])), key=lambda c: -len(c[0]))
     if len({y for _, y in chains}) < 2:
         return FALLBACK
-    n, longest = len(chains), max(len(x) for x, _ in chains)
-    data = np.zeros((n, longest, N_FEATURES))
-    there = np.zeros((n, longest))
+    lengths = np.array([len(x) for x, _ in chains])
     label = np.array([y for _, y in chains])
-    for i, (x, _) in enumerate(chains):
-        data[i, :len(x)] = x
-        there[i, :len(x)] = 1
+    longest = int(lengths[0])
+    alive = np.searchsorted(-lengths, -np.arange(longest))  # chains with a line at that place
+    start = np.append(0, np.cumsum(alive))
+    own = np.concatenate([np.arange(k) for k in alive])
+    place = np.repeat(np.arange(longest), alive)
+    data = np.concatenate([x for x, _ in chains])[(np.cumsum(lengths) - lengths)[own] + place]
+    later = np.arange(start[1], len(data))
+    before = start[place[later] - 1] + own[later]
+    last = start[lengths - 1] + np.arange(len(chains))
     # features of equal spread; the weights are scaled back at the end
-    spread = data[there > 0].std(axis=0)
+    spread = data.std(axis=0)
     spread[spread < 1e-9] = 1.0
     data /= spread
     # the rarer label weighs as much as the other
-    weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))
-    total = float((weight[:, None] * there).sum())
+    weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))[own]
+    total = float(weight.sum())
     emission, transition = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emission, transition)]
-    gold = np.zeros((n, longest, 2))
-    gold[np.arange(n), :, label] = 1
-    gold *= there[:, :, None]
-    pairs = there[:, 1:]
+    gold = np.eye(2)[label[own]]
+    hit = np.diag(np.bincount(label[own[later]], weight[later], minlength=2))
     for step in range(1, rounds + 1):
         s = data @ emission
-        alpha = np.zeros_like(s)
+        alpha = s.copy()
         beta = np.zeros_like(s)
-        alpha[:, 0] = s[:, 0]
         for t in range(1, longest):
-            new = _log_sum(alpha[:, t - 1, :, None] + transition, 1) + s[:, t]
-            alpha[:, t] = np.where(there[:, t, None] > 0, new, alpha[:, t - 1])
+            a = alpha[start[t - 1]:start[t - 1] + alive[t]]
+            alpha[start[t]:start[t + 1]] += np.logaddexp(a[:, :1] + transition[0], a[:, 1:] + transition[1])
         for t in range(longest - 2, -1, -1):
-            new = _log_sum(transition + (s[:, t + 1] + beta[:, t + 1])[:, None, :], 2)
-            beta[:, t] = np.where(there[:, t + 1, None] > 0, new, 0)
-        log_z = _log_sum(alpha[:, -1], 1)
-        node = np.exp(alpha + beta - log_z[:, None, None]) * there[:, :, None]
-        pair = np.exp(alpha[:, :-1, :, None] + transition + (s[:, 1:] + beta[:, 1:])[:, :, None, :]
-                      - log_z[:, None, None, None]) * pairs[:, :, None, None]
-        g_emission = np.einsum("ntf,ntl,n->fl", data, gold - node, weight) / total
-        hit = np.zeros((2, 2))
-        for k in (0, 1):
-            hit[k, k] = (weight[label == k] @ pairs[label == k]).sum()
-        g_transition = (hit - np.einsum("ntij,n->ij", pair, weight)) / total
+            b = s[start[t + 1]:start[t + 2]] + beta[start[t + 1]:start[t + 2]]
+            beta[start[t]:start[t] + alive[t + 1]] = np.logaddexp(b[:, :1] + transition[:, 0], b[:, 1:] + transition[:, 1])
+        log_z = np.logaddexp(alpha[last, 0], alpha[last, 1])[own][:, None]
+        node = np.exp(alpha + beta - log_z)
+        pair = np.exp(alpha[before][:, :, None] + transition + (s + beta - log_z)[later][:, None, :])
+        g_emission = data.T @ ((gold - node) * weight[:, None]) / total
+        g_transition = (hit - np.einsum("nij,n->ij", pair, weight[later])) / total
         for p, g, m in ((emission, g_emission, state[0]), (transition, g_transition, state[1])):
             g = g - decay * p
             m[0] = 0.9 * m[0] + 0.1 * g
@@ -190,17 +182,17 @@ def fit_field(chains: list[tuple[np.ndarray, int]], rounds: int = 120, rate: flo
     return Field(emission / spread[:, None], transition)
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, chain: int = CHAIN) -> Field:
-    """The field from a bounded sample of labelled documents (features are made
-    on the executors; at most ``train_docs * chain`` lines come back)."""
+def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
+    """The field from a bounded sample of labelled documents, all their lines
+    (features are made on the executors; 52 bytes a line come back)."""
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [line_table(t, word_hashes(t.split()))[1][:chain].astype("<f4").tobytes() for t in texts(batch["text"])]
+        rows = [line_table(t, word_hashes(t.split()))[1].astype("<f4").tobytes() for t in texts(batch["text"])]
         return pa.record_batch([batch["doc_id"], batch["y"], pa.array(rows, pa.binary())], ["doc_id", "y", "x"])
 
     sample = labelled_sample(docs, labels, "quality", train_docs)
     got = mapped(sample, features, "doc_id long, y int, x binary").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    return fit_field([(np.frombuffer(r.x, "<f4").reshape(-1, N_FEATURES).astype(float), r.y) for r in got], chain=chain)
+    return fit_field([(np.frombuffer(r.x, "<f4").reshape(-1, N_FEATURES).astype(float), r.y) for r in got])
 
 
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from conftest import SF_MID
+from ratelens.llm import quality_rules as rules
 
 
 def shingles(text, size):
@@ -54,3 +55,15 @@ def test_pipeline_near_duplicates_of_a_table_equal_all_pairs(spark):
     docs = [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
     got = sorted(r.doc_id for r in corpus_pipeline.ngram_join_stage(spark, frame, SF_MID).collect())
     assert got == plain_kept(docs, 5, 80)
+
+
+# -- quality rules: a training text counts to its end ---------------------------------------
+
+def test_field_learns_from_the_end_of_long_texts(spark):
+    plain = "\n".join(f"line {i} of plain words that say a thing" for i in range(30))
+    poor = plain + "\n" + "\n".join(f"### $$$ *** footer {i}" for i in range(30))
+    docs = spark.createDataFrame([(i, poor if i % 2 else plain) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(40)], "doc_id long, quality int")
+    field = rules.fit(docs, labels)
+    symbols = rules.FEATURES.index("symbols")
+    assert field.emission[symbols, rules.BOILERPLATE] > field.emission[symbols, rules.CONTENT] + 1
