@@ -10,7 +10,8 @@ a logistic unit scores the weighted passage representation.
 
 One scan of whole texts, no shuffle; the numpy model (about 20 000 weights,
 whatever the input) travels in the task closure.  It is fitted by Adam on at
-most ``train_docs`` labelled documents outside the held-out fold.
+most ``train_docs`` labelled documents outside the held-out fold, on all passages
+of each.
 
 Defined results: null text = empty text, one passage of zeros; repeated rows are
 scored each; null ids stay null; without both classes among the labels every
@@ -148,10 +149,10 @@ def fit_bags(bags: list[np.ndarray], labels: list[int], epochs: int = 12, batch:
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, passage: int = PASSAGE) -> Model:
-    """The model from a bounded sample; passages are encoded on the executors.
-    Of a training text the first 64 passages count, which bounds what comes back."""
+    """The model from a bounded sample of documents, all passages of each; passages
+    are encoded on the executors (544 bytes a passage come back)."""
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [passages(t, passage)[:64].astype("<f2").tobytes() for t in texts(batch["text"])]
+        rows = [passages(t, passage).astype("<f2").tobytes() for t in texts(batch["text"])]
         return pa.record_batch([batch["doc_id"], batch["y"], pa.array(rows, pa.binary())], ["doc_id", "y", "x"])
 
     sample = labelled_sample(docs, labels, "quality", train_docs)

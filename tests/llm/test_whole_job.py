@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 from conftest import SF_MID
+from ratelens.llm import quality_mil as mil
 from ratelens.llm import quality_rules as rules
 
 
@@ -67,3 +70,15 @@ def test_field_learns_from_the_end_of_long_texts(spark):
     field = rules.fit(docs, labels)
     symbols = rules.FEATURES.index("symbols")
     assert field.emission[symbols, rules.BOILERPLATE] > field.emission[symbols, rules.CONTENT] + 1
+
+
+# -- quality classifier: a training text counts to its end -----------------------------------
+
+def test_classifier_learns_from_the_end_of_long_texts(spark):
+    rows = spark.range(400).withColumnRenamed("id", "doc_id")
+    labels = rows.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("quality"))
+    tail = F.when(F.col("doc_id") % 2 == 0, F.repeat(F.lit("||| "), 64 * 6)).otherwise(F.repeat(F.lit("fine "), 64 * 6))
+    docs = rows.select("doc_id", F.concat(F.repeat(F.lit("word "), 64 * 64), tail).alias("text"))
+    model = mil.fit(docs, labels)
+    good, poor = model.scores([mil.passages(("word " * 64 * 64 + x * 64 * 6).encode()) for x in ("fine ", "||| ")])
+    assert good > 0.8 and poor < 0.2
