@@ -18,8 +18,8 @@ One scan of whole texts, no shuffle; the weights (1 MB) travel in the task
 closure.  Fitted on at most ``positives`` and ``unlabelled`` documents.
 
 Defined results: null text = empty text, whose score is the bias alone; repeated
-rows are scored each; null ids stay null; without positives every score is 0;
-extra columns are ignored.
+rows are scored each; null ids stay null; without positives every score is 0, with
+a single one the bias; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ _MASK = BUCKETS - 1
 N_KINDS = 4
 POSITIVES, UNLABELLED = 1500, 4500
 THRESHOLD = 0.3
+#: Positives that hold a bucket of evidence: see ``support``.
+LEAST, MOST_LEAST = 3, 6
 #: Word shares below this are no evidence: many words of a long text do not add up.
 FLOOR = 1e-3
 _OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -121,11 +123,19 @@ def _risk_gradients(bags: list[np.ndarray], w: np.ndarray, toxic: bool) -> tuple
     return float(loss.mean()), g
 
 
+def support(positives: int) -> int:
+    """How many of the sampled positives must hold a bucket before it counts: a
+    twelfth of them, from ``LEAST`` to ``MOST_LEAST``; two where only two are known."""
+    return max(2, min(positives, max(LEAST, min(MOST_LEAST, positives // 12))))
+
+
 def fit_bags(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 150,
-             rate: float = 0.15, decay: float = 0.04, least: int = 6, batch: int = 750, seed: int = 11) -> Model:
+             rate: float = 0.15, decay: float = 0.04, least: int | None = None, batch: int = 750, seed: int = 11) -> Model:
     """Non-negative PU risk by Adam; ``positive``/``unlabelled`` hold a row of
     buckets per distinct word of a document.  A bucket counts when ``least``
-    positive documents hold it."""
+    positive documents hold it (by default ``support`` of their number)."""
+    if least is None:
+        least = support(len(positive))
     known = np.zeros(BUCKETS, np.int32)
     for bag in positive:
         known[np.unique(bag)] += 1
@@ -164,9 +174,11 @@ def fit_bags(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     return Model(dict(zip(np.flatnonzero(kept).tolist(), w[1:-2].tolist(), strict=True)), float(w[-2]), float(w[-1]))
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED,
+        least: int | None = None) -> Model:
     """The model from bounded samples, in the order of a hash of the id; words
-    are hashed on the executors."""
+    are hashed on the executors. Buckets that fewer than ``least`` sampled positives
+    hold (default: ``support``) are not known to the model."""
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [np.array([word_buckets(w) for w in sorted(words(t))], "<i4").tobytes() for t in texts(batch["text"])]
         return pa.record_batch([batch["doc_id"], pa.array(rows, pa.binary())], ["doc_id", "x"])
@@ -181,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
     anyone = docs.select("doc_id", "text").join(F.broadcast(anyone.limit(unlabelled).distinct()), "doc_id")
     share = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("doc_id") != 2))
              .agg(F.avg("toxic")).first()[0])
-    return fit_bags(bags(toxic), bags(anyone), float(share or 0.0))
+    return fit_bags(bags(toxic), bags(anyone), float(share or 0.0), least=least)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SF_MID
 from ratelens.llm import quality_mil as mil
 from ratelens.llm import quality_rules as rules
+from ratelens.llm import registry
+from ratelens.llm import toxicity as tox
 
 
 def shingles(text, size):
@@ -82,3 +85,29 @@ def test_classifier_learns_from_the_end_of_long_texts(spark):
     model = mil.fit(docs, labels)
     good, poor = model.scores([mil.passages(("word " * 64 * 64 + x * 64 * 6).encode()) for x in ("fine ", "||| ")])
     assert good > 0.8 and poor < 0.2
+
+
+# -- toxicity: few positives teach as well ----------------------------------------------------
+
+def test_support_follows_the_number_of_positives():
+    assert [tox.support(n) for n in (0, 1, 2, 3, 9, 37, 48, 72, 1500)] == [2, 2, 2, 3, 3, 3, 4, 6, 6]
+
+
+def test_five_positives_teach_their_common_word():
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}{c}" for a in "bcdfg" for b in "aeiou" for c in "lmnrst"]
+
+    def bag(*more):
+        words = [*rng.choice(vocabulary, 6), *more]
+        return np.array([tox.word_buckets(w) for w in words], "<i4")
+
+    model = tox.fit_bags([bag("nastyword") for _ in range(5)], [bag() for _ in range(100)], 0.1)
+    score = model.scorer()
+    assert score(b"so nastyword here") >= tox.THRESHOLD > score(b"so plain here")
+
+
+def test_toxicity_query_on_a_small_table(spark):
+    rows = (registry.op4_toxicity(spark, SF_MID).filter("held_out")
+            .join(spark.read.parquet(f"{SF_MID}/labels.parquet"), "doc_id").collect())
+    toxic, clean = ([r.score for r in rows if r.toxic == k] for k in (1, 0))
+    assert np.mean([s >= tox.THRESHOLD for s in toxic]) > 0.8 and max(clean) < tox.THRESHOLD
