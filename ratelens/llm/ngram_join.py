@@ -39,10 +39,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import mapped, mixed, texts, window_hashes, word_hashes
+from ratelens.llm.common import SEPARATORS, mapped, mixed, texts, window_hashes, word_hashes
 from ratelens.operators.graph import connected_components
 from ratelens.session import RoundStore
 
@@ -121,9 +121,14 @@ def _signature(own: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(own.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _text_hash(name: str = "th") -> Column:
+    """With the id it names a row: an id may be repeated or missing."""
+    return F.xxhash64("text").alias(name)
+
+
 def incidence(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
-    """``doc_id, n, sig, prefix`` per row of ``docs``: set size, 64 bits of the
-    set's signature, and the prefix columns in the global order."""
+    """``doc_id, th, n, sig, prefix`` per row of ``docs``: a hash of the text, set size,
+    64 bits of the set's signature, and the prefix columns in the global order."""
     spark = docs.sparkSession
     by_rank = _common(docs, size, common)
     order = np.argsort(by_rank)
@@ -139,11 +144,11 @@ def incidence(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, common:
             cut = len(own) - least_overlap(len(own), percent) + 1 if len(own) >= smallest else 0
             prefixes.append(_columns(own, *tail.value)[:cut].view(np.int64))
         offsets = np.cumsum([0] + [len(p) for p in prefixes])
-        return pa.record_batch([batch["doc_id"].cast(pa.int64()), pa.array(n, pa.int64()), pa.array(sigs, pa.int64()),
+        return pa.record_batch([batch["doc_id"].cast(pa.int64()), batch["th"], pa.array(n, pa.int64()), pa.array(sigs, pa.int64()),
                                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes)))],
-                               ["doc_id", "n", "sig", "prefix"])
+                               ["doc_id", "th", "n", "sig", "prefix"])
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n long, sig long, prefix array<long>")
+    return mapped(docs.select("doc_id", "text", _text_hash()), run, "doc_id long, th long, n long, sig long, prefix array<long>")
 
 
 def _least_shared(n, m, percent: int):
@@ -182,18 +187,19 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, per
 
     left = store.put(mapped(sized.select("a", "b", "an", "bn", "ap", "bp"), bound, "a long, b long"), "bounded", keep=1)
     needed = left.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    of = store.put(rows.select("sig", F.col("doc_id").alias("_id")).join(needed, "sig", "left_semi"), "needed", keep=1)
+    of = store.put(rows.select("sig", F.col("doc_id").alias("_id"), F.col("th").alias("_th")).join(needed, "sig", "left_semi"), "needed", keep=1)
     if of.count() <= BROADCAST_ROWS:  # the texts then stay where they are
         of = F.broadcast(of)
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [ngrams(t, size) for t in texts(batch["text"])]
-        # a repeated id may bring another text than the one asked for
+        # texts of one id and one hash may still differ
         asked = pa.array([_signature(x) == s for x, s in zip(found, batch["sig"].to_pylist(), strict=True)], pa.bool_())
         return pa.record_batch([batch["sig"], pa.array([x.tobytes() for x in found], pa.binary())],
                                ["sig", "s"]).filter(asked)
 
-    whole = docs.select("doc_id", "text").join(of, F.col("doc_id").eqNullSafe(F.col("_id"))).select("sig", "text")
+    named = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
+    whole = docs.select("doc_id", "text", _text_hash()).join(of, named).select("sig", "text")
     whole = store.put(mapped(whole, sets, "sig long, s binary").dropDuplicates(["sig"]), "sets", keep=1)
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -331,9 +337,10 @@ def _roots(links: DataFrame) -> DataFrame:
     return found.select("sig", F.col("component").alias("root"))
 
 
-def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tile: int = TILE,
-               rounds: int = ROUNDS) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_shingles, component_id``."""
+def _rooted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tile: int = TILE,
+            rounds: int = ROUNDS) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, th, n, root``; rows of one component share ``root``
+    (rows without a word are in none)."""
     spark = docs.sparkSession
     store = RoundStore(spark, "ngram-join")
     matrix = store.put(incidence(docs, size, percent), "incidence")
@@ -374,8 +381,14 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tile:
     found = _roots(links)
     for tag in ("open", "tiles", "rows", "roots", "up"):
         store.drop(tag)
-    light = (matrix.select("doc_id", "n", "sig").join(found, "sig", "left")
-             .withColumn("root", F.coalesce("root", "sig")))
+    return (matrix.select("doc_id", "th", "n", "sig").join(found, "sig", "left")
+            .select("doc_id", "th", "n", F.coalesce("root", "sig").alias("root")))
+
+
+def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tile: int = TILE,
+               rounds: int = ROUNDS) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_shingles, component_id``."""
+    light = _rooted(docs, size, percent, tile, rounds)
     least = light.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = light.filter("n > 0").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = light.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -410,14 +423,19 @@ def _open(blocks: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """One document of each group (the smallest id) and every document without
-    links, whole rows with all columns. Rows that repeat an id and its text count
-    once; rows without an id cannot be named in a group and stay."""
-    found = components(docs, size, percent)
-    chosen = found.filter(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
-    named = docs.filter(F.col("doc_id").isNotNull()).join(chosen, "doc_id", "left_semi")
-    named = named.withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t")
-    return named.select(docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """One document of each group (the smallest id, then the least text hash; a row
+    without an id only where no other has one) and every document without links,
+    whole rows with all columns. Rows that repeat an id and its text count once;
+    texts without a word are in no group, and those without an id all stay."""
+    light = _rooted(docs, size, percent)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")).alias("f")
+    grouped = light.filter("n > 0").groupBy("root").agg(first).select("f.doc_id", "f.th")
+    wordless = light.filter("n = 0 AND doc_id IS NOT NULL").select("doc_id", "th").distinct()
+    chosen = grouped.unionByName(wordless).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    loose = F.col("doc_id").isNull() & (F.translate(F.coalesce("text", F.lit("")), SEPARATORS.decode(), "") == "")
+    named = docs.filter(~loose).withColumn("_t", _text_hash())
+    named = named.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left_semi")
+    return named.dropDuplicates(["doc_id", "_t"]).select(docs.columns).unionByName(docs.filter(loose))
 
 
 def oracle(size: int = SIZE, percent: int = PERCENT) -> str:

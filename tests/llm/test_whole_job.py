@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SF_MID
+from ratelens.llm import ngram_join
 from ratelens.llm import quality_mil as mil
 from ratelens.llm import quality_rules as rules
 from ratelens.llm import registry
@@ -111,3 +112,30 @@ def test_toxicity_query_on_a_small_table(spark):
             .join(spark.read.parquet(f"{SF_MID}/labels.parquet"), "doc_id").collect())
     toxic, clean = ([r.score for r in rows if r.toxic == k] for k in (1, 0))
     assert np.mean([s >= tox.THRESHOLD for s in toxic]) > 0.8 and max(clean) < tox.THRESHOLD
+
+
+# -- n-gram join: rows that share an id, or have none -------------------------------------------
+
+def test_one_row_of_a_group_stays_whatever_its_id(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (7, a + " more"), (7, b), (7, b), (None, a), (None, b + " too"), (None, "c " * 9),
+            (None, "c " * 9), (None, " "), (None, None), (3, ""), (3, "")]
+    got = ngram_join.keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, a), (7, b), (None, "c " * 9), (None, " "), (None, None), (3, "")]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_texts_of_one_id_are_not_multiplied(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(base[:k] + ["x"] + base[k + 1:])) for k in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, mapped = [], ngram_join.mapped
+
+    def counted(df, fn, schema):
+        if schema == "sig long, s binary":
+            seen.append(df.count())
+        return mapped(df, fn, schema)
+
+    monkeypatch.setattr(ngram_join, "mapped", counted)
+    got = ngram_join.components(docs).collect()
+    assert len(got) == len(rows) and seen and max(seen) <= len(rows)
