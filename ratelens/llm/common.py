@@ -43,14 +43,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int,
                     where: Column | None = None) -> DataFrame:
     """At most ``limit`` labelled documents outside the held-out fold, in the
     order of a hash of the id: ``doc_id, text, y``.  Contradicting repeats of a
-    label count as their maximum.  Ids first (light), texts by a join with those
-    bounded ids."""
+    label count as their maximum.  Ids first (light), texts by ``sampled``."""
     ids = (labels.filter(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & (fold("doc_id") != 2))
            .groupBy("doc_id").agg(F.max(label).cast("int").alias("y")))
     if where is not None:
         ids = ids.filter(where)
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return sampled(docs, ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit), limit)
+
+
+def sampled(docs: DataFrame, ids: DataFrame, limit: int) -> DataFrame:
+    """The texts of ``ids`` (distinct, bounded) with the columns of ``ids``: one row for
+    each different text of an id, at most ``limit`` rows in the order of a hash of id and
+    text, so that repeated rows neither pass the bound nor fill the sample.  Repeats
+    are combined and the order is taken on hashes; only chosen texts are carried."""
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("_t", F.xxhash64("text"))
+    keys = found.select("doc_id", "_t").distinct()
+    keys = keys.orderBy(F.xxhash64("doc_id", "_t"), "doc_id", "_t").limit(limit)
+    chosen = found.join(F.broadcast(keys), ["doc_id", "_t"], "left_semi")
+    return chosen.dropDuplicates(["doc_id", "_t"]).drop("_t")
 
 
 def texts(column: pa.Array) -> Iterator[bytes]:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ratelens.llm.common import fold, labelled_sample, mapped, texts
+from ratelens.llm.common import fold, labelled_sample, mapped, sampled, texts
 
 BUCKETS = 1 << 22
 _MASK = BUCKETS - 1
@@ -189,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabell
         return [np.frombuffer(r.x, "<i4").reshape(-1, N_KINDS) for r in got]
 
     toxic = labelled_sample(docs, labels, "toxic", positives, F.col("y") == 1)
-    anyone = docs.filter(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
-    anyone = docs.select("doc_id", "text").join(F.broadcast(anyone.limit(unlabelled).distinct()), "doc_id")
+    anyone = docs.filter(F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    anyone = sampled(docs, anyone.orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled), unlabelled)
     share = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold("doc_id") != 2))
              .agg(F.avg("toxic")).first()[0])
     return fit_bags(bags(toxic), bags(anyone), float(share or 0.0), least=least)

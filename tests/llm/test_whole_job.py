@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import SF_MID
-from ratelens.llm import ngram_join
+from ratelens.llm import common, ngram_join
 from ratelens.llm import quality_mil as mil
 from ratelens.llm import quality_rules as rules
 from ratelens.llm import registry
@@ -139,3 +139,31 @@ def test_texts_of_one_id_are_not_multiplied(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "mapped", counted)
     got = ngram_join.components(docs).collect()
     assert len(got) == len(rows) and seen and max(seen) <= len(rows)
+
+
+# -- samples: repeated rows neither pass the bound nor fill the sample ---------------------------
+
+def repeated(spark):
+    """One id on 300 rows of one text, one on 300 of different texts, and 60 others."""
+    rows = [(0, "copy")] * 300 + [(1, f"text {k}") for k in range(300)] + [(i, f"own {i}") for i in range(2, 62)]
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(62)], "doc_id long, quality int, toxic int")
+    return spark.createDataFrame(rows, "doc_id long, text string"), labels
+
+
+def test_labelled_sample_holds_its_bound_with_repeats(spark):
+    docs, labels = repeated(spark)
+    own = labels.filter(common.fold("doc_id") != 2)
+    got = common.labelled_sample(docs, own, "quality", 50).collect()
+    assert len(got) <= 50 and len({(r.doc_id, r.text) for r in got}) == len(got)
+    every = common.labelled_sample(docs, own, "quality", 1000).collect()
+    assert {r.doc_id for r in every} == {r.doc_id for r in own.collect()}
+    assert sum(r.doc_id == 0 for r in every) <= 1
+
+
+def test_unlabelled_sample_is_not_filled_by_one_id(spark, monkeypatch):
+    docs, labels = repeated(spark)
+    got = {}
+    monkeypatch.setattr(tox, "fit_bags", lambda p, u, prior, **k: got.update(p=p, u=u))
+    many = docs.filter("doc_id <> 1").unionByName(docs.filter("doc_id = 0"))
+    tox.fit(many, labels, positives=40, unlabelled=40)
+    assert len(got["p"]) <= 40 and len(got["u"]) == 40
