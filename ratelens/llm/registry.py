@@ -9,6 +9,7 @@ from ratelens.llm import (
     decontamination,
     encoding,
     extendible_sharding,
+    filter_audit,
     length_buckets,
     ngram_join,
     quality_mil,
@@ -78,6 +79,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(written(spark, token_counts.histogram(counted), "token-histogram"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules,
     op2_bit_packing,
@@ -89,10 +94,12 @@ QUERIES = {f.__name__: f for f in (
     op8_ngram_join,
     op9_url_filter,
     op10_token_counts,
+    op11_filter_audit,
 )}
 
 ORACLE = {
     "op5_extendible_hashing": extendible_sharding.oracle(),
     "op6_decontamination": decontamination.oracle(),
     "op8_ngram_join": ngram_join.oracle(),
+    "op11_filter_audit": filter_audit.oracle(),
 }
