@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ratelens.llm import (
+    conversation_trie,
     decontamination,
     encoding,
     extendible_sharding,
@@ -83,6 +84,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules,
     op2_bit_packing,
@@ -95,6 +100,7 @@ QUERIES = {f.__name__: f for f in (
     op9_url_filter,
     op10_token_counts,
     op11_filter_audit,
+    op12_conversation_trie,
 )}
 
 ORACLE = {
@@ -102,4 +108,5 @@ ORACLE = {
     "op6_decontamination": decontamination.oracle(),
     "op8_ngram_join": ngram_join.oracle(),
     "op11_filter_audit": filter_audit.oracle(),
+    "op12_conversation_trie": conversation_trie.oracle(),
 }
