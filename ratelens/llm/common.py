@@ -7,9 +7,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ratelens.operators.skew import HotKeys, hot_keys, split_join
 from ratelens.session import RoundStore
 
 #: Records of one Arrow batch: bounds a Python task's memory when texts are long.
@@ -33,6 +35,29 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return RoundStore(spark, name).put(df, "t")
 
 
+def opened(uri: str, write: bool = False):
+    """A file by path or URI (what ``pyarrow.fs`` opens), to write or for random access."""
+    system, path = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
+    if write:
+        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+        return system.open_output_stream(path, compression=None)  # a name in .gz is no order to compress
+    return system.open_input_file(path)
+
+
+#: Rows of a keyed table that ``joined`` broadcasts at most.
+BROADCAST_ROWS = 1_000_000
+
+
+def joined(big: DataFrame, keyed: DataFrame, key: str, n: str, total, how: str = "inner",
+           most: int | None = None, hot: HotKeys = HotKeys()) -> DataFrame:
+    """``big`` with ``keyed`` (written; a row per key, ``n`` = rows of the key in ``big``, whose rows
+    are ``total``): ``big`` stays in place while ``keyed`` is counted to be small, else
+    hot keys are broadcast and the rest is shuffled. Keys are never null."""
+    if keyed.count() <= (BROADCAST_ROWS if most is None else most):
+        return big.join(F.broadcast(keyed), key, how)
+    return split_join(big, keyed, key, hot_keys(keyed, key, n, total, hot), how)
+
+
 def fold(doc_id: str | Column) -> Column:
     """crc32 of the id's decimal text, modulo 4 (2 = held out); null ids: 0."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -33,13 +33,11 @@ from math import factorial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import written
+from ratelens.llm.common import joined, written
 from ratelens.operators.skew import HotKeys, hot_keys, split_join
 
 #: Rows of one hash in one task of the self-join.
 CHUNK = 1024
-#: Shared hashes broadcast at most (24 bytes of data each) to pick texts; beyond, a shuffled join.
-BROADCAST_ROWS = 1_000_000
 
 WORD_BREAK = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -85,13 +83,12 @@ def copies(docs: DataFrame, rows: DataFrame, part: str = "source", chunk: int =
     ``rows`` are the rows of ``docs`` by ``doc_id, h``. A hash with one id cannot hold a
     copy; for the others the text itself decides."""
     spark = docs.sparkSession
-    groups = (rows.filter(F.col("doc_id").isNotNull()).groupBy(F.col("h").alias("_h"))
+    named = F.col("doc_id").isNotNull()
+    groups = (rows.filter(named).groupBy("h")
               .agg(F.min("doc_id").alias("_lo"), F.max("doc_id").alias("_hi"), F.count(F.lit(1)).alias("_n"))
-              .filter("_lo < _hi").select("_h", "_lo", F.ceil(F.col("_n") / chunk).cast("int").alias("_salts")))
+              .filter("_lo < _hi").select("h", "_lo", "_n", F.ceil(F.col("_n") / chunk).cast("int").alias("_salts")))
     groups = written(spark, groups, "audit-groups")
-    if groups.count() <= BROADCAST_ROWS:  # the other texts then stay where they are
-        groups = F.broadcast(groups)
-    shared = _texts(docs, part).filter(F.col("doc_id").isNotNull()).join(groups, F.col("h") == F.col("_h"))
+    shared = joined(_texts(docs, part).filter(named), groups, "h", "_n", rows.count())
     firsts = (shared.groupBy("h", "text").agg(F.min("doc_id").alias("_first"), F.max("_salts").alias("_salts"))
               .select(F.col("h").alias("_h"), F.col("text").alias("_text"), "_first",
                       F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)).alias("_salt")))

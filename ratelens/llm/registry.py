@@ -19,6 +19,7 @@ from ratelens.llm import (
     token_pack,
     toxicity,
     url_filter,
+    warc,
 )
 from ratelens.llm.common import small_batches, table, written
 
@@ -88,6 +89,12 @@ def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    files = warc.write(table(spark, sf_dir, "pages"))
+    return warc.pages(warc.read(files, payloads=False))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules,
     op2_bit_packing,
@@ -101,6 +108,7 @@ QUERIES = {f.__name__: f for f in (
     op10_token_counts,
     op11_filter_audit,
     op12_conversation_trie,
+    op13_warc,
 )}
 
 ORACLE = {
@@ -109,4 +117,5 @@ ORACLE = {
     "op8_ngram_join": ngram_join.oracle(),
     "op11_filter_audit": filter_audit.oracle(),
     "op12_conversation_trie": conversation_trie.oracle(),
+    "op13_warc": warc.oracle(),
 }

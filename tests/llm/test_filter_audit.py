@@ -102,7 +102,10 @@ def test_shuffled_groups_and_hot_ids_give_the_same(spark, monkeypatch):
     rows = [(7, f"other text {k}", "s") for k in range(60)] + [(k, f"t {k // 2}", "u") for k in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     labels = spark.createDataFrame([(7, 1, 1), (9, 0, 1)], "doc_id long, quality int, toxic int")
-    monkeypatch.setattr(filter_audit, "BROADCAST_ROWS", 0)
+    rows += [(200 + k, "a hot text", "u") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    real = filter_audit.joined
+    monkeypatch.setattr(filter_audit, "joined", lambda *a: real(*a, most=0, hot=HotKeys(share=0.1, min_rows=1)))
     combos = filter_audit.combinations(filter_audit.failures(docs), labels, HotKeys(share=0.1, min_rows=1))
     assert got(filter_audit.interactions(combos, "ABCDE")) == plain(rows, [(7, 1, 1), (9, 0, 1)])
 
