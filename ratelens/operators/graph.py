@@ -1,9 +1,11 @@
 """Friend graph: edges, communities and their category taste.
 
 Iterative algorithms run as a short driver loop of DataFrame rounds (joins +
-partial aggregates).  Each round's table is written as parquet under the
-folder named by ``spark.checkpoint.dir`` and re-read: lineage stays one round
-deep and a lost executor costs one round, not a replay from the first scan.
+partial aggregates) whose work shrinks: components contract their edge table,
+label propagation votes again only around changed nodes.  Each round's table is
+written as parquet under the folder named by ``spark.checkpoint.dir`` and
+re-read: lineage stays one round deep and a lost executor costs one round, not
+a replay from the first scan.
 
 Skew: a hub user (or a component holding a third of all users) is a hot join
 key.  Every per-node aggregate is algebraic (min / count), so hub groups are
@@ -26,6 +28,8 @@ from ratelens.operators.topk import top_k_per_group
 from ratelens.session import RoundStore
 
 DEFAULT_HOT = HotKeys()
+#: Edges in one hash bucket of a written graph table, about (at most as many buckets as shuffle partitions).
+BUCKET_ROWS = 1 << 17
 
 
 def friend_edges(users: DataFrame, user_id: str = "user_id", friends: str = "friends",
@@ -48,132 +52,134 @@ def _directed(edges: DataFrame) -> DataFrame:
             .unionByName(edges.select(F.col("dst").alias("u"), F.col("src").alias("v"))))
 
 
-def _undirected(pairs: DataFrame) -> DataFrame:
-    """Both orientations of each pair, self loops dropped, de-duplicated."""
-    both = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
-        pairs.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    return both.filter(F.col("u") != F.col("v")).distinct()
+def _pairs(a: str, b: str, edges: DataFrame) -> DataFrame:
+    """``src < dst`` of two columns, self loops dropped, de-duplicated."""
+    return (edges.filter(F.col(a) != F.col(b))
+            .select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).distinct())
 
 
-def _large_star(e: DataFrame, hot_u: list) -> DataFrame:
-    """Every larger neighbour of u links to m(u) = min(u, neighbours of u);
-    hot nodes (a hub, a star centre) are joined by broadcast."""
-    m = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    bigger = e.filter(F.col("v") > F.col("u"))
-    return _undirected(split_join(bigger, m.select("u", "m"), "u", hot_u)
-                       .select(F.col("v").alias("a"), F.col("m").alias("b")))
+def _hot(counts: DataFrame, key: str, rows: int, policy: HotKeys) -> list:
+    """Hot keys of ``counts`` (``key, _deg``); none of ``rows`` rows can have one while they are few."""
+    return hot_keys(counts, key, "_deg", rows, policy) if rows > policy.min_rows else []
 
 
-def _small_star(e: DataFrame, hot_u: list) -> DataFrame:
-    """u and its smaller neighbours link to m = min(u, smaller neighbours).
-
-    An edge from a local minimum u to a larger w is re-emitted by w's own
-    small star (u is one of w's smaller neighbours), so connectivity holds."""
-    small = e.filter(F.col("v") < F.col("u"))
-    m = small.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    linked = split_join(small, m.select("u", "m"), "u", hot_u).select(F.col("v").alias("a"), F.col("m").alias("b"))
-    centre = m.select(F.col("u").alias("a"), F.col("m").alias("b"))
-    return _undirected(linked.unionByName(centre))
-
-
-def _signature(e: DataFrame) -> tuple:
-    """(edge count, order-free 64-bit hash sum) of an edge set."""
-    h = F.xxhash64("u", "v")
-    row = e.agg(F.count(F.lit(1)).alias("n"), F.sum(h.cast("decimal(38,0)")).alias("h")).collect()[0]
-    return row["n"], row["h"]
-
-
-def _same_edges(a: DataFrame, b: DataFrame) -> bool:
-    diff = (a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), ["u", "v"], "full_outer")
-            .filter(F.col("_a").isNull() | F.col("_b").isNull()))
-    return diff.limit(1).count() == 0
-
-
-class _Rounds:
-    """Round outputs: every ``write_every``-th one is written to the shared
-    checkpoint folder (lineage cut, survives executor loss); the ones in
-    between are persisted (memory and disk) and at most ``write_every - 1``
-    rounds are replayed from the last written table after a loss.
-
-    Default 1 (write every round): measured faster here as well, because a
-    written round is re-planned from a plain scan while a persisted one keeps
-    its whole plan."""
-
-    def __init__(self, store: RoundStore, tag: str, write_every: int):
-        self.store, self.tag, self.every = store, tag, max(1, write_every)
-        self.n = 0
-        self.cached: list[DataFrame] = []
-
-    def next(self, df: DataFrame) -> DataFrame:
-        from pyspark import StorageLevel
-        self.n += 1
-        if self.n % self.every == 0:
-            out = self.store.put(df, self.tag)
-            self.release()
-            return out
-        out = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self.cached.append(out)
-        return out
-
-    def release(self) -> None:
-        for c in self.cached:
-            c.unpersist()
-        self.cached = []
+def _hooked(edges: DataFrame, k: int, hot_u: list) -> DataFrame:
+    """``u, root`` for every node of ``edges``: each node hooks to the node of least hash among
+    itself and its neighbours, and pointers are followed twice (each time doubling
+    their reach).  Hashes fall along pointers, so no cycle arises; round ``k`` has its own hash."""
+    rank = F.struct(F.xxhash64("v", F.lit(k)).alias("h"), F.col("v").alias("v"))
+    own = F.struct(F.xxhash64("u", F.lit(k)).alias("h"), F.col("u").alias("v"))
+    up = (_directed(edges).groupBy("u").agg(F.min(rank).alias("m"))
+          .select("u", F.least(own, F.col("m")).getField("v").alias("root")))
+    for _ in range(2):
+        # a node's pointer is followed by at most its neighbours (the first time) or theirs
+        nxt = up.select(F.col("u").alias("root"), F.col("root").alias("_next"))
+        up = split_join(up, nxt, "root", hot_u).select("u", F.col("_next").alias("root"))
+    return up
 
 
 def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "user_id",
-                         max_rounds: int | None = None, write_every: int = 1, hot: HotKeys = DEFAULT_HOT) -> DataFrame:
+                         max_rounds: int | None = None, hot: HotKeys = DEFAULT_HOT,
+                         trace: list[int] | None = None) -> DataFrame:
     """``node, component``: component = smallest node id in its component.
 
-    Rounds go on until the edges no longer change; with ``max_rounds`` a run
-    that has not converged by then raises.
-
-    Alternating large-star / small-star rounds (Kiveris et al., "Connected
-    Components in MapReduce and Beyond", SoCC 2014): O(log^2 n) rounds, each a
-    grouped min plus joins on the node key; the edge set converges to one star
-    per component centred on its minimum.  Each round's edges are written to
-    the shared checkpoint folder and re-read (lineage cut, restart-safe).
+    Randomised contraction (Bögeholz, Brand and Todor, "In-database connected component
+    analysis", ICDE 2020): every round hooks each node to the node of least hash
+    around it, follows the pointers, and relabels and de-duplicates the edges by
+    the roots.  At least a third of the nodes are expected to go each round, whatever
+    the graph, so rounds are O(log n) and the written edge tables shrink; only
+    the table of the last round is read again.  At the end the pointer tables (one
+    row per node that was left in its round) are unrolled from the last to the first.
+
+    Every table is written to the shared checkpoint folder (lineage cut,
+    restart-safe).  ``trace`` collects the edge rows of each round; with
+    ``max_rounds`` a run that has edges left by then raises.
     """
     spark = vertices.sparkSession
     store = RoundStore(spark, "components")
-    e = store.put(_undirected(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))), "edges")
-    sig = _signature(e)
-    rounds = _Rounds(store, "edges", write_every)
+    e = store.put(_pairs("src", "dst", edges), "edges", keep=1)
+    rows = e.count()
+    rounds: list[DataFrame] = []
     for step in count(1):
+        if trace is not None:
+            trace.append(rows)
+        if not rows:
+            break
         if max_rounds is not None and step > max_rounds:
             raise RuntimeError(f"components have not converged after {max_rounds} rounds")
-        # one bounded hot list per round, from the written edge table: the split is
-        # correct for any list, the list only decides which rows go by broadcast.  It
-        # serves both stars: a node has at most its degree here of smaller neighbours
-        # after the large star
-        deg = e.groupBy("u").agg(F.count(F.lit(1)).alias("_deg"))
-        hot_u = hot_keys(deg, "u", "_deg", sig[0], hot)
-        nxt = rounds.next(_small_star(_large_star(e, hot_u), hot_u))
-        nsig = _signature(nxt)
-        # fingerprints are scan-only aggregates; the exact set comparison (a
-        # shuffle) runs only when they say nothing changed
-        done = nsig == sig and _same_edges(nxt, e)
-        e, sig = nxt, nsig
-        if done:
-            break
-    centre = e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("component"))
-    labels = (vertices.select(F.col(node).alias("u"))
-              .join(centre, "u", "left")
-              .select(F.col("u").alias(node), F.coalesce("component", "u").alias("component")))
-    out = store.put(labels, "labels")
-    rounds.release()
-    store.drop("edges")
+        deg = _directed(e).groupBy("u").agg(F.count(F.lit(1)).alias("_deg"))
+        hot_u = _hot(deg, "u", 2 * rows, hot)
+        up = store.put(_hooked(e, step, hot_u), f"up{step}", keep=1)
+        rounds.append(up)
+        a, b = (up.select(F.col("u").alias(c), F.col("root").alias("_" + c)) for c in ("src", "dst"))
+        e = store.put(_pairs("_src", "_dst", split_join(split_join(e, a, "src", hot_u), b, "dst", hot_u)), "edges", keep=2)
+        rows = e.count()
+    if not rounds:
+        return store.put(vertices.select(node, F.col(node).alias("component")), "labels")
+
+    def by_root(up: DataFrame, keyed: DataFrame) -> DataFrame:
+        """``up`` joined with a row per root; a root of very many nodes goes by broadcast."""
+        often = _hot(up.groupBy("root").agg(F.count(F.lit(1)).alias("_deg")), "root", up.count(), hot)
+        return split_join(up, keyed, "root", often, "left")
+
+    found = rounds[-1]
+    for up in reversed(rounds[:-1]):
+        later = found.select(F.col("u").alias("root"), F.col("root").alias("_later"))
+        found = store.put(by_root(up, later).select("u", F.coalesce("_later", "root").alias("root")), "found", keep=2)
+    least = found.groupBy("root").agg(F.least(F.min("u"), F.col("root")).alias("component"))
+    labels = by_root(found, least).select(F.col("u").alias("_u"), "component")
+    out = store.put(vertices.join(labels, F.col(node) == F.col("_u"), "left")
+                    .select(node, F.coalesce("component", node).alias("component")), "labels")
+    store.drop("edges", "found", *(f"up{k}" for k in range(1, len(rounds) + 1)))
     return out
 
 
+class _Votes:
+    """The fixed part of a label propagation: edges by listening node.
+
+    ``ties`` (u hears v) is bucketed by ``u``: neither finding who hears a changed node nor
+    taking the edges of the nodes that vote again shuffles it.  Edges of hot
+    nodes are kept beside it, evenly spread, and met by broadcast."""
+
+    def __init__(self, edges: DataFrame, store: RoundStore, hot: HotKeys):
+        kept = store.put(edges.select("src", "dst"), "pairs", keep=1)
+        both, rows = _directed(kept), 2 * kept.count()
+        self.hot = _hot(both.groupBy("u").agg(F.count(F.lit(1)).alias("_deg")), "u", rows, hot)
+        most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.buckets = buckets = max(1, min(most, -(-rows // BUCKET_ROWS)))
+        loud = F.col("u").isin(self.hot)
+        cold = both.filter(~loud) if self.hot else both.filter(F.col("u").isNotNull())
+        self.ties = store.put_bucketed(cold.repartition(buckets, "u"), "ties", "u", buckets, keep=1)
+        self.loud = store.put(both.filter(loud), "loud", keep=1) if self.hot else None
+        store.drop("pairs")
+
+    def of(self, nodes: DataFrame) -> DataFrame:
+        """The edges (u, v) of ``nodes`` (one column ``u``, distinct)."""
+        out = self.ties.join(nodes, "u", "left_semi")
+        if self.loud is None:
+            return out
+        return out.unionByName(self.loud.join(F.broadcast(nodes.filter(F.col("u").isin(self.hot))), "u", "left_semi"))
+
+    def all(self) -> DataFrame:
+        return self.ties if self.loud is None else self.ties.unionByName(self.loud)
+
+
 def label_propagation(vertices: DataFrame, edges: DataFrame, node: str = "user_id",
-                      max_rounds: int | None = None, write_every: int = 1, hot: HotKeys = DEFAULT_HOT) -> DataFrame:
-    """Synchronous label propagation until the labels settle.
+                      max_rounds: int | None = None, hot: HotKeys = DEFAULT_HOT,
+                      trace: list[tuple[int, int]] | None = None) -> DataFrame:
+    """Synchronous label propagation until the labels settle: ``node, community, settled``,
+    a row per distinct node.
 
     Each node takes the label most frequent among its neighbours, ties to the
     smallest label; isolated nodes keep their own.  ``min(struct(-count,
-    label))`` picks the winner as one algebraic aggregate per node.  Labels of
-    each round are written to the shared checkpoint folder and re-read.
+    label))`` picks the winner as one algebraic aggregate per node.
+
+    Delta iteration: after the first round only nodes with a neighbour whose label has
+    changed vote again (any other node would count the same votes), so what a round
+    shuffles follows the changed set: the changed ids, the edges of those who hear
+    them, and their votes.  The edge table (``_Votes``) and the labels of each round are
+    written in hash buckets of the node and are not shuffled.  ``trace`` collects
+    (changed nodes, edges of the nodes that voted) per round.
 
     Synchronous updates may end in a cycle of states instead of one state.  A
     cycle is recognised by a state seen before (its row count and hash sum); a
@@ -183,44 +189,53 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, node: str = "user_i
     """
     spark = vertices.sparkSession
     store = RoundStore(spark, "label-propagation")
-    d = store.put(_directed(edges), "edges")
-    # the edge set is fixed across rounds: its hot neighbour keys are found once
-    deg = d.groupBy("v").agg(F.count(F.lit(1)).alias("_deg"))
-    hot_v = hot_keys(deg, "v", "_deg", d.agg(F.count(F.lit(1))).scalar(), hot)
-
-    def step(labels: DataFrame) -> DataFrame:
-        votes = (split_join(d, labels.withColumnRenamed("node", "v"), "v", hot_v)
-                 .groupBy("u", "label").agg(F.count(F.lit(1)).alias("cnt")))
-        best = (votes.groupBy(F.col("u").alias("node"))
+    votes = _Votes(edges, store, hot)
+    buckets = votes.buckets
+    changed = F.col("old").isNotNull()
+
+    def voters(labels: DataFrame) -> DataFrame:
+        """Edges of the nodes that hear a node whose label has just changed."""
+        moved = labels.filter(changed).select(F.col("node").alias("u"))
+        return votes.of(votes.of(moved).select(F.col("v").alias("u")).distinct())
+
+    def step(labels: DataFrame, heard: DataFrame) -> DataFrame:
+        cast = split_join(heard, labels.select(F.col("node").alias("v"), "label"), "v", votes.hot)
+        counted = cast.groupBy("u", "label").agg(F.count(F.lit(1)).alias("cnt"))
+        best = (counted.groupBy(F.col("u").alias("node"))
                 .agg(F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("label").alias("label"))).alias("w"))
                 .select("node", F.col("w.label").alias("new")))
-        return labels.join(best, "node", "left").select("node", F.coalesce("new", "label").alias("label"))
-
-    def state(labels: DataFrame) -> tuple:
-        row = labels.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)"))).first()
-        return tuple(row)
-
-    labels = store.put(vertices.select(F.col(node).alias("node"), F.col(node).alias("label")), "labels")
-    seen = {state(labels): 0}
-    steps = _Rounds(store, "labels", write_every)
+        moved = F.col("new") != F.col("label")
+        nxt = labels.select("node", "label").join(best, "node", "left").select(
+            "node", F.coalesce("new", "label").alias("label"), F.when(moved, F.col("label")).alias("old"))
+        return store.put_bucketed(nxt, "labels", "node", buckets)
+
+    def state(labels: DataFrame) -> tuple[tuple, int]:
+        row = labels.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "label").cast("decimal(38,0)")),
+                         F.count("old")).first()
+        return (row[0], row[1]), row[2]
+
+    first = vertices.select(F.col(node).alias("node"), F.col(node).alias("label"), F.lit(None).cast(vertices.schema[node].dataType).alias("old"))
+    labels = store.put_bucketed(first.distinct().repartition(buckets, "node"), "labels", "node", buckets)
+    seen = {state(labels)[0]: 0}
+    heard = votes.all()
     for done in count(1):
         if max_rounds is not None and done > max_rounds:
             raise RuntimeError(f"labels have not settled after {max_rounds} rounds")
-        labels = steps.next(step(labels))
-        now = state(labels)
+        before, labels = heard, step(labels, heard)
+        now, moved = state(labels)
+        if trace is not None:
+            trace.append((moved, before.count()))
         if now in seen:
             break
         seen[now] = done
+        heard = voters(labels)
     # one more turn of the cycle (of one state, as a rule): least and greatest label per node
     held = store.put(labels.select("node", F.col("label").alias("lo"), F.col("label").alias("hi")), "cycle")
     for _ in range(done - seen[now] - 1):
-        labels = store.put(step(labels), "turn")
-        held = store.put(held.join(labels, "node").select("node", F.least("lo", "label").alias("lo"),
-                                                          F.greatest("hi", "label").alias("hi")), "cycle")
-    steps.release()
-    store.drop("edges")
-    store.drop("labels")
-    store.drop("turn")
+        labels = step(labels, voters(labels))
+        held = store.put(held.join(labels.select("node", "label"), "node").select(
+            "node", F.least("lo", "label").alias("lo"), F.greatest("hi", "label").alias("hi")), "cycle")
+    store.drop("ties", "loud", "labels")
     return held.select(F.col("node").alias(node), F.col("lo").alias("community"), (F.col("lo") == F.col("hi")).alias("settled"))
 
 

@@ -155,6 +155,7 @@ class RoundStore:
         self.spark = spark
         self.root = shared_dir(spark, f"rounds/{name}-{uuid.uuid4().hex}")
         self._written: dict[str, list[str]] = {}
+        self._tables: dict[str, str] = {}  # path -> catalog name of a bucketed table
         self._seq = 0
 
     def put(self, df, tag: str, keep: int = 2):
@@ -164,14 +165,35 @@ class RoundStore:
         df.write.mode("overwrite").parquet(path)
         self._written[tag].append(path)
         while len(self._written[tag]) > keep:
-            delete_path(self.spark, self._written[tag].pop(0))
+            self._delete(self._written[tag].pop(0))
         return self.spark.read.parquet(path)
 
-    def drop(self, tag: str) -> None:
-        for path in self._written.pop(tag, []):
-            delete_path(self.spark, path)
+    def put_bucketed(self, df, tag: str, column: str, buckets: int, keep: int = 2):
+        """As ``put``, in ``buckets`` hash buckets of ``column``: joins on it that shuffle
+        their other side into as many partitions do not shuffle this table.  The
+        rows should come hash-partitioned by ``column``, else a bucket has several files."""
+        self._seq += 1
+        path = f"{self.root}/{tag}/{self._seq}"
+        name = f"ratelens_{self.root.rsplit('-', 1)[-1]}_{tag}_{self._seq}".replace("-", "_")
+        df.write.mode("overwrite").bucketBy(buckets, column).format("parquet").option("path", path).saveAsTable(name)
+        self._tables[path] = name
+        self._written.setdefault(tag, []).append(path)
+        while len(self._written[tag]) > keep:
+            self._delete(self._written[tag].pop(0))
+        return self.spark.table(name)
+
+    def _delete(self, path: str) -> None:
+        if path in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(path)}")
+        delete_path(self.spark, path)
+
+    def drop(self, *tags: str) -> None:
+        for tag in tags:
+            for path in self._written.pop(tag, []):
+                self._delete(path)
 
     def close(self) -> None:
+        self.drop(*list(self._written))
         delete_path(self.spark, self.root)
 
 

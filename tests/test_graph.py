@@ -107,3 +107,109 @@ def test_label_cycles_are_recognised(spark):
     got = {r.user_id: (r.community, r.settled) for r in graph.label_propagation(v, e).collect()}
     # two neighbours swap labels for ever; the lone node keeps its own
     assert got == {"a": ("a", False), "b": ("a", False), "z": ("z", True)}
+
+
+# -- contraction ------------------------------------------------------------------
+
+def frames(spark, nodes, pairs):
+    v = spark.createDataFrame([(i,) for i in nodes], "user_id long")
+    return v, spark.createDataFrame(pairs, "src long, dst long")
+
+
+@pytest.mark.parametrize("shape", ["path", "star"])
+def test_written_edges_fall_every_round(spark, shape):
+    n = 400
+    pairs = [(i, i + 1) for i in range(n - 1)] if shape == "path" else [(n // 2, i) for i in range(n) if i != n // 2]
+    random.Random(3).shuffle(pairs)
+    v, e = frames(spark, range(n), pairs)
+    trace = []
+    assert {r.component for r in graph.connected_components(v, e, trace=trace).collect()} == {0}
+    assert trace[0] == n - 1 and trace[-1] == 0
+    assert all(a > b for a, b in zip(trace, trace[1:]))
+    assert len(trace) < 12
+
+
+def test_random_graph_equals_union_find(spark):
+    from ratelens.operators.skew import HotKeys
+    rng = random.Random(11)
+    nodes = rng.sample(range(10_000), 300)
+    pairs = [(rng.choice(nodes[k:k + 60]), rng.choice(nodes[k:k + 60])) for k in range(0, 300, 60) for _ in range(45)]
+    pairs += [(nodes[0], x) for x in nodes[1:50]] + pairs[:10] + [(b, a) for a, b in pairs[:10]]
+    up = {x: x for x in nodes}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in pairs:
+        lo, hi = sorted((find(a), find(b)))
+        up[hi] = lo
+    v, e = frames(spark, nodes, pairs)
+    for hot in (HotKeys(), HotKeys(share=0.05, min_rows=3)):
+        assert comps(graph.connected_components(v, e, hot=hot)) == {x: find(x) for x in nodes}
+    none = graph.connected_components(v, e.limit(0))
+    assert comps(none) == {x: x for x in nodes}
+
+
+# -- delta label propagation ---------------------------------------------------------
+
+def plain_labels(nodes, pairs):
+    from collections import Counter
+    near = {x: [] for x in nodes}
+    for a, b in pairs:
+        near[a].append(b)
+        near[b].append(a)
+    labels, states = {x: x for x in nodes}, []
+    while labels not in states:
+        states.append(labels)
+        votes = {x: Counter(labels[y] for y in near[x]) for x in nodes}
+        labels = {x: min((-c, y) for y, c in votes[x].items())[1] if votes[x] else labels[x] for x in nodes}
+    cycle = states[states.index(labels):]
+    return {x: (min(s[x] for s in cycle), len({s[x] for s in cycle}) == 1) for x in nodes}
+
+
+def test_delta_votes_equal_all_votes(spark):
+    from ratelens.operators.skew import HotKeys
+    rng = random.Random(4)
+    nodes = list(range(150))
+    pairs = [tuple(sorted(rng.sample(nodes, 2))) for _ in range(130)] + [(0, x) for x in range(1, 60)]
+    v, e = frames(spark, nodes, pairs)
+    want = plain_labels(nodes, pairs)
+    for hot in (HotKeys(), HotKeys(share=0.1, min_rows=10)):
+        got = graph.label_propagation(v, e, hot=hot).collect()
+        assert {r.user_id: (r.community, r.settled) for r in got} == want
+
+
+def test_late_rounds_follow_the_changed_nodes(spark):
+    """Many cliques settle at once, one path goes on: later rounds read the path's edges only."""
+    cliques = [(c * 5 + i, c * 5 + j) for c in range(50) for i in range(5) for j in range(i + 1, 5)]
+    path = [(1000 + i, 1001 + i) for i in range(10)]
+    nodes = sorted({x for p in cliques + path for x in p})
+    v, e = frames(spark, nodes, cliques + path)
+    trace = []
+    got = graph.label_propagation(v, e, trace=trace).collect()
+    assert {r.user_id: (r.community, r.settled) for r in got} == plain_labels(nodes, cliques + path)
+    assert trace[0] == (len(nodes), 2 * (len(cliques) + len(path)))
+    assert len(trace) > 6 and all(moved <= 11 and heard <= 2 * len(path) for moved, heard in trace[3:])
+
+
+def test_edges_are_not_shuffled_in_a_round(spark):
+    from ratelens.session import RoundStore
+    nodes = list(range(2000))
+    v, e = frames(spark, nodes, [(i, i + 1) for i in range(1999)])
+    store = RoundStore(spark, "votes-test")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    buckets, graph.BUCKET_ROWS = graph.BUCKET_ROWS, 10
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        votes = graph._Votes(e, store, graph.DEFAULT_HOT)
+        plan = votes.of(v.select(v["user_id"].alias("u")))._jdf.queryExecution().executedPlan().toString()
+        side = next(line for line in plan.splitlines() if "FileScan" in line)
+        assert "Bucketed: true" in side
+        # the one exchange is above the nodes, which are no file scan
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.index("FileScan") < plan.index("Exchange hashpartitioning")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        graph.BUCKET_ROWS = buckets
+        store.close()
