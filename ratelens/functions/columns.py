@@ -47,6 +47,36 @@ def literal_flag(col: str | Column, key: str) -> Column:
     return F.when(_c(col).isNull(), F.lit(None).cast("boolean")).otherwise(value == F.lit("True"))
 
 
+def literal_map(col: str | Column) -> Column:
+    """Python dict literal text -> ``map<string,boolean>``, parsed once for all keys.
+
+    A nested literal (as a dict, or as the text of one) adds its keys as
+    ``outer.inner``.  True / False become booleans, any other value (None, a word, a
+    number) a null; the last of a repeated key counts; text that is no literal, and
+    null, is null; ``{}`` is an empty map.  Keys hold no quotes."""
+    text = F.regexp_replace(_c(col), '"(\\{[^"]*\\})"', "$1")  # an inner literal kept as text
+    text = F.regexp_replace(text, "(?<![A-Za-z0-9_])u?'([^']*)'", '"$1"')
+    for word, json in (("True", "true"), ("False", "false"), ("None", "null")):
+        text = F.regexp_replace(text, f"(:\\s*){word}(?=\\s*[,}}])", f"$1{json}")
+    pairs = "map<string,string>"
+
+    def entries(json: Column) -> Column:
+        return F.map_entries(F.from_json(json, pairs))
+
+    def flat(e: Column) -> Column:
+        inner = F.transform(entries(e["value"]), lambda i: F.struct(
+            F.concat(e["key"], F.lit("."), i["key"]).alias("key"), i["value"].alias("value")))
+        return F.when(e["value"].startswith("{"), F.coalesce(inner, F.array().cast("array<struct<key:string,value:string>>"))) \
+            .otherwise(F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"))))
+
+    every = F.flatten(F.transform(entries(text), flat))
+    # the last of a repeated key
+    last = F.filter(every, lambda e, i: ~F.exists(F.slice(every, i + 2, F.size(every)), lambda later: later["key"] == e["key"]))
+    value = F.transform(last, lambda e: F.struct(e["key"].alias("key"), F.when(e["value"] == "true", F.lit(True))
+                                                 .when(e["value"] == "false", F.lit(False)).alias("value")))
+    return F.when(F.trim(_c(col)).startswith("{"), F.map_from_entries(value))
+
+
 def friend_count(col: str | Column, sep: str = ",", legacy: bool = False) -> Column:
     """Number of entries in a separator-joined friend list.
 

@@ -18,7 +18,6 @@ from collections.abc import Callable, Sequence
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import IDF, HashingTF, StopWordsRemover, Tokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -159,42 +158,75 @@ def objective_history(spark: SparkSession, model: PipelineModel) -> DataFrame:
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(hist)], "iteration int, loss double")
 
 
+HISTORY = ("step int, reg_param double, max_iter int, train_loss double, train_accuracy double, "
+           "val_loss double, val_accuracy double, kept boolean, best boolean")
+
+
+def loss_and_accuracy(scored: DataFrame, label: str) -> tuple[float, float]:
+    """Mean log-loss and accuracy of a scored table in one aggregate; (inf, 0) without rows."""
+    p = vector_to_array("probability")[F.col(label).cast("int")]
+    row = scored.agg(F.avg(-F.log(F.greatest(p, F.lit(1e-15)))), F.avg((F.col("prediction") == F.col(label)).cast("double"))).first()
+    return (float("inf"), 0.0) if row[0] is None else (float(row[0]), float(row[1]))
+
+
+def successive_halving(fit_part: DataFrame, valid: DataFrame, label: str, reg_params: Sequence[float],
+                       make: Callable[[float, int], LogisticRegression], budgets: Sequence[int], patience: int = 1,
+                       min_gain: float = 1e-4, parallelism: int = 3) -> tuple[float, int, list[tuple]]:
+    """Regularisation and iteration budget by validation loss.
+
+    Budgets grow from step to step.  A step fits every candidate that is left with its
+    budget (side by side), and drops the worse half of them.  When the best
+    validation loss has not fallen by ``min_gain`` for ``patience`` steps the search stops; the
+    best step's setting is returned, whichever step that was (ties: the earlier), with
+    the rows of ``HISTORY``: losses and accuracies of both parts for every fit."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    def run(setting: tuple[float, int]) -> tuple[float, float, float, float]:
+        model = make(*setting).fit(fit_part)
+        return (*loss_and_accuracy(model.transform(fit_part), label), *loss_and_accuracy(model.transform(valid), label))
+
+    alive, rows, best, stale = [float(r) for r in reg_params], [], None, 0
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        for step, budget in enumerate(sorted(int(b) for b in budgets)):
+            found = list(pool.map(run, [(reg, budget) for reg in alive]))
+            order = sorted(range(len(alive)), key=lambda i: (found[i][2], i))
+            kept = set(order[:-(-len(order) // 2)])
+            rows += [(step, reg, budget, *found[i], i in kept) for i, reg in enumerate(alive)]
+            loss = found[order[0]][2]
+            if best is None or loss < best[0] - min_gain:
+                best, stale = (loss, alive[order[0]], budget), 0
+            else:
+                stale += 1
+                if stale >= patience:
+                    break
+            alive = [reg for i, reg in enumerate(alive) if i in kept]
+    return best[1], best[2], [(*r, (r[1], r[2]) == best[1:]) for r in rows]
+
+
 def select_sentiment_model(train: DataFrame, key: str, text: str = "text", label: str = "label",
-                           reg_params=(0.001, 0.01, 0.1), max_iters=(100,), train_ratio: float = 0.8,
-                           seed: int = 42, parallelism: int = 3):
-    """Validation-driven choice of regularisation and iteration budget.
+                           reg_params=(0.001, 0.01, 0.1), budgets=(10, 30, 90), patience: int = 1,
+                           train_ratio: float = 0.8, seed: int = 42, parallelism: int = 3):
+    """The sentiment classifier with the regularisation and the iteration budget that a
+    validation part prefers (``successive_halving``: early stopping).
 
     Texts are tokenised and hashed once.  A key hash splits off the validation
     part, so the split does not depend on the layout; IDF comes from the rest.
-    Candidates are fitted side by side on the same persisted features; the best
-    by area under the curve (ties: the first) is fitted on all of ``train``.
-    Returns it and the ``reg_param, max_iter, auc, accuracy`` table."""
-    from concurrent.futures import ThreadPoolExecutor
-
+    The best setting is fitted on all of ``train``.  Returns the model and the
+    training history (``HISTORY``)."""
     stages, counts = term_counts(train, text, [key, label])
     fit_part, valid = hash_split(counts, [train_ratio, 1 - train_ratio], [key], seed + 1)
     idf = text_stages()[-1].fit(fit_part)
     fit_part = fit_part.withColumn("weight", class_weight(fit_part, label))
     fit_part = idf.transform(fit_part).drop("rawFeatures").persist(StorageLevel.MEMORY_AND_DISK)
     valid = idf.transform(valid).drop("rawFeatures").persist(StorageLevel.MEMORY_AND_DISK)
-    grid = [(float(reg), int(n)) for reg in reg_params for n in max_iters]
-    area = BinaryClassificationEvaluator(labelCol=label)
-    right = F.avg((F.col("prediction") == F.col(label)).cast("double"))
-
-    def candidate(setting: tuple[float, int]) -> tuple[float, float]:
-        scored = sentiment_lr(label, True, setting[1], setting[0]).fit(fit_part).transform(valid)
-        return float(area.evaluate(scored)), float(scored.agg(right).first()[0] or 0.0)
-
     try:
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            found = list(pool.map(candidate, grid))
+        reg, budget, rows = successive_halving(fit_part, valid, label, reg_params,
+                                               lambda reg, n: sentiment_lr(label, True, n, reg), budgets, patience, parallelism=parallelism)
     finally:
         fit_part.unpersist()
         valid.unpersist()
-    best = max(range(len(grid)), key=lambda i: (found[i][0], -i))
-    model = fit_sentiment_on_counts(stages, counts, label, grid[best][1], grid[best][0])
-    rows = [(*g, *f) for g, f in zip(grid, found)]
-    return model, train.sparkSession.createDataFrame(rows, "reg_param double, max_iter int, auc double, accuracy double")
+    model = fit_sentiment_on_counts(stages, counts, label, budget, reg)
+    return model, train.sparkSession.createDataFrame(rows, HISTORY)
 
 
 def load_or_fit(spark: SparkSession, path: str | None, fit: Callable[[], PipelineModel],
@@ -208,3 +240,19 @@ def load_or_fit(spark: SparkSession, path: str | None, fit: Callable[[], Pipelin
     model = fit()
     model.write().overwrite().save(path)
     return model
+
+
+def load_or_fit_with_history(spark: SparkSession, path: str | None,
+                             fit: Callable[[], tuple[PipelineModel, DataFrame]]) -> tuple[PipelineModel, DataFrame | None]:
+    """As ``load_or_fit``, with the training history kept as a table beside the model
+    (``<path>-history``); None where a model was saved without one."""
+    if path is None:
+        return fit()
+    table = f"{path.rstrip('/')}-history"
+    if path_exists(spark, path):
+        return PipelineModel.load(path), spark.read.parquet(table) if path_exists(spark, table) else None
+    model, history = fit()
+    # the model last: a folder without it is fitted anew
+    history.write.mode("overwrite").parquet(table)
+    model.write().overwrite().save(path)
+    return model, spark.read.parquet(table)

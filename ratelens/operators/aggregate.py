@@ -105,6 +105,34 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], digits: int = 4,
     return df.agg(*cols)
 
 
+def letter_values(df: DataFrame, col: str, accuracy: int = 100_000) -> DataFrame:
+    """Letter-value summary of a whole column (nulls left out): ``depth, probability, value, n,
+    n_below, n_up_to``, a row for the median (depth 1) and for both sides of every
+    further halving; the depth follows the rows, floor(log2 n) - 2 (at least 1), so the outermost
+    value rests on four to eight of them.
+
+    Values come from one mergeable quantile sketch (any column size; each is a value of the
+    column whose rank is off by at most n / ``accuracy``; exact up to ``accuracy`` rows).  A
+    second scan counts the rows below and up to each value, so the rank error is
+    checked, not assumed: a value outside its bound raises.  An empty column has no rows."""
+    x = _c(col).cast("double")
+    n = df.agg(F.count(x)).first()[0]
+    if not n:
+        return df.sparkSession.createDataFrame([], "depth int, probability double, value double, n long, n_below long, n_up_to long")
+    depths = range(1, max(1, n.bit_length() - 1 - 2) + 1)
+    probs = [(d, 0.5 ** d) for d in depths] + [(d, 1 - 0.5 ** d) for d in depths if d > 1]
+    values = df.agg(F.percentile_approx(x, [p for _, p in probs], accuracy)).first()[0]
+    counts = df.agg(*(F.count(F.when(x < v, 1)).alias(f"b{i}") for i, v in enumerate(values)),
+                    *(F.count(F.when(x <= v, 1)).alias(f"u{i}") for i, v in enumerate(values))).first()
+    rows = []
+    for i, ((depth, p), v) in enumerate(zip(probs, values)):
+        below, up_to, slack = counts[f"b{i}"], counts[f"u{i}"], n / accuracy + 1
+        if not below - slack <= p * n <= up_to + slack:
+            raise ArithmeticError(f"rank of the {p} quantile is off: {below}..{up_to} of {n}")
+        rows.append((depth, p, float(v), n, below, up_to))
+    return df.sparkSession.createDataFrame(rows, "depth int, probability double, value double, n long, n_below long, n_up_to long")
+
+
 def conditional_totals(df: DataFrame, predicted: str, correct: str, digits: int = 4) -> DataFrame:
     """One pass: positives, negatives, correct, total and accuracy."""
     total = F.count(F.lit(1))

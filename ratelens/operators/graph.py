@@ -239,9 +239,9 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, node: str = "user_i
     return held.select(F.col("node").alias(node), F.col("lo").alias("community"), (F.col("lo") == F.col("hi")).alias("settled"))
 
 
-def community_taste(communities: DataFrame, orders: DataFrame, lineitem: DataFrame, part: DataFrame,
-                    k: int = 3, user_id: str = "user_id", digits: int = 4) -> DataFrame:
-    """Top-k categories per community with share and lift over the global share.
+def category_counts(communities: DataFrame, orders: DataFrame, lineitem: DataFrame, part: DataFrame,
+                    user_id: str = "user_id", community: str = "component") -> DataFrame:
+    """``community, category, n`` of the lines that each community's users ordered.
 
     Aggregates are pushed below each join (line -> order -> customer ->
     community), so every shuffle carries per-key partial counts, not raw rows.
@@ -251,11 +251,64 @@ def community_taste(communities: DataFrame, orders: DataFrame, lineitem: DataFra
           .groupBy("l_orderkey", "p_type").agg(F.count(F.lit(1)).alias("n")))
     ct = (lt.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
           .groupBy("o_custkey", "p_type").agg(F.sum("n").alias("n")))
-    comm = communities.select(F.col(user_id).alias("uid"), F.col("component").alias("community"))
-    cc = (ct.join(comm, F.col("o_custkey").cast("string") == F.col("uid"))
-          .groupBy("community", F.col("p_type").alias("category"))
-          .agg(F.sum("n").cast("bigint").alias("n")))
-    return taste_table(cc, k, digits)
+    comm = communities.select(F.col(user_id).alias("uid"), F.col(community).alias("community"))
+    return (ct.join(comm, F.col("o_custkey").cast("string") == F.col("uid"))
+            .groupBy("community", F.col("p_type").alias("category"))
+            .agg(F.sum("n").cast("bigint").alias("n")))
+
+
+def community_taste(communities: DataFrame, orders: DataFrame, lineitem: DataFrame, part: DataFrame,
+                    k: int = 3, user_id: str = "user_id", digits: int = 4) -> DataFrame:
+    """Top-k categories per community with share and lift over the global share."""
+    return taste_table(category_counts(communities, orders, lineitem, part, user_id), k, digits)
+
+
+def taste_test(cc: DataFrame, digits: int = 4) -> DataFrame:
+    """Do communities prefer the same categories?  One row per community of a
+    ``community, category, n`` table (unique pairs, n > 0; a null community is left out):
+
+    ``n, categories`` (that occur in it), ``chi_square`` = sum over all categories of
+    (n - expected)^2 / expected, where expected = community total x category total /
+    total, and ``js_divergence`` (base 2: 0 = like the whole, 1 = nothing in common)
+    of its category shares from the whole's.
+
+    Categories that a community lacks need no row: they add up to
+    ``total - observed`` in closed form, so no community x category product is made.
+    Both sums are algebraic per community; a community has at most one row per category."""
+    from pyspark.sql import Window
+    cc = cc.filter(F.col("community").isNotNull())
+    whole = cc.groupBy("category").agg(F.sum("n").alias("_category"))
+    total = cc.agg(F.sum("n")).scalar().cast("double")
+    own = F.sum("n").over(Window.partitionBy("community")).cast("double")
+    cells = cc.withColumn("_own", own).join(whole, "category")
+    n, c, own = F.col("n").cast("double"), F.col("_category").cast("double"), F.col("_own")
+    share, all_ = n / own, c / total
+    mid = (share + all_) / F.lit(2.0)
+    part = (share * F.log2(share / mid) + all_ * F.log2(all_ / mid)) / F.lit(2.0)
+    # absent categories: expected once each, and half their share of the whole
+    chi = F.sum(n * n / (own * all_)) - F.max("_own")
+    js = F.sum(part) + (F.lit(1.0) - F.sum(all_)) / F.lit(2.0)
+    return cells.groupBy("community").agg(
+        F.sum("n").cast("bigint").alias("n"), F.count(F.lit(1)).alias("categories"),
+        F.round(chi, digits).alias("chi_square"), F.round(F.greatest(js, F.lit(0.0)), digits).alias("js_divergence"))
+
+
+def taste_association(cc: DataFrame, digits: int = 4) -> DataFrame:
+    """The test of the whole table in one row: ``n, communities, categories, chi_square, degrees`` (of
+    freedom), ``cramers_v`` (0 = all alike, 1 = each its own; null with one community or
+    category) and ``js_divergence``, the communities' divergences weighted by their totals."""
+    cc = cc.filter(F.col("community").isNotNull())
+    each = taste_test(cc, digits=12)
+    row = each.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("communities"), F.sum("chi_square").alias("chi"),
+                   F.sum(F.col("n") * F.col("js_divergence")).alias("js"))
+    categories = cc.select("category").distinct().agg(F.count(F.lit(1))).scalar()
+    row = row.withColumn("categories", categories)
+    least = F.least(F.col("communities"), F.col("categories")) - 1
+    return row.select(
+        "n", "communities", "categories", F.round("chi", digits).alias("chi_square"),
+        ((F.col("communities") - 1) * (F.col("categories") - 1)).alias("degrees"),
+        F.round(F.sqrt(F.try_divide(F.greatest("chi", F.lit(0.0)), (F.col("n") * least).cast("double"))), digits).alias("cramers_v"),
+        F.round(F.try_divide(F.col("js"), F.col("n").cast("double")), digits).alias("js_divergence"))
 
 
 def taste_table(cc: DataFrame, k: int, digits: int = 4) -> DataFrame:

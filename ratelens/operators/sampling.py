@@ -3,7 +3,11 @@
 ``DataFrame.sample`` / ``randomSplit`` depend on partition layout: the same seed
 gives other rows after a repartition, a retried task or a re-read, so a saved
 model could later be evaluated on its own training rows.  Here a row's fate is a
-pure function of its key: ``unit = xxhash64(key..., seed) / 2^63`` in [0, 1).
+pure function of its key, the first 52 bits of an MD5 of the key's text:
+
+    unit = int(md5(key1 | key2 | ... | seed)[:13], 16) / 2^52    in [0, 1)
+
+Any SQL engine can compute the same unit (``unit_sql``), so samples compare row by row.
 No shuffle, no driver round trip, stable under executor loss and re-planning.
 """
 
@@ -14,18 +18,30 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_LONG_MAX = 0x7FFFFFFFFFFFFFFF
-_TWO_63 = 9.223372036854775808e18
+_TWO_52 = float(1 << 52)
 
 
-def hash_key(keys: Sequence[str | Column], seed: int = 42) -> Column:
+def hash_unit(keys: Sequence[str | Column], seed: int = 42) -> Column:
+    """Uniform value in [0, 1) derived from the key only; a null key counts as empty text."""
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    return F.xxhash64(*cols, F.lit(seed))
+    text = F.concat_ws("|", *(F.coalesce(c.cast("string"), F.lit("")) for c in cols), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(_TWO_52)
 
 
-def hash_unit(keys: Sequence[str | Column], seed: int = 42) -> Column:
-    """Uniform value in [0, 1) derived from the key only."""
-    return hash_key(keys, seed).bitwiseAND(F.lit(_LONG_MAX)).cast("double") / F.lit(_TWO_63)
+def unit_sql(keys: Sequence[str], seed: int = 42) -> str:
+    """``hash_unit`` of integer or text columns as DuckDB SQL."""
+    text = " || '|' || ".join([*(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys), f"'{seed}'"])
+    return f"(CAST(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) AS DOUBLE) / {1 << 52})"
+
+
+def _fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def hash_sample(df: DataFrame, fraction: float, keys: Sequence[str], seed: int = 42) -> DataFrame:
@@ -56,7 +72,8 @@ def hash_sample_n(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) ->
     """Exactly ``min(n, rows)`` rows: those with the smallest key hashes (rows
     that repeat a key tie and fill up together).  One ``TakeOrderedAndProject``:
     each task keeps its best ``n`` rows, whatever the keys look like."""
-    return df.withColumn("_u", hash_unit(keys, seed)).orderBy("_u", *keys).limit(n).drop("_u")
+    u, = _fresh(df, "_u")
+    return df.withColumn(u, hash_unit(keys, seed)).orderBy(u, *keys).limit(n).drop(u)
 
 
 def in_first_part(label: str, keys: Sequence[str], fraction: float = 0.8, seed: int = 42) -> Column:
@@ -101,32 +118,34 @@ def exact_stratified_split(df: DataFrame, label: str, keys: Sequence[str], fract
     spark = df.sparkSession
     store = RoundStore(spark, "exact-split")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col(label), F.col("_u"), *[F.col(k) for k in keys]]
-    ranged = (df.withColumn("_u", hash_unit([label, *keys], seed))
+    u, salt, pid, pos, n, start, offset, total, opid, stratum = _fresh(
+        df, "_u", "_salt", "_pid", "_pos", "_n", "_start", "_offset", "_total", "_opid", "_stratum")
+    # rows that repeat a key tie; the partition they were read in spreads them over the ranges
+    order = [F.col(label), F.col(u), *[F.col(k) for k in keys], F.col(salt)]
+    ranged = (df.withColumn(u, hash_unit([label, *keys], seed)).withColumn(salt, F.monotonically_increasing_id())
               .repartitionByRange(n_parts, *order)
               .sortWithinPartitions(*order))
     # position inside the partition: monotonically_increasing_id is (pid << 33) + row index
-    ranged = ranged.withColumn("_pid", F.spark_partition_id()) \
-        .withColumn("_pos", F.monotonically_increasing_id() - (F.spark_partition_id().cast("long") * (1 << 33)))
+    ranged = ranged.withColumn(pid, F.spark_partition_id()) \
+        .withColumn(pos, F.monotonically_increasing_id() - (F.spark_partition_id().cast("long") * (1 << 33)))
     ranged = store.put(ranged, "ranged")
-    counts = ranged.groupBy("_pid", label).agg(F.count(F.lit(1)).alias("_n"), F.min("_pos").alias("_start"))
+    counts = ranged.groupBy(pid, label).agg(F.count(F.lit(1)).alias(n), F.min(pos).alias(start))
     # rows are range-partitioned by stratum first, so (partition, stratum) pairs number at most
     # partitions + strata - 1: that bounds the broadcast offsets table
     bound = n_parts + max_classes
     if counts.limit(bound + 1).count() > bound:
         raise ValueError(f"more than {max_classes} strata in {label!r}")
     by_label = Window.partitionBy(label)
-    before = by_label.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_pid", label, "_start",
-                            F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-                            F.sum("_n").over(by_label).alias("_total"))
+    before = by_label.orderBy(pid).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(pid, label, start,
+                            F.coalesce(F.sum(n).over(before), F.lit(0)).alias(offset),
+                            F.sum(n).over(by_label).alias(total))
     # the offsets table has at most partitions + strata rows (checked above): broadcast;
     # null-safe, because rows without a label are a stratum of their own
-    offsets = offsets.withColumnsRenamed({"_pid": "_opid", label: "_stratum"})
-    ranked = ranged.join(F.broadcast(offsets), (F.col("_pid") == F.col("_opid"))
-                         & F.col(label).eqNullSafe(F.col("_stratum"))).drop("_opid", "_stratum")
-    rank = F.col("_offset") + F.col("_pos") - F.col("_start")
+    offsets = offsets.withColumnsRenamed({pid: opid, label: stratum})
+    ranked = ranged.join(F.broadcast(offsets), (F.col(pid) == F.col(opid))
+                         & F.col(label).eqNullSafe(F.col(stratum)))
+    rank = F.col(offset) + F.col(pos) - F.col(start)
     # floor(fraction * n) in exact decimal arithmetic (a double product can land just below an integer)
-    quota = F.floor(F.col("_total").cast("decimal(20,0)") * F.lit(str(fraction)).cast("decimal(20,10)"))
-    first = rank < quota
-    return ranked.withColumn("first_part", first).drop("_u", "_pid", "_pos", "_start", "_offset", "_total")
+    quota = F.floor(F.col(total).cast("decimal(20,0)") * F.lit(str(fraction)).cast("decimal(20,10)"))
+    return ranked.withColumn("first_part", rank < quota).select(*df.columns, "first_part")

@@ -63,6 +63,53 @@ def without_stop_words(arr: str | Column, words: tuple[str, ...] | None = None)
     return F.filter(_c(arr), lambda t: ~F.array_contains(stop, t))
 
 
+#: Buckets of the hashed term frequency.
+NUM_BUCKETS = 10000
+
+
+def term_bucket(term: str | Column, buckets: int = NUM_BUCKETS) -> Column:
+    """Bucket of a term by the first 52 bits of its MD5: any engine computes the same."""
+    return F.pmod(F.conv(F.substring(F.md5(_c(term).cast("binary")), 1, 13), 16, 10).cast("long"), F.lit(buckets)).cast("int")
+
+
+def _terms(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``key, term`` per token: lower case, split at white space (trailing empty tokens fall
+    away), without stop words."""
+    tokens = F.split(F.regexp_replace(F.lower(_c(text)), "\\s+$", ""), "\\s")
+    return df.filter(F.col(text).isNotNull()).select(key, F.explode(without_stop_words(tokens)).alias("term"))
+
+
+def hashed_tfidf(df: DataFrame, key: str, text: str, buckets: int = NUM_BUCKETS, digits: int = 6) -> DataFrame:
+    """Sparse document-term table ``key, bucket, tf, weight``: hashed term frequencies and
+    ``tf * ln((N + 1) / (df + 1))``, df = documents that have the bucket.
+
+    Tokens are combined per (document, bucket) before the shuffle; document frequencies
+    are at most ``buckets`` rows, so their join is a broadcast of bounded size.  A
+    very long document's tokens are spread over its buckets."""
+    from ratelens.session import RoundStore
+    tf = (_terms(df, key, text).groupBy(key, term_bucket("term", buckets).alias("bucket"))
+          .agg(F.count(F.lit(1)).alias("tf")))
+    tf = RoundStore(df.sparkSession, "hashed-tf").put(tf, "tf")
+    n_docs = df.filter(F.col(text).isNotNull()).agg(F.count(F.lit(1))).scalar()
+    dfreq = tf.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log((n_docs + F.lit(1)).cast("double") / (F.col("df") + F.lit(1)).cast("double"))
+    return (tf.join(F.broadcast(dfreq), "bucket")
+            .select(key, "bucket", "tf", F.round(F.col("tf") * idf, digits).alias("weight")))
+
+
+def bucket_collisions(df: DataFrame, key: str, text: str, buckets: int = NUM_BUCKETS) -> DataFrame:
+    """``bucket, n_terms, n_docs, n_tokens``: how many terms share a bucket, and its use.
+
+    Two levels: tokens per (bucket, term, document) first, so a frequent term or a long document
+    never fills one task."""
+    each = (_terms(df, key, text).groupBy(term_bucket("term", buckets).alias("bucket"), "term", key)
+            .agg(F.count(F.lit(1)).alias("n")))
+    terms = (each.groupBy("bucket", "term").agg(F.sum("n").alias("n"))
+             .groupBy("bucket").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n").alias("n_tokens")))
+    docs = each.select("bucket", key).distinct().groupBy(F.col("bucket").alias("_b")).agg(F.count(F.lit(1)).alias("n_docs"))
+    return terms.join(docs, F.col("bucket") == F.col("_b")).select("bucket", "n_terms", "n_docs", "n_tokens")
+
+
 def fit_vocabulary(df: DataFrame, text: str, num_words: int = DEFAULT_NUM_WORDS) -> DataFrame:
     """Rank words by frequency, ties by the word itself.  Returns ``word, n,
     id`` with ids from 2 (0 = padding, 1 = out of vocabulary), only ids below

@@ -7,6 +7,7 @@ so ties such as 72.365 give Spark's 72.37 in both engines.
 
 from __future__ import annotations
 
+from ratelens.operators.sampling import unit_sql
 from ratelens.operators.text import FILTER_REGEX, stop_words
 from ratelens.plans.standins import ANOMALY_THRESHOLDS, FRIEND_KEY_OFFSETS
 
@@ -304,6 +305,55 @@ FROM (SELECT *, row_number() OVER (PARTITION BY community ORDER BY n DESC, categ
 WHERE rank <= {k}"""
 
 
+def _taste_cells() -> str:
+    """Every (community, category) cell of the settled communities, absent ones with 0."""
+    return f"""
+l AS MATERIALIZED ({label_propagation_sql()}),
+cc AS MATERIALIZED (
+  SELECT l.community, p.p_type AS category, count(*) AS n
+  FROM lineitem i JOIN part p ON i.l_partkey = p.p_partkey JOIN orders o ON i.l_orderkey = o.o_orderkey
+  JOIN l ON CAST(o.o_custkey AS varchar) = l.user_id WHERE l.settled GROUP BY l.community, p.p_type),
+o AS (SELECT community, sum(n) AS own FROM cc GROUP BY community),
+g AS (SELECT category, sum(n) AS of_all, (SELECT sum(n) FROM cc) AS total FROM cc GROUP BY category),
+cells AS (
+  SELECT o.community, coalesce(cc.n, 0) AS n, CAST(o.own AS DOUBLE) * g.of_all / g.total AS expected,
+         coalesce(cc.n, 0) / CAST(o.own AS DOUBLE) AS p, g.of_all / CAST(g.total AS DOUBLE) AS q
+  FROM o CROSS JOIN g LEFT JOIN cc ON cc.community = o.community AND cc.category = g.category),
+each_ AS MATERIALIZED (
+  SELECT community, CAST(sum(n) AS BIGINT) AS n, count(*) FILTER (WHERE n > 0) AS categories,
+         sum((n - expected) * (n - expected) / expected) AS chi,
+         sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + q * log2(2 * q / (p + q))) / 2 AS js
+  FROM cells GROUP BY community)"""
+
+
+def taste_test_sql() -> str:
+    return f"""WITH {_taste_cells()}
+SELECT community, n, CAST(categories AS BIGINT) AS categories, round(chi, 4) AS chi_square, round(js, 4) AS js_divergence FROM each_"""
+
+
+def taste_association_sql() -> str:
+    return f"""WITH {_taste_cells()},
+t AS (SELECT sum(n) AS n, count(*) AS communities, sum(chi) AS chi, sum(n * js) AS js, (SELECT count(*) FROM g) AS categories FROM each_)
+SELECT CAST(n AS BIGINT) AS n, communities, categories, round(chi, 4) AS chi_square, (communities - 1) * (categories - 1) AS degrees,
+  round(sqrt(chi / (n * (least(communities, categories) - 1))), 4) AS cramers_v, round(js / n, 4) AS js_divergence FROM t"""
+
+
+SAMPLE_FRACTION = f"SELECT * FROM lineitem WHERE {unit_sql(['l_orderkey', 'l_linenumber'])} < 0.1"
+
+SAMPLE_ROWS = f"""
+SELECT d.doc_id AS review_id, CAST(CASE WHEN quality = 1 THEN 5 ELSE 1 END AS INTEGER) AS stars, d.text
+FROM documents d JOIN labels l ON d.doc_id = l.doc_id ORDER BY {unit_sql(['d.doc_id'])}, d.doc_id LIMIT 100"""
+
+STRATIFIED_SPLIT = f"""
+SELECT quality, CASE WHEN {unit_sql(['quality', 'doc_id'])} < 0.8 THEN 'train' ELSE 'test' END AS part, count(*) AS n
+FROM labels GROUP BY 1, 2"""
+
+#: The users of the scatter chart: held-out users (unit of the split >= 0.8), 2000 of smallest unit.
+PREDICTION_KEYS = f"""
+SELECT user_id FROM ({USERS}) u WHERE review_count > 0 AND review_count <= 500 AND average_stars IS NOT NULL AND fans <= 200
+  AND {unit_sql(['user_id'])} >= 0.8
+ORDER BY {unit_sql(['user_id'])}, user_id LIMIT 2000"""
+
 IDF = f"""
 WITH toks AS (SELECT doc_id, string_split_regex(regexp_replace(lower(text), '\\s+$', ''), '\\s') AS w
               FROM documents WHERE text IS NOT NULL),
@@ -354,9 +404,10 @@ PREVIEW_JSON = """
 SELECT '{"doc_id":' || doc_id || ',"n_chars":' || n_chars || '}' AS info, '["' || lang || '","' || source || '"]' AS tags, lang
 FROM documents WHERE doc_id IS NOT NULL ORDER BY doc_id LIMIT 20"""
 
+# the columns of the scoring pass that no model decides (used by its test)
 STREAM_ROWS = """
 SELECT d.doc_id AS review_id, CAST(CASE WHEN l.quality = 1 THEN 5 WHEN l.quality = 0 THEN 1 END AS INTEGER) AS true_stars,
-       CAST(l.quality AS INTEGER) AS true_sentiment, CAST(length(d.text) AS INTEGER) AS n_chars, true AS scored
+       CAST(l.quality AS INTEGER) AS true_sentiment, CAST(length(d.text) AS INTEGER) AS n_chars
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NOT NULL"""
 
 TEXT_PREVIEWS = """
@@ -383,3 +434,53 @@ ORDER BY business_count DESC, city LIMIT 15"""
 LITERAL_FLAGS = """
 SELECT o_orderpriority = '1-URGENT' AS urgent, o_orderstatus = 'F' AS closed, false AS absent, count(*) AS n
 FROM orders GROUP BY 1, 2"""
+
+#: Pairs of a literal of the orders: flat keys and one inner literal.
+LITERAL_MAP = """
+SELECT key, CAST(count(*) FILTER (WHERE v) AS BIGINT) AS n_true, CAST(count(*) FILTER (WHERE NOT v) AS BIGINT) AS n_false,
+       CAST(count(*) FILTER (WHERE v IS NULL) AS BIGINT) AS n_null
+FROM (SELECT 'urgent' AS key, o_orderpriority = '1-URGENT' AS v FROM orders
+      UNION ALL SELECT 'status.closed', o_orderstatus = 'F' FROM orders
+      UNION ALL SELECT 'status.open', CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus = 'O' END FROM orders)
+GROUP BY key"""
+
+
+def letter_values_sql() -> str:
+    """Order statistics at the letter values' probabilities (the sketch is exact up to its accuracy in rows)."""
+    return f"""
+WITH u AS (SELECT review_count AS x FROM ({USERS}) WHERE review_count IS NOT NULL),
+n AS (SELECT count(*) AS n FROM u),
+d AS (SELECT unnest(range(1, greatest(1, CAST(floor(log2(n)) AS BIGINT) - 2) + 1)) AS depth, n FROM n),
+p AS (SELECT depth, n, 1 / pow(2, depth) AS p FROM d UNION ALL SELECT depth, n, 1 - 1 / pow(2, depth) FROM d WHERE depth > 1),
+s AS (SELECT x, row_number() OVER (ORDER BY x) AS rank FROM u),
+v AS (SELECT p.depth, p.p, p.n, s.x FROM p JOIN s ON s.rank = greatest(1, CAST(ceil(p.p * p.n) AS BIGINT)))
+SELECT CAST(depth AS INTEGER) AS depth, p AS probability, CAST(x AS DOUBLE) AS value, n,
+       (SELECT count(*) FROM u WHERE u.x < v.x) AS n_below, (SELECT count(*) FROM u WHERE u.x <= v.x) AS n_up_to
+FROM v"""
+
+
+_TERMS = f"""
+toks AS (SELECT doc_id, unnest(list_filter(string_split_regex(regexp_replace(lower(text), '\\s+$', ''), '\\s'),
+                                           lambda t: NOT list_contains({_STOP}, t))) AS term FROM documents WHERE text IS NOT NULL),
+b AS (SELECT doc_id, term, CAST(CAST('0x' || substr(md5(term), 1, 13) AS BIGINT) % 10000 AS INTEGER) AS bucket FROM toks),
+n AS (SELECT count(*) AS n_docs FROM documents WHERE text IS NOT NULL)"""
+
+HASHED_TFIDF = f"""WITH {_TERMS},
+tf AS (SELECT doc_id, bucket, count(*) AS tf FROM b GROUP BY doc_id, bucket),
+df AS (SELECT bucket, count(*) AS df FROM tf GROUP BY bucket)
+SELECT doc_id, bucket, tf, {r("tf * ln(CAST(n_docs + 1 AS DOUBLE) / CAST(df + 1 AS DOUBLE))", 6)} AS weight
+FROM tf JOIN df USING (bucket), n"""
+
+BUCKET_COLLISIONS = f"""WITH {_TERMS}
+SELECT bucket, count(DISTINCT term) AS n_terms, count(DISTINCT doc_id) AS n_docs, count(*) AS n_tokens FROM b GROUP BY bucket"""
+
+#: Lines of the drifting export: a tenth is cut short, a fifth has a field the schema does not know.
+DRIFT_COUNTS = f"""
+SELECT CAST(count(*) FILTER (WHERE u >= 0.1) AS BIGINT) AS good, CAST(count(*) FILTER (WHERE u < 0.1) AS BIGINT) AS quarantined,
+       CAST(sum(CASE WHEN u >= 0.1 THEN c_custkey END) AS BIGINT) AS good_keys
+FROM (SELECT c_custkey, {unit_sql(['c_custkey'], 7)} AS u FROM customer)"""
+
+DRIFT_FIELDS = f"""
+SELECT 'legacy_code' AS field, 'unknown' AS kind, CAST(count(*) AS BIGINT) AS n
+FROM (SELECT {unit_sql(['c_custkey'], 7)} AS u FROM customer) WHERE u >= 0.8
+UNION ALL SELECT 'fans', 'missing', CAST(count(*) AS BIGINT) FROM (SELECT {unit_sql(['c_custkey'], 7)} AS u FROM customer) WHERE u >= 0.1"""

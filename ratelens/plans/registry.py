@@ -8,6 +8,7 @@ model-dependent (their rows are checked by count only).
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -295,7 +296,26 @@ def q12_components(spark, d):
 
 
 def q12_label_propagation(spark, d):
-    return _graph_input(spark, d, lambda v, e: graph.label_propagation(v, e))
+    # written once; the taste test of a session reads it again
+    return _memo(spark, d, "labels", lambda: _graph_input(spark, d, graph.label_propagation), ("customer", "orders"))
+
+
+def _taste_counts(spark, d):
+    """Lines per settled community and category, written once for both taste queries."""
+    def build():
+        settled = q12_label_propagation(spark, d).filter("settled")
+        counts = graph.category_counts(settled, S.table(spark, d, "orders"), S.table(spark, d, "lineitem"),
+                                       S.table(spark, d, "part"), community="community")
+        return RoundStore(spark, "taste-counts").put(counts, "t")
+    return _memo(spark, d, "taste", build, ("customer", "orders", "lineitem", "part"))
+
+
+def q12_taste_test(spark, d):
+    return graph.taste_test(_taste_counts(spark, d))
+
+
+def q12_taste_association(spark, d):
+    return graph.taste_association(_taste_counts(spark, d))
 
 
 def q12_community_taste(spark, d):
@@ -391,14 +411,12 @@ def q11c_semantic_anomalies(spark, d):
 def q7_stream_scores(spark, d):
     """Bulk scoring as a restartable stream: the documents table (a file or a
     folder of part files) is the stream source, joined with the static labels,
-    scored and appended to a parquet sink.  Checkpoint and sink are named after
-    the files of the tables: a later run of the same application's folder resumes,
-    and changed tables start a new pass."""
-    from zlib import crc32
-
-    from ratelens.session import lasting_dir, table_stamp
+    scored into a parquet sink, a folder per micro-batch.  Checkpoint and sink are named
+    after the files of the tables and the model: a later run over the same folder
+    resumes, and changed tables or another model start a new pass."""
+    from ratelens.session import table_stamp
     from ratelens.sources.readers import table_path
-    from ratelens.streaming.scoring import run_scoring, scoring_stream
+    from ratelens.streaming.scoring import pass_dir, read_scores, run_scoring, scoring_stream
     model = _sentiment_task(spark, d).model
     path = table_path(d, "documents")
     stream = scoring_stream(spark, path, S.table(spark, d, "documents").schema)
@@ -407,12 +425,11 @@ def q7_stream_scores(spark, d):
                .select(F.col("doc_id").alias("review_id"), "text",
                        F.when(F.col("quality") == 1, F.lit(5)).when(F.col("quality") == 0, F.lit(1)).alias("true_stars"),
                        F.col("quality").cast("int").alias("true_sentiment")))
-    stamp = repr(table_stamp(spark, path, table_path(d, "labels"))).encode()
-    run_dir = lasting_dir(spark, f"stream/{crc32(stamp):08x}")
+    run_dir = pass_dir(spark, table_stamp(spark, path, table_path(d, "labels")), model)
     run_scoring(model, reviews, f"{run_dir}/out", f"{run_dir}/checkpoint")
-    out = spark.read.parquet(f"{run_dir}/out")
-    return out.select("review_id", "true_stars", "true_sentiment", F.length("text").alias("n_chars"),
-                      F.col("sentiment_score").between(0, 1).alias("scored"))
+    return read_scores(spark, f"{run_dir}/out").select(
+        "review_id", "true_stars", "true_sentiment", F.length("text").alias("n_chars"), "predicted_sentiment", "correct",
+        F.round("sentiment_score", 4).alias("sentiment_score"))
 
 
 def q71_training_curve(spark, d):
@@ -477,6 +494,67 @@ def str_literal_flags(spark, d):
     return o.select(*flags).groupBy("urgent", "closed", "absent").agg(F.count(F.lit(1)).alias("n"))
 
 
+def str_literal_map(spark, d):
+    """All keys of a dict literal, one of them nested, parsed once per row."""
+    o = S.table(spark, d, "orders")
+    flag = {True: "True", False: "False"}
+    literal = F.concat(F.lit("{'urgent': "), F.when(F.col("o_orderpriority") == "1-URGENT", flag[True]).otherwise(flag[False]),
+                       F.lit(", 'status': {'closed': "), F.when(F.col("o_orderstatus") == "F", flag[True]).otherwise(flag[False]),
+                       F.lit(", 'open': "), F.when(F.col("o_orderstatus") == "P", "None")
+                       .when(F.col("o_orderstatus") == "O", flag[True]).otherwise(flag[False]), F.lit("}}"))
+    pairs = o.select(F.explode(C.literal_map(literal)).alias("key", "v"))
+    return pairs.groupBy("key").agg(F.count(F.when(F.col("v"), 1)).alias("n_true"), F.count(F.when(~F.col("v"), 1)).alias("n_false"),
+                                    F.count(F.when(F.col("v").isNull(), 1)).alias("n_null"))
+
+
+def _drifting_export(spark, d):
+    """The customers as JSON lines of users, written by Spark: a tenth of the lines is cut short, another
+    fifth has a field that the schema does not know, and none has ``fans``."""
+    from ratelens.operators.sampling import hash_unit
+    from ratelens.session import shared_dir
+
+    def build():
+        u = hash_unit(["c_custkey"], 7)
+        line = F.to_json(F.struct(F.col("c_custkey").cast("string").alias("user_id"), F.col("c_name").alias("name"),
+                                  F.lit(1).alias("review_count"), F.lit(2.5).alias("average_stars"), F.lit("").alias("friends"),
+                                  F.lit(None).cast("string").alias("business_id"),
+                                  F.when(u >= 0.8, F.lit("x")).alias("legacy_code")), {"ignoreNullFields": "true"})
+        cut = F.when(u < 0.1, F.substring(line, 1, 25)).otherwise(line)
+        folder = shared_dir(spark, f"drift-{uuid4().hex}")
+        S.table(spark, d, "customer").select(cut.alias("value")).write.text(f"{folder}/user.json")
+        return folder
+    return _memo(spark, d, "drift", build, ("customer",))
+
+
+def src_quarantine_counts(spark, d):
+    """Records of a drifting export: rows by the schema, and records put aside whole."""
+    from ratelens.sources.readers import read_checked
+    folder = _drifting_export(spark, d)
+    checked = read_checked(spark, folder, "user", f"{folder}/quarantine")
+    good = checked.good.agg(F.count(F.lit(1)).alias("good"), F.sum(F.col("user_id").cast("long")).alias("good_keys"))
+    return good.select("good", F.lit(checked.n_bad).cast("long").alias("quarantined"), "good_keys")
+
+
+def src_drift_fields(spark, d):
+    """Unknown and missing fields of the same export (``business_id`` is null throughout and written by no line)."""
+    from ratelens.sources.readers import drift_report
+    report_ = drift_report(spark, _drifting_export(spark, d), "user")
+    return report_.filter(F.col("field") != "business_id")
+
+
+def agg_letter_values(spark, d):
+    """Letter values of the users' review counts, over all users."""
+    return agg.letter_values(S.users(spark, d), "review_count")
+
+
+def txt_hashed_tfidf(spark, d):
+    return text.hashed_tfidf(S.table(spark, d, "documents"), "doc_id", "text")
+
+
+def txt_bucket_collisions(spark, d):
+    return text.bucket_collisions(S.table(spark, d, "documents"), "doc_id", "text")
+
+
 def prj_text_previews(spark, d):
     """60-character previews and label names, first 10 labelled documents by key."""
     from ratelens.operators.topk import top_k
@@ -524,8 +602,17 @@ def q7_prediction_preview(spark, d):
 
 
 def q7_model_selection(spark, d):
-    """The validation table of the choice that the sentiment task makes."""
-    return _sentiment_task(spark, d).tables["selection"]
+    """The settings of the sentiment task's search with their validation results."""
+    h = _sentiment_task(spark, d).tables["history"]
+    return h.select("step", "reg_param", "max_iter", F.round("val_loss", 4).alias("val_loss"),
+                    F.round("val_accuracy", 4).alias("val_accuracy"), "kept", "best")
+
+
+def q7_training_history(spark, d):
+    """Loss and accuracy of the training and the validation part per budget step."""
+    h = _sentiment_task(spark, d).tables["history"]
+    return h.select("step", "reg_param", "max_iter", *(F.round(c, 4).alias(c) for c in (
+        "train_loss", "train_accuracy", "val_loss", "val_accuracy")))
 
 
 def _fans_task(spark, d):
@@ -554,6 +641,12 @@ def q10_prediction_sample(spark, d):
     return hash_sample_n(preds, 2000, ["user_id"]).select("label", "prediction")
 
 
+def q10_sample_keys(spark, d):
+    """The users behind ``q10_prediction_sample``: a choice by key alone, whatever the model predicts."""
+    from ratelens.operators.sampling import hash_sample_n
+    return hash_sample_n(_fans_task(spark, d).tables["keyed_predictions"], 2000, ["user_id"]).select("user_id")
+
+
 def q10_axis_bound(spark, d):
     return agg.max_bound(_fans_task(spark, d).tables["predictions"], "label", "prediction")
 
@@ -596,6 +689,12 @@ QUERIES: dict[str, Query] = {
     "snk_encoder_roundtrip": snk_encoder_roundtrip,
     "snk_model_roundtrip": snk_model_roundtrip,
     "str_literal_flags": str_literal_flags,
+    "str_literal_map": str_literal_map,
+    "src_quarantine_counts": src_quarantine_counts,
+    "src_drift_fields": src_drift_fields,
+    "agg_letter_values": agg_letter_values,
+    "txt_hashed_tfidf": txt_hashed_tfidf,
+    "txt_bucket_collisions": txt_bucket_collisions,
     "prj_text_previews": prj_text_previews,
     "flt_extreme_reviews": flt_extreme_reviews,
     "ord_top_per_language": ord_top_per_language,
@@ -603,6 +702,8 @@ QUERIES: dict[str, Query] = {
     "q13_top_cities": q13_top_cities,
     "q12_label_propagation": q12_label_propagation,
     "q12_community_taste": q12_community_taste,
+    "q12_taste_test": q12_taste_test,
+    "q12_taste_association": q12_taste_association,
     "q13_category_share": q13_category_share,
     "q13_state_share": q13_state_share,
     "q13_open_closed": q13_open_closed,
@@ -640,7 +741,9 @@ QUERIES: dict[str, Query] = {
     "q71_training_curve": q71_training_curve,
     "q7_prediction_preview": q7_prediction_preview,
     "q7_model_selection": q7_model_selection,
+    "q7_training_history": q7_training_history,
     "q10_prediction_sample": q10_prediction_sample,
+    "q10_sample_keys": q10_sample_keys,
     "q10_axis_bound": q10_axis_bound,
     "q11c_anomaly_type_counts": q11c_anomaly_type_counts,
     "q11c_examples": q11c_examples,
@@ -679,10 +782,21 @@ WHERE price_range IS NOT NULL AND price_range <> 'None' GROUP BY price_range ORD
     "flt_extreme_reviews": O.EXTREME_REVIEWS,
     "ord_top_per_language": O.TOP_PER_LANG,
     "smp_sample_count": O.SAMPLE_COUNT,
+    "smp_sample_fraction": O.SAMPLE_FRACTION,
+    "str_literal_map": O.LITERAL_MAP,
+    "src_quarantine_counts": O.DRIFT_COUNTS,
+    "src_drift_fields": O.DRIFT_FIELDS,
+    "agg_letter_values": O.letter_values_sql(),
+    "txt_hashed_tfidf": O.HASHED_TFIDF,
+    "txt_bucket_collisions": O.BUCKET_COLLISIONS,
+    "smp_sample_rows": O.SAMPLE_ROWS,
+    "smp_stratified_split": O.STRATIFIED_SPLIT,
+    "q10_sample_keys": O.PREDICTION_KEYS,
     "q13_top_cities": O.TOP_CITIES,
-    "q7_stream_scores": O.STREAM_ROWS,
     "q12_label_propagation": O.label_propagation_sql(),
     "q12_community_taste": O.community_taste_sql(3),
+    "q12_taste_test": O.taste_test_sql(),
+    "q12_taste_association": O.taste_association_sql(),
     "q13_category_share": O.CATEGORY_SHARE,
     "q13_state_share": O.STATE_SHARE,
     "q13_open_closed": O.OPEN_CLOSED,

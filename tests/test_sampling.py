@@ -83,3 +83,40 @@ def test_exact_split_keeps_rows_without_label(spark):
     got = exact_stratified_split(df, "label", ["key"]).groupBy("label", "first_part").count().collect()
     assert {(r.label, r.first_part): r["count"] for r in got} == {
         (None, True): 20, (None, False): 5, (0, True): 20, (0, False): 5, (1, True): 40, (1, False): 10}
+
+
+def test_unit_is_the_same_in_sql(spark, duck):
+    from ratelens.operators.sampling import hash_unit, unit_sql
+    rows = [(k, None if k % 7 == 0 else f"t{k % 50}é|") for k in range(-300, 300)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    got = {r.id: r.u for r in df.select("id", hash_unit(["id", "t"], 5).alias("u")).collect()}
+    import pandas as pd
+    given = pd.DataFrame(rows, columns=["id", "t"])  # noqa: F841
+    want = dict(duck.execute(f"SELECT id, {unit_sql(['id', 't'], 5)} FROM given").fetchall())
+    assert got == want and all(0 <= u < 1 for u in got.values())
+
+
+def test_columns_named_like_helpers_survive(spark):
+    names = ["_u", "_pid", "_pos", "_n", "_start", "_offset", "_total", "_salt", "_opid", "_stratum"]
+    df = spark.range(300).selectExpr("id", "id % 3 AS label", *(f"id * 10 + {k} AS {c}" for k, c in enumerate(names)))
+    got = hash_sample_n(df, 50, ["id"])
+    assert got.columns == df.columns
+    assert all(r[c] == r.id * 10 + k for r in got.collect() for k, c in enumerate(names))
+    split = exact_stratified_split(df, "label", ["id"], 0.5)
+    assert split.columns == [*df.columns, "first_part"]
+    assert all(r[c] == r.id * 10 + k for r in split.collect() for k, c in enumerate(names))
+
+
+def test_exact_split_with_one_repeated_key(spark):
+    """A key that a third of all rows repeat is spread over the ranges."""
+    from pyspark.sql import functions as F
+    df = spark.range(3000).selectExpr("if(id < 1000, 0, id) AS key", "1 AS label")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        got = exact_stratified_split(df, "label", ["key"], 0.8)
+        assert got.filter("first_part").count() == 2400 and got.count() == 3000
+        sizes = [r["count"] for r in got.groupBy(F.input_file_name()).count().collect()]
+        assert max(sizes) < 2 * 3000 / 6
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
