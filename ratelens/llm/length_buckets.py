@@ -100,9 +100,10 @@ def batches(parts: DataFrame, plan: Plan, budget: int = BUDGET) -> DataFrame:
     for k in range(len(edges) - 2, -1, -1):
         inside = F.col("n_tokens") <= F.lit(edges[k])
         bucket, pad_to = F.when(inside, F.lit(k)).otherwise(bucket), F.when(inside, F.lit(edges[k])).otherwise(pad_to)
-    keys = ["bucket", "_h", "doc_id", "piece"]
+    # pieces of rows with one id, or none, are alike in all but their number in the written table
+    keys = ["bucket", "_h", "doc_id", "piece", "_r"]
     ranged = (parts.withColumn("bucket", bucket).withColumn("pad_to", pad_to)
-              .withColumn("_h", F.xxhash64("doc_id", "piece"))
+              .withColumn("_h", F.xxhash64("doc_id", "piece")).withColumn("_r", F.monotonically_increasing_id())
               .repartitionByRange(*keys).sortWithinPartitions(*keys)
               .withColumn("_p", F.spark_partition_id())
               .withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))

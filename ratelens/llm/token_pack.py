@@ -35,11 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import texts, written
+from ratelens.llm.common import opened, texts, written
 from ratelens.llm.encoding import encoder, vocabulary_size
 from ratelens.session import shared_dir
 
@@ -148,14 +147,6 @@ class Reader:
         return np.concatenate(out) if out else np.empty(0, "<u4")
 
 
-def _opened(uri: str, write: bool):
-    system, path = fs.FileSystem.from_uri(uri) if ":" in uri else (fs.LocalFileSystem(), uri)
-    if write:
-        system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        return system.open_output_stream(path)
-    return system.open_input_file(path)
-
-
 def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Encodes every whole text with the tokenizer at ``path``, writes the packed
     files and returns the index table ``doc_id, file, place, n_tokens, start``."""
@@ -172,7 +163,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None, bl
         for batch in batches:
             if not batch.num_rows:
                 continue
-            writer = writer or Writer(_opened(name, True), bits, block_ids)
+            writer = writer or Writer(opened(name, True), bits, block_ids)
             encoded = [ids(t) + end for t in texts(batch["text"])]
             sizes = np.array([len(e) // 4 for e in encoded], np.int64)
             places = place + np.cumsum(sizes) - sizes
@@ -184,8 +175,10 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None, bl
         if writer:
             writer.close()
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id")
-    ordered = ordered.sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # rows that share an id, or have none, are parted by their texts, and repeats of a text by where they were read
+    keys = ["doc_id", "_t", "_r"]
+    ordered = (docs.select("doc_id", "text", F.xxhash64("text").alias("_t"), F.monotonically_increasing_id().alias("_r"))
+               .repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text"))
     index = written(spark, ordered.mapInArrow(run, "doc_id long, shard int, file string, place long, n_tokens long"),
                     "packed-index")
     # one row per partition: the window over them is small however many documents there are
@@ -206,7 +199,7 @@ def read(index: DataFrame) -> DataFrame:
             for name, place, n in zip(batch["file"].to_pylist(), batch["place"].to_pylist(),
                                       batch["n_tokens"].to_pylist(), strict=True):
                 if name not in readers:
-                    readers[name] = Reader(_opened(name, False))
+                    readers[name] = Reader(opened(name))
                     if len(readers) > 8:
                         readers.popitem(last=False)[1].stream.close()
                 sums.append(zlib.crc32(readers[name].read(place, n)))
