@@ -24,7 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import written
+from ratelens.llm.common import fresh, written
+from ratelens.operators.skew import HotKeys, hot_keys, split_join
 
 MAX_BITS = 60
 LEVEL = 12
@@ -56,7 +57,12 @@ def assign(docs: DataFrame, key: str = "doc_id", limit: int = LIMIT, level: int
         fits = sums.filter((F.col("_sb") <= F.lit(limit)) | (F.col("_sn") == 1))
         leaf = (at.join(fits, ["_d", "_p"]).groupBy("_f")
                 .agg(F.min(F.struct("_d", "_p", "_sb", "_sn")).alias("_l")).select("_f", "_l.*"))
-        placed = rows.join(leaf, F.shiftright(rows["_hash"], MAX_BITS - top) == leaf["_f"], "left").drop("_f")
+        # a repeated id makes its prefix a hot key of the rows
+        total = rows.count()
+        often = []
+        if total > HotKeys().min_rows:
+            often = hot_keys(fine, "_f", "_fn", total, HotKeys())
+        placed = split_join(rows.withColumn("_f", F.shiftright("_hash", MAX_BITS - top)), leaf, "_f", often, "left").drop("_f")
         placed = written(spark, placed, "shard-level")
         done.append(placed.filter(F.col("_d").isNotNull()).select(
             "_k", "_b", "_d", "_p", F.lit(0).cast("long").alias("_page"), "_sb", "_sn"))
@@ -81,8 +87,10 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     page; larger rows have pages of their own)."""
     spark = rows.sparkSession
     big = F.col("_b") > F.lit(limit // 2)
-    order = ["_hash", "_big", "_t"]
-    ranged = (rows.withColumn("_big", big).repartitionByRange(*order).sortWithinPartitions(*order)
+    # equal texts of one hash are parted by their number in the written table
+    order = ["_hash", "_big", "_t", "_r"]
+    ranged = (rows.withColumn("_big", big).withColumn("_r", F.monotonically_increasing_id())
+              .repartitionByRange(*order).sortWithinPartitions(*order)
               .withColumn("_part", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()))
     ranged = written(spark, ranged, "shard-pages")
     # running sums inside slices of a partition, then of slices: no hash is gathered in one task
@@ -116,9 +124,41 @@ def directory(assigned: DataFrame) -> DataFrame:
 
 
 def write(docs: DataFrame, assigned: DataFrame, path: str, key: str = "doc_id") -> None:
-    """The documents as Parquet folders by shard (for keys that name one row)."""
-    named = assigned.select(key, F.concat_ws("-", "depth", F.hex("prefix"), "page").alias("shard"))
-    docs.join(named, key).repartition("shard").write.partitionBy("shard").parquet(path)
+    """Every row of ``docs``, all columns, as Parquet folders by shard, from ``assign``'s rows.
+
+    An id's rows share a shard, except on overflow pages: there rows equal in id and size are
+    dealt to the places of such rows, each to one (both sides number their equals), so null
+    and repeated ids are neither lost nor multiplied.  The folder column is ``shard``
+    (lengthened where ``docs`` has one)."""
+    k, b, i, n, shard = (fresh(docs, c) for c in ("_k", "_b", "_i", "_n", "shard"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    place = assigned.select(F.col(key).alias(k), F.col("n_bytes").alias(b),
+                            F.concat_ws("-", "depth", F.hex("prefix"), "page").alias(shard))
+    per = place.groupBy(k, b).agg(F.min(shard).alias(shard), (F.min(shard) != F.max(shard)).alias(n))
+    here = F.col(key).eqNullSafe(F.col(k)) & (size == F.col(b))
+    single = docs.join(per.filter(~F.col(n)), here).select(*docs.columns, shard)
+    several = per.filter(n).select(k, b)
+    places = _numbered(place.join(several.select(F.col(k).alias("_mk"), F.col(b).alias("_mb")),
+                                  F.col(k).eqNullSafe(F.col("_mk")) & (F.col(b) == F.col("_mb")), "left_semi"), [k, b], i)
+    equals = _numbered(docs.join(several, here).select(*docs.columns, F.col(b).alias(n)), [key, n], fresh(docs, "_at"))
+    dealt = equals.join(places, F.col(key).eqNullSafe(F.col(k)) & (F.col(n) == F.col(b)) & (F.col(fresh(docs, "_at")) == F.col(i)))
+    every = single.unionByName(dealt.select(*docs.columns, shard))
+    # a shard has at most the byte limit, or one row
+    every.repartition(shard).write.partitionBy(shard).parquet(path)
+
+
+def _numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """``rows`` with a number, from 0, among those equal in ``keys``: numbers inside a written
+    partition, then offsets from a row per (partition, key); no group is gathered."""
+    x, r, p, at, first, n, before = (fresh(rows, c) for c in ("_x", "_r", "_p", "_i0", "_first", "_rows", "_before"))
+    ranged = (rows.withColumn(x, F.xxhash64(*keys)).withColumn(r, F.monotonically_increasing_id())
+              .repartitionByRange(x, r).sortWithinPartitions(x, r)
+              .withColumn(p, F.spark_partition_id()).withColumn(at, F.monotonically_increasing_id()))
+    ranged = written(rows.sparkSession, ranged, "shard-equals")
+    runs = ranged.groupBy(x, p).agg(F.min(at).alias(first), F.count(F.lit(1)).alias(n))
+    earlier = Window.partitionBy(x).orderBy(p).rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(x, p, first, F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(before))
+    return ranged.join(runs, [x, p]).withColumn(name, F.col(before) + F.col(at) - F.col(first)).select(*rows.columns, name)
 
 
 def oracle(limit: int = LIMIT, deepest: int = 40) -> str:

@@ -12,8 +12,10 @@ def odd_docs(spark):
     """Edge rows with null and repeated ids, null columns and clashing extra columns."""
     rows = [(i if i != 3 else None, t, None, "s", None, 1.5, "t") for i, t in enumerate(ODD)]
     rows += [rows[5], rows[5]]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, "
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, "
                                        "score double, y string")
+    # names that operators use inside
+    return docs.selectExpr("*", "7 AS _t", "8 AS _id", "9 AS _th", "1 AS _u", "2 AS sig", "3 AS n", "4 AS shard", "5 AS _r", "6 AS _h", "0 AS th")
 
 
 @pytest.fixture()
