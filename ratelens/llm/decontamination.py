@@ -12,9 +12,9 @@ hit is verified word by word, so chance hits and hash collisions add nothing.
 Items shorter than a window count where all their words stand in the document in
 a row; items without words match nothing.
 
-The item table is the query set: it goes to the tasks in blocks of at most
-``BLOCK_CHARS`` characters (checked; a larger benchmark takes more passes), and
-each pass is one scan of whole texts without a shuffle: windows of a batch are
+The item table is the query set: every different text goes to the tasks once, in blocks of
+at most ``BLOCK_CHARS`` characters (their sums are checked before a block is fetched;
+a larger benchmark takes more passes, a single larger item raises), and each pass is one scan of whole texts without a shuffle: windows of a batch are
 hashed by numpy, looked up, and only verified overlaps leave the task, one row
 per document and item.
 
@@ -26,6 +26,7 @@ an empty table on either side gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import mapped, texts, word_hashes
+from ratelens.llm.common import BROADCAST_ROWS, mapped, texts, word_hashes, written
 
 WINDOW, BLOCKS, SUBSTITUTIONS = 12, 4, 2
 _PART = WINDOW // BLOCKS
@@ -75,7 +76,7 @@ class Index:
     kinds: list[tuple]
 
 
-def index(items: list[tuple[int, str]]) -> Index:
+def index(items: list[tuple[object, str]]) -> Index:
     ids = [i for i, _ in items]
     hashes = [word_hashes(words((t or "").encode())) for _, t in items]
     kinds = []
@@ -144,18 +145,32 @@ def search(own: Index, bags: list[np.ndarray]) -> list[tuple[int, int, int, int,
     return out
 
 
-def _blocks(benchmark: DataFrame, block_chars: int) -> list[list]:
-    """The items, in blocks of a bounded number of characters."""
-    total = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = -(-int(total) // max(1, block_chars // 2)) or 1
-    out = []
+def _items(benchmark: DataFrame) -> DataFrame:
+    """``text, item``: every different text once (null = empty), with its MD5 as the item's name."""
+    text = F.coalesce(F.col("text"), F.lit("")).alias("text")
+    items = benchmark.select(text).distinct().withColumn("item", F.md5(F.col("text").cast("binary")))
+    return written(benchmark.sparkSession, items, "benchmark-items")
+
+
+def _blocks(items: DataFrame, block_chars: int) -> Iterator[list[tuple[str, str]]]:
+    """The items in blocks of at most ``block_chars`` characters each, fetched one after another.
+
+    Items fall into hash buckets; while a bucket is over the bound there are twice as many
+    (different texts part in the end). One item over the bound raises."""
+    total, longest = items.agg(F.sum(F.length("text")), F.max(F.length("text"))).first()
+    if (longest or 0) > block_chars:
+        raise ValueError(f"a benchmark item has {longest} characters, a block holds {block_chars}")
+    n = max(1, -(-int(total or 0) // block_chars))
+    while True:
+        bucket = F.pmod(F.xxhash64("text"), F.lit(n))
+        largest = items.groupBy(bucket.alias("b")).agg(F.sum(F.length("text")).alias("c")).agg(F.max("c")).first()[0]
+        if (largest or 0) <= block_chars:
+            break
+        n *= 2
     for k in range(n):
-        rows = (benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-                .select("item_id", "text").collect())
-        rows.sort(key=lambda r: (r.item_id is None, r.item_id or 0, r.text or ""))
+        rows = items.filter(bucket == k).select("item", "text").collect()
         if rows:
-            out.append([(r.item_id, r.text) for r in rows])
-    return out
+            yield sorted((r.item, r.text) for r in rows)
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -163,7 +178,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHA
     document and item with an overlap."""
     spark = docs.sparkSession
     parts = []
-    for items in _blocks(benchmark, block_chars):
+    found = SCHEMA.replace("item_id long", "item string")
+    for items in _blocks(_items(benchmark), block_chars):
         own = spark.sparkContext.broadcast(index(items))
 
         def run(batch: pa.RecordBatch, own=own) -> pa.RecordBatch:
@@ -171,18 +187,25 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHA
             got = search(own.value, [word_hashes(words(t)) for t in texts(batch["text"])])
             rows = [(ids[d], own.value.ids[i], *rest) for d, i, *rest in got]
             columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+            types = [pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
             return pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)],
-                                   [c.split()[0] for c in SCHEMA.split(", ")])
+                                   [c.split()[0] for c in found.split(", ")])
 
-        parts.append(mapped(docs.select("doc_id", "text"), run, SCHEMA))
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], SCHEMA)
+        parts.append(mapped(docs.select("doc_id", "text"), run, found))
+    if not parts:
+        return spark.createDataFrame([], SCHEMA)
+    # items of one text were searched once; each of them is reported
+    names = benchmark.select(F.col("item_id").cast("long").alias("item_id"),
+                             F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("item"))
+    if benchmark.count() <= BROADCAST_ROWS:
+        names = F.broadcast(names)
+    return reduce(DataFrame.unionByName, parts).join(names, "item").select(*(c.split()[0] for c in SCHEMA.split(", ")))
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, without an overlap (a pass per block)."""
     spark = docs.sparkSession
-    for items in _blocks(benchmark, block_chars):
+    for items in _blocks(_items(benchmark), block_chars):
         own = spark.sparkContext.broadcast(index(items))
 
         def run(batch: pa.RecordBatch, own=own) -> pa.RecordBatch:
