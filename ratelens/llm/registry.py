@@ -72,7 +72,7 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = spark.createDataFrame(url_filter.seed_rows(), "url string, verdict string")
-    return url_filter.judge(table(spark, sf_dir, "pages"), labelled)
+    return url_filter.judge(table(spark, sf_dir, "pages"), labelled, threshold=None)
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

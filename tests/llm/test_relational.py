@@ -271,3 +271,63 @@ def test_pipeline_stages_take_effect(spark):
     assert sorted({r.doc_id for r in rows}) == sorted(kept) and 0 < len(kept) < len(left)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF_SMALL).schema == docs.schema
+
+
+def test_written_shards_keep_null_repeated_and_clashing_rows(spark, tmp_dir):
+    rows = [(None, "n" * 30, "a"), (None, None, "b"), (3, "x" * 30, "c"), (3, "x" * 30, "d"), (3, "y" * 30, "e"), (3, "x" * 7, "f")]
+    rows += [(9, "z" * 20, str(k)) for k in range(40)] + [(k, "t" * k, "g") for k in range(20, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string").selectExpr("*", "1 AS _k", "2 AS _b", "3 AS _n", "4 AS depth")
+    assigned = sharding.assign(docs, limit=100)
+    sharding.write(docs, assigned, f"{tmp_dir}/shards")
+    back = spark.read.parquet(f"{tmp_dir}/shards")
+    assert sorted(map(repr, map(tuple, back.select(docs.columns).collect()))) == sorted(map(repr, map(tuple, docs.collect())))
+    sizes = {}
+    for r in back.collect():
+        sizes.setdefault(r.shard_, []).append(len(r.text or ""))
+    assert all(sum(s) <= 100 or len(s) == 1 for s in sizes.values())
+
+
+def test_benchmark_blocks_keep_their_bound(spark):
+    """Repeats of an item are searched once and reported each; the bound holds for every block."""
+    words = [[f"w{k}_{j}" for j in range(14)] for k in range(60)]
+    items = [(k, " ".join(w)) for k, w in enumerate(words)] + [(100 + k, " ".join(words[7])) for k in range(300)] + [(None, None), (900, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[7]) + " y"), (2, " ".join(words[9])), (3, "clean")], "doc_id long, text string")
+    limit = 2 * max(len(t) for _, t in items if t)
+    blocks = list(decontamination._blocks(decontamination._items(bench), limit))
+    assert len(blocks) > 20 and all(sum(len(t) for _, t in b) <= limit for b in blocks)
+    assert sorted(t for b in blocks for _, t in b) == sorted({t or "" for _, t in items})
+    got = sorted((r.doc_id, r.item_id) for r in decontamination.overlaps(docs, bench).collect())
+    assert got == sorted([(1, 7), (2, 9)] + [(1, 100 + k) for k in range(300)])
+    with pytest.raises(ValueError):
+        decontamination.overlaps(docs, bench, block_chars=20)
+
+
+def test_url_rules_equal_sql(spark, duck):
+    got = registry.op9_url_filter(spark, SF_SMALL).collect()
+    want = {r[0]: r[1:] for r in duck.execute(url_filter.rules_sql()).fetchall()}
+    assert {r.page_id: (r.host, r.path, r.rule) for r in got} == {k: v[:3] for k, v in want.items()}
+    assert all(r.verdict == want[r.page_id][3] for r in got if r.rule)
+
+
+def test_url_regression_equals_plain_descent_and_threshold_holds(monkeypatch):
+    """The sums over n-grams against a dense matrix, step by step."""
+    rows = [(*plain_rule(u)[:2], int(v == "block")) for u, v in url_filter.seed_rows()][::4]
+    monkeypatch.setattr(url_filter, "BUCKETS", 257)
+    x = np.zeros((len(rows), 258))
+    for k, (h, p, _) in enumerate(rows):
+        own = url_filter.buckets(h, p)
+        x[k, own] = 1 / np.sqrt(len(own))
+        x[k, -1] = 1
+    y = np.array([r[2] for r in rows], float)
+    each = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
+    w = np.zeros(258)
+    for _ in range(40):
+        g = x.T @ ((1 / (1 + np.exp(-x @ w)) - y) * each)
+        g[:-1] += 1e-3 / len(y) * w[:-1]
+        w -= 0.5 * 20 * g
+    assert np.allclose(w, url_filter.fit_rows(rows, steps=40), atol=1e-9)
+    limit = url_filter.choose_threshold(rows)
+    held = [url_filter.score(url_filter.fit_rows([r for r in rows if url_filter._fold(r[0]) != k]), h, p)
+            for k in range(url_filter.FOLDS) for h, p, own in rows if url_filter._fold(h) == k and not own]
+    assert limit >= 0.5 and sum(s >= limit for s in held) <= url_filter.FALSE_BLOCKS * len(held)
