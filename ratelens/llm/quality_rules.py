@@ -8,7 +8,9 @@ the bytes of an Arrow batch, Viterbi decoding runs per document.
 
 The field is fitted (numpy, exact gradients by forward-backward) from at most
 ``train_docs`` labelled documents outside the held-out fold, on all lines of
-each; a line inherits its document's quality label.
+each. Only documents are labelled, so line labels are found by hard EM (``fit_chains``):
+lines of good documents that recur in several documents start as boilerplate, then
+Viterbi under the document's label as a constraint and fitting take turns.
 
 Defined results: null text = empty text; a document without words has no line,
 ``content_share`` 0 and fails the base rule; rows repeat as given; null ids stay
@@ -24,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ratelens.llm.common import labelled_sample, mapped, texts, window_hashes, word_hashes
+from ratelens.llm.common import SEPARATORS, labelled_sample, mapped, texts, window_hashes, word_hashes
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -37,6 +39,10 @@ BOILERPLATE, CONTENT = 0, 1
 FEATURES = ("bias", "few_words", "long_words", "symbols", "bars", "upper", "exclamations", "digits",
             "stops", "commas", "repeated_line", "repeated_words", "urls")
 N_FEATURES = len(FEATURES)
+#: Different neighbours and words of a line of boilerplate; turns of the training; pulls tried towards a document's label.
+RECURRING, RECUR_WORDS = 3, 4
+TURNS = 4
+PULLS = (0.0, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0)
 
 
 @dataclass(frozen=True)
@@ -129,16 +135,20 @@ def viterbi(scores: np.ndarray, transition: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_field(chains: list[tuple[np.ndarray, int]], rounds: int = 120, rate: float = 0.2,
+def fit_field(chains: list[tuple[np.ndarray, int | np.ndarray]], rounds: int = 120, rate: float = 0.2,
               decay: float = 1e-3) -> Field:
-    """Maximum conditional likelihood of ``chains`` (line features, label of all
-    its lines) by Adam on the exact gradient. Whole chains run side by side, line
+    """Maximum conditional likelihood of ``chains`` (line features, and the label of all
+    its lines or of each) by Adam on the exact gradient. Whole chains run side by side, line
     by line, the longest first; lines are laid out by their place, without padding."""
     chains = sorted((c for c in chains if len(c[0])), key=lambda c: -len(c[0]))
-    if len({y for _, y in chains}) < 2:
+    marks = [np.broadcast_to(np.asarray(y, np.int64), len(x)) for x, y in chains]
+    if len({int(y) for m in marks for y in np.unique(m)}) < 2:
         return FALLBACK
     lengths = np.array([len(x) for x, _ in chains])
-    label = np.array([y for _, y in chains])
+    # a chain weighs by the label of most of its lines
+    whole = np.array([int(2 * m.sum() >= len(m)) for m in marks])
+    if len(set(whole.tolist())) < 2:
+        whole = np.array([int(m.max()) for m in marks])
     longest = int(lengths[0])
     alive = np.searchsorted(-lengths, -np.arange(longest))  # chains with a line at that place
     start = np.append(0, np.cumsum(alive))
@@ -152,13 +162,15 @@ def fit_field(chains: list[tuple[np.ndarray, int]], rounds: int = 120, rate: flo
     spread = data.std(axis=0)
     spread[spread < 1e-9] = 1.0
     data /= spread
-    # the rarer label weighs as much as the other
-    weight = np.where(label == 1, 0.5 / label.mean(), 0.5 / (1 - label.mean()))[own]
+    # the rarer kind of chain weighs as much as the other
+    part = min(max(whole.mean(), 1e-9), 1 - 1e-9)
+    weight = np.where(whole == 1, 0.5 / part, 0.5 / (1 - part))[own]
+    label = np.concatenate(marks)[(np.cumsum(lengths) - lengths)[own] + place]
     total = float(weight.sum())
     emission, transition = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
     state = [[np.zeros_like(p), np.zeros_like(p)] for p in (emission, transition)]
-    gold = np.eye(2)[label[own]]
-    hit = np.diag(np.bincount(label[own[later]], weight[later], minlength=2))
+    gold = np.eye(2)[label]
+    hit = np.bincount(label[before] * 2 + label[later], weight[later], minlength=4).reshape(2, 2)
     for step in range(1, rounds + 1):
         s = data @ emission
         alpha = s.copy()
@@ -182,17 +194,87 @@ def fit_field(chains: list[tuple[np.ndarray, int]], rounds: int = 120, rate: flo
     return Field(emission / spread[:, None], transition)
 
 
+@dataclass(frozen=True)
+class Chain:
+    """A training document: its lines' features, words and hashes, and its own label."""
+    x: np.ndarray
+    words: np.ndarray
+    lines: np.ndarray
+    label: int
+
+
+def constrained(chain: Chain, field: Field, keep_share: float = KEEP_SHARE) -> np.ndarray:
+    """The best line labels under which the document is judged as its label says: Viterbi with
+    the least pull (from ``PULLS``) towards the label that suffices."""
+    scores = chain.x @ field.emission
+    for pull in PULLS:
+        moved = scores.copy()
+        moved[:, chain.label] += pull
+        marks = viterbi(moved, field.transition)
+        share = chain.words[marks == CONTENT].sum() / max(1, chain.words.sum())
+        # with a margin: half way to the whole document
+        if share >= (1 + keep_share) / 2 if chain.label else share <= keep_share / 2:
+            return marks
+    return np.full(len(chain.x), chain.label)
+
+
+def first_marks(chains: list[Chain], recurring: int = RECURRING) -> list[np.ndarray]:
+    """Line labels to start from: the document's label, but lines of good documents that recur
+    among ``recurring`` different neighbours (copies of a document repeat the neighbours, too;
+    lines below ``RECUR_WORDS`` words recur by chance) are boilerplate where the rest still keeps the document."""
+    before: dict[int, set[int]] = {}
+    after: dict[int, set[int]] = {}
+    for c in chains:
+        lines = c.lines.tolist()
+        for h, p, n in zip(lines, [0, *lines], [*lines[1:], 0]):
+            before.setdefault(h, set()).add(p)
+            after.setdefault(h, set()).add(n)
+    out = []
+    for c in chains:
+        marks = np.full(len(c.x), c.label)
+        if c.label == CONTENT:
+            often = np.array([max(len(before[h]), len(after[h])) >= recurring for h in c.lines.tolist()], bool) & (c.words >= RECUR_WORDS)
+            if c.words[~often].sum() >= KEEP_SHARE * c.words.sum():
+                marks[often] = BOILERPLATE
+        out.append(marks)
+    return out
+
+
+def fit_chains(chains: list[Chain], turns: int = TURNS) -> Field:
+    """Hard EM: the field is fitted to line labels, and the lines are labelled again by Viterbi
+    under their document's label as a constraint, ``turns`` times or until no label changes. So
+    chains change label inside, and transitions are learned from such changes."""
+    chains = [c for c in chains if len(c.x)]
+    if len({c.label for c in chains}) < 2:
+        return FALLBACK
+    marks = first_marks(chains)
+    field = fit_field([(c.x, m) for c, m in zip(chains, marks, strict=True)])
+    for _ in range(turns):
+        new = [constrained(c, field) for c in chains]
+        if all((a == b).all() for a, b in zip(marks, new, strict=True)):
+            break
+        marks = new
+        field = fit_field([(c.x, m) for c, m in zip(chains, marks, strict=True)])
+    return field
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Field:
     """The field from a bounded sample of labelled documents, all their lines
-    (features are made on the executors; 52 bytes a line come back)."""
+    (features are made on the executors; 64 bytes a line come back)."""
     def features(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [line_table(t, word_hashes(t.split()))[1].astype("<f4").tobytes() for t in texts(batch["text"])]
-        return pa.record_batch([batch["doc_id"], batch["y"], pa.array(rows, pa.binary())], ["doc_id", "y", "x"])
+        rows = []
+        for t in texts(batch["text"]):
+            n, x, _, _ = line_table(t, word_hashes(t.split()))
+            lines = word_hashes([line for line in t.split(b"\n") if line.strip(SEPARATORS)])
+            rows.append((x.astype("<f4").tobytes(), n.astype("<i4").tobytes(), lines.astype("<u8").tobytes()))
+        return pa.record_batch([batch["doc_id"], batch["y"], *(pa.array(c, pa.binary()) for c in zip(*rows, strict=True))],
+                               ["doc_id", "y", "x", "n", "h"])
 
     sample = labelled_sample(docs, labels, "quality", train_docs)
-    got = mapped(sample, features, "doc_id long, y int, x binary").collect()
+    got = mapped(sample, features, "doc_id long, y int, x binary, n binary, h binary").collect()
     got.sort(key=lambda r: (r.doc_id, bytes(r.x)))
-    return fit_field([(np.frombuffer(r.x, "<f4").reshape(-1, N_FEATURES).astype(float), r.y) for r in got])
+    return fit_chains([Chain(np.frombuffer(r.x, "<f4").reshape(-1, N_FEATURES).astype(float), np.frombuffer(r.n, "<i4"),
+                             np.frombuffer(r.h, "<u8"), r.y) for r in got])
 
 
 SCHEMA = ("doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
