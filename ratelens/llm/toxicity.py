@@ -43,7 +43,8 @@ POSITIVES, UNLABELLED = 1500, 4500
 THRESHOLD = 0.3
 #: Positives that hold a bucket of evidence: see ``support``.
 LEAST, MOST_LEAST = 3, 6
-#: Word shares below this are no evidence: many words of a long text do not add up.
+#: Word shares below this do not add up, so that many words of a long text make no evidence; only
+#: their mean counts, which orders texts that have nothing else.
 FLOOR = 1e-3
 _OUTER = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -71,14 +72,12 @@ class Model:
     text_bias: float | None
 
     def part(self, word: str) -> float:
-        """A word's share of ``-log(1 - score)``; 0 for words without a known
-        bucket and for shares below ``FLOOR``."""
+        """A word's share of ``-log(1 - score)``; 0 for words without a known bucket."""
         a, b, c, d = word_buckets(word)
         w = self.weights
         if a in w or b in w or c in w or d in w:
             total = w.get(a, 0.0) + w.get(b, 0.0) + w.get(c, 0.0) + w.get(d, 0.0)
-            got = math.log1p(math.exp(min(30.0, self.word_bias + total)))
-            return got if got >= FLOOR else 0.0
+            return math.log1p(math.exp(min(30.0, self.word_bias + total)))
         return 0.0
 
     def scorer(self, remembered: int = 500_000):
@@ -96,8 +95,9 @@ class Model:
                 word = token.strip(_OUTER)
                 part = self.part(word) if word else 0.0
                 memo[token] = (word, part) if part else None
-            parts = dict(filter(None, map(memo.__getitem__, raw)))
-            return -math.expm1(-base - math.fsum(parts.values()))
+            parts = dict(filter(None, map(memo.__getitem__, raw))).values()
+            small = [p for p in parts if p < FLOOR]
+            return -math.expm1(-base - math.fsum(p for p in parts if p >= FLOOR) - math.fsum(small) / max(1, len(small)))
         return score
 
 

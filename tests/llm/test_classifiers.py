@@ -121,3 +121,42 @@ def test_toxicity_query_ranks_held_out_rows(spark):
     clean = [r.score for r in rows if not r.toxic]
     assert np.mean([a > b for a in toxic for b in clean]) > 0.95
     assert np.mean([s >= 0.3 for s in clean]) < 0.02 and np.mean([s >= 0.3 for s in toxic]) > 0.8
+
+
+def test_scores_equal_the_definition(spark):
+    """The query's scores against a loop over words: strong shares add up, weak ones count by their mean."""
+    import math
+    from conftest import SF_SMALL
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SF_SMALL}/labels.parquet")
+    model = tox.fit(docs, labels)
+    got = {r.doc_id: r.score for r in tox.score(docs, model).collect()}
+    for r in docs.collect():
+        strong, weak = 0.0, []
+        for word in {w.strip(tox._OUTER) for w in (r.text or "").lower().split()} - {""}:
+            known = [model.weights[b] for b in tox.word_buckets(word) if b in model.weights]
+            if known:
+                share = math.log1p(math.exp(min(30.0, model.word_bias + sum(known))))
+                strong, weak = (strong + share, weak) if share >= tox.FLOOR else (strong, [*weak, share])
+        want = 1 - math.exp(-math.log1p(math.exp(model.text_bias)) - strong - (sum(weak) / len(weak) if weak else 0.0))
+        assert abs(got[r.doc_id] - want) < 1e-9
+
+
+def test_bag_scores_equal_the_definition(spark):
+    """Gated attention over all passages of a document, passage by passage."""
+    import math
+    rng = np.random.default_rng(2)
+    rows = [(k, " ".join(rng.choice(["alpha", "beta", "gamma", "|||", "###"], 60 + 40 * (k % 9))), k % 2) for k in range(80)]
+    frame = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    model = mil.fit(frame, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int"))
+    w = {k: v.astype(float) for k, v in model.weights.items()}
+    got = {r.doc_id: r.score for r in mil.score(frame, model).collect()}
+    for k, text, _ in rows:
+        parts = []
+        for x in mil.passages(text.encode()):
+            h = [math.tanh(sum(((x - model.mean) * model.scale) * w["E"][:, j])) for j in range(w["E"].shape[1])]
+            gate = [math.tanh(np.dot(h, w["V"][:, j])) / (1 + math.exp(-np.dot(h, w["U"][:, j]))) for j in range(len(w["w"]))]
+            parts.append((math.exp(np.dot(gate, w["w"])), h))
+        total = sum(e for e, _ in parts)
+        z = sum(e / total * np.array(h) for e, h in parts)
+        assert abs(got[k] - 1 / (1 + math.exp(-(np.dot(z, w["c"]) + w["b"][0])))) < 1e-3
