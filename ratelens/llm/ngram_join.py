@@ -14,12 +14,18 @@ a linking pair, and sizes must be within ``percent``.
    dropped. First, in ``ROUNDS`` passes, every row meets one row only: the least
    of its blocks' pivots (a pivot is one row of a block). So a pass has at most
    as many pairs as rows, however large the blocks; what links is contracted.
-3. Only blocks that still hold several components are multiplied out, in tiles
-   of at most about ``TILE`` rows a side: inside a task, overlap counts of row
-   pairs of different components are accumulated over the prefix columns, and
-   pairs below the size-derived bound are discarded there; a pair comes from
-   the block of its least shared column only.
-4. Pairs are verified on their whole sets, exactly; component ids are the
+3. Rows of blocks of more than ``SMALL_BLOCK`` rows that still hold several
+   components then go to one tile each, of their largest such block (``TILE_ROUNDS``
+   times): all with a sketch of the set, then those with a plausible partner with
+   their whole sets. A tile has at most ``TILE_BYTES`` of sets; inside, overlap counts
+   decide all its pairs, and only a spanning forest of the links comes out, so a
+   group of k near copies gives fewer than k rows, not k * k pairs.
+4. What no tile has decided is multiplied out: small blocks pair by pair, larger
+   ones in tiles of at most about ``TILE`` rows a side, where overlap counts of row
+   pairs are accumulated over the prefix columns and pairs below the
+   size-derived bound are discarded; a pair comes from the block of its least
+   shared column only.
+5. Pairs are verified on their whole sets, exactly; component ids are the
    smallest document ids.
 
 Sets of fewer than ``percent / (100 - percent)`` n-grams cannot link with a
@@ -39,21 +45,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import SEPARATORS, mapped, mixed, texts, window_hashes, word_hashes
+from ratelens.llm.common import SEPARATORS, fresh, mapped, mixed, texts, window_hashes, word_hashes
 from ratelens.operators.graph import connected_components
+from ratelens.operators.skew import HotKeys, hot_keys, split_join
 from ratelens.session import RoundStore
 
 SIZE, PERCENT = 4, 85
 TILE = 1024
+#: Rows of a block whose pairs are taken directly, at most.
+SMALL_BLOCK = 8
+#: Passes in which rows of larger blocks go to a tile with their sets; bytes of sets and rows in a tile, about.
+TILE_ROUNDS, TILE_BYTES, TILE_ROWS = 2, 16 << 20, 4096
 #: N-grams moved to the end of the order: bounds the broadcast list (8 bytes each).
 COMMON = 200_000
 #: Passes in which each row meets one pivot.
 ROUNDS = 2
-#: Set signatures broadcast at most (8 bytes each) to pick texts; beyond, a shuffled join.
-BROADCAST_ROWS = 2_000_000
+#: Bytes of row names (signature, id, text hash: 24 a row) broadcast at most to pick texts; beyond, a shuffled join.
+BROADCAST_BYTES = 24 << 20
 
 
 def ngrams(text: bytes, size: int = SIZE) -> np.ndarray:
@@ -127,8 +138,8 @@ def _text_hash(name: str = "th") -> Column:
 
 
 def incidence(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, common: int = COMMON) -> DataFrame:
-    """``doc_id, th, n, sig, prefix`` per row of ``docs``: a hash of the text, set size,
-    64 bits of the set's signature, and the prefix columns in the global order."""
+    """``doc_id, th, n, sig, prefix, sketch`` per row of ``docs``: a hash of the text, set size,
+    64 bits of the set's signature, the prefix columns in the global order, and ``sketch_of``."""
     spark = docs.sparkSession
     by_rank = _common(docs, size, common)
     order = np.argsort(by_rank)
@@ -136,19 +147,45 @@ def incidence(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, common:
     smallest = math.ceil(percent / max(1, 100 - percent))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, sigs, prefixes = [], [], []
+        n, sigs, prefixes, sketches = [], [], [], []
         for text in texts(batch["text"]):
             own = ngrams(text, size)
             n.append(len(own))
             sigs.append(_signature(own))
             cut = len(own) - least_overlap(len(own), percent) + 1 if len(own) >= smallest else 0
             prefixes.append(_columns(own, *tail.value)[:cut].view(np.int64))
+            sketches.append(sketch_of(own) if cut else b"")
         offsets = np.cumsum([0] + [len(p) for p in prefixes])
         return pa.record_batch([batch["doc_id"].cast(pa.int64()), batch["th"], pa.array(n, pa.int64()), pa.array(sigs, pa.int64()),
-                                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes)))],
-                               ["doc_id", "th", "n", "sig", "prefix"])
+                                pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes))),
+                                pa.array(sketches, pa.binary())], ["doc_id", "th", "n", "sig", "prefix", "sketch"])
 
-    return mapped(docs.select("doc_id", "text", _text_hash()), run, "doc_id long, th long, n long, sig long, prefix array<long>")
+    return mapped(docs.select("doc_id", "text", _text_hash()), run,
+                  "doc_id long, th long, n long, sig long, prefix array<long>, sketch binary")
+
+
+#: Parts of a sketch.
+PARTS = 256
+
+
+def sketch_of(own: np.ndarray) -> bytes:
+    """How many n-grams of a set fall into each of ``PARTS`` equal parts of the hash range, a byte
+    each; empty where a count does not fit. Two sets share at most the sum of the lesser
+    counts, which rules out most pairs that only share a passage."""
+    counts = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=PARTS)
+    return counts.astype(np.uint8).tobytes() if counts.max() < 256 else b""
+
+
+def _sketches(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as rows of a matrix, and which of them are known."""
+    known = np.array([len(v) == PARTS for v in values], bool)
+    return np.frombuffer(b"".join(v if len(v) == PARTS else bytes(PARTS) for v in values), np.uint8).reshape(-1, PARTS), known
+
+
+def sketches_allow(a: np.ndarray, b: np.ndarray, known: np.ndarray, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` n-grams may link by their sketches, row by row (``b`` may be one row)."""
+    most = np.minimum(a, b).sum(axis=-1, dtype=np.int64)
+    return ~known | (most >= _least_shared(n, m, percent))
 
 
 def _least_shared(n, m, percent: int):
@@ -173,22 +210,10 @@ def _lists(values: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, percent: int, store: RoundStore) -> DataFrame:
-    """Those of ``pairs`` (a, b: signatures) that link: first by their prefixes, then
-    exactly, on the whole sets made from their texts again."""
-    own = rows.select("sig", "n", "prefix")
-    sized = (pairs.join(own.select(F.col("sig").alias("a"), F.col("n").alias("an"), F.col("prefix").alias("ap")), "a")
-             .join(own.select(F.col("sig").alias("b"), F.col("n").alias("bn"), F.col("prefix").alias("bp")), "b"))
-
-    def bound(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keep = [prefix_allows(x, y, n, m, percent) for x, y, n, m in zip(
-            *([x.view(np.uint64) for x in _lists(batch[c])] for c in ("ap", "bp")), batch["an"].to_pylist(), batch["bn"].to_pylist(), strict=True)]
-        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = store.put(mapped(sized.select("a", "b", "an", "bn", "ap", "bp"), bound, "a long, b long"), "bounded", keep=1)
-    needed = left.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+def _sets(needed: DataFrame, rows: DataFrame, docs: DataFrame, size: int, store: RoundStore, tag: str) -> DataFrame:
+    """``sig, s``: the whole sets (as bytes) of the signatures ``needed``, made from one text each."""
     of = store.put(rows.select("sig", F.col("doc_id").alias("_id"), F.col("th").alias("_th")).join(needed, "sig", "left_semi"), "needed", keep=1)
-    if of.count() <= BROADCAST_ROWS:  # the texts then stay where they are
+    if 24 * of.count() <= BROADCAST_BYTES:  # the texts then stay where they are
         of = F.broadcast(of)
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -199,8 +224,36 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, per
                                ["sig", "s"]).filter(asked)
 
     named = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
-    whole = docs.select("doc_id", "text", _text_hash()).join(of, named).select("sig", "text")
-    whole = store.put(mapped(whole, sets, "sig long, s binary").dropDuplicates(["sig"]), "sets", keep=1)
+    found = docs.select("doc_id", "text", _text_hash()).join(of, named).select("sig", "text")
+    whole = store.put(mapped(found, sets, "sig long, s binary"), tag, keep=2)
+    # rows may repeat an id and its text; without such rows the sets need no shuffle to be one each
+    if whole.count() > whole.agg(F.countDistinct("sig")).first()[0]:
+        whole = store.put(whole.dropDuplicates(["sig"]), tag, keep=1)
+    return whole
+
+
+def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, percent: int, store: RoundStore) -> DataFrame:
+    """Those of ``pairs`` (a, b: signatures) that link: first by their sketches and prefixes, then
+    exactly, on the whole sets made from their texts again."""
+    def side(x: str, *columns: str) -> DataFrame:
+        return rows.select(F.col("sig").alias(x), *(F.col(c).alias(x + c) for c in columns))
+
+    def by_sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        (a, ka), (b, kb) = (_sketches(batch[c].to_pylist()) for c in ("asketch", "bsketch"))
+        ok = sketches_allow(a, b, ka & kb, batch["an"].to_numpy(), batch["bn"].to_numpy(), percent)
+        return batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    def by_prefix(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keep = [prefix_allows(x, y, n, m, percent) for x, y, n, m in zip(
+            *([x.view(np.uint64) for x in _lists(batch[c])] for c in ("aprefix", "bprefix")), batch["an"].to_pylist(), batch["bn"].to_pylist(), strict=True)]
+        return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    some = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
+    some = store.put(mapped(some.select("a", "b", "an", "bn", "asketch", "bsketch"), by_sketch, "a long, b long"), "sketched", keep=1)
+    some = some.join(side("a", "n", "prefix"), "a").join(side("b", "n", "prefix"), "b")
+    left = store.put(mapped(some.select("a", "b", "an", "bn", "aprefix", "bprefix"), by_prefix, "a long, b long"), "bounded", keep=1)
+    needed = left.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    whole = _sets(needed, rows, docs, size, store, "sets")
 
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
@@ -213,11 +266,140 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, per
     joined = (left.join(whole.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a")
               .join(whole.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y"))
     links = store.put(mapped(joined, compare, "a long, b long"), "links", keep=99)
-    for tag in ("bounded", "needed", "sets"):
-        store.drop(tag)
+    store.drop("sketched", "bounded", "needed", "sets")
+    return links
+
+
+# -- tiles of whole sets --------------------------------------------------------------
+
+def spanning_links(sets: list[np.ndarray], root: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (of row numbers) that connect what all linking pairs of ``sets`` connect: at
+    most a row less than there are rows. Rows of equal ``root`` are connected already.
+
+    Breadth first: a row's overlaps with all rows are counted at once over the incidence
+    of its n-grams, and rows reached are not compared again."""
+    size = np.array([len(x) for x in sets])
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    start = np.cumsum(size) - size
+    order = np.argsort(flat, kind="stable")
+    holders = np.repeat(np.arange(len(sets)), size)[order]
+    first = np.searchsorted(flat[order], np.arange(flat.max() + 2))
+    by_root = np.argsort(root, kind="stable")
+    names, at, many = np.unique(root[by_root], return_index=True, return_counts=True)
+    group = np.searchsorted(names, root)
+    new = np.ones(len(sets), bool)
+    links, left = [], len(sets)
+
+    def reach(rows: np.ndarray, queue: list[int]) -> int:
+        """Marks the rows and all that share a root with them."""
+        for g in np.unique(group[rows]):
+            own = by_root[at[g]:at[g] + many[g]]
+            own = own[new[own]]
+            new[own] = False
+            queue.extend(own.tolist())
+        return int(new.sum())
+
+    for k in range(len(sets)):
+        if not new[k]:
+            continue
+        queue: list[int] = []
+        left = reach(np.array([k]), queue)
+        while queue and left:
+            a = queue.pop()
+            mine = flat[start[a]:start[a] + size[a]]
+            lo, hi = first[mine], first[mine + 1]
+            both = np.bincount(np.concatenate([holders[i:j] for i, j in zip(lo, hi, strict=True)]), minlength=len(sets))
+            found = np.flatnonzero(new & (100 * both >= percent * (size[a] + size - both)))
+            if len(found):
+                # one link to each component reached
+                for b in found[np.unique(group[found], return_index=True)[1]]:
+                    links.append((a, int(b)))
+                left = reach(found, queue)
+        if not left:
+            break
     return links
 
 
+def _tile_links(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """``spanning_links`` of each tile of a stream sorted by tile."""
+    held, at = [], None
+
+    def done() -> pa.RecordBatch:
+        sig = [r[0] for r in held]
+        links = spanning_links([np.frombuffer(r[2], np.uint64) for r in held], np.array([r[1] for r in held]), percent)
+        ends = [sorted((sig[a], sig[b])) for a, b in links]
+        return pa.record_batch([pa.array([e[k] for e in ends], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        for tile, *row in zip(*(batch[c].to_pylist() for c in ("tile", "sig", "root", "s")), strict=True):
+            if tile != at:
+                if len(held) > 1:
+                    yield done()
+                held, at = [], tile
+            held.append(row)
+    if len(held) > 1:
+        yield done()
+
+
+def _plausible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of a stream of rows sorted by tile, ``sig, tile, root`` of those that may link with a row of
+    their tile and another root, by sizes and sketches."""
+    held, at = [], None
+
+    def done() -> pa.RecordBatch:
+        sig, root, n = (np.array([r[k] for r in held], np.int64) for k in (0, 1, 2))
+        sketch, known = _sketches([r[3] for r in held])
+        order = np.argsort(n, kind="stable")
+        sig, root, n, sketch, known = sig[order], root[order], n[order], sketch[order], known[order]
+        ok = np.zeros(len(n), bool)
+        # sizes within reach are neighbours in the order of sizes
+        reach = np.searchsorted(percent * n, 100 * n, "right")
+        for i in range(len(n) - 1):
+            j = np.arange(i + 1, reach[i])
+            j = j[root[j] != root[i]]
+            if len(j):
+                j = j[sketches_allow(sketch[j], sketch[i], known[j] & known[i], n[j], n[i], percent)]
+                ok[j] = True
+                ok[i] |= len(j) > 0
+        return pa.record_batch([pa.array(sig[ok]), pa.array(np.full(int(ok.sum()), at, np.int64)), pa.array(root[ok])], ["sig", "tile", "root"])
+
+    for batch in batches:
+        for tile, *row in zip(*(batch[c].to_pylist() for c in ("tile", "sig", "root", "n", "sketch")), strict=True):
+            if tile != at:
+                if len(held) > 1:
+                    yield done()
+                held, at = [], tile
+            held.append(row)
+    if len(held) > 1:
+        yield done()
+
+
+def _tiled(open_: DataFrame, rows: DataFrame, docs: DataFrame, k: int, size: int, percent: int,
+           store: RoundStore) -> tuple[DataFrame, DataFrame]:
+    """Links of one pass of tiles, and ``sig, tile``: the rows whose pairs in a tile are decided."""
+    best = (open_.filter(F.col("m") > SMALL_BLOCK).groupBy("sig", "n", "root")
+            .agg(F.max(F.struct("m", F.xxhash64("c", F.lit(k)).alias("h"), "c")).alias("b"))
+            .select("sig", "n", "root", F.col("b.c").alias("c")))
+    best = store.put(best, "best", keep=1)
+    per = (best.groupBy("c").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_rows"), F.min("root").alias("_a"), F.max("root").alias("_z"))
+           .filter("_a <> _z"))
+    parts = F.greatest(F.ceil(F.col("_n") * 8 / TILE_BYTES), F.ceil(F.col("_rows") / TILE_ROWS)).cast("long")
+    sub = F.pmod(F.xxhash64("sig", F.lit(k)), parts)
+    tiles = best.join(per, "c").select("sig", "n", "root", F.xxhash64("c", sub, F.lit(k)).alias("tile"))
+    tiles = store.put(tiles, f"tiled{k}", keep=1)
+    # rows by their sketches first: few of those that share a passage go on with their sets
+    light = tiles.join(rows.select("sig", "sketch"), "sig").select("tile", "sig", "root", "n", "sketch")
+    light = light.repartition("tile").sortWithinPartitions("tile")
+    few = store.put(light.mapInArrow(lambda it: _plausible(it, percent), "sig long, tile long, root long"), "plausible", keep=1)
+    whole = _sets(few.select("sig"), rows, docs, size, store, "tile-sets")
+    sorted_ = few.join(whole, "sig").select("tile", "sig", "root", "s").repartition("tile").sortWithinPartitions("tile")
+    links = store.put(sorted_.mapInArrow(lambda it: _tile_links(it, percent), "a long, b long"), "links", keep=99)
+    store.drop("best", "plausible", "needed", "tile-sets")
+    return links, tiles.select("sig", "tile")
+
+
+# -- tiles of prefix columns ----------------------------------------------------------
+
 #: Tiles up to this many rows are multiplied together, row pair by row pair.
 SMALL_TILE = 64
 
@@ -252,13 +434,14 @@ def pair_counts(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.nda
 
 def tile_pairs(tile: np.ndarray, cross: np.ndarray, column: np.ndarray, sig: np.ndarray, n: np.ndarray,
                root: np.ndarray, side: np.ndarray, last: np.ndarray, columns: list[np.ndarray],
-               percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+               percent: int = PERCENT, decided: list[np.ndarray] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs of the same ``tile`` (rows sorted by it) that may link: rows of
     different components and near sizes, whose overlap count over the prefix
     columns reaches the size-derived bound. In a ``cross`` tile, of two halves of a
     block, only rows of different ``side`` pair. ``columns``: a row's prefix columns
     in open blocks (rows of different components share no others); ``last``: its
-    last prefix column. A pair comes from the block of its least shared column only."""
+    last prefix column. Pairs of rows with an equal number in one of ``decided`` (0: none) are
+    left out. A pair comes from the block of its least shared column only."""
     size = np.array([len(x) for x in columns])
     start = np.cumsum(size) - size
     names, flat = np.unique(np.concatenate(columns), return_inverse=True)
@@ -267,8 +450,11 @@ def tile_pairs(tile: np.ndarray, cross: np.ndarray, column: np.ndarray, sig: np.
     found = []
 
     def may_pair(a, b):
-        return ((root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
-                & (~cross[a] | (side[a] != side[b])))
+        ok = ((root[a] != root[b]) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
+              & (~cross[a] | (side[a] != side[b])))
+        for own in decided:
+            ok &= (own[a] == 0) | (own[a] != own[b])
+        return ok
 
     def keep(a, b, counts=None):
         if counts is not None:
@@ -311,7 +497,8 @@ def _tiles(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         a, b = tile_pairs(tile, rows["lo"].to_numpy() != rows["hi"].to_numpy(),
                           *(rows[c].to_numpy() for c in ("c", "sig", "n", "root", "t")),
                           rows["last"].to_numpy().view(np.uint64),
-                          [x for chunk in rows["cols"].chunks for x in _lists(chunk)], percent)
+                          [x for chunk in rows["cols"].chunks for x in _lists(chunk)], percent,
+                          [rows[f"t{k}"].to_numpy() for k in range(TILE_ROUNDS)])
         return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     held: pa.Table | None = None
@@ -337,6 +524,55 @@ def _roots(links: DataFrame) -> DataFrame:
     return found.select("sig", F.col("component").alias("root"))
 
 
+_TILES = [f"t{k}" for k in range(TILE_ROUNDS)]
+
+
+def _undecided(x: str, y: str, percent: int) -> Column:
+    """Whether the rows in two struct columns are of different components and near sizes,
+    and no tile has decided them."""
+    p, q = F.col(x), F.col(y)
+    out = (p["root"] != q["root"]) & (F.lit(100) * F.least(p["n"], q["n"]) >= F.lit(percent) * F.greatest(p["n"], q["n"]))
+    for t in _TILES:
+        out = out & ((p[t] == 0) | (p[t] != q[t]))
+    return out
+
+
+def _small_pairs(open_: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: the undecided pairs of blocks of at most ``SMALL_BLOCK`` rows."""
+    row = F.struct("sig", "n", "root", *_TILES)
+    blocks = open_.filter(F.col("m") <= SMALL_BLOCK).groupBy("c").agg(F.collect_list(row).alias("r"))
+    firsts = blocks.select("r", F.posexplode("r").alias("i", "x"))
+    both = firsts.select("x", F.explode(F.slice("r", F.col("i") + 2, F.lit(SMALL_BLOCK))).alias("y"))
+    return both.filter(_undecided("x", "y", percent)).select(
+        F.least("x.sig", "y.sig").alias("a"), F.greatest("x.sig", "y.sig").alias("b")).distinct()
+
+
+def _large_pairs(open_: DataFrame, rows: DataFrame, percent: int, tile: int) -> DataFrame:
+    """``a, b``: the undecided pairs of larger blocks that the prefix columns allow."""
+    large = open_.filter(F.col("m") > SMALL_BLOCK)
+    # a row's columns in open blocks: rows of different components share no others
+    carried = (open_.join(large.select("sig").distinct(), "sig", "left_semi")
+               .groupBy("sig").agg(F.sort_array(F.collect_set("c")).alias("cols"))
+               .join(rows.select("sig", F.element_at("prefix", -1).alias("last")), "sig"))
+    sides = F.ceil(F.col("m") / F.lit(tile)).cast("long")
+    mine = F.pmod(F.xxhash64("sig", F.lit(3)), sides)
+    own = ["c", "lo", "hi", "sig", "n", "root", "t", *_TILES]
+    tiles = (large.withColumn("t", mine).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), sides - 1)))
+             .withColumns({"lo": F.least("t", "k"), "hi": F.greatest("t", "k")}).select(*own)
+             .join(carried, "sig").select(*own, "cols", "last")
+             .repartition("c", "lo", "hi").sortWithinPartitions("c", "lo", "hi"))
+    return tiles.mapInArrow(lambda it: _tiles(it, percent), "a long, b long").distinct()
+
+
+def _spread(big: DataFrame, keyed: DataFrame, key: str, rows: int) -> DataFrame:
+    """Left join with a row per key, where a key may hold a large share of the ``rows`` of ``big``."""
+    policy = HotKeys()
+    often = []
+    if rows > policy.min_rows:
+        often = hot_keys(big.groupBy(key).agg(F.count(F.lit(1)).alias("_deg")), key, "_deg", rows, policy)
+    return split_join(big, keyed, key, often, "left")
+
+
 def _rooted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tile: int = TILE,
             rounds: int = ROUNDS) -> DataFrame:
     """Per row of ``docs``: ``doc_id, th, n, root``; rows of one component share ``root``
@@ -351,9 +587,21 @@ def _rooted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tile: int
     rows = store.put(rows.dropDuplicates(["sig"]), "rows")
 
     entries = rows.select(F.explode("prefix").alias("c"), "sig", "n")
-    shared = entries.groupBy("c").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
-    open_ = store.put(entries.join(shared, "c").select("c", "sig", "n", "m", F.col("sig").alias("root")), "open", keep=1)
+    # columns of n-grams in the common list are negative: only they can be hot keys, and are counted before they
+    # are joined; the others take one shuffle, which brings a block's rows together
+    often, rare = entries.filter("c < 0"), entries.filter("c >= 0")
+    shared = often.groupBy("c").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > 1)
+    met = rare.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("c"))).filter(F.col("m") > 1)
+    none = {t: F.lit(0).cast("long") for t in _TILES}
+    open_ = (often.join(shared, "c").select("c", "sig", "n", "m").unionByName(met.select("c", "sig", "n", "m"))
+             .select("c", "sig", "n", "m", F.col("sig").alias("root")).withColumns(none))
+    open_ = store.put(open_, "open", keep=1)
     links = spark.createDataFrame([], "a long, b long")
+
+    def contracted(found: DataFrame, k: int) -> DataFrame:
+        roots = store.put(_contracted(open_.select("sig", "root").distinct(), found, k, store), "roots", keep=1)
+        return store.put(_open(open_, roots), "open", keep=2)
+
     for k in range(rounds):
         pivots = open_.groupBy("c").agg(F.min(F.struct(F.xxhash64("root", F.lit(k)).alias("h"), "sig", "n", "root")).alias("p"))
         met = open_.join(pivots, "c").filter(
@@ -363,26 +611,21 @@ def _rooted(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tile: int
             F.least("sig", "p.sig").alias("a"), F.greatest("sig", "p.sig").alias("b")).distinct()
         found = _verified(pairs, rows, docs, size, percent, store)
         links = links.unionByName(found)
-        roots = store.put(_contracted(open_.select("sig", "root").distinct(), found, k, store), "roots", keep=1)
-        open_ = store.put(_open(open_, roots), "open", keep=1)
+        open_ = contracted(found, k)
+    for k, t in enumerate(_TILES):
+        found, tiles = _tiled(open_, rows, docs, k, size, percent, store)
+        links = links.unionByName(found)
+        known = open_.drop(t).join(tiles.withColumnRenamed("tile", t), "sig", "left").fillna(0, [t])
+        open_ = store.put(known.select("c", "sig", "n", "m", "root", *_TILES), "open", keep=2)
+        open_ = contracted(found, rounds + k)
 
-    # a row's columns in open blocks: rows of different components share no others
-    carried = (open_.groupBy("sig").agg(F.sort_array(F.collect_set("c")).alias("cols"))
-               .join(rows.select("sig", F.element_at("prefix", -1).alias("last")), "sig"))
-    sides = F.ceil(F.col("m") / F.lit(tile)).cast("long")
-    mine = F.pmod(F.xxhash64("sig", F.lit(3)), sides)
-    tiles = (open_.withColumn("t", mine).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), sides - 1)))
-             .select("c", F.least("t", "k").alias("lo"), F.greatest("t", "k").alias("hi"), "sig", "n", "root", "t")
-             .join(carried, "sig").select("c", "lo", "hi", "sig", "n", "root", "t", "cols", "last")
-             .repartition("c", "lo", "hi").sortWithinPartitions("c", "lo", "hi"))
-    more = store.put(tiles.mapInArrow(lambda it: _tiles(it, percent), "a long, b long").distinct(), "tiles")
+    more = store.put(_small_pairs(open_, percent).unionByName(_large_pairs(open_, rows, percent, tile)).distinct(), "tiles")
     links = links.unionByName(_verified(more, rows, docs, size, percent, store))
 
     found = _roots(links)
-    for tag in ("open", "tiles", "rows", "roots", "up"):
-        store.drop(tag)
-    return (matrix.select("doc_id", "th", "n", "sig").join(found, "sig", "left")
-            .select("doc_id", "th", "n", F.coalesce("root", "sig").alias("root")))
+    store.drop("open", "tiles", "rows", "roots", "up", "links", *(f"tiled{k}" for k in range(TILE_ROUNDS)))
+    light = matrix.select("doc_id", "th", "n", "sig")
+    return _spread(light, found, "sig", light.count()).select("doc_id", "th", "n", F.coalesce("root", "sig").alias("root"))
 
 
 def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tile: int = TILE,
@@ -390,7 +633,7 @@ def components(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, tile:
     """Per row of ``docs``: ``doc_id, n_shingles, component_id``."""
     light = _rooted(docs, size, percent, tile, rounds)
     least = light.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    linked = light.filter("n > 0").join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    linked = _spread(light.filter("n > 0"), least, "root", light.count()).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     empty = light.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(empty)
 
@@ -414,11 +657,13 @@ def _contracted(roots: DataFrame, links: DataFrame, k: int, store: RoundStore) -
 
 
 def _open(blocks: DataFrame, known: DataFrame) -> DataFrame:
-    """The rows of blocks that hold several components, with their roots."""
+    """The rows of blocks that hold several components, not all met in one tile, with their roots."""
     rooted = (blocks.drop("root").join(known, "sig", "left")
-              .select("c", "sig", "n", "m", F.coalesce("root", "sig").alias("root")))
-    several = (rooted.groupBy("c").agg(F.min("root").alias("_a"), F.max("root").alias("_z"))
-               .filter("_a <> _z").select("c"))
+              .select("c", "sig", "n", "m", F.coalesce("root", "sig").alias("root"), *_TILES))
+    apart = F.min("root") != F.max("root")
+    for t in _TILES:
+        apart = apart & ((F.min(t) != F.max(t)) | (F.min(t) == 0))
+    several = rooted.groupBy("c").agg(apart.alias("_apart")).filter("_apart").select("c")
     return rooted.join(several, "c", "left_semi")
 
 
@@ -431,11 +676,12 @@ def keep(docs: DataFrame, size: int = SIZE, percent: int = PERCENT) -> DataFrame
     first = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "th")).alias("f")
     grouped = light.filter("n > 0").groupBy("root").agg(first).select("f.doc_id", "f.th")
     wordless = light.filter("n = 0 AND doc_id IS NOT NULL").select("doc_id", "th").distinct()
-    chosen = grouped.unionByName(wordless).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    i, t, h = (fresh(docs, c) for c in ("_id", "_th", "_t"))
+    chosen = grouped.unionByName(wordless).select(F.col("doc_id").alias(i), F.col("th").alias(t))
     loose = F.col("doc_id").isNull() & (F.translate(F.coalesce("text", F.lit("")), SEPARATORS.decode(), "") == "")
-    named = docs.filter(~loose).withColumn("_t", _text_hash())
-    named = named.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_t") == F.col("_th")), "left_semi")
-    return named.dropDuplicates(["doc_id", "_t"]).select(docs.columns).unionByName(docs.filter(loose))
+    named = docs.filter(~loose).withColumn(h, _text_hash())
+    named = named.join(chosen, F.col("doc_id").eqNullSafe(F.col(i)) & (F.col(h) == F.col(t)), "left_semi")
+    return named.dropDuplicates(["doc_id", h]).drop(h).unionByName(docs.filter(loose))
 
 
 def oracle(size: int = SIZE, percent: int = PERCENT) -> str:
