@@ -107,16 +107,18 @@ def test_columns_named_like_helpers_survive(spark):
     assert all(r[c] == r.id * 10 + k for r in split.collect() for k, c in enumerate(names))
 
 
-def test_exact_split_with_one_repeated_key(spark):
+def test_exact_split_with_one_repeated_key(spark, monkeypatch):
     """A key that a third of all rows repeat is spread over the ranges."""
-    from pyspark.sql import functions as F
+    from ratelens.session import RoundStore
+    kept, real = {}, RoundStore.put
+    monkeypatch.setattr(RoundStore, "put", lambda self, df, tag, keep=2: kept.setdefault(tag, real(self, df, tag, keep)))
     df = spark.range(3000).selectExpr("if(id < 1000, 0, id) AS key", "1 AS label")
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "6")
     try:
         got = exact_stratified_split(df, "label", ["key"], 0.8)
         assert got.filter("first_part").count() == 2400 and got.count() == 3000
-        sizes = [r["count"] for r in got.groupBy(F.input_file_name()).count().collect()]
-        assert max(sizes) < 2 * 3000 / 6
+        sizes = [r["count"] for r in kept["ranged"].groupBy("_pid").count().collect()]
+        assert len(sizes) == 6 and max(sizes) < 2 * 3000 / 6
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
