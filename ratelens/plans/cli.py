@@ -107,6 +107,8 @@ def _task_7(i: Inputs) -> Outputs:
     out = {"predictions_with_existing_model": (res.tables["predictions"], None, []),
            "research_7_metrics": (res.tables["metrics"], 20, []),
            "research_7_preview": (res.tables["preview"], 10, ["review_id"])}
+    if "history" in res.tables:
+        out["research_7_history"] = (res.tables["history"], 100, ["step", "reg_param"])
     if "selection" in res.tables:
         out["research_7_selection"] = (res.tables["selection"], 20, ["reg_param", "max_iter"])
     return out

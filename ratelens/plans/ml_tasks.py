@@ -57,8 +57,8 @@ def sentiment(reviews: DataFrame, key: str = "review_id", text: str = "text", st
 
     Rows without stars, and neutral ones, train and test nothing but are scored;
     their truth columns are null.  More than one of ``reg_params``: the choice is
-    made on a validation split with early stopping, and the table ``history`` tells its
-    losses and accuracies.  ``model_path`` as in ``star_prediction``."""
+    made on a validation split with early stopping; the table ``history`` tells its
+    losses and accuracies (``selection``, too, where the search was made now).  ``model_path`` as in ``star_prediction``."""
     from ratelens.plans.tasks import sentiment_input
     rated = sentiment_input(reviews, text, stars, neutral).select(key, text, F.col("true_sentiment").alias("label"))
     train, _ = stratified_split(rated, "label", [key], TRAIN_FRACTION, SEED)
@@ -68,8 +68,11 @@ def sentiment(reviews: DataFrame, key: str = "review_id", text: str = "text", st
     if len(reg_params) == 1:
         model = models.load_or_fit(spark, model_path, lambda: models.fit_sentiment_classifier(train, text, "label", reg=reg_params[0]))
     else:
-        model, history = models.load_or_fit_with_history(
-            spark, model_path, lambda: models.select_sentiment_model(train, key, text, "label", reg_params))
+        def search() -> tuple[PipelineModel, DataFrame]:
+            model, tables["selection"] = models.select_sentiment_model(train, key, text, "label", reg_params)
+            return model, tables["selection"]
+
+        model, history = models.load_or_fit_with_history(spark, model_path, search)
         if history is not None:
             tables["history"] = history
     truth = F.when(F.col(stars) != F.lit(neutral), binary_label(stars))

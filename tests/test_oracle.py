@@ -17,7 +17,7 @@ def test_every_query_registered_has_callable():
 
 
 DUCK_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "date": "DATE",
-              "boolean": "BOOLEAN"}
+              "boolean": "BOOLEAN", "timestamp_ntz": "TIMESTAMP"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
