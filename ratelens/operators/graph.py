@@ -13,6 +13,8 @@ pre-combined map-side; every join on a node key splits its hot keys off
 (``operators.skew``: degree above a share of all edges, so a bounded list,
 fetched first) and joins them by broadcast, the rest by a shuffled join (which
 AQE's skew handling can still split); with no hot key the join is plain.  No group is ever collected into one row.
+Joins of tables that grow with the graph are never broadcast (``skew.apart``):
+over all rounds they would send many times the graph through the driver.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ratelens.functions.columns import NONE_SENTINEL
-from ratelens.operators.skew import HotKeys, hot_keys, split_join
+from ratelens.operators.skew import HotKeys, apart, hot_keys, split_join
 from ratelens.operators.topk import top_k_per_group
 from ratelens.session import RoundStore
 
@@ -128,7 +130,7 @@ def connected_components(vertices: DataFrame, edges: DataFrame, node: str = "use
         found = store.put(by_root(up, later).select("u", F.coalesce("_later", "root").alias("root")), "found", keep=2)
     least = found.groupBy("root").agg(F.least(F.min("u"), F.col("root")).alias("component"))
     labels = by_root(found, least).select(F.col("u").alias("_u"), "component")
-    out = store.put(vertices.join(labels, F.col(node) == F.col("_u"), "left")
+    out = store.put(vertices.join(apart(labels), F.col(node) == F.col("_u"), "left")
                     .select(node, F.coalesce("component", node).alias("component")), "labels")
     store.drop("edges", "found", *(f"up{k}" for k in range(1, len(rounds) + 1)))
     return out
@@ -155,7 +157,7 @@ class _Votes:
 
     def of(self, nodes: DataFrame) -> DataFrame:
         """The edges (u, v) of ``nodes`` (one column ``u``, distinct)."""
-        out = self.ties.join(nodes, "u", "left_semi")
+        out = self.ties.join(apart(nodes), "u", "left_semi")
         if self.loud is None:
             return out
         return out.unionByName(self.loud.join(F.broadcast(nodes.filter(F.col("u").isin(self.hot))), "u", "left_semi"))
@@ -205,7 +207,7 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, node: str = "user_i
                 .agg(F.min(F.struct((-F.col("cnt")).alias("neg"), F.col("label").alias("label"))).alias("w"))
                 .select("node", F.col("w.label").alias("new")))
         moved = F.col("new") != F.col("label")
-        nxt = labels.select("node", "label").join(best, "node", "left").select(
+        nxt = labels.select("node", "label").join(apart(best), "node", "left").select(
             "node", F.coalesce("new", "label").alias("label"), F.when(moved, F.col("label")).alias("old"))
         return store.put_bucketed(nxt, "labels", "node", buckets)
 
@@ -233,7 +235,7 @@ def label_propagation(vertices: DataFrame, edges: DataFrame, node: str = "user_i
     held = store.put(labels.select("node", F.col("label").alias("lo"), F.col("label").alias("hi")), "cycle")
     for _ in range(done - seen[now] - 1):
         labels = step(labels, voters(labels))
-        held = store.put(held.join(labels.select("node", "label"), "node").select(
+        held = store.put(held.join(apart(labels.select("node", "label")), "node").select(
             "node", F.least("lo", "label").alias("lo"), F.greatest("hi", "label").alias("hi")), "cycle")
     store.drop("ties", "loud", "labels")
     return held.select(F.col("node").alias(node), F.col("lo").alias("community"), (F.col("lo") == F.col("hi")).alias("settled"))

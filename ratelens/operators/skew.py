@@ -4,7 +4,8 @@ A key that holds a large share of one join side (a hub user, a giant
 component's centre) would put that share of the rows into one shuffle
 partition.  ``split_join`` routes the rows of hot keys through a broadcast
 join with just those keys' rows of the keyed side (no shuffle), and only the
-remaining rows through the shuffled join.
+remaining rows through the shuffled join (``apart``: sorted and merged, since both
+sides grow with the data; a broadcast would bring one of them through the driver).
 
 A key is hot when its row count exceeds ``max(min_rows, share * total)``, so
 fewer than ``1 / share`` keys can be hot: the hot list is bounded by
@@ -44,6 +45,12 @@ def hot_keys(counts: DataFrame, key: str, count_col: str, total, policy: HotKeys
     return [r[0] for r in rows]
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """A join side that grows with the data: it is shuffled to the other side, not
+    broadcast, however small its files look (compressed, they say little of its rows)."""
+    return df.hint("merge")
+
+
 def split_join(big: DataFrame, keyed: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
     """``big`` joined with ``keyed`` (unique on ``key``); hot keys via broadcast.
 
@@ -51,8 +58,8 @@ def split_join(big: DataFrame, keyed: DataFrame, key: str, hot: list, how: str =
     most one row per hot key, so its broadcast is bounded like ``hot``.
     """
     if not hot:
-        return big.join(keyed, key, how)
+        return big.join(apart(keyed), key, how)
     is_hot = F.col(key).isin(hot)
     hot_part = big.filter(is_hot).join(F.broadcast(keyed.filter(is_hot)), key, how)
-    cold_part = big.filter(~is_hot).join(keyed, key, how)
+    cold_part = big.filter(~is_hot).join(apart(keyed), key, how)
     return hot_part.unionByName(cold_part)
