@@ -249,12 +249,12 @@ def category_counts(communities: DataFrame, orders: DataFrame, lineitem: DataFra
     community), so every shuffle carries per-key partial counts, not raw rows.
     """
     lt = (lineitem.select("l_orderkey", "l_partkey")
-          .join(part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+          .join(apart(part.select("p_partkey", "p_type")), F.col("l_partkey") == F.col("p_partkey"))
           .groupBy("l_orderkey", "p_type").agg(F.count(F.lit(1)).alias("n")))
-    ct = (lt.join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    ct = (lt.join(apart(orders.select("o_orderkey", "o_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
           .groupBy("o_custkey", "p_type").agg(F.sum("n").alias("n")))
     comm = communities.select(F.col(user_id).alias("uid"), F.col(community).alias("community"))
-    return (ct.join(comm, F.col("o_custkey").cast("string") == F.col("uid"))
+    return (ct.join(apart(comm), F.col("o_custkey").cast("string") == F.col("uid"))
             .groupBy("community", F.col("p_type").alias("category"))
             .agg(F.sum("n").cast("bigint").alias("n")))
 
@@ -322,7 +322,7 @@ def taste_table(cc: DataFrame, k: int, digits: int = 4) -> DataFrame:
     tot = cc.groupBy("community").agg(F.sum("n").alias("community_total"))
     glob = cc.groupBy("category").agg(F.sum("n").alias("global_n"))
     gtotal = cc.agg(F.sum("n")).scalar()
-    scored = (cc.join(tot, "community").join(glob, "category")
+    scored = (cc.join(apart(tot), "community").join(glob, "category")
               .withColumn("share", F.col("n").cast("double") / F.col("community_total").cast("double"))
               .withColumn("global_share", F.col("global_n").cast("double") / gtotal.cast("double")))
     ranked = top_k_per_group(scored, ["community"], [F.col("n").desc(), F.col("category").asc()], k)

@@ -27,3 +27,13 @@ def test_votes_and_labels_are_not_broadcast(spark):
     nodes = spark.createDataFrame([("1",)], "u string")
     assert "BroadcastHashJoin" not in _plan(votes.of(nodes))
     assert sorted(map(tuple, votes.of(nodes).collect())) == [("1", "2")]
+
+
+def test_taste_counts_broadcast_nothing(spark):
+    communities = spark.createDataFrame([("1", "1"), ("2", "1"), ("3", "3")], "user_id string, community string")
+    orders = spark.createDataFrame([(1, 1), (2, 2), (3, 3)], "o_orderkey long, o_custkey long")
+    lines = spark.createDataFrame([(1, 1), (1, 1), (2, 2), (3, 1)], "l_orderkey long, l_partkey long")
+    part = spark.createDataFrame([(1, "a"), (2, "b")], "p_partkey long, p_type string")
+    counts = graph.category_counts(communities, orders, lines, part, community="community")
+    assert "BroadcastHashJoin" not in _plan(counts)
+    assert sorted(map(tuple, counts.collect())) == [("1", "a", 2), ("1", "b", 1), ("3", "a", 1)]
