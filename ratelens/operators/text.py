@@ -72,11 +72,19 @@ def term_bucket(term: str | Column, buckets: int = NUM_BUCKETS) -> Column:
     return F.pmod(F.conv(F.substring(F.md5(_c(term).cast("binary")), 1, 13), 16, 10).cast("long"), F.lit(buckets)).cast("int")
 
 
-def _terms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """``key, term`` per token: lower case, split at white space (trailing empty tokens fall
-    away), without stop words."""
-    tokens = F.split(F.regexp_replace(F.lower(_c(text)), "\\s+$", ""), "\\s")
-    return df.filter(F.col(text).isNotNull()).select(key, F.explode(without_stop_words(tokens)).alias("term"))
+def _tokens(text: str) -> Column:
+    """Lower case, split at white space (trailing empty tokens fall away)."""
+    return F.split(F.regexp_replace(F.lower(_c(text)), "\\s+$", ""), "\\s")
+
+
+def _terms(df: DataFrame, key: str, text: str, distinct: bool = False) -> DataFrame:
+    """``key, term`` per token (``distinct``: per different token of a row), without stop words.
+
+    The stop words are looked up in a set after the split into rows: a filter inside the
+    token array would compare every token with every stop word."""
+    tokens = F.array_distinct(_tokens(text)) if distinct else _tokens(text)
+    return (df.filter(F.col(text).isNotNull()).select(key, F.explode(tokens).alias("term"))
+            .filter(~F.col("term").isin(*stop_words())))
 
 
 def hashed_tfidf(df: DataFrame, key: str, text: str, buckets: int = NUM_BUCKETS, digits: int = 6) -> DataFrame:
@@ -100,13 +108,14 @@ def hashed_tfidf(df: DataFrame, key: str, text: str, buckets: int = NUM_BUCKETS,
 def bucket_collisions(df: DataFrame, key: str, text: str, buckets: int = NUM_BUCKETS) -> DataFrame:
     """``bucket, n_terms, n_docs, n_tokens``: how many terms share a bucket, and its use.
 
-    Two levels: tokens per (bucket, term, document) first, so a frequent term or a long document
-    never fills one task."""
-    each = (_terms(df, key, text).groupBy(term_bucket("term", buckets).alias("bucket"), "term", key)
-            .agg(F.count(F.lit(1)).alias("n")))
-    terms = (each.groupBy("bucket", "term").agg(F.sum("n").alias("n"))
-             .groupBy("bucket").agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n").alias("n_tokens")))
-    docs = each.select("bucket", key).distinct().groupBy(F.col("bucket").alias("_b")).agg(F.count(F.lit(1)).alias("n_docs"))
+    Tokens are counted per term before the shuffle, and a term's bucket is computed once per task;
+    for the documents, only (bucket, document) pairs are shuffled, one per bucket of a text. A frequent
+    term or a long document never fills one task."""
+    counted = _terms(df, key, text).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    terms = (counted.groupBy(term_bucket("term", buckets).alias("bucket"))
+             .agg(F.count(F.lit(1)).alias("n_terms"), F.sum("n").alias("n_tokens")))
+    pairs = _terms(df, key, text, distinct=True).select(term_bucket("term", buckets).alias("_b"), key).distinct()
+    docs = pairs.groupBy("_b").agg(F.count(F.lit(1)).alias("n_docs"))
     return terms.join(docs, F.col("bucket") == F.col("_b")).select("bucket", "n_terms", "n_docs", "n_tokens")
 
 

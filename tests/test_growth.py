@@ -37,3 +37,19 @@ def test_taste_counts_broadcast_nothing(spark):
     counts = graph.category_counts(communities, orders, lines, part, community="community")
     assert "BroadcastHashJoin" not in _plan(counts)
     assert sorted(map(tuple, counts.collect())) == [("1", "a", 2), ("1", "b", 1), ("3", "a", 1)]
+
+
+def test_bucket_collisions_look_stop_words_up_in_a_set(spark):
+    from ratelens.operators import text
+    docs = spark.createDataFrame([(1, "The cat  the cat"), (1, "the CAT dog "), (None, "dog"), (2, None), (3, "the")],
+                                 "doc_id long, text string")
+    out = text.bucket_collisions(docs, "doc_id", "text")
+    plan = _plan(out)
+    assert "lambda" not in plan and "INSET" in plan.upper()
+    want: dict[int, tuple[set, set, int]] = {}
+    for key, term, n in [(1, "cat", 3), (1, "", 1), (1, "dog", 1), (None, "dog", 1)]:
+        b = spark.range(1).select(text.term_bucket(F.lit(term))).first()[0]
+        terms, keys, tokens = want.get(b, (set(), set(), 0))
+        want[b] = (terms | {term}, keys | {key}, tokens + n)
+    assert {r.bucket: (r.n_terms, r.n_docs, r.n_tokens) for r in out.collect()} == {
+        b: (len(t), len(k), n) for b, (t, k, n) in want.items()}
