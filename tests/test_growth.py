@@ -53,3 +53,18 @@ def test_bucket_collisions_look_stop_words_up_in_a_set(spark):
         want[b] = (terms | {term}, keys | {key}, tokens + n)
     assert {r.bucket: (r.n_terms, r.n_docs, r.n_tokens) for r in out.collect()} == {
         b: (len(t), len(k), n) for b, (t, k, n) in want.items()}
+
+
+def test_hashed_terms_are_those_of_the_pipeline_stages(spark):
+    from ratelens.ml import models
+    rows = [(i, x) for i, x in enumerate(["", " ", "The quick  brown fox", "a the of", "ÄÖ ß 漢字 İX \u2028 ΣΑΣ K", "x" * 999 + " yz yz yz",
+                                          "\t tab\nline\x0bvt\u00a0nbsp trailing   ", "I'M i'm don't THE", "1 12 123 1234 12345 é éé ééé"])]
+    df = spark.createDataFrame(rows, "k long, text string")
+    stages = models.text_stages()[:-1]
+    want = df
+    for stage in stages:
+        want = stage.transform(want)
+    got = models.hashed_terms(stages, df)
+    assert "Arrow" in _plan(got)
+    assert {r.k: r.rawFeatures for r in got.collect()} == {r.k: r.rawFeatures for r in want.collect()}
+    assert models.hashed_terms(stages, df.limit(0)).collect() == []
