@@ -84,6 +84,21 @@ def least_overlap(n: np.ndarray | int, percent: int = PERCENT):
     return -(-n * percent // 100)
 
 
+def _frequent(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of at least 1/3000 of the sets ``held`` (three), and in how many they are; the list is
+    emptied. Sorted in place: a task holds the portion twice at most."""
+    least = max(3, math.ceil(len(held) / 3000))
+    keys = np.concatenate(held)
+    held.clear()
+    keys.sort()
+    # the first of a run of at least so many equal keys
+    last = max(0, len(keys) - least + 1)
+    first = keys[least - 1:] == keys[:last]
+    first[1:] &= keys[1:last] != keys[:max(0, last - 1)]
+    often = keys[:last][first]
+    return often, np.searchsorted(keys, often, "right") - np.searchsorted(keys, often, "left")
+
+
 def _common(docs: DataFrame, size: int, limit: int) -> np.ndarray:
     """The n-grams that most documents hold, by lossy counting: every task counts
     its documents in portions and passes on n-grams of at least 1/3000 of a
@@ -93,9 +108,8 @@ def _common(docs: DataFrame, size: int, limit: int) -> np.ndarray:
         n = 0
 
         def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = counts >= max(3, len(held) / 3000)
-            return pa.record_batch([pa.array(keys[often].view(np.int64)), pa.array(counts[often])], ["g", "n"])
+            keys, counts = _frequent(held)
+            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(counts)], ["g", "n"])
 
         for batch in batches:
             for text in texts(batch["text"]):
