@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -128,11 +129,24 @@ def window_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema) -> DataFrame:
-    """``fn`` on every Arrow batch."""
+def give_back() -> None:
+    """Returns memory that this process has freed, but still holds, to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def on_batches(fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table]):
+    """``fn`` on every Arrow batch of a task that has rows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 out = fn(batch)
                 yield from out.to_batches() if isinstance(out, pa.Table) else [out]
-    return df.mapInArrow(run, schema)
+    return run
+
+
+def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | pa.Table], schema) -> DataFrame:
+    """``fn`` on every Arrow batch."""
+    return df.mapInArrow(on_batches(fn), schema)

@@ -41,14 +41,15 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ratelens.llm.common import SEPARATORS, fresh, mapped, mixed, texts, window_hashes, word_hashes
+from ratelens.llm.common import SEPARATORS, fresh, give_back, mixed, on_batches, texts, window_hashes, word_hashes
+from ratelens.llm.encoding import encoder
 from ratelens.operators.graph import connected_components
 from ratelens.operators.skew import HotKeys, hot_keys, split_join
 from ratelens.session import RoundStore
@@ -67,6 +68,22 @@ ROUNDS = 2
 BROADCAST_BYTES = 24 << 20
 
 
+def _lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """``step`` in a Python worker that first gives back what earlier tasks left (a tokenizer with
+    its words, freed memory), and at the end what this one leaves: workers outlive their tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder.cache_clear()
+        give_back()
+        yield from step(batches)
+        give_back()
+    return run
+
+
+def _mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """``fn`` on every Arrow batch, in a lean worker."""
+    return df.mapInArrow(_lean(on_batches(fn)), schema)
+
+
 def ngrams(text: bytes, size: int = SIZE) -> np.ndarray:
     """Sorted distinct n-gram hashes of a text (A-Z in lower case)."""
     words = text.lower().split()
@@ -123,7 +140,7 @@ def _common(docs: DataFrame, size: int, limit: int) -> np.ndarray:
         if held:
             yield flush()
 
-    counted = docs.select("text").mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(_lean(run), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.col("n").desc(), "g").limit(limit).orderBy("n", "g")
     # rarest of the common first: position = rank in the order's tail
     return np.array([r.g for r in top.select("g").collect()], np.int64).view(np.uint64)
@@ -174,8 +191,8 @@ def incidence(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, common:
                                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes))),
                                 pa.array(sketches, pa.binary())], ["doc_id", "th", "n", "sig", "prefix", "sketch"])
 
-    return mapped(docs.select("doc_id", "text", _text_hash()), run,
-                  "doc_id long, th long, n long, sig long, prefix array<long>, sketch binary")
+    return _mapped(docs.select("doc_id", "text", _text_hash()), run,
+                   "doc_id long, th long, n long, sig long, prefix array<long>, sketch binary")
 
 
 #: Parts of a sketch.
@@ -239,7 +256,7 @@ def _sets(needed: DataFrame, rows: DataFrame, docs: DataFrame, size: int, store:
 
     named = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
     found = docs.select("doc_id", "text", _text_hash()).join(of, named).select("sig", "text")
-    whole = store.put(mapped(found, sets, "sig long, s binary"), tag, keep=2)
+    whole = store.put(_mapped(found, sets, "sig long, s binary"), tag, keep=2)
     # rows may repeat an id and its text; without such rows the sets need no shuffle to be one each
     if whole.count() > whole.agg(F.countDistinct("sig")).first()[0]:
         whole = store.put(whole.dropDuplicates(["sig"]), tag, keep=1)
@@ -263,9 +280,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, per
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     some = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
-    some = store.put(mapped(some.select("a", "b", "an", "bn", "asketch", "bsketch"), by_sketch, "a long, b long"), "sketched", keep=1)
+    some = store.put(_mapped(some.select("a", "b", "an", "bn", "asketch", "bsketch"), by_sketch, "a long, b long"), "sketched", keep=1)
     some = some.join(side("a", "n", "prefix"), "a").join(side("b", "n", "prefix"), "b")
-    left = store.put(mapped(some.select("a", "b", "an", "bn", "aprefix", "bprefix"), by_prefix, "a long, b long"), "bounded", keep=1)
+    left = store.put(_mapped(some.select("a", "b", "an", "bn", "aprefix", "bprefix"), by_prefix, "a long, b long"), "bounded", keep=1)
     needed = left.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     whole = _sets(needed, rows, docs, size, store, "sets")
 
@@ -279,13 +296,27 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, per
 
     joined = (left.join(whole.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a")
               .join(whole.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y"))
-    links = store.put(mapped(joined, compare, "a long, b long"), "links", keep=99)
+    links = store.put(_mapped(joined, compare, "a long, b long"), "links", keep=99)
     store.drop("sketched", "bounded", "needed", "sets")
     return links
 
 
 # -- tiles of whole sets --------------------------------------------------------------
 
+def _numbered(sets: list[np.ndarray], size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The n-grams of all sets, set by set, as numbers in the order of their hashes; the rows that hold them,
+    n-gram by n-gram; where each n-gram's rows begin (and the last end). One sort, in 32 bits afterwards."""
+    keys = np.concatenate(sets)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.append(True, keys[1:] != keys[:-1])
+    del keys
+    flat = np.empty(len(order), np.int32)
+    flat[order] = np.cumsum(starts, dtype=np.int32) - np.int32(1)
+    holders = np.repeat(np.arange(len(sets), dtype=np.int32), size)[order]
+    return flat, holders, np.append(np.flatnonzero(starts), len(order))
+
+
 def spanning_links(sets: list[np.ndarray], root: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links (of row numbers) that connect what all linking pairs of ``sets`` connect: at
     most a row less than there are rows. Rows of equal ``root`` are connected already.
@@ -293,11 +324,8 @@ def spanning_links(sets: list[np.ndarray], root: np.ndarray, percent: int = PERC
     Breadth first: a row's overlaps with all rows are counted at once over the incidence
     of its n-grams, and rows reached are not compared again."""
     size = np.array([len(x) for x in sets])
-    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
     start = np.cumsum(size) - size
-    order = np.argsort(flat, kind="stable")
-    holders = np.repeat(np.arange(len(sets)), size)[order]
-    first = np.searchsorted(flat[order], np.arange(flat.max() + 2))
+    flat, holders, first = _numbered(sets, size)
     by_root = np.argsort(root, kind="stable")
     names, at, many = np.unique(root[by_root], return_index=True, return_counts=True)
     group = np.searchsorted(names, root)
@@ -404,10 +432,10 @@ def _tiled(open_: DataFrame, rows: DataFrame, docs: DataFrame, k: int, size: int
     # rows by their sketches first: few of those that share a passage go on with their sets
     light = tiles.join(rows.select("sig", "sketch"), "sig").select("tile", "sig", "root", "n", "sketch")
     light = light.repartition("tile").sortWithinPartitions("tile")
-    few = store.put(light.mapInArrow(lambda it: _plausible(it, percent), "sig long, tile long, root long"), "plausible", keep=1)
+    few = store.put(light.mapInArrow(_lean(lambda it: _plausible(it, percent)), "sig long, tile long, root long"), "plausible", keep=1)
     whole = _sets(few.select("sig"), rows, docs, size, store, "tile-sets")
     sorted_ = few.join(whole, "sig").select("tile", "sig", "root", "s").repartition("tile").sortWithinPartitions("tile")
-    links = store.put(sorted_.mapInArrow(lambda it: _tile_links(it, percent), "a long, b long"), "links", keep=99)
+    links = store.put(sorted_.mapInArrow(_lean(lambda it: _tile_links(it, percent)), "a long, b long"), "links", keep=99)
     store.drop("best", "plausible", "needed", "tile-sets")
     return links, tiles.select("sig", "tile")
 
@@ -575,7 +603,7 @@ def _large_pairs(open_: DataFrame, rows: DataFrame, percent: int, tile: int) ->
              .withColumns({"lo": F.least("t", "k"), "hi": F.greatest("t", "k")}).select(*own)
              .join(carried, "sig").select(*own, "cols", "last")
              .repartition("c", "lo", "hi").sortWithinPartitions("c", "lo", "hi"))
-    return tiles.mapInArrow(lambda it: _tiles(it, percent), "a long, b long").distinct()
+    return tiles.mapInArrow(_lean(lambda it: _tiles(it, percent)), "a long, b long").distinct()
 
 
 def _spread(big: DataFrame, keyed: DataFrame, key: str, rows: int) -> DataFrame:
