@@ -79,7 +79,7 @@ def _lean(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
     return run
 
 
-def _mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def mapped(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``fn`` on every Arrow batch, in a lean worker."""
     return df.mapInArrow(_lean(on_batches(fn)), schema)
 
@@ -191,8 +191,8 @@ def incidence(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, common:
                                 pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes))),
                                 pa.array(sketches, pa.binary())], ["doc_id", "th", "n", "sig", "prefix", "sketch"])
 
-    return _mapped(docs.select("doc_id", "text", _text_hash()), run,
-                   "doc_id long, th long, n long, sig long, prefix array<long>, sketch binary")
+    return mapped(docs.select("doc_id", "text", _text_hash()), run,
+                  "doc_id long, th long, n long, sig long, prefix array<long>, sketch binary")
 
 
 #: Parts of a sketch.
@@ -256,7 +256,7 @@ def _sets(needed: DataFrame, rows: DataFrame, docs: DataFrame, size: int, store:
 
     named = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))
     found = docs.select("doc_id", "text", _text_hash()).join(of, named).select("sig", "text")
-    whole = store.put(_mapped(found, sets, "sig long, s binary"), tag, keep=2)
+    whole = store.put(mapped(found, sets, "sig long, s binary"), tag, keep=2)
     # rows may repeat an id and its text; without such rows the sets need no shuffle to be one each
     if whole.count() > whole.agg(F.countDistinct("sig")).first()[0]:
         whole = store.put(whole.dropDuplicates(["sig"]), tag, keep=1)
@@ -280,9 +280,9 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, per
         return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     some = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
-    some = store.put(_mapped(some.select("a", "b", "an", "bn", "asketch", "bsketch"), by_sketch, "a long, b long"), "sketched", keep=1)
+    some = store.put(mapped(some.select("a", "b", "an", "bn", "asketch", "bsketch"), by_sketch, "a long, b long"), "sketched", keep=1)
     some = some.join(side("a", "n", "prefix"), "a").join(side("b", "n", "prefix"), "b")
-    left = store.put(_mapped(some.select("a", "b", "an", "bn", "aprefix", "bprefix"), by_prefix, "a long, b long"), "bounded", keep=1)
+    left = store.put(mapped(some.select("a", "b", "an", "bn", "aprefix", "bprefix"), by_prefix, "a long, b long"), "bounded", keep=1)
     needed = left.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
     whole = _sets(needed, rows, docs, size, store, "sets")
 
@@ -296,7 +296,7 @@ def _verified(pairs: DataFrame, rows: DataFrame, docs: DataFrame, size: int, per
 
     joined = (left.join(whole.select(F.col("sig").alias("a"), F.col("s").alias("x")), "a")
               .join(whole.select(F.col("sig").alias("b"), F.col("s").alias("y")), "b").select("a", "b", "x", "y"))
-    links = store.put(_mapped(joined, compare, "a long, b long"), "links", keep=99)
+    links = store.put(mapped(joined, compare, "a long, b long"), "links", keep=99)
     store.drop("sketched", "bounded", "needed", "sets")
     return links
 
